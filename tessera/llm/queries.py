@@ -99,8 +99,8 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality": f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '{gap}'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{gap}'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
   FROM documents),
 win AS (
   SELECT r, i, list_extract(w, i) || ' ' || list_extract(w, i + 1) || ' ' || list_extract(w, i + 2) AS g
@@ -111,7 +111,7 @@ m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(list_aggregate(list_concat(w, ['']), 'string_agg', '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
-         len(list_filter(w, x -> x IN ({stop}))) AS n_stop, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_capital
+         len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_capital
   FROM d LEFT JOIN cov ON d.r = cov.r),
 b AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
