@@ -7,9 +7,9 @@ A set is thus replicated to every region where a link may cross its boundary. (P
 that: nearly all distances are 1, so every window would hold everything.) Within a region the join is recursive:
 
 * one set is the region's pivot, and its distances to the others are computed exactly; those within r are linked;
-* regions whose sets are one component by now are done, and the pivot leaves the others;
-* by the triangle inequality, x and y can link only if |d(x, pivot) - d(y, pivot)| <= r; where few pairs of different
-  components remain in these windows they are compared, else the next pivot is taken.
+* regions whose sets are one component by now are done, and the pivots leave the others;
+* by the triangle inequality, x and y can link only if |d(x, pivot) - d(y, pivot)| <= r: small regions list the pairs of
+  different components within that window, large ones are cut into rings around the pivot, which are joined exactly.
 
 Equal sets are one node throughout, and a link between two nodes of one component is never sought, so neither copies nor
 near copies make all their pairs.
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.batches import by_key, least_label
 from tessera.llm.graph import components
 from tessera.llm.words import as_fraction, mix, set_sums, shingle_sets, text_chunks
 from tessera.session import materialize
@@ -36,8 +37,10 @@ CROWD = 64
 BUFFER = 3_000_000
 #: Up to so many wanted documents their ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Pairs per node up to which all remaining pairs of different components are compared at once.
-FEW_PAIRS = 30
+#: Members up to which a region's remaining pairs are listed; larger regions are joined by rings, in blocks.
+SMALL, BLOCK = 48, 512
+#: Shingles of one matrix product.
+COLUMNS = 4096
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -247,10 +250,71 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(measure, "a long, b long, both long, either long")
 
 
-def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(node, root for every linked node; all links found: a, b)."""
+def _intersections(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, as matrix products over a few thousand shingles at a time; shingles of one set count nowhere."""
+    every, uses = np.unique(np.concatenate([*rows, *columns]), return_counts=True)
+    every = every[uses > 1]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for low in range(0, len(every), COLUMNS):
+        some = every[low : low + COLUMNS]
+        sides = []
+        for side in (rows, columns):
+            flags = np.zeros((len(side), len(some)), np.float32)
+            for i, values in enumerate(side):
+                part = values[np.searchsorted(values, some[0]) : np.searchsorted(values, some[-1], "right")]
+                at = np.searchsorted(some, part)
+                flags[i, at[some[at] == part]] = 1
+            sides.append(flags)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _ring_links(members: DataFrame, sets: DataFrame, t: Fraction, partitions: int) -> DataFrame:
+    """a, b: links that join the components within large regions; members: region, node, distance (to the pivot), n.
+
+    Rings of width r around the pivot are the windows of the triangle inequality: linked sets lie in one ring or in
+    neighbouring ones. A cell joins a ring (rows) with itself and the ring beyond (columns), so a set is replicated to its
+    own ring's cell and to the one within. Cells of regions of more than BLOCK sets are cut to BLOCK by BLOCK; all pairs of
+    a cell are compared by matrix products, and only one link for each set, to the least of its component in the cell, leaves the task.
+    """
+    ring = F.floor(F.col("distance") / (float(1 - t) * (1 + 1e-9))).cast("int")  # a hair wider, for rounding
+    base = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("ring", ring)
+    base = base.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = F.expr(
+        "flatten(transform(sequence(0, blocks - 1), i -> array("
+        "struct(ring as low, own as i, i as j, if(i = own, 2, 0) as side), "
+        "struct(ring as low, if(i = own, -1, i) as i, own as j, 1 as side), "
+        "struct(ring - 1 as low, i as i, own as j, 1 as side))))"
+    )
+    cells = base.select("region", "node", F.explode(cells).alias("c")).select("region", "c.low", "c.i", "c.j", "c.side", "node").where("i >= 0 and low >= 0")
+    filled = cells.join(sets, "node").select("region", "low", "i", "j", "side", "node", "shingles")
+    dealt = filled.repartition(partitions, "region", "low", "i", "j").sortWithinPartitions("region", "low", "i", "j")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches, 4):
+            side, node = group.column("side").to_numpy(), group.column("node").to_numpy()
+            values = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+            rows, columns = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: both
+            if not len(rows) or not len(columns):
+                continue
+            sizes = np.array([len(v) for v in values])
+            both = _intersections([values[i] for i in rows], [values[i] for i in columns]).astype(np.int64)
+            either = sizes[rows][:, None] + sizes[columns][None] - both
+            near = (both * t.denominator >= either * t.numerator) & (node[rows][:, None] != node[columns][None])
+            x, y = np.nonzero(near)
+            names, at = np.unique(node, return_inverse=True)
+            x, y = at[rows[x]], at[columns[y]]
+            label = least_label(len(names), x, y)
+            chosen = np.flatnonzero(label != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[chosen]), pa.array(names[label[chosen]])], names=["a", "b"])
+
+    return dealt.mapInArrow(link, "a long, b long")
+
+
+def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """node, root for every node that is linked with another."""
     t = as_fraction(threshold)
-    spark, radius = docs.sparkSession, float(1 - t)
+    spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = materialize(region_members(docs, k, t, partitions).distinct(), "regions")
     # Regions with the same members are one region.
@@ -262,42 +326,27 @@ def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float)
     document = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = materialize(document.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = materialize(_sets(docs, k, wanted), "sets")
-    n_nodes = wanted.count()
-
-    links, compared, roots = None, None, None
-    while True:
-        pairs = members.where("node != pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-        if compared is not None:  # the pivot's own component is already known to be linked with it
-            pairs = members.where("node != pivot and root != pivot_root").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-            pairs = pairs.distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        measured = materialize(_distances(pairs.distinct(), sets), "distances")
-        compared = measured if compared is None else compared.unionByName(measured)
-        links = compared.where(F.col("both") * t.denominator >= F.col("either") * t.numerator).select("a", "b")
-        roots = components(links, "a", "b")
-        # The pivots have met everyone in their regions and leave; distances to them remain for the windows.
-        distance = (1 - F.col("both") / F.col("either")).alias("distance")
-        known = compared.select(F.col("a").alias("p"), F.col("b").alias("q"), distance).unionByName(compared.select(F.col("b").alias("p"), F.col("a").alias("q"), distance))
-        rest = members.where("node != pivot").select("region", "node", "pivot")
-        rest = rest.join(known, (F.col("pivot") == F.col("p")) & (F.col("node") == F.col("q")), "left").select("region", "node", "distance")
-        rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rest = materialize(rest, "rest")
-        mixed = rest.groupBy("region").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("pivot")).where("low != high")
-        mixed = materialize(mixed, "mixed")
-        pairs_left = mixed.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)), F.count("*")).first()
-        if not pairs_left[1]:
-            return roots, links
-        members = rest.join(mixed.select("region", "pivot"), "region")
-        if pairs_left[0] <= max(FEW_PAIRS * n_nodes, 10_000):
-            break
-        pivots = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-        members = materialize(members.join(pivots, "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot")), "region-members")
-    near = F.abs(F.coalesce(F.col("x.distance"), F.lit(0.0)) - F.coalesce(F.col("y.distance"), F.lit(0.0))) <= radius + 1e-9
-    window = F.col("x.distance").isNull() | F.col("y.distance").isNull() | near
+
+    # Every set and the pivots of its regions. The pivots have then met everyone, and leave.
+    pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    measured = materialize(_distances(pairs, sets), "distances")
+    linked = F.col("both") * t.denominator >= F.col("either") * t.numerator
+    links = measured.where(linked).select("a", "b")
+    roots = components(links, "a", "b")
+    rest = members.where("node != pivot").join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("distance")), ["pivot", "node"])
+    rest = rest.join(roots, "node", "left").select("region", "node", "distance", F.coalesce("root", "node").alias("root"))
+    rest = materialize(rest, "rest")
+    # Regions of several components remain: small ones for pairs of different components, large ones for rings.
+    mixed = rest.groupBy("region").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    rest = materialize(rest.join(mixed.select("region", "n"), "region"), "rest")
+    small = rest.where(F.col("n") <= SMALL)
+    window = F.abs(F.col("x.distance") - F.col("y.distance")) <= float(1 - t) + 1e-9
     different = (F.col("x.region") == F.col("y.region")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    pairs = members.alias("x").join(members.alias("y"), different & window).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    measured = materialize(_distances(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), sets), "distances")
-    links = compared.unionByName(measured).where(F.col("both") * t.denominator >= F.col("either") * t.numerator).select("a", "b")
-    return components(links, "a", "b"), links
+    pairs = small.alias("x").join(small.alias("y"), different & window).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    found = _distances(pairs, sets).where(linked).select("a", "b")
+    ringed = _ring_links(rest.where(F.col("n") > SMALL), sets, t, partitions)
+    more = materialize(found.unionByName(ringed), "links")
+    return components(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -310,7 +359,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> D
     row. Rows without an id are returned with null in both other columns. An empty table gives an empty result.
     """
     nodes = materialize(shingle_nodes(docs, k), "nodes")
-    roots, _ = node_components(docs, nodes, k, threshold)
+    roots = node_components(docs, nodes, k, threshold)
     classes = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
