@@ -34,13 +34,13 @@ from tessera.session import materialize
 #: Nodes of one region within one task's buffer from which on they skip the global meeting of parts.
 CROWD = 64
 #: Parts that a task gathers before it deals them out, and the part of them that are buffered for a deal.
-BUFFER = 3_000_000
+BUFFER = 1_500_000
 #: Up to so many wanted documents their ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members up to which a region's remaining pairs are listed; larger regions are joined by rings, in blocks.
-SMALL, BLOCK = 48, 512
+SMALL, BLOCK = 48, 2048
 #: Shingles of one matrix product.
-COLUMNS = 4096
+COLUMNS = 2048
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -274,19 +274,22 @@ def _ring_links(members: DataFrame, sets: DataFrame, t: Fraction, partitions: in
 
     Rings of width r around the pivot are the windows of the triangle inequality: linked sets lie in one ring or in
     neighbouring ones. A cell joins a ring (rows) with itself and the ring beyond (columns), so a set is replicated to its
-    own ring's cell and to the one within. Cells of regions of more than BLOCK sets are cut to BLOCK by BLOCK; all pairs of
+    own ring's cell and, if that has sets of its own, to the one within. Cells of regions of more than BLOCK sets are cut to BLOCK by BLOCK; all pairs of
     a cell are compared by matrix products, and only one link for each set, to the least of its component in the cell, leaves the task.
     """
     ring = F.floor(F.col("distance") / (float(1 - t) * (1 + 1e-9))).cast("int")  # a hair wider, for rounding
     base = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("ring", ring)
     base = base.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rings = base.groupBy("region").agg(F.collect_set("ring").alias("rings"))  # 1 / r + 1 of them at most
+    base = base.join(rings, "region").withColumn("lows", F.when(F.array_contains("rings", F.col("ring") - 1), F.array(F.lit(-1), F.lit(0))).otherwise(F.array(F.lit(0))))
+    # Rows: the own ring's sets, in their block. Columns: sets of both rings. A set that is both comes once, with side 2.
     cells = F.expr(
-        "flatten(transform(sequence(0, blocks - 1), i -> array("
-        "struct(ring as low, own as i, i as j, if(i = own, 2, 0) as side), "
-        "struct(ring as low, if(i = own, -1, i) as i, own as j, 1 as side), "
-        "struct(ring - 1 as low, i as i, own as j, 1 as side))))"
+        "flatten(transform(lows, l -> flatten(transform(sequence(0, blocks - 1), i -> filter(array("
+        "struct(ring + l as low, i as i, own as j, if(l = 0 and i = own, 2, 1) as side), "
+        "struct(ring as low, own as i, i as j, 0 as side)), "
+        "c -> c.side > 0 or (l = 0 and i != own))))))"
     )
-    cells = base.select("region", "node", F.explode(cells).alias("c")).select("region", "c.low", "c.i", "c.j", "c.side", "node").where("i >= 0 and low >= 0")
+    cells = base.select("region", "node", F.explode(cells).alias("c")).select("region", "c.low", "c.i", "c.j", "c.side", "node")
     filled = cells.join(sets, "node").select("region", "low", "i", "j", "side", "node", "shingles")
     dealt = filled.repartition(partitions, "region", "low", "i", "j").sortWithinPartitions("region", "low", "i", "j")
 
@@ -297,8 +300,8 @@ def _ring_links(members: DataFrame, sets: DataFrame, t: Fraction, partitions: in
             rows, columns = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: both
             if not len(rows) or not len(columns):
                 continue
-            sizes = np.array([len(v) for v in values])
-            both = _intersections([values[i] for i in rows], [values[i] for i in columns]).astype(np.int64)
+            sizes = np.array([len(v) for v in values], np.int32)
+            both = _intersections([values[i] for i in rows], [values[i] for i in columns]).astype(np.int32)
             either = sizes[rows][:, None] + sizes[columns][None] - both
             near = (both * t.denominator >= either * t.numerator) & (node[rows][:, None] != node[columns][None])
             x, y = np.nonzero(near)
