@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -67,3 +68,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, rather than whenever the driver's memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
