@@ -87,12 +87,12 @@ class Field:
                 at += 1
         self.features = np.array([self._features(text[a:b]) for a, b in self.core]).reshape(n, self.FEATURES)
         self.chain = [(i - 1, i) for i in range(1, n) if self.words[i][2] - self.words[i - 1][2] == 1]
-        self.skip, last = [], {}
+        self.skip, last, neighbours = [], {}, set(self.chain)
         for i, (a, b) in enumerate(self.core):
             w = text[a:b].lower()
             digits = "".join(c for c in w if c.isdigit())
             for key in {w, digits} if len(digits) >= 7 else {w} if len(w) >= 5 else ():
-                if key in last and last[key] != i - 1:
+                if key in last and (last[key], i) not in neighbours:
                     self.skip.append((last[key], i))
                 last[key] = i
         self.skip = list(dict.fromkeys(self.skip))
