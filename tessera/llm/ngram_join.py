@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from tessera.llm.batches import by_key, least_label
 from tessera.llm.graph import components
 from tessera.llm.words import as_fraction, mix, set_sums, shingle_sets, text_chunks
-from tessera.session import materialize
+from tessera.session import materialize, release
 
 #: Nodes of one region within one task's buffer from which on they skip the global meeting of parts.
 CROWD = 64
@@ -38,7 +38,7 @@ BUFFER = 1_500_000
 #: Up to so many wanted documents their ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members up to which a region's remaining pairs are listed; larger regions are joined by rings, in blocks.
-SMALL, BLOCK = 48, 2048
+SMALL, BLOCK = 256, 2048
 #: Shingles of one matrix product.
 COLUMNS = 2048
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -215,7 +215,7 @@ def _dealt(held: list[tuple[np.ndarray, np.ndarray]], partitions: int) -> Iterat
 
 
 def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """node, shingles (ascending 64-bit hashes as bytes) for the wanted nodes; wanted: node, doc_id (one document of each)."""
+    """node, shingles (ascending 64-bit hashes as bytes), heads (their first 16 bits) for the wanted nodes; wanted: node, doc_id (one document of each)."""
     ids = wanted.select("doc_id").distinct()
     near = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
 
@@ -224,32 +224,49 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 values, bounds = shingle_sets(data, offsets, k)
                 node = _node(values, bounds).view(np.int64)
-                blobs = [values[low:high].tobytes() for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+                heads = (values >> np.uint64(48)).astype(np.uint16)
+                cuts = list(zip(bounds[:-1], bounds[1:], strict=True))
+                blobs = [pa.array([x[low:high].tobytes() for low, high in cuts], pa.binary()) for x in (values, heads)]
+                yield pa.RecordBatch.from_arrays([pa.array(node), *blobs], names=["node", "shingles", "heads"])
 
-    found = docs.select("doc_id", "text").join(near, "doc_id", "left_semi").select("text").mapInArrow(read, "node long, shingles binary")
+    found = docs.select("doc_id", "text").join(near, "doc_id", "left_semi").select("text").mapInArrow(read, "node long, shingles binary, heads binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, both, either for the pairs (a, b): exact sizes of intersection and union."""
+def _paired(pairs: DataFrame, sets: DataFrame, of: str, what) -> DataFrame:
+    """a, b, both, either for the pairs (a, b); what(x, y) gives the two sizes from the column `of` of both nodes."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both, either = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                merged = np.sort(np.concatenate((x, y)))
-                shared = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                both.append(shared)
-                either.append(len(merged) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
-
-    first = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    joined = first.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
+            sizes = np.array([what(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes[:, 0]), pa.array(sizes[:, 1])], names=["a", "b", "both", "either"])
+
+    first = pairs.join(sets.select(F.col("node").alias("b"), F.col(of).alias("of_b")), "b")
+    joined = first.join(sets.select(F.col("node").alias("a"), F.col(of).alias("of_a")), "a").select("a", "b", "of_a", "of_b")
     return joined.mapInArrow(measure, "a long, b long, both long, either long")
 
 
+def _exact(x: pa.Buffer, y: pa.Buffer) -> tuple[int, int]:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    merged = np.sort(np.concatenate((x, y)))
+    shared = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return shared, len(merged) - shared
+
+
+def _at_most(x: pa.Buffer, y: pa.Buffer) -> tuple[int, int]:
+    """Bounds from the first 16 bits of the shingles: at most so many shared, at least so many in the union."""
+    x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+    (u, m), (v, n) = (np.unique(z, return_counts=True) for z in (x, y))
+    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+    shared = int(np.minimum(m, n[at])[v[at] == u].sum())
+    return shared, len(x) + len(y) - shared
+
+
+def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, both, either: exact sizes of intersection and union."""
+    return _paired(pairs, sets, "shingles", _exact)
+
+
 def _intersections(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, as matrix products over a few thousand shingles at a time; shingles of one set count nowhere."""
     every, uses = np.unique(np.concatenate([*rows, *columns]), return_counts=True)
@@ -290,7 +307,7 @@ def _ring_links(members: DataFrame, sets: DataFrame, t: Fraction, partitions: in
         "c -> c.side > 0 or (l = 0 and i != own))))))"
     )
     cells = base.select("region", "node", F.explode(cells).alias("c")).select("region", "c.low", "c.i", "c.j", "c.side", "node")
-    filled = cells.join(sets, "node").select("region", "low", "i", "j", "side", "node", "shingles")
+    filled = cells.join(sets.select("node", "shingles"), "node").select("region", "low", "i", "j", "side", "node", "shingles")
     dealt = filled.repartition(partitions, "region", "low", "i", "j").sortWithinPartitions("region", "low", "i", "j")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,6 +346,7 @@ def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float)
     document = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = materialize(document.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = materialize(_sets(docs, k, wanted), "sets")
+    release(spark)
 
     # Every set and the pivots of its regions. The pivots have then met everyone, and leave.
     pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
@@ -336,6 +354,7 @@ def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float)
     linked = F.col("both") * t.denominator >= F.col("either") * t.numerator
     links = measured.where(linked).select("a", "b")
     roots = components(links, "a", "b")
+    release(spark)
     rest = members.where("node != pivot").join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("distance")), ["pivot", "node"])
     rest = rest.join(roots, "node", "left").select("region", "node", "distance", F.coalesce("root", "node").alias("root"))
     rest = materialize(rest, "rest")
@@ -346,7 +365,10 @@ def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float)
     window = F.abs(F.col("x.distance") - F.col("y.distance")) <= float(1 - t) + 1e-9
     different = (F.col("x.region") == F.col("y.region")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     pairs = small.alias("x").join(small.alias("y"), different & window).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    found = _distances(pairs, sets).where(linked).select("a", "b")
+    # A bound from a quarter of the bytes sorts out most pairs; the others are compared exactly.
+    pairs = materialize(_paired(pairs, sets, "heads", _at_most).where(linked).select("a", "b"), "window-pairs")
+    found = materialize(_distances(pairs, sets).where(linked).select("a", "b"), "window-links")
+    release(spark)
     ringed = _ring_links(rest.where(F.col("n") > SMALL), sets, t, partitions)
     more = materialize(found.unionByName(ringed), "links")
     return components(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
