@@ -6,13 +6,13 @@ difference that a link allows, so linked sets agree on at least one part that is
 A set is thus replicated to every region where a link may cross its boundary. (Pivots drawn from all documents can't do
 that: nearly all distances are 1, so every window would hold everything.) Within a region the join is recursive:
 
-* one set is the region's pivot, and its distances to the others are computed exactly; those within r are linked;
-* regions whose sets are one component by now are done, and the pivots leave the others;
-* by the triangle inequality, x and y can link only if |d(x, pivot) - d(y, pivot)| <= r: small regions list the pairs of
-  different components within that window, large ones are cut into rings around the pivot, which are joined exactly.
+* in a large region one set is the pivot, and its distances to the others are computed exactly; those within r are linked;
+* large regions whose sets are one component by now are done, and the pivots leave the others;
+* by the triangle inequality, x and y can link only if |d(x, pivot) - d(y, pivot)| <= r: so what is left is cut into rings
+  of width r around the pivot, and each ring is joined exactly with itself and the next;
+* small regions, where recursion ends, list their pairs; those that share too few parts to be linked are left out.
 
-Equal sets are one node throughout, and a link between two nodes of one component is never sought, so neither copies nor
-near copies make all their pairs.
+Equal sets are one node throughout, and large regions list no pairs, so neither copies nor near copies make all their pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,8 +37,8 @@ CROWD = 64
 BUFFER = 1_500_000
 #: Up to so many wanted documents their ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members up to which a region's remaining pairs are listed; larger regions are joined by rings, in blocks.
-SMALL, BLOCK = 256, 2048
+#: Members up to which a region lists its pairs; larger ones are joined around pivots, by rings, in blocks.
+SMALL, BLOCK = 128, 2048
 #: Shingles of one matrix product.
 COLUMNS = 2048
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -215,7 +215,7 @@ def _dealt(held: list[tuple[np.ndarray, np.ndarray]], partitions: int) -> Iterat
 
 
 def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """node, shingles (ascending 64-bit hashes as bytes), heads (their first 16 bits) for the wanted nodes; wanted: node, doc_id (one document of each)."""
+    """node, shingles (ascending 64-bit hashes as bytes) for the wanted nodes; wanted: node, doc_id (one document of each)."""
     ids = wanted.select("doc_id").distinct()
     near = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
 
@@ -224,28 +224,13 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 values, bounds = shingle_sets(data, offsets, k)
                 node = _node(values, bounds).view(np.int64)
-                heads = (values >> np.uint64(48)).astype(np.uint16)
-                cuts = list(zip(bounds[:-1], bounds[1:], strict=True))
-                blobs = [pa.array([x[low:high].tobytes() for low, high in cuts], pa.binary()) for x in (values, heads)]
-                yield pa.RecordBatch.from_arrays([pa.array(node), *blobs], names=["node", "shingles", "heads"])
+                blobs = [values[low:high].tobytes() for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
-    found = docs.select("doc_id", "text").join(near, "doc_id", "left_semi").select("text").mapInArrow(read, "node long, shingles binary, heads binary")
+    found = docs.select("doc_id", "text").join(near, "doc_id", "left_semi").select("text").mapInArrow(read, "node long, shingles binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _paired(pairs: DataFrame, sets: DataFrame, of: str, what) -> DataFrame:
-    """a, b, both, either for the pairs (a, b); what(x, y) gives the two sizes from the column `of` of both nodes."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.array([what(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes[:, 0]), pa.array(sizes[:, 1])], names=["a", "b", "both", "either"])
-
-    first = pairs.join(sets.select(F.col("node").alias("b"), F.col(of).alias("of_b")), "b")
-    joined = first.join(sets.select(F.col("node").alias("a"), F.col(of).alias("of_a")), "a").select("a", "b", "of_a", "of_b")
-    return joined.mapInArrow(measure, "a long, b long, both long, either long")
-
-
 def _exact(x: pa.Buffer, y: pa.Buffer) -> tuple[int, int]:
     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     merged = np.sort(np.concatenate((x, y)))
@@ -253,18 +238,17 @@ def _exact(x: pa.Buffer, y: pa.Buffer) -> tuple[int, int]:
     return shared, len(merged) - shared
 
 
-def _at_most(x: pa.Buffer, y: pa.Buffer) -> tuple[int, int]:
-    """Bounds from the first 16 bits of the shingles: at most so many shared, at least so many in the union."""
-    x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
-    (u, m), (v, n) = (np.unique(z, return_counts=True) for z in (x, y))
-    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-    shared = int(np.minimum(m, n[at])[v[at] == u].sum())
-    return shared, len(x) + len(y) - shared
+def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, both, either for the pairs (a, b): exact sizes of intersection and union."""
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([_exact(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes[:, 0]), pa.array(sizes[:, 1])], names=["a", "b", "both", "either"])
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, both, either: exact sizes of intersection and union."""
-    return _paired(pairs, sets, "shingles", _exact)
+    first = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    joined = first.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
+    return joined.mapInArrow(measure, "a long, b long, both long, either long")
 
 
 def _intersections(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
@@ -307,7 +291,7 @@ def _ring_links(members: DataFrame, sets: DataFrame, t: Fraction, partitions: in
         "c -> c.side > 0 or (l = 0 and i != own))))))"
     )
     cells = base.select("region", "node", F.explode(cells).alias("c")).select("region", "c.low", "c.i", "c.j", "c.side", "node")
-    filled = cells.join(sets.select("node", "shingles"), "node").select("region", "low", "i", "j", "side", "node", "shingles")
+    filled = cells.join(sets, "node").select("region", "low", "i", "j", "side", "node", "shingles")
     dealt = filled.repartition(partitions, "region", "low", "i", "j").sortWithinPartitions("region", "low", "i", "j")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,41 +321,58 @@ def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float)
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = materialize(region_members(docs, k, t, partitions).distinct(), "regions")
-    # Regions with the same members are one region.
+    # Regions with the same members are one region, of the weight of them all.
     summary = members.groupBy("region").agg(
         F.count("*").alias("n"), F.min("node").alias("pivot"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")
     )
-    one = summary.groupBy("n", "pivot", "x", "y").agg(F.min("region").alias("region")).where("n > 1")
-    members = materialize(members.join(one.select("region", "pivot"), "region"), "region-members")
-    document = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    one = summary.groupBy("n", "pivot", "x", "y").agg(F.min("region").alias("region"), F.count("*").alias("weight")).where("n > 1")
+    members = materialize(members.join(one.select("region", "n", "pivot", "weight"), "region"), "region-members")
+    document = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
     wanted = materialize(document.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = materialize(_sets(docs, k, wanted), "sets")
     release(spark)
-
-    # Every set and the pivots of its regions. The pivots have then met everyone, and leave.
-    pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    measured = materialize(_distances(pairs, sets), "distances")
     linked = F.col("both") * t.denominator >= F.col("either") * t.numerator
-    links = measured.where(linked).select("a", "b")
-    roots = components(links, "a", "b")
+
+    # Small regions list their pairs. What a pair of sets shares tells most of them apart before a set is moved.
+    sized = members.where(F.col("n") <= SMALL).join(wanted.select("node", "size"), "node")
+    pairs = sized.alias("x").join(sized.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.node") < F.col("y.node")))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("p"), F.col("y.size").alias("q"), F.col("x.weight").alias("weight"))
+    pairs = pairs.where(F.least("p", "q") * t.denominator >= F.greatest("p", "q") * t.numerator)
+    pairs = pairs.groupBy("a", "b", "p", "q").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= _least_shared(t, nodes))
+    links = _distances(materialize(pairs.select("a", "b"), "pairs"), sets).where(linked).select("a", "b")
+
+    # Large regions: every set and the pivots. The pivots have then met everyone, and leave.
+    large = members.where((F.col("n") > SMALL) & (F.col("node") != F.col("pivot")))
+    star = large.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    measured = materialize(_distances(star, sets), "distances")
+    links = materialize(links.unionByName(measured.where(linked).select("a", "b")), "links")
     release(spark)
-    rest = members.where("node != pivot").join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("distance")), ["pivot", "node"])
-    rest = rest.join(roots, "node", "left").select("region", "node", "distance", F.coalesce("root", "node").alias("root"))
-    rest = materialize(rest, "rest")
-    # Regions of several components remain: small ones for pairs of different components, large ones for rings.
+    roots = components(links, "a", "b")
+    distance = measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("distance"))
+    rest = large.select("region", "node", "pivot").join(distance, ["pivot", "node"]).join(roots, "node", "left")
+    rest = materialize(rest.select("region", "node", "distance", F.coalesce("root", "node").alias("root")), "rest")
     mixed = rest.groupBy("region").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    rest = materialize(rest.join(mixed.select("region", "n"), "region"), "rest")
-    small = rest.where(F.col("n") <= SMALL)
-    window = F.abs(F.col("x.distance") - F.col("y.distance")) <= float(1 - t) + 1e-9
-    different = (F.col("x.region") == F.col("y.region")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    pairs = small.alias("x").join(small.alias("y"), different & window).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    # A bound from a quarter of the bytes sorts out most pairs; the others are compared exactly.
-    pairs = materialize(_paired(pairs, sets, "heads", _at_most).where(linked).select("a", "b"), "window-pairs")
-    found = materialize(_distances(pairs, sets).where(linked).select("a", "b"), "window-links")
-    release(spark)
-    ringed = _ring_links(rest.where(F.col("n") > SMALL), sets, t, partitions)
-    more = materialize(found.unionByName(ringed), "links")
-    return components(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
+    mixed = materialize(rest.join(mixed.select("region", "n"), "region"), "mixed")
+    if mixed.isEmpty():
+        return roots
+    ringed = _ring_links(mixed, sets, t, partitions)
+    stars = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(stars.unionByName(materialize(ringed, "ring-links")), "a", "b")
+
+
+def _least_shared(t: Fraction, nodes: DataFrame) -> Column:
+    """How many parts linked sets of p and q shingles share at least, as a column.
+
+    Of the m = D + spare parts of the smaller set's scheme at most d = (1 - t) / (1 + t) * (p + q) differ, and in one of both sets fewer
+    than spare are empty, or both are dealt to their empty parts too: so D - d + 1 parts bring the two to one region.
+    """
+    largest = nodes.agg(F.coalesce(F.max("n_shingles"), F.lit(1))).first()[0]
+    parts = Parts(t, int(largest))
+    scheme = F.lit(0)
+    for m, spare, high in reversed(list(zip(parts.parts, parts.spare, parts.bounds[1:], strict=False))):  # one for each size class: about log(largest)
+        scheme = F.when(F.least("p", "q") < high, m - spare if m else 0).otherwise(scheme)
+    ratio = (1 - t) / (1 + t)
+    return scheme - F.floor((F.col("p") + F.col("q")) * ratio.numerator / F.lit(ratio.denominator)) + 1
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
