@@ -321,6 +321,7 @@ def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float)
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = materialize(region_members(docs, k, t, partitions).distinct(), "regions")
+    release(spark)
     # Regions with the same members are one region, of the weight of them all.
     summary = members.groupBy("region").agg(
         F.count("*").alias("n"), F.min("node").alias("pivot"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")
@@ -339,7 +340,9 @@ def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float)
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("p"), F.col("y.size").alias("q"), F.col("x.weight").alias("weight"))
     pairs = pairs.where(F.least("p", "q") * t.denominator >= F.greatest("p", "q") * t.numerator)
     pairs = pairs.groupBy("a", "b", "p", "q").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= _least_shared(t, nodes))
-    links = _distances(materialize(pairs.select("a", "b"), "pairs"), sets).where(linked).select("a", "b")
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    release(spark)
+    links = _distances(pairs, sets).where(linked).select("a", "b")
 
     # Large regions: every set and the pivots. The pivots have then met everyone, and leave.
     large = members.where((F.col("n") > SMALL) & (F.col("node") != F.col("pivot")))
