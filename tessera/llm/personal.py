@@ -201,8 +201,13 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def fit_weights(docs: DataFrame, sample: int = SAMPLE) -> Weights:
     """Fit the field on the patterns of at most sample documents: those with a digit or an at sign and the least hashes."""
-    hinted = docs.select("text").where(F.col("text").rlike("[0-9@]")).withColumn("_h", F.xxhash64("text"))
-    texts = [r["text"] for r in hinted.where(F.length("text") <= 20_000).orderBy("_h").limit(sample).select("text").collect()]
+    hinted = docs.select("text", F.xxhash64("text").alias("_h")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
+    # First the hashes alone, so that no task sends more than sample numbers to the driver; then the texts below the last one.
+    least = [r["_h"] for r in hinted.select("_h").distinct().orderBy("_h").limit(sample).collect()]
+    if not least:
+        return fit([])
+    chosen = hinted.where(F.col("_h") <= least[-1]).groupBy("_h").agg(F.min("text").alias("text"))
+    texts = [r["text"] for r in chosen.orderBy("_h").collect()]
     return fit([Field(t, base_spans(t)) for t in texts])
 
 
