@@ -158,10 +158,10 @@ def region_members(docs: DataFrame, k: int, threshold: Fraction, partitions: int
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
         for batch in batches:
-            met = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for at, (region, node) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                region, node = (np.frombuffer(x.as_buffer(), np.uint64) for x in (region, node))
-                if met[at]:
+            for target, met, region, node, runs in zip(*batch.columns, strict=True):
+                region = _unpacked(region.as_buffer(), target.as_py(), partitions)
+                node = np.repeat(np.frombuffer(node.as_buffer(), np.uint64), np.frombuffer(runs.as_buffer(), np.uint32))
+                if met.as_py():
                     held[0].append(region)
                     held[1].append(node)
                 else:
@@ -174,7 +174,7 @@ def region_members(docs: DataFrame, k: int, threshold: Fraction, partitions: int
             shared[:-1] |= same
             yield _members(region[shared], node[shared])
 
-    dealt = docs.select("text").mapInArrow(deal, "target int, meets int, regions binary, nodes binary")
+    dealt = docs.select("text").mapInArrow(deal, "target long, meets int, regions binary, nodes binary, runs binary")
     return dealt.repartition(partitions, "target").mapInArrow(meet, "region long, node long")
 
 
@@ -201,17 +201,34 @@ def _dealt(held: list[tuple[np.ndarray, np.ndarray]], partitions: int) -> Iterat
     leader = np.zeros(len(region), bool)
     leader[starts] = True
     meets = ~crowded | leader
+    # Members of crowded regions meet nobody, so any target will do; those of one region and residue keep a residue of their own.
+    residue = region % np.uint64(partitions)
     for met, chosen in ((1, meets), (0, crowded)):
         if not chosen.any():
             continue
-        r, n = region[chosen], node[chosen]
-        to = (r if met else mix(n + r)) % np.uint64(partitions)
-        order = np.argsort(to, kind="stable")
-        r, n, to = r[order], n[order], to[order]
-        cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-        for low, high in zip(cut, [*cut[1:], len(to)], strict=True):
-            columns = [pa.array([int(to[low])], pa.int32()), pa.array([met], pa.int32()), pa.array([r[low:high].tobytes()]), pa.array([n[low:high].tobytes()])]
-            yield pa.RecordBatch.from_arrays(columns, names=["target", "meets", "regions", "nodes"])
+        r, n, to = region[chosen], node[chosen], residue[chosen].astype(np.int64)
+        spread = np.zeros(len(r), np.int64) if met else (mix(n + r) % np.uint64(partitions)).astype(np.int64) + 1
+        order = np.lexsort((n, spread, to))
+        r, n, to, spread = r[order], n[order], to[order], spread[order]
+        key = spread * partitions + to
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for low, high in zip(cut, [*cut[1:], len(key)], strict=True):
+            run = np.flatnonzero(np.concatenate(([True], n[low + 1 : high] != n[low : high - 1])))
+            runs = np.diff(np.concatenate((run, [high - low]))).astype(np.uint32)
+            blobs = [pa.array([x.tobytes()]) for x in (_packed(r[low:high]), n[low:high][run], runs)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(key[low])], pa.int64()), pa.array([met], pa.int32()), *blobs], names=["target", "meets", "regions", "nodes", "runs"])
+
+
+def _packed(regions: np.ndarray) -> np.ndarray:
+    """The upper five bytes of each name."""
+    return regions.view(np.uint8).reshape(-1, 8)[:, 3:]
+
+
+def _unpacked(packed: pa.Buffer, target: int, partitions: int) -> np.ndarray:
+    """Names of regions from their upper five bytes and the residue that all of a block have; two regions that fall together cost false candidates only."""
+    names = np.zeros((packed.size // 5, 8), np.uint8)
+    names[:, 3:] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return names.reshape(-1).view(np.uint64) + np.uint64(target % partitions)
 
 
 def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -231,19 +248,33 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _exact(x: pa.Buffer, y: pa.Buffer) -> tuple[int, int]:
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    merged = np.sort(np.concatenate((x, y)))
+def _heads(sets: DataFrame) -> DataFrame:
+    """node, shingles: the sets with the upper 16 bits of each shingle only."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(48)).astype(np.uint16).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], names=["node", "shingles"])
+
+    return sets.select("node", "shingles").mapInArrow(cut, "node long, shingles binary")
+
+
+def _overlap(x: pa.Buffer, y: pa.Buffer, kind: type) -> tuple[int, int]:
+    x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+    merged = np.sort(np.concatenate((x, y)), kind="stable")
     shared = int(np.count_nonzero(merged[1:] == merged[:-1]))
     return shared, len(merged) - shared
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, both, either for the pairs (a, b): exact sizes of intersection and union."""
+def _distances(pairs: DataFrame, sets: DataFrame, kind: type = np.uint64) -> DataFrame:
+    """a, b, both, either for the pairs (a, b): exact sizes of intersection and union.
+
+    With heads (kind np.uint16) equal neighbours in the merged order count what the sets share or more: bounds from above and below.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([_exact(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], np.int64).reshape(-1, 2)
+            sizes = np.array([_overlap(x.as_buffer(), y.as_buffer(), kind) for x, y in zip(batch.column(2), batch.column(3), strict=True)], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes[:, 0]), pa.array(sizes[:, 1])], names=["a", "b", "both", "either"])
 
     first = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
@@ -342,12 +373,16 @@ def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float)
     pairs = pairs.groupBy("a", "b", "p", "q").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= _least_shared(t, nodes))
     pairs = materialize(pairs.select("a", "b"), "pairs")
     release(spark)
+    # Heads are a quarter of the sets; only pairs that they don't tell apart move whole ones.
+    pairs = materialize(_distances(pairs, _heads(sets), np.uint16).where(linked).select("a", "b"), "near-pairs")
+    release(spark)
     links = _distances(pairs, sets).where(linked).select("a", "b")
 
     # Large regions: every set and the pivots. The pivots have then met everyone, and leave.
     large = members.where((F.col("n") > SMALL) & (F.col("node") != F.col("pivot")))
     star = large.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     measured = materialize(_distances(star, sets), "distances")
+    release(spark)
     links = materialize(links.unionByName(measured.where(linked).select("a", "b")), "links")
     release(spark)
     roots = components(links, "a", "b")
