@@ -34,8 +34,8 @@ def guarded(item: Item, code: Column, value: Column) -> Column:
 AGGREGATES = {"max": F.max, "min": F.min, "avg": F.avg, "sum": F.sum}
 
 
-def guarded_pivot(events: DataFrame, by: list[str], code: str, value: str, items: list[Item], text: str | None = None) -> DataFrame:
-    """One row per group that has at least one of the items; the filter on codes reaches the scan."""
+def guarded_pivot(events: DataFrame, by: list[str], code: str, value: str, items: list[Item], text: str | None = None, largest: tuple[str, ...] = ()) -> DataFrame:
+    """One row per group that has at least one of the items; the filter on codes reaches the scan. largest: columns of which the maximum comes first."""
     wanted = sorted({x for item in items for x in item.items})
     columns = [AGGREGATES[i.agg](guarded(i, F.col(code), F.col(text if i.text and text else value))).alias(i.name) for i in items]
-    return events.where(F.col(code).isin(*wanted)).groupBy(*by).agg(*columns)
+    return events.where(F.col(code).isin(*wanted)).groupBy(*by).agg(*[F.max(c).alias(c) for c in largest], *columns)
