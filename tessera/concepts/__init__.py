@@ -1,0 +1,41 @@
+"""Derived tables by name: each is a function of base tables and of other derived tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame
+
+from tessera.concepts import infusions, measurements, prescriptions, stays
+
+LAB, CHART, INPUT, STAYS = "labevents", "chartevents", "inputevents", "icustays"
+
+#: name -> (function, the tables that it takes)
+CONCEPTS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
+    **{f.__name__: (f, (LAB,)) for f in (
+        measurements.chemistry, measurements.complete_blood_count, measurements.coagulation, measurements.enzyme, measurements.cardiac_marker, measurements.inflammation,
+        measurements.blood_differential,
+    )},
+    **{f.__name__: (f, (CHART,)) for f in (measurements.rhythm, measurements.ventilator_setting, measurements.vitalsign, measurements.icp, measurements.height)},
+    **{agent: (partial(infusions.infusion, agent=agent), (INPUT,)) for agent in infusions.AGENTS},
+    **{f.__name__: (f, (INPUT,)) for f in (infusions.neuroblock, infusions.vasoactive_agent)},
+    **{f.__name__: (f, ("prescriptions",)) for f in (prescriptions.acei, prescriptions.nsaid)},
+    "norepinephrine_equivalent_dose": (infusions.norepinephrine_equivalent_dose, ("vasoactive_agent",)),
+    "urine_output": (measurements.urine_output, ("outputevents",)),
+    "icustay_times": (stays.icustay_times, (CHART, STAYS)),
+    "icustay_hourly": (stays.icustay_hourly, ("icustay_times",)),
+    "age": (stays.age, ("admissions", "patients")),
+    "kdigo_creatinine": (stays.kdigo_creatinine, (LAB, STAYS)),
+    "first_day_vitalsign": (stays.first_day_vitalsign, (STAYS, "vitalsign")),
+    "first_day_urine_output": (stays.first_day_urine_output, (STAYS, "urine_output")),
+    "first_day_height": (stays.first_day_height, (STAYS, "height")),
+}
+
+
+def build(name: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    """The plan of a derived table, its own inputs included; read gives the base tables."""
+    if name not in CONCEPTS:
+        return read(name)
+    function, inputs = CONCEPTS[name]
+    return function(*[build(x, read) for x in inputs])

@@ -122,3 +122,24 @@ def urine_output(outputevents: DataFrame) -> DataFrame:
     """Sums by stay and time; what is put in to irrigate counts against the output."""
     signed = F.when((F.col("itemid") == IRRIGANT_IN) & (F.col("value") > 0), -F.col("value")).otherwise(F.col("value"))
     return outputevents.where(F.col("itemid").isin(*URINE)).groupBy("stay_id", "charttime").agg(F.sum(signed).alias("urineoutput"))
+
+
+# Items of the differential count; absolute counts given per microlitre are scaled to thousands.
+WHITE_CELLS = (51300, 51301, 51755)
+PER_MICROLITRE = (51199, 52769, 51253, 51218)
+ABSOLUTE = {"basophils": (52069,), "eosinophils": (52073, 51199), "lymphocytes": (51133, 52769), "monocytes": (52074, 51253), "neutrophils": (52075,)}
+PERCENT = {"basophils": (51146,), "eosinophils": (51200,), "lymphocytes": (51244, 51245), "monocytes": (51254,), "neutrophils": (51256,)}
+OTHER_CELLS = {"atypical_lymphocytes": (51143,), "bands": (51144,), "immature_granulocytes": (52135,), "metamyelocytes": (51251,), "nrbc": (51257,)}
+GRANULOCYTES = 51218
+
+
+def blood_differential(labevents: DataFrame) -> DataFrame:
+    """Shares and absolute counts of white cells; a missing count follows from its share where the specimen has white cells and shares above zero."""
+    v = F.col("valuenum")
+    events = labevents.where(v >= 0).withColumn("valuenum", F.when(F.col("itemid").isin(*PER_MICROLITRE), v / 1000.0).otherwise(v))
+    items = [Item("wbc", WHITE_CELLS)] + [Item(f"{n}_abs", c) for n, c in ABSOLUTE.items()] + [Item(n, c) for n, c in (PERCENT | OTHER_CELLS).items()]
+    items += [Item("granulocytes_abs", (GRANULOCYTES,)), Item("shares", tuple(x for c in PERCENT.values() for x in c), agg="sum")]
+    wide = _specimens(events, items)
+    imputable = (F.col("wbc") > 0) & (F.col("shares") > 0)
+    counts = [F.round(decimal_text(F.coalesce(F.col(f"{n}_abs"), F.when(imputable, F.col(n) * F.col("wbc") / 100))), 4).alias(f"{n}_abs") for n in ABSOLUTE]
+    return wide.select("subject_id", "hadm_id", "charttime", "specimen_id", "wbc", *counts, *PERCENT, *OTHER_CELLS)

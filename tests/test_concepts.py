@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tessera.concepts import infusions, measurements, stays
+from tessera.concepts import build, infusions, measurements, stays
 
 T = datetime(2150, 1, 1, 10, 30)
 HOUR = timedelta(hours=1)
@@ -65,3 +65,20 @@ def test_stays(spark):
 def test_age(spark):
     admitted = spark.createDataFrame([(1, 7, datetime(2150, 1, 1))], "subject_id long, hadm_id long, admittime timestamp_ntz")
     assert rows(stays.age(admitted, spark.createDataFrame([(1, 60, 2150)], "subject_id long, anchor_age int, anchor_year int")), "hadm_id")[0]["age"] == 60.0
+
+
+def test_differential_imputes_counts(spark):
+    lab = spark.createDataFrame([(1, 7, 1, 51301, T, 8.0), (1, 7, 1, 51256, T, 50.0), (1, 7, 1, 51199, T, 200.0), (1, 7, 2, 51256, T, 50.0)], LAB)
+    found = rows(measurements.blood_differential(lab), "specimen_id")
+    assert [(float(r["neutrophils_abs"] or -1), float(r["eosinophils_abs"] or -1)) for r in found] == [(4.0, 0.2), (-1.0, -1.0)]
+
+
+def test_build_by_name(spark):
+    drugs = spark.createDataFrame([(1, 7, "Lisinopril 5mg", T, T), (1, 7, "Aspirin EC", T, T), (1, 7, None, T, T)], "subject_id long, hadm_id long, drug string, starttime timestamp_ntz, stoptime timestamp_ntz")
+    assert [r["acei"] for r in rows(build("acei", lambda _: drugs), "acei")] == ["Lisinopril 5mg"]
+    assert [r["nsaid"] for r in rows(build("nsaid", lambda _: drugs), "nsaid")] == ["Aspirin EC"]
+    base = {
+        "icustays": spark.createDataFrame([(1, 7, 5, T, T)], STAY),
+        "outputevents": spark.createDataFrame([(5, T - HOUR, 226559, 1.0), (5, T + HOUR, 226559, 2.0)], "stay_id long, charttime timestamp_ntz, itemid int, value double"),
+    }
+    assert rows(build("first_day_urine_output", base.get), "stay_id") == [{"subject_id": 1, "stay_id": 5, "urineoutput": 2.0}]
