@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 from pyspark.sql.window import Window
 
 CLOSED = ("both", "left", "right")
@@ -15,7 +16,7 @@ CLOSED = ("both", "left", "right")
 
 def micros(time: Column) -> Column:
     """A timestamp as whole microseconds, which range frames can be counted in."""
-    return F.unix_micros(time.cast("timestamp"))
+    return F.unix_micros(time.cast(TimestampType()))  # the name "timestamp" would follow spark.sql.timestampType
 
 
 def within(time: Column, low: Column, high: Column, closed: str) -> Column:

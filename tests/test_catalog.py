@@ -41,5 +41,5 @@ def test_match_rate_counts_extra_and_repeated_keys(spark):
 
 
 def test_rounding_and_sequences(spark):
-    row = spark.range(1).select(compat.round_scaled(F.lit(4.0005), 3).alias("r"), F.size(compat.integer_sequence(F.lit(-24).cast("long"), F.lit(-30).cast("long"))).alias("n")).first()
-    assert (row["r"], row["n"]) == (4.001, 0)
+    row = spark.range(1).select(compat.round_scaled(F.lit(1.0005), 3).alias("r"), compat.round_scaled(F.lit(4.0005), 3).alias("q"), F.size(compat.integer_sequence(F.lit(-24).cast("long"), F.lit(-30).cast("long"))).alias("n")).first()
+    assert (row["r"], row["q"], row["n"]) == (1.001, 4.0, 0)  # 4.0005 * 1000 is a little less than 4000.5 as a double
