@@ -14,7 +14,10 @@ from tessera.llm.batches import by_key, least_label
 from tessera.llm.graph import components
 from tessera.session import materialize
 
-TABLES = 8
+#: Tables at least and at most.
+TABLES, MOST = 8, 64
+#: The part of pairs at the threshold that tables are added for, and the pairs that it is estimated from.
+RECALL, PAIRS = 0.99, 2048
 #: Rows that the rotations are learned from; all rows are coded and indexed.
 SAMPLE = 4096
 #: Rows of a bucket that one task compares with all rows of the bucket at once.
@@ -58,6 +61,54 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 5, rounds: int =
     return mean, np.hstack(parts)[:, :bits]
 
 
+def estimated_recall(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, width: int, threshold: float, seed: int = 7) -> float:
+    """The part of pairs of cosine threshold that share a substring in some table, over partners made for rows of the sample.
+
+    A partner lies off its row in a random direction, or in that of another row; the lower of the two parts counts.
+    """
+    rng = np.random.default_rng(seed)
+    rows = sample[rng.integers(len(sample), size=PAIRS)]
+    first = (rows - mean) @ projection >= 0
+    parts = [1.0]
+    for off in (rng.standard_normal(rows.shape), sample[rng.integers(len(sample), size=PAIRS)]):
+        off = off - (off * rows).sum(axis=1)[:, None] * rows
+        length = np.sqrt((off * off).sum(axis=1))
+        good = length > 1e-6
+        if good.any():
+            partner = threshold * rows[good] + np.sqrt(max(1 - threshold * threshold, 0)) * off[good] / length[good, None]
+            same = ((partner - mean) @ projection >= 0) == first[good]
+            parts.append(float(same.reshape(len(same), -1, width).all(axis=2).any(axis=1).mean()))
+    return min(parts)
+
+
+def _planned(threshold: float, tables: int, width: int) -> int:
+    """Tables of substrings of width bits that find RECALL of the pairs at the threshold, if bits are random hyperplanes."""
+    same = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** width
+    return max(tables, int(np.ceil(np.log(1 - RECALL) / np.log1p(-same)))) if 0 < same < 1 else tables if same else MOST + 1
+
+
+def plan_tables(sample: np.ndarray, n: int, threshold: float, tables: int = TABLES) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(width, tables, mean, projection) for n entries: log2(n) - 4 bits a substring, and as many tables as RECALL takes.
+
+    Their number is planned by the angular model, then raised while the estimate on the sample falls short. Where it would pass MOST,
+    substrings get shorter instead: buckets then grow, but recall doesn't fall, whatever n, the threshold and the vectors. Where tables
+    outnumber buckets (vectors about one direction), there is one bucket of all entries, and every pair is compared.
+    """
+    width = int(np.clip(np.ceil(np.log2(max(n, 2))) - 4, 6, 31))
+    count = _planned(threshold, tables, width)
+    while 1 << width >= count:
+        if count > max(MOST, tables):
+            width -= 1
+            count = _planned(threshold, tables, width)
+            continue
+        mean, projection = learn_rotations(sample, width * count)
+        recall = estimated_recall(sample, mean, projection, width, threshold)
+        if recall >= RECALL:
+            return width, count, mean, projection
+        count = max(count + 1, int(np.ceil(count * np.log(1 - RECALL) / np.log1p(-max(recall, 1e-3)))))
+    return 0, 1, np.zeros(sample.shape[1]), np.zeros((sample.shape[1], 0))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
 
@@ -81,8 +132,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = TABL
     units, _ = _unit(chosen.column("embedding"))
     if not len(units):
         return none
-    width = int(np.clip(np.ceil(np.log2(max(n, 2))) - 4, 6, 20))
-    mean, projection = learn_rotations(units, width * tables)
+    width, tables, mean, projection = plan_tables(units, n, threshold, tables)
     dims = len(mean)
     weights = 1 << np.arange(width, dtype=np.int64)
 
@@ -93,11 +143,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = TABL
                 continue
             bits = ((unit - mean) @ projection >= 0).astype(np.int64).reshape(len(at), tables, width)
             parts = (bits * weights).sum(axis=2)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, tables), pa.int32()), pa.array(parts.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, tables), pa.int32()), pa.array(parts.ravel().astype(np.int32)))
             blobs = pa.array([u.tobytes() for u in unit], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), lists, blobs], names=["entry", "copies", "codes", "unit"])
 
-    coded = materialize(entries.select("entry", "copies", "embedding").mapInArrow(code, "entry long, copies long, codes array<long>, unit binary"), "codes")
+    coded = materialize(entries.select("entry", "copies", "embedding").mapInArrow(code, "entry long, copies long, codes array<int>, unit binary"), "codes")
     placed = coded.select("entry", "copies", "codes", "unit", F.posexplode("codes").alias("table", "part"))
     placed = placed.withColumn("bucket", F.shiftleft(F.col("table").cast("long"), 32).bitwiseOR(F.col("part")))
     full = coded.select(F.posexplode("codes").alias("table", "part")).groupBy(F.shiftleft(F.col("table").cast("long"), 32).bitwiseOR(F.col("part")).alias("bucket")).agg(F.count("*").alias("n"))
@@ -146,8 +196,8 @@ def _compared(group: pa.Table, dims: int, tables: int, threshold: float) -> Iter
         x, y = np.nonzero(near)
         x, y = x + low, mine[y]
         pairs.append((x, y))
-        if first:
-            fresh = ~(codes[x, :first] == codes[y, :first]).any(axis=1)
+        for table in range(first):
+            fresh = codes[x, table] != codes[y, table]
             x, y = x[fresh], y[fresh]
         np.add.at(links, x, copies[y])
     x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))

@@ -192,6 +192,28 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n,lean,least", [(20000, 0, 0.98), (600, 16, 1)])
+def test_vectors_at_the_threshold_are_found(spark, n, lean, least):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((n // 2, 32)) + lean * np.eye(32)[0]
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal(base.shape)
+    off -= (off * base).sum(axis=1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    v = np.concatenate([base, 0.951 * base + np.sqrt(1 - 0.951**2) * off])
+    found = vectors.near_vectors(spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")["n_links"].reindex(range(n))
+    wanted = np.concatenate([(v[low : low + 2000] @ v.T >= 0.95).sum(axis=1) for low in range(0, n, 2000)]) - 1
+    assert (found.to_numpy() <= wanted).all() and found.sum() >= least * wanted.sum()
+
+
+def test_planned_tables_hold_recall_at_every_size():
+    sample = np.random.default_rng(6).standard_normal((1000, 24))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    for n in (2, 10**4, 10**6, 10**8, 10**10):
+        width, tables, mean, projection = vectors.plan_tables(sample, n, 0.95)
+        assert projection.shape == (24, width * tables) and vectors.estimated_recall(sample, mean, projection, width, 0.95, seed=8) >= 0.98
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_by_size(docs, shards=6).toPandas()
     text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
