@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,15 +127,65 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _densest(pairs: list[tuple[int, int]], places: list[int], most: float) -> tuple[int, int, int]:
-    """(aligned words, first place, last place) of the window of at most `most` words that holds most aligned words."""
-    best, low = (0, 0, 0), 0
-    at = [places[j] for _, j in pairs]
-    for high in range(len(at)):
-        while at[high] - at[low] >= most:
-            low += 1
-        best = max(best, (high - low + 1, -at[low], -at[high]))
-    return best[0], -best[1], -best[2]
+def _windows(words: list[int], places: list[int], template: list[int], most: float) -> Iterator[tuple[int, int, int]]:
+    """(low, high, bound) of the windows of words at places fewer than `most` apart that no other window holds, in order; bound: how
+    many words of the template, each as often as it occurs there, the window holds."""
+    wanted = np.bincount(template).tolist()
+    count, bound, high = [0] * len(wanted), 0, 0
+    for low in range(len(words)):
+        grown = False
+        while high < len(words) and places[high] - places[low] < most:
+            count[words[high]] += 1
+            bound += count[words[high]] <= wanted[words[high]]
+            high, grown = high + 1, True
+        if grown:
+            yield low, high, bound
+        bound -= count[words[low]] <= wanted[words[low]]
+        count[words[low]] -= 1
+
+
+def _longest(at: dict[int, int], length: int, words: list[int]) -> int:
+    """Length of the longest common subsequence of words and a template, by rows of bits; at: the template's places of each word as bits."""
+    every = (1 << length) - 1
+    row = every
+    for w in words:
+        hit = row & at[w]
+        row = (row + hit | row - hit) & every
+    return length - row.bit_count()
+
+
+def _aligned(template: list[int], words: list[int], places: list[int], needed: int) -> tuple[int, int, int]:
+    """(aligned words, first place, last place) of the first window of SPREAD template lengths in which most words align, or zeros below needed.
+
+    Each window is aligned on its own, so words outside draw nothing from it. Windows that hold too few template words, or whose longest
+    common subsequence is no longer than the best so far, are passed over, which is exact.
+    """
+    at: dict[int, int] = {}
+    for i, w in enumerate(template):
+        at[w] = at.get(w, 0) | 1 << i
+    best, met = (0, 0, 0), set()
+    for low, high, bound in _windows(words, places, template, SPREAD * len(template)):
+        least = max(needed, best[0] + 1)
+        if bound < least:
+            continue
+        inside = words[low:high]
+        if (mark := hash(tuple(inside))) in met:  # the same words as in an earlier window
+            continue
+        met.add(mark)
+        longest = _longest(at, len(template), inside)
+        if longest < least:
+            continue
+        # The shortest text that ends first and aligns as much.
+        end = bisect_left(range(len(inside)), longest, key=lambda h: _longest(at, len(template), inside[:h]))
+        start = bisect_right(range(end), -longest, key=lambda x: -_longest(at, len(template), inside[x:end])) - 1
+        low, inside = low + start, inside[start:end]
+        pairs = patience(template, inside)
+        if len(pairs) < longest:
+            pairs = _common(template, 0, len(template), inside, 0, len(inside))
+        best = (longest, places[low + pairs[0][1]], places[low + pairs[-1][1]])
+        if longest == len(template):
+            break
+    return best
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
@@ -144,7 +194,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     license: the template with the highest coverage (the longer, then the first by name, on ties) if that is at least
     coverage, else null with coverage 0; first_word and last_word bound it, counted from 0 in runs of letters and digits;
     licenses: all names that reach coverage, in order, comma-joined. Coverage: the part of the template's words that align within
-    SPREAD template lengths. A template whose words occur too seldom in a text to reach coverage isn't aligned; this bound
+    a window of SPREAD template lengths, each window aligned on its own (patience, or the longest common subsequence where that is longer). A template whose words occur too seldom in a text to reach coverage isn't aligned; this bound
     is exact. Words that no template holds are left out before alignment, as they can't align. Whole texts are scanned;
     null and empty texts hold no license; equal and null ids are rows like others; an empty table gives an empty result.
     """
@@ -181,8 +231,7 @@ def _best(wanted: dict[str, list[int]], needed: np.ndarray, possible: np.ndarray
             continue
         inside = set(template)
         kept = [i for i, w in enumerate(words) if w in inside]
-        pairs = patience(template, [words[i] for i in kept])
-        aligned, first, last = _densest(pairs, [places[i] for i in kept], SPREAD * len(template))
+        aligned, first, last = _aligned(template, [words[i] for i in kept], [places[i] for i in kept], int(needed[at]))
         if aligned >= needed[at]:
             found.append((aligned / len(template), len(template), name, first, last))
     if not found:

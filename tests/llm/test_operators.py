@@ -249,6 +249,27 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ["mit", "apache-2.0", "bsd-3-clause", "gpl-3.0"])
+def test_a_changed_copy_does_not_hide_an_exact_one(spark, name):
+    words = licenses.TEMPLATES[name].split()
+    texts = []
+    for i in range(len(words)):
+        changed = [*words[:i], "zzzz", *words[i + 1 :]]
+        for first, second in ((words, changed), (changed, words)):
+            texts.append(" ".join([*first, *["filler"] * (3 * len(words)), *second]))
+    texts.append(" ".join(["filler", *words[: len(words) // 2], *["filler"] * (3 * len(words)), *words[len(words) // 2 :]]))
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").sort_index()
+    assert (rows["last_word"][:-1] - rows["first_word"][:-1] == rows["last_word"][0] - rows["first_word"][0]).all() and (rows["license"][:-1] == name).all() and (rows["coverage"][:-1] == 1).all() and rows["license"].iloc[-1] != name
+
+
+def test_bit_rows_give_the_longest_common_subsequence():
+    rng = random.Random(9)
+    for _ in range(50):
+        a, b = ([rng.randrange(5) for _ in range(12)] for _ in range(2))
+        at = {w: sum(1 << i for i, x in enumerate(a) if x == w) for w in range(5)}
+        assert licenses._longest(at, 12, b) == len(licenses._common(a, 0, 12, b, 0, 12))
+
+
 def test_patience_equals_longest_common_subsequence_on_permutations():
     rng = random.Random(5)
     for _ in range(50):
