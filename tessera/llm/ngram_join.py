@@ -118,8 +118,8 @@ def _regions(values: np.ndarray, bounds: np.ndarray, parts: Parts) -> tuple[np.n
     return np.concatenate(regions), np.concatenate(rows)
 
 
-def shingle_nodes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (null without words) for each row with an id."""
+def shingle_nodes(docs: DataFrame, k: int, hashed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, node (null without words) for each row with an id; with hashed also text_hash, which tells rows of one id apart."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,9 +128,12 @@ def shingle_nodes(docs: DataFrame, k: int) -> DataFrame:
                 node = _node(values, bounds)
                 sizes = np.diff(bounds)
                 nodes = pa.array(node.view(np.int64), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes), nodes], names=["doc_id", "n_shingles", "node"])
+                keys = [batch.column(2).slice(low, high - low)] if hashed else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes), nodes, *keys], names=names)
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(digest, "doc_id long, n_shingles long, node long")
+    names = ["doc_id", "n_shingles", "node", *["text_hash"][: int(hashed)]]
+    rows = docs.where("doc_id is not null").select("doc_id", "text", *[F.xxhash64("text").alias(x) for x in names[3:]])
+    return rows.mapInArrow(digest, ", ".join(f"{x} long" for x in names))
 
 
 def region_members(docs: DataFrame, k: int, threshold: Fraction, partitions: int) -> DataFrame:
@@ -434,16 +437,21 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> D
 
 
 def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the document with the least id stays (one row of it).
+    """The rows of docs without near duplicates: of each component the row with the least (doc_id, hash of its text) stays.
 
-    Rows without an id stay; so do texts without words. Ids that occur in several rows keep the row with the least hash of its text.
+    Rows without an id stay; so do texts without words. Rows that share an id but not a component are documents of their own; of rows
+    that share an id and a text one stays.
     """
-    found = ngram_jaccard_join(docs, k, threshold).where("doc_id is not null")
-    best = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(best, "doc_id", "left_semi")
-    ids = kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.coalesce(F.xxhash64("text"), F.lit(0))).alias("h"))
-    again = ids.where("n > 1").select("doc_id", "h")
-    order = [F.coalesce(F.xxhash64("text"), F.lit(0)), F.xxhash64(*[c for c in docs.columns])]
-    single = kept.join(again, "doc_id", "left_anti")
-    several = kept.join(again, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where("_rank = 1").drop("_rank")
+    nodes = materialize(shingle_nodes(docs, k, hashed=True), "nodes")
+    roots = node_components(docs, nodes, k, threshold)
+    firsts = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    firsts = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    keys = nodes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.bool_and(F.col("node").isNull()).alias("wordless"))
+    best = keys.where("not wordless").join(firsts.select("first.doc_id", "first.text_hash"), ["doc_id", "text_hash"], "left_semi")
+    best = materialize(best.unionByName(keys.where("wordless")).select("doc_id", F.col("text_hash").alias("_hash"), (F.col("n") > 1).alias("_again")), "best")
+    again = best.where("_again").select("doc_id", "_hash")
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    single = hashed.join(best.where("not _again"), ["doc_id", "_hash"], "left_semi").select(docs.columns)
+    order = Window.partitionBy("doc_id", "_hash").orderBy(F.xxhash64(*docs.columns))
+    several = hashed.join(again, ["doc_id", "_hash"], "left_semi").withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(docs.columns)
     return single.unionByName(several).unionByName(docs.where("doc_id is null"))

@@ -117,6 +117,13 @@ def test_ngram_join_is_exact(docs, empty, k, threshold, num, den, monkeypatch):
         assert ngram_join.ngram_jaccard_join(empty, k, threshold).count() == 0
 
 
+def test_rows_of_one_id_and_unlike_texts_stay(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, one), (5, two), (5, two), (7, one + " more"), (3, three), (5, three + " end"), (None, one), (8, None), (8, "  "), (9, two.upper())]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, one), (5, two), (3, three), (None, one), (8, None), (8, "  ")], key=str)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(30)]
