@@ -350,8 +350,9 @@ def _ring_links(members: DataFrame, sets: DataFrame, t: Fraction, partitions: in
 
 
 def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """node, root for every node that is linked with another."""
+    """node, root for every node that is linked with another; rows without an id take no part, or a pivot could be a text that has no set."""
     t = as_fraction(threshold)
+    docs = docs.where("doc_id is not null")
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = materialize(region_members(docs, k, t, partitions).distinct(), "regions")

@@ -8,10 +8,11 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from tessera.llm import graph, language_model, licenses, mixing, ngram_join, packing, personal, quality, sharding, tokens, vectors
+from tessera.llm import graph, language_model, licenses, mixing, ngram_join, packing, personal, quality, sharding, tokens, vectors, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string"
@@ -124,6 +125,19 @@ def test_rows_of_one_id_and_unlike_texts_stay(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, one), (5, two), (3, three), (None, one), (8, None), (8, "  ")], key=str)
 
 
+def test_a_text_without_an_id_is_no_pivot(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    rng = random.Random(3)
+    while True:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        texts = [" ".join(base), *[" ".join([*base[: 8 * i + 5], "changed", *base[8 * i + 6 :]]) for i in range(12)]]
+        (nodes,) = [ngram_join._node(*words.shingle_sets(data, offsets, 5)).view(np.int64) for _, _, data, offsets in words.text_chunks(pa.array(texts))]
+        if nodes.argmin() == 0:
+            break
+    rows = ngram_join.ngram_jaccard_join(spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows if r["doc_id"]) == [(i, 1) for i in range(1, 13)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(30)]
