@@ -1,16 +1,17 @@
 """Exact n-gram Jaccard join in a metric space (operator 3).
 
-Jaccard distance is a metric, and two sets link when their distance is at most r = 1 - threshold. Regions come first from
-a partition of the shingles: a set of a given size class is cut by hash into m parts, more than the largest symmetric
-difference that a link allows, so linked sets agree on at least one part that isn't empty and both lie in that part's region.
-A set is thus replicated to every region where a link may cross its boundary. (Pivots drawn from all documents can't do
-that: nearly all distances are 1, so every window would hold everything.) Within a region the join is recursive:
-
-* in a large region one set is the pivot, and its distances to the others are computed exactly; those within r are linked;
-* large regions whose sets are one component by now are done, and the pivots leave the others;
-* by the triangle inequality, x and y can link only if |d(x, pivot) - d(y, pivot)| <= r: so what is left is cut into rings
-  of width r around the pivot, and each ring is joined exactly with itself and the next;
-* small regions, where recursion ends, list their pairs; those that share too few parts to be linked are left out.
+Jaccard distance is a metric, and two sets link when their distance is at most r = 1 - threshold. Nearly all distances between documents
+are 1, so pivots drawn from all documents would put every document in every window. Hence the join first finds cells:
+
+* A partition of the shingles gives regions of sets that may link: a set of a given size class is cut by hash into m parts, more than
+  the largest symmetric difference that a link allows, so linked sets agree on at least one part that isn't empty. Sets that agree on
+  enough parts, and the members of large regions, are candidates; the components of the candidates are the cells, and no link leaves one.
+* Each set is sent once, to its cell. There pivots create Voronoi regions: a set belongs to its nearest pivot, and it is replicated to the
+  region of pivot i if d(x, i) - d(x, own) <= 2 r, which by the triangle inequality holds for every set that may link into that region.
+  Regions are split again around pivots of their own until few sets are left. Sets within r of a pivot are linked with it at once, so
+  regions of one component are done; candidates a, b with |d(a, p) - d(b, p)| > r for a pivot p are left out; the others are compared whole.
+* A cell that is too large for one task's memory is joined by shuffles: its candidate pairs by their distances, its large regions in
+  rings of width r around a pivot, block by block.
 
 Equal sets are one node throughout, and large regions list no pairs, so neither copies nor near copies make all their pairs.
 """
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 from tessera.llm.batches import by_key, least_label
 from tessera.llm.graph import components
 from tessera.llm.words import as_fraction, mix, set_sums, shingle_sets, text_chunks
-from tessera.session import materialize, release
+from tessera.session import materialize
 
 #: Nodes of one region within one task's buffer from which on they skip the global meeting of parts.
 CROWD = 64
@@ -37,8 +38,12 @@ CROWD = 64
 BUFFER = 1_500_000
 #: Up to so many wanted documents their ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members up to which a region lists its pairs; larger ones are joined around pivots, by rings, in blocks.
-SMALL, BLOCK = 128, 2048
+#: Members up to which a region lists its pairs; the members of larger ones meet in a cell.
+SMALL = 128
+#: Sets and shingles of the largest cell that one task joins (64 MB of hashes); larger cells are joined by shuffles, in blocks of BLOCK sets.
+CELL_SETS, CELL_SHINGLES, BLOCK = 16_384, 8_000_000, 2048
+#: Sets of a Voronoi region that is split no further, pivots of a split, and what a split may grow by.
+LEAF, PIVOTS, GROWTH, DEPTH = 8, 6, 1.2, 12
 #: Shingles of one matrix product.
 COLUMNS = 2048
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -235,20 +240,24 @@ def _unpacked(packed: pa.Buffer, target: int, partitions: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """node, shingles (ascending 64-bit hashes as bytes) for the wanted nodes; wanted: node, doc_id (one document of each)."""
-    ids = wanted.select("doc_id").distinct()
-    near = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    """cell, node, shingles (ascending 64-bit hashes as bytes) for the wanted nodes; wanted: node, doc_id (one document of each), cell.
+
+    Texts are read where they lie; only where there are more wanted documents than fit a broadcast they are moved. A row that repeats
+    both id and text of a wanted document repeats its set.
+    """
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    found = docs.select("doc_id", "text").join(near.select("doc_id", "cell", "node"), "doc_id").select("cell", "node", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
+            for start, stop, data, offsets in text_chunks(batch.column(2)):
                 values, bounds = shingle_sets(data, offsets, k)
-                node = _node(values, bounds).view(np.int64)
-                blobs = [values[low:high].tobytes() for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+                mine = np.flatnonzero(_node(values, bounds).view(np.int64) == batch.column(1).slice(start, stop - start).to_numpy())
+                blobs = [values[bounds[i] : bounds[i + 1]].tobytes() for i in mine]
+                chosen = pa.array(mine + start)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(blobs, pa.binary())], names=["cell", "node", "shingles"])
 
-    found = docs.select("doc_id", "text").join(near, "doc_id", "left_semi").select("text").mapInArrow(read, "node long, shingles binary")
-    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return found.mapInArrow(read, "cell long, node long, shingles binary")
 
 
 def _heads(sets: DataFrame) -> DataFrame:
@@ -349,72 +358,191 @@ def _ring_links(members: DataFrame, sets: DataFrame, t: Fraction, partitions: in
     return dealt.mapInArrow(link, "a long, b long")
 
 
-def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """node, root for every node that is linked with another; rows without an id take no part, or a pivot could be a text that has no set."""
-    t = as_fraction(threshold)
-    docs = docs.where("doc_id is not null")
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = materialize(region_members(docs, k, t, partitions).distinct(), "regions")
-    release(spark)
-    # Regions with the same members are one region, of the weight of them all.
-    summary = members.groupBy("region").agg(
-        F.count("*").alias("n"), F.min("node").alias("pivot"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")
-    )
-    one = summary.groupBy("n", "pivot", "x", "y").agg(F.min("region").alias("region"), F.count("*").alias("weight")).where("n > 1")
-    members = materialize(members.join(one.select("region", "n", "pivot", "weight"), "region"), "region-members")
-    document = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
-    wanted = materialize(document.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
-    sets = materialize(_sets(docs, k, wanted), "sets")
-    release(spark)
-    linked = F.col("both") * t.denominator >= F.col("either") * t.numerator
+class _Cell:
+    """The sets of one cell, joined around pivots; root[i] is the least set that links reach from set i."""
+
+    def __init__(self, values: list[np.ndarray], t: Fraction):
+        self.values, self.t, self.r = values, t, float(1 - t) * (1 + 1e-9)  # a hair wider, for rounding
+        self.sizes = np.array([len(v) for v in values], np.int64)
+        self.root = np.arange(len(values))
+        self.measured = 0
+
+    def unite(self, some: np.ndarray) -> None:
+        roots = np.unique(self.root[some])
+        if len(roots) > 1:
+            self.root[np.isin(self.root, roots[1:])] = roots[0]
+
+    def near(self, both: np.ndarray, either: np.ndarray) -> np.ndarray:
+        return both * self.t.denominator >= either * self.t.numerator
+
+    def distances(self, pivots: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Distances of some sets (columns) to the pivots (rows); those within r are linked."""
+        flat, starts = np.concatenate([self.values[i] for i in some]), np.concatenate(([0], np.cumsum(self.sizes[some])[:-1]))
+        out = np.empty((len(pivots), len(some)))
+        for row, pivot in enumerate(pivots):
+            own = self.values[pivot]
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(hit, starts, dtype=np.int64)
+            either = self.sizes[some] + len(own) - both
+            out[row] = 1 - both / either
+            self.unite(some[self.near(both, either)])
+        self.measured += out.size
+        return out
+
+    def join(self, some: np.ndarray, pairs: np.ndarray, groups: list[np.ndarray], depth: int = 0) -> None:
+        """Link all that may link among some sets: the listed pairs, and any two sets of one group."""
+        pairs = pairs[self.root[pairs[:, 0]] != self.root[pairs[:, 1]]]
+        groups = [g for g in groups if len(g) > 1 and (self.root[g] != self.root[g[0]]).any()]
+        if not len(pairs) and not groups:
+            return
+        if len(some) <= LEAF or depth == DEPTH:
+            return self.compare(pairs, groups)
+        pivots = some[np.unique(np.linspace(0, len(some) - 1, PIVOTS).astype(int))]
+        away = self.distances(pivots, some)
+        own = away.argmin(axis=0)
+        least = away[own, np.arange(len(some))]
+        place = np.full(len(self.values), -1)
+        place[some] = np.arange(len(some))
+        x, y = place[pairs[:, 0]], place[pairs[:, 1]]
+        pairs = pairs[(np.abs(away[:, x] - away[:, y]) <= self.r).all(axis=0)]
+        home = np.minimum(own[place[pairs[:, 0]]], own[place[pairs[:, 1]]])  # a pair meets in the region of the first of its two pivots
+        inside = [(own == i) | ((own > i) & (away[i] - least <= 2 * self.r)) for i in range(len(pivots))]
+        inside = [x if (own == i).any() else np.zeros(len(some), bool) for i, x in enumerate(inside)]
+        total = sum(int(x.sum()) for x in inside)
+        if total > GROWTH * len(some) or max(int(x.sum()) for x in inside) > 0.9 * len(some):
+            return self.compare(pairs, groups)  # pivots tell these sets apart no further
+        for i, chosen in enumerate(inside):
+            if chosen.any():
+                held = pairs[(home == i) & chosen[place[pairs]].all(axis=1)]
+                self.join(some[chosen], held, [g[chosen[place[g]]] for g in groups], depth + 1)
+
+    def compare(self, pairs: np.ndarray, groups: list[np.ndarray]) -> None:
+        for i, j in pairs:
+            if self.root[i] != self.root[j]:
+                merged = np.sort(np.concatenate((self.values[i], self.values[j])), kind="stable")
+                both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+                if self.near(np.int64(both), np.int64(len(merged) - both)):
+                    self.unite(np.array([i, j]))
+        for group in groups:
+            names, at, counts = np.unique(self.root[group], return_inverse=True, return_counts=True)
+            if len(names) == 1:
+                continue
+            fewer = group[at != counts.argmax()]  # every pair of different components has a set outside the largest one
+            fewer = fewer[np.argsort(self.sizes[fewer], kind="stable")]
+            for low in range(0, len(fewer), 256):
+                rows = fewer[low : low + 256]
+                smaller = self.sizes[group] * self.t.denominator < self.sizes[rows[0]] * self.t.numerator
+                larger = self.sizes[group] * self.t.numerator > self.sizes[rows[-1]] * self.t.denominator
+                columns = group[~smaller & ~larger]
+                both = _intersections([self.values[i] for i in rows], [self.values[i] for i in columns]).astype(np.int64)
+                x, y = np.nonzero(self.near(both, self.sizes[rows][:, None] + self.sizes[columns][None] - both) & (self.root[rows][:, None] != self.root[columns][None]))
+                for i, j in zip(rows[x], columns[y], strict=True):
+                    if self.root[i] != self.root[j]:
+                        self.unite(np.array([i, j]))
+
+
+def _cell_roots(cells: DataFrame, sets: DataFrame, pairs: DataFrame, large: DataFrame, t: Fraction, partitions: int) -> DataFrame:
+    """node, root for the linked nodes of cells that one task can hold; cells: node, cell. pairs: a, b. large: region, node (regions that list no pairs)."""
+    none = F.lit(None).cast("binary")
+    of_pairs = pairs.join(cells.select(F.col("node").alias("a"), "cell"), "a").select("cell", F.lit(1).alias("kind"), "a", "b", none.alias("shingles"))
+    of_large = large.join(cells, "node").select("cell", F.lit(2).alias("kind"), F.col("region").alias("a"), F.col("node").alias("b"), none.alias("shingles"))
+    of_sets = sets.select("cell", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
+    dealt = of_sets.unionByName(of_pairs).unionByName(of_large).repartition(partitions, "cell").sortWithinPartitions("cell")
 
-    # Small regions list their pairs. What a pair of sets shares tells most of them apart before a set is moved.
-    sized = members.where(F.col("n") <= SMALL).join(wanted.select("node", "size"), "node")
-    pairs = sized.alias("x").join(sized.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.node") < F.col("y.node")))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("p"), F.col("y.size").alias("q"), F.col("x.weight").alias("weight"))
-    pairs = pairs.where(F.least("p", "q") * t.denominator >= F.greatest("p", "q") * t.numerator)
-    pairs = pairs.groupBy("a", "b", "p", "q").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= _least_shared(t, nodes))
-    pairs = materialize(pairs.select("a", "b"), "pairs")
-    release(spark)
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches, 1):
+            kind, a, b = (group.column(x).to_numpy() for x in ("kind", "a", "b"))
+            nodes, first = np.unique(a[kind == 0], return_index=True)
+            blobs = group.column("shingles")
+            cell = _Cell([np.frombuffer(blobs[int(i)].as_buffer(), np.uint64) for i in np.flatnonzero(kind == 0)[first]], t)
+            pairs = np.stack([np.searchsorted(nodes, x[kind == 1]) for x in (a, b)], axis=1)
+            region, member = a[kind == 2], np.searchsorted(nodes, b[kind == 2])
+            order = np.argsort(region, kind="stable")
+            groups = np.split(member[order], np.flatnonzero(np.diff(region[order])) + 1) if len(order) else []
+            cell.join(np.arange(len(nodes)), pairs, groups)
+            linked = np.bincount(cell.root, minlength=len(nodes))[cell.root] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[cell.root[linked]])], names=["node", "root"])
+
+    return dealt.mapInArrow(link, "node long, root long")
+
+
+def _shuffled_roots(cells: DataFrame, sets: DataFrame, pairs: DataFrame, large: DataFrame, t: Fraction, partitions: int) -> DataFrame:
+    """node, root as above for cells beyond one task's memory; large: region, pivot, node."""
+    linked = F.col("both") * t.denominator >= F.col("either") * t.numerator
+    sets = materialize(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    pairs = pairs.join(cells.select(F.col("node").alias("a")), "a", "left_semi")
+    large = large.join(cells.select("node"), "node", "left_semi")
     # Heads are a quarter of the sets; only pairs that they don't tell apart move whole ones.
     pairs = materialize(_distances(pairs, _heads(sets), np.uint16).where(linked).select("a", "b"), "near-pairs")
-    release(spark)
     links = _distances(pairs, sets).where(linked).select("a", "b")
-
     # Large regions: every set and the pivots. The pivots have then met everyone, and leave.
-    large = members.where((F.col("n") > SMALL) & (F.col("node") != F.col("pivot")))
+    large = large.where("node != pivot")
     star = large.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     measured = materialize(_distances(star, sets), "distances")
-    release(spark)
-    links = materialize(links.unionByName(measured.where(linked).select("a", "b")), "links")
-    release(spark)
-    roots = components(links, "a", "b")
+    roots = components(links.unionByName(measured.where(linked).select("a", "b")), "a", "b")
     distance = measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("distance"))
     rest = large.select("region", "node", "pivot").join(distance, ["pivot", "node"]).join(roots, "node", "left")
     rest = materialize(rest.select("region", "node", "distance", F.coalesce("root", "node").alias("root")), "rest")
     mixed = rest.groupBy("region").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     mixed = materialize(rest.join(mixed.select("region", "n"), "region"), "mixed")
-    if mixed.isEmpty():
-        return roots
     ringed = _ring_links(mixed, sets, t, partitions)
     stars = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(stars.unionByName(materialize(ringed, "ring-links")), "a", "b")
 
 
-def _least_shared(t: Fraction, nodes: DataFrame) -> Column:
-    """How many parts linked sets of p and q shingles share at least, as a column.
+def _listed_pairs(members: DataFrame, sized: DataFrame, t: Fraction) -> DataFrame:
+    """a, b (a < b) that share as many parts as a link asks for, over the regions of at most SMALL members: a pair that meets in a larger one is found there.
 
-    Of the m = D + spare parts of the smaller set's scheme at most d = (1 - t) / (1 + t) * (p + q) differ, and in one of both sets fewer
-    than spare are empty, or both are dealt to their empty parts too: so D - d + 1 parts bring the two to one region.
+    sized: node, size, differ. Of the m = D + spare parts of the smaller set's scheme at most d = (1 - t) / (1 + t) * (p + q) differ, and in one of both sets
+    fewer than spare are empty, or both are dealt to their empty parts too: so D - d + 1 parts bring linked sets of p and q shingles to one region.
     """
+    rows = members.where(F.col("n") <= SMALL).select("region", "node", "weight").join(sized, "node")
+    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.node") < F.col("y.node")))
+    pairs = pairs.where(F.least("x.size", "y.size") * t.denominator >= F.greatest("x.size", "y.size") * t.numerator)
+    ratio = (1 - t) / (1 + t)
+    asked = F.least("x.differ", "y.differ") - F.floor((F.col("x.size") + F.col("y.size")) * ratio.numerator / F.lit(ratio.denominator)) + 1
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.weight").alias("weight"), asked.cast("int").alias("asked"))
+    return pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.max("asked").alias("asked")).where("shared >= asked").select("a", "b")
+
+
+def node_components(docs: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """node, root for every node that is linked with another; rows without an id take no part, or a node could be a text that has no set."""
+    t = as_fraction(threshold)
+    docs = docs.where("doc_id is not null")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = materialize(region_members(docs, k, t, partitions).distinct(), "regions")
+    # Regions with the same members are one region, of the weight of them all.
+    summary = members.groupBy("region").agg(
+        F.count("*").alias("n"), F.min("node").alias("pivot"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")
+    )
+    one = summary.groupBy("n", "pivot", "x", "y").agg(F.min("region").alias("region"), F.count("*").alias("weight")).where("n > 1")
+    members = materialize(members.join(one.select("region", "n", "pivot", "weight"), "region"), "region-members")
+    document = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
+    wanted = document.join(members.select("node").distinct(), "node", "left_semi").withColumn("differ", _most_unlike(t, nodes))
+    wanted = materialize(wanted, "wanted")
+
+    large = members.where(F.col("n") > SMALL)
+    star = large.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    pairs = materialize(_listed_pairs(members, wanted.select("node", "size", "differ"), t), "pairs")
+    cells = components(pairs.unionByName(star), "a", "b").select("node", F.col("root").alias("cell"))
+    sizes = cells.join(wanted, "node").groupBy("cell").agg(F.count("*").alias("sets"), F.sum("size").alias("shingles"))
+    heavy = (F.col("sets") > CELL_SETS) | (F.col("shingles") > CELL_SHINGLES)
+    cells = materialize(cells.join(wanted.select("node", "doc_id"), "node").join(sizes.select("cell", heavy.alias("heavy")), "cell"), "cells")
+    light, heavy = cells.where("not heavy"), cells.where("heavy")
+    roots = _cell_roots(light.select("node", "cell"), _sets(docs, k, light), pairs, large.select("region", "node"), t, partitions)
+    if not heavy.isEmpty():
+        roots = roots.unionByName(_shuffled_roots(heavy, _sets(docs, k, heavy), pairs, large, t, partitions))
+    return materialize(roots, "roots")
+
+
+def _most_unlike(t: Fraction, nodes: DataFrame) -> Column:
+    """D of the size class of a set of `size` shingles: how many parts of a pair may differ at most, where this is the smaller set."""
     largest = nodes.agg(F.coalesce(F.max("n_shingles"), F.lit(1))).first()[0]
     parts = Parts(t, int(largest))
-    scheme = F.lit(0)
+    found = F.lit(0)
     for m, spare, high in reversed(list(zip(parts.parts, parts.spare, parts.bounds[1:], strict=False))):  # one for each size class: about log(largest)
-        scheme = F.when(F.least("p", "q") < high, m - spare if m else 0).otherwise(scheme)
-    ratio = (1 - t) / (1 + t)
-    return scheme - F.floor((F.col("p") + F.col("q")) * ratio.numerator / F.lit(ratio.denominator)) + 1
+        found = F.when(F.col("size") < high, m - spare if m else 0).otherwise(found)
+    return found
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from tessera.llm import graph, language_model, licenses, mixing, ngram_join, packing, personal, quality, sharding, tokens, vectors, words
+from tessera.llm import batches, graph, language_model, licenses, mixing, ngram_join, packing, personal, quality, sharding, tokens, vectors, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string"
@@ -104,11 +104,14 @@ def brute_components(texts, k, num, den):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("k,threshold,num,den", [(4, 0.85, 85, 100), (2, 0.5, 1, 2)])
-def test_ngram_join_is_exact(docs, empty, k, threshold, num, den, monkeypatch):
-    if k == 2:
-        monkeypatch.setattr(ngram_join, "SMALL", 2)  # rings instead of listed pairs
-        monkeypatch.setattr(ngram_join, "BLOCK", 3)
+@pytest.mark.parametrize(
+    "k,threshold,num,den,constants",
+    [(4, 0.85, 85, 100, {}), (2, 0.5, 1, 2, {"SMALL": 2, "LEAF": 2}), (2, 0.5, 1, 2, {"SMALL": 2, "CELL_SETS": 2, "BLOCK": 3})],
+    ids=["listed pairs", "large regions in cells", "cells beyond one task"],
+)
+def test_ngram_join_is_exact(docs, empty, k, threshold, num, den, constants, monkeypatch):
+    for name, value in constants.items():
+        monkeypatch.setattr(ngram_join, name, value)
     wanted = brute_components({r["doc_id"]: r["text"] for r in docs.collect()}, k, num, den)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(docs, k, threshold).collect()}
     assert found == wanted
@@ -118,6 +121,26 @@ def test_ngram_join_is_exact(docs, empty, k, threshold, num, den, monkeypatch):
         assert ngram_join.ngram_jaccard_join(empty, k, threshold).count() == 0
 
 
+def test_voronoi_regions_of_a_cell_lose_no_link():
+    """Families of near copies and unrelated sets, as listed pairs or as one group: the components are those of all pairs."""
+    rng, t = np.random.default_rng(5), words.as_fraction(0.8)
+    for way in ("pairs", "groups"):
+        values = []
+        for family in range(12):
+            base = rng.integers(0, 2**63, rng.integers(30, 90), dtype=np.uint64)
+            for _ in range(rng.integers(1, 30)):
+                drop = rng.integers(0, len(base) // 4)
+                values.append(np.unique(np.concatenate((rng.permutation(base)[drop:], rng.integers(0, 2**63, rng.integers(0, 6), dtype=np.uint64)))))
+        n = len(values)
+        every = np.array([(i, j) for i in range(n) for j in range(i + 1, n)])
+        both = [len(np.intersect1d(values[i], values[j])) for i, j in every]
+        linked = [(i, j) for (i, j), b in zip(every, both, strict=True) if b * 10 >= 8 * (len(values[i]) + len(values[j]) - b)]
+        truth = batches.least_label(n, *np.array(linked).T)
+        cell = ngram_join._Cell(values, t)
+        cell.join(np.arange(n), every if way == "pairs" else every[:0], [np.arange(n)] if way == "groups" else [])
+        assert (cell.root == truth).all() and 0 < cell.measured < len(every)
+
+
 def test_rows_of_one_id_and_unlike_texts_stay(spark):
     one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(5, one), (5, two), (5, two), (7, one + " more"), (3, three), (5, three + " end"), (None, one), (8, None), (8, "  "), (9, two.upper())]
