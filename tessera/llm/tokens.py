@@ -36,7 +36,8 @@ class Encoder:
     """Encodes whole texts with the tokenizers library.
 
     A byte-level BPE of this kind never joins what stands before a single space to what follows, so texts are cut before
-    spaces and equal chunks are encoded once. A text in which a space meets other white space is encoded in one piece.
+    spaces and equal chunks are encoded once. A text in which a space meets other white space, or that spells an added token such
+    as <|endoftext|>, which the library takes as that token, is encoded in one piece.
     """
 
     def __init__(self, path: str):
@@ -44,7 +45,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
         ids = range(self.tokenizer.get_vocab_size())
@@ -71,7 +72,7 @@ class Encoder:
         """The ids of each text as little-endian bytes of the type width."""
         chunks, whole = [], {}
         for text in texts:
-            if _UNSAFE.search(text):
+            if _UNSAFE.search(text) or any(t in text for t in self.added):
                 whole[text] = b""
                 chunks.append([text])
             else:
