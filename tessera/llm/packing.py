@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.words import n_words
 from tessera.session import materialize
@@ -65,6 +66,15 @@ def pack_group(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return items
 
 
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """pieces with row: 0, or the number of the row among the rows that repeat it. Only repeated rows are shuffled whole, and numbers don't depend on their order."""
+    same = ["doc_id", "source", "cluster", "piece", "size", "source_bit"]
+    repeated = pieces.groupBy(same).count().where("count > 1").select(*[F.col(c).alias(f"_{c}") for c in same])
+    equal = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
+    several = pieces.join(repeated, equal, "left_semi").withColumn("row", F.row_number().over(Window.partitionBy(same).orderBy("doc_id")).cast("long"))
+    return pieces.join(repeated, equal, "left_anti").withColumn("row", F.lit(0).cast("long")).unionByName(several)
+
+
 def best_fit_pack(
     docs: DataFrame,
     capacity: int = CAPACITY,
@@ -80,7 +90,8 @@ def best_fit_pack(
     of their own, and the pieces of a text count as one cluster. Texts without words, null ones too, take no room: they
     are returned with size 0 and null bin. Rows are dealt by a hash of id, text and piece to groups of about group_rows, and each
     group is packed by itself, so any source or cluster, however large, spreads over all groups. A bin is (pack_group, bin).
-    Null sources are one source; null ids and repeated rows are packed like others; an empty table gives an empty result.
+    Null sources are one source; null ids and repeated rows are packed like others; an empty table gives an empty result; reruns agree whatever
+    the order of the rows.
     """
     spark = docs.sparkSession
     size = n_words(F.col("text")) if size is None else size.cast("long")
@@ -93,10 +104,9 @@ def best_fit_pack(
     pieces = pieces.select("doc_id", "source", "cluster", F.col("piece").cast("int"), rest.alias("size"))
     bits = F.xxhash64("source") if source_conflicts else F.lit(-1).cast("long")
     pieces = pieces.withColumn("source_bit", F.when(F.lit(source_conflicts), F.abs(bits % F.lit(2**40))).otherwise(-1))
-    pieces = pieces.withColumn("row", F.monotonically_increasing_id())  # tells repeated rows apart
-    pieces = materialize(pieces, "pack-pieces")
+    pieces = _numbered(materialize(pieces, "pack-pieces"))
     groups = max(1, -(-pieces.count() // group_rows))
-    key = F.pmod(F.xxhash64("doc_id", "cluster", "piece", "row"), F.lit(groups))
+    key = F.pmod(F.xxhash64("doc_id", "cluster", "piece", "source", "row"), F.lit(groups))
     schema = "doc_id long, source string, piece int, size long, pack_group long, bin long, bin_offset long"
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
