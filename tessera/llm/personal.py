@@ -69,7 +69,7 @@ class Field:
     """The graph of a document: a node for each word with a digit or an at sign; edges between neighbours in the text, and
     skip edges between a word and the one before it with the same digits or the same core."""
 
-    FEATURES = 20
+    FEATURES = 21
 
     def __init__(self, text: str, spans: list[tuple[int, int, int]]):
         self.words = [(m.start(), m.end(), i) for i, m in enumerate(_WORD.finditer(text)) if _HINT.search(m[0])]
@@ -102,7 +102,7 @@ class Field:
         dots, letters = w.count("."), sum(c.isalpha() for c in w)
         return [
             1.0, "@" in w, "@" in w and "." in w.partition("@")[2], dots == 3 and letters == 0, 0 < dots < 3, dots > 3, digits == 0, 1 <= digits <= 2, 3 <= digits <= 4, 5 <= digits <= 8,
-            9 <= digits <= 12, 13 <= digits <= 19, digits > 19, letters > 0, letters > digits, w.startswith("+"), "(" in w or ")" in w, "-" in w, digits == len(w), len(w) > 24,
+            9 <= digits <= 12, 13 <= digits <= 19, digits > 19, 13 <= digits <= 19 and _luhn("".join(c for c in w if c.isdigit())), letters > 0, letters > digits, w.startswith("+"), "(" in w or ")" in w, "-" in w, digits == len(w), len(w) > 24,
         ]
 
 
@@ -114,7 +114,10 @@ class Weights:
 
 
 def fit(fields: list[Field], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Weights:
-    """Weights that maximise the penalised pseudo-likelihood of the pattern labels: each node given its neighbours' labels."""
+    """Weights that maximise the penalised pseudo-likelihood of the pattern labels: each node given its features and its neighbours' labels.
+
+    A node's own pattern is hidden from it, so the weights learn what its shape and its neighbours tell without the pattern.
+    """
     k = len(KINDS) + 1
     x = np.concatenate([f.features for f in fields if len(f.label)]) if any(len(f.label) for f in fields) else np.zeros((0, Field.FEATURES))
     y = np.concatenate([f.label for f in fields] or [np.zeros(0, int)])
@@ -138,7 +141,7 @@ def fit(fields: list[Field], rounds: int = 300, rate: float = 0.5, decay: float
         unary += rate * (x.T @ error * 10 - decay * unary)
         chain += rate * (left.T @ error + error.T @ right - decay * chain)
         skip += rate * ((agree * error).sum() * 10 - decay * skip)
-    return Weights(unary, chain, max(skip, 2.0))
+    return Weights(unary, chain, skip)
 
 
 def beliefs(field: Field, weights: Weights, rounds: int = 10) -> np.ndarray:
@@ -171,17 +174,20 @@ def beliefs(field: Field, weights: Weights, rounds: int = 10) -> np.ndarray:
 
 
 def added_spans(text: str, spans: list[tuple[int, int, int]], weights: Weights) -> list[tuple[int, int, int]]:
-    """Spans that the field adds: words outside all patterns that skip edges tie to others of their kind."""
+    """Spans that the field adds: words outside all patterns of whose kind it is SURE; neighbours of one kind are one span."""
     field = Field(text, spans)
-    if not field.skip or not spans:
+    if not (field.label == 0).any():  # the patterns hold every node
         return []
     p = beliefs(field, weights)
-    tied = {i for edge in field.skip for i in edge}
-    found = []
+    found, last = [], -1
     for i in np.flatnonzero((field.label == 0) & (p[:, 1:].max(axis=1, initial=0) >= SURE)):
-        start, end = field.core[i]
-        if i in tied and end > start:
-            found.append((int(p[i, 1:].argmax()), start, end))
+        (start, end), kind = field.core[i], int(p[i, 1:].argmax())
+        if end <= start:
+            continue
+        if found and last == i - 1 and found[-1][0] == kind and field.words[i][2] - field.words[last][2] == 1:
+            start = found.pop()[1]
+        found.append((kind, start, end))
+        last = i
     return found
 
 
@@ -200,8 +206,8 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit_weights(docs: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Fit the field on the patterns of at most sample documents: those with a digit or an at sign and the least hashes."""
-    hinted = docs.select("text", F.xxhash64("text").alias("_h")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
+    """Fit the field on the patterns of at most sample documents, whole texts: those with a digit or an at sign and the least hashes."""
+    hinted = docs.select("text", F.xxhash64("text").alias("_h")).where(F.col("text").rlike("[0-9@]"))
     # First the hashes alone, so that no task sends more than sample numbers to the driver; then the texts below the last one.
     least = [r["_h"] for r in hinted.select("_h").distinct().orderBy("_h").limit(sample).collect()]
     if not least:
@@ -227,7 +233,7 @@ def find_personal(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
                 spans = base_spans(text) if text and _HINT.search(text) else []
                 counts.append([sum(s[0] == k for s in spans) for k in range(4)] if spans else (0, 0, 0, 0))
                 digests.append(hashlib.sha256(_joined(spans).encode()).hexdigest())
-                every.append(_joined(spans + added_spans(text, spans, weights)) if spans else "")
+                every.append(_joined(spans + added_spans(text, spans, weights)) if text and _HINT.search(text) else "")
             by_kind = np.array(counts, np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c) for c in by_kind), pa.array(digests, pa.string()), pa.array(every, pa.string())],
@@ -239,7 +245,11 @@ def find_personal(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
 
 
 def mask_personal(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
-    """docs with all personal data in text replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; n_chars, if there, follows the text."""
+    """docs with all personal data in text replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; n_chars, if there, follows the text.
+
+    Every row and column stays; texts without personal data, null and empty ones too, stay as they are. Equal and null ids are rows like others; an empty
+    table gives an empty result.
+    """
     weights = weights or fit_weights(docs)
 
     def clean(text: str) -> str:
