@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
@@ -72,10 +73,10 @@ def test_mixed_documents_hold_the_words_taken(docs):
 def test_token_files_round_trip(spark, docs, empty):
     public = pytest.importorskip("public_tokenizers")
     path = str(public.path("byte_bpe_50k.json"))
-    extra = spark.createDataFrame([(1000, "a  b\n c ", "", "", None, "", ""), (1001, " lead <|endoftext|>   x", "", "", None, "", "")], SCHEMA)
+    extra = spark.createDataFrame([(1002, "hello <|endoftext|> world", "", "", None, "", ""), (1000, "a  b\n c ", "", "", None, "", ""), (1001, " lead <|endoftext|>   x", "", "", None, "", "")], SCHEMA)
     every = docs.unionByName(extra)
     found = {r["doc_id"]: r for r in tokens.read_documents(spark, tokens.write_sequences(every, path, length=64)).collect()}
-    encode, at = tokens.Encoder(path).tokenizer.encode, 0
+    encode, at = pytest.importorskip("tokenizers").Tokenizer.from_file(path).encode, 0  # the library as it is
     for r in sorted(every.collect(), key=lambda x: x["doc_id"]):
         ids = [*encode(r["text"] or "", add_special_tokens=False).ids, 0]
         got = found[r["doc_id"]]
@@ -186,6 +187,67 @@ def test_packing_keeps_capacity_and_conflicts(docs, empty):
     assert packing.best_fit_pack(empty).count() == 0
 
 
+def test_packing_does_not_depend_on_the_order_of_rows(spark, docs):
+    again = spark.createDataFrame([(None, "a b c", None, "s", None, "", "")] * 5 + [(7, "a b c", None, "s", None, "", "")] * 3, SCHEMA)
+    every = docs.unionByName(again)
+    one, two = (sorted(map(str, packing.best_fit_pack(d, capacity=60, group_rows=20).collect())) for d in (every, every.repartition(5)))
+    assert one == two and len(one) >= every.count()
+
+
+def test_groups_are_packed_as_by_a_plain_best_fit():
+    """Against a search of all bins for the one with the least room that holds neither the source nor the cluster."""
+    rng, capacity = random.Random(8), 50
+    items = pd.DataFrame([(i, "s", 0, rng.randint(1, 50), rng.randint(0, 12), rng.randint(0, 40)) for i in range(400)], columns=["doc_id", "source", "piece", "size", "source_bit", "cluster"])
+    found = packing.pack_group(items, capacity).set_index("doc_id")
+    bins = []  # [room, sources, clusters]
+    for r in items.sort_values(["size", "doc_id"], ascending=[False, True]).itertuples():
+        fitting = [(b[0], i) for i, b in enumerate(bins) if b[0] >= r.size and r.source_bit not in b[1] and r.cluster not in b[2]]
+        at = min(fitting)[1] if fitting else len(bins)
+        if at == len(bins):
+            bins.append([capacity, set(), set()])
+        offset = capacity - bins[at][0]
+        bins[at][0] -= r.size
+        bins[at][1].add(r.source_bit)
+        bins[at][2].add(r.cluster)
+        assert tuple(found.loc[r.doc_id, ["bin", "bin_offset"]]) == (at, offset)
+
+
+def test_patterns_of_personal_data_against_plain_expressions():
+    """The contract's expressions as they stand, with no possessive runs or search of their own."""
+    rng = random.Random(4)
+    plain = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+    def luhn(digits):
+        doubled = [int(c) * 2 if i % 2 else int(c) for i, c in enumerate(digits[::-1])]
+        return sum(x // 10 + x % 10 for x in doubled) % 10 == 0
+
+    def holds(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        return (True, all(int(x) <= 255 for x in m.split(".")) if kind == 1 else None, 13 <= len(digits) <= 19 and luhn(digits), 9 <= len(digits) <= 15)[kind]
+
+    for _ in range(4000):
+        text = "".join(rng.choice("0123456789a.@- +()1222") for _ in range(rng.randint(0, 60)))
+        assert personal.base_spans(text) == [(k, *m.span()) for k, p in enumerate(plain) for m in re.finditer(p, text) if holds(k, m[0])]
+
+
+def test_beliefs_are_the_marginals_where_there_are_no_loops():
+    rng = np.random.default_rng(6)
+    weights = personal.Weights(rng.normal(size=(personal.Field.FEATURES, 5)), rng.normal(size=(5, 5)), 1.3)
+    for text in ("call 0123456 or a@b.c 99 then", "x 5551234 far away 12 and again 5551234"):
+        spans = personal.base_spans(text)
+        field = personal.Field(text, spans)
+        n = len(field.label)
+        assert n >= 3
+        mass = np.zeros((n, 5))
+        for labels in np.ndindex(*[5] * n):
+            if all(known in (0, got) for known, got in zip(field.label, labels, strict=True)):
+                own = sum(field.features[i] @ weights.unary[:, x] for i, x in enumerate(labels) if not field.label[i])
+                pair = sum(weights.chain[labels[a], labels[b]] for a, b in field.chain) + sum(weights.skip * (labels[a] == labels[b]) for a, b in field.skip)
+                for i, x in enumerate(labels):
+                    mass[i, x] += np.exp(own + pair)
+        assert np.allclose(personal.beliefs(field, weights, rounds=200), mass / mass.sum(axis=1, keepdims=True), atol=1e-3)
+
+
 def test_bins_take_the_tightest_compatible_one():
     bins = packing.Bins(10)
     assert bins.put(6, 1, 0) == (0, 0) and bins.put(7, 2, 0) == (1, 0)
