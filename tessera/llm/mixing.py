@@ -162,10 +162,12 @@ def mix_documents(docs: DataFrame, block: int = 256, **options) -> DataFrame:
 
     Slots that hold neighbouring words of one document within one pass over its source are joined to one row; a document
     taken whole keeps its text as it is, repeats are repeated rows, and a part keeps the white space between its words.
-    Rows of equal doc_id stay apart by their place in the stream.
+    Rows of equal doc_id stay apart by their place in the stream. Null, empty and blank texts have no words, so the mix takes nothing of them; null ids and
+    null sources count as values; extra columns stay; an empty table gives an empty result.
     """
     plan = mix(docs, block=block, **options)
-    counted = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text", n_words(F.col("text")).alias("_size"))
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    counted = docs.select(F.struct(F.lit(0).alias("_none_"), *others).alias("_doc"), "doc_id", "source", "text", n_words(F.col("text")).alias("_size"))
     begin = plan.sized.where("size > 0").select("sid", F.col("start").alias("row_start"), "doc_id", "size", "source")
     runs = taken_pieces(plan).join(begin, ["sid", "row_start"])
     low = F.col("block") * block + F.col("low") - F.col("row_start")
@@ -180,14 +182,21 @@ def mix_documents(docs: DataFrame, block: int = 256, **options) -> DataFrame:
     rank = F.dense_rank().over(Window.partitionBy("doc_id", "source", "size").orderBy("row_start"))
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), rank.alias("_rank"), F.col("low").alias("_low"), F.col("high").alias("_high"))
     same = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    counted = counted.withColumn("_row", F.row_number().over(same))
+    repeated = materialize(plan.sized.groupBy("doc_id", "source", "size").count().where("count > 1").select(*[F.col(c).alias(f"_{c}_") for c in ("doc_id", "source", "size")]), "repeated-keys")
+    equal = [F.col("doc_id").eqNullSafe(F.col("_doc_id_")), F.col("source").eqNullSafe(F.col("_source_")), F.col("_size") == F.col("_size_")]
+    if not repeated.isEmpty():  # else every row is the first of its kind, and texts move once
+        repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_SOURCES else repeated
+        several = counted.join(repeated, equal, "left_semi").withColumn("_row", F.row_number().over(same))
+        counted = counted.join(repeated, equal, "left_anti").withColumn("_row", F.lit(1)).unionByName(several)
+    else:
+        counted = counted.withColumn("_row", F.lit(1))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")) & (F.col("_row") == F.col("_rank"))
     mixed = counted.join(runs, on)
     spaced = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     part = F.regexp_replace(F.array_join(F.slice(spaced, (F.col("_low") + 1).cast("int"), (F.col("_high") - F.col("_low")).cast("int")), ""), "^" + GAP, "")
     whole = (F.col("_low") == 0) & (F.col("_high") == F.col("_size"))
     text = F.when(whole, F.col("text")).otherwise(part)
-    mixed = mixed.select(*[text.alias("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    mixed = mixed.select(*[text.alias("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns])
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed
