@@ -1,36 +1,64 @@
-"""Derived tables by name: each is a function of base tables and of other derived tables."""
+"""Derived tables by name: each is a function of base tables and of other derived tables, and is built once, in the order of what it takes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import partial
 
 from pyspark.sql import DataFrame
 
-from tessera.concepts import infusions, measurements, prescriptions, stays
+from tessera.concepts import bedside, comorbidity, firstday, infection, infusions, measurements, prescriptions, scores, stays
 
 LAB, CHART, INPUT, STAYS = "labevents", "chartevents", "inputevents", "icustays"
 
-#: name -> (function, the tables that it takes)
-CONCEPTS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
-    **{f.__name__: (f, (LAB,)) for f in (
-        measurements.chemistry, measurements.complete_blood_count, measurements.coagulation, measurements.enzyme, measurements.cardiac_marker, measurements.inflammation,
-        measurements.blood_differential,
-    )},
-    **{f.__name__: (f, (CHART,)) for f in (measurements.rhythm, measurements.ventilator_setting, measurements.vitalsign, measurements.icp, measurements.height)},
-    **{agent: (partial(infusions.infusion, agent=agent), (INPUT,)) for agent in infusions.AGENTS},
-    **{f.__name__: (f, (INPUT,)) for f in (infusions.neuroblock, infusions.vasoactive_agent)},
-    **{f.__name__: (f, ("prescriptions",)) for f in (prescriptions.acei, prescriptions.nsaid)},
-    "norepinephrine_equivalent_dose": (infusions.norepinephrine_equivalent_dose, ("vasoactive_agent",)),
-    "urine_output": (measurements.urine_output, ("outputevents",)),
-    "icustay_times": (stays.icustay_times, (CHART, STAYS)),
-    "icustay_hourly": (stays.icustay_hourly, ("icustay_times",)),
-    "age": (stays.age, ("admissions", "patients")),
-    "kdigo_creatinine": (stays.kdigo_creatinine, (LAB, STAYS)),
-    "first_day_vitalsign": (stays.first_day_vitalsign, (STAYS, "vitalsign")),
-    "first_day_urine_output": (stays.first_day_urine_output, (STAYS, "urine_output")),
-    "first_day_height": (stays.first_day_height, (STAYS, "height")),
+#: category -> name -> (function, the tables that it takes)
+CATEGORIES: dict[str, dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]]] = {
+    "demographics": {
+        "icustay_times": (stays.icustay_times, (CHART, STAYS)), "icustay_hourly": (stays.icustay_hourly, ("icustay_times",)), "age": (stays.age, ("admissions", "patients")),
+        "weight_durations": (bedside.weight_durations, (CHART, STAYS)), "icustay_detail": (comorbidity.icustay_detail, (STAYS, "admissions", "patients")),
+    },
+    "measurement": {
+        **{f.__name__: (f, (LAB,)) for f in (
+            measurements.chemistry, measurements.complete_blood_count, measurements.coagulation, measurements.enzyme, measurements.cardiac_marker, measurements.inflammation, measurements.blood_differential,
+        )},
+        **{f.__name__: (f, (CHART,)) for f in (measurements.rhythm, measurements.ventilator_setting, measurements.vitalsign, measurements.icp, measurements.height, bedside.gcs, bedside.oxygen_delivery)},
+        "bg": (bedside.bg, (LAB, CHART)), "urine_output": (measurements.urine_output, ("outputevents",)),
+        "urine_output_rate": (bedside.urine_output_rate, ("urine_output", "weight_durations", CHART, STAYS)),
+        "creatinine_baseline": (comorbidity.creatinine_baseline, ("age", "chemistry", "diagnoses_icd", "patients")),
+    },
+    "comorbidity": {"charlson": (comorbidity.charlson, ("admissions", "diagnoses_icd", "age"))},
+    "medication": {
+        **{agent: (partial(infusions.infusion, agent=agent), (INPUT,)) for agent in infusions.AGENTS},
+        **{f.__name__: (f, (INPUT,)) for f in (infusions.neuroblock, infusions.vasoactive_agent)},
+        **{f.__name__: (f, ("prescriptions",)) for f in (prescriptions.acei, prescriptions.nsaid)},
+        "antibiotic": (infection.antibiotic, ("prescriptions", STAYS)),
+        "norepinephrine_equivalent_dose": (infusions.norepinephrine_equivalent_dose, ("vasoactive_agent",)),
+    },
+    "treatment": {
+        "crrt": (bedside.crrt, (CHART,)), "rrt": (bedside.rrt, (CHART, INPUT, "procedureevents")), "invasive_line": (bedside.invasive_line, ("procedureevents", "d_items")),
+        "ventilation": (bedside.ventilation, ("ventilator_setting", "oxygen_delivery")),
+    },
+    "firstday": {
+        "first_day_vitalsign": (stays.first_day_vitalsign, (STAYS, "vitalsign")), "first_day_urine_output": (stays.first_day_urine_output, (STAYS, "urine_output")),
+        "first_day_height": (stays.first_day_height, (STAYS, "height")), "first_day_bg": (firstday.first_day_bg, ("bg", STAYS)), "first_day_bg_art": (firstday.first_day_bg_art, ("bg", STAYS)),
+        "first_day_gcs": (firstday.first_day_gcs, ("gcs", STAYS)), "first_day_lab": (firstday.first_day_lab, (*firstday.LABS, STAYS)), "first_day_rrt": (firstday.first_day_rrt, ("rrt", STAYS)),
+        "first_day_weight": (firstday.first_day_weight, ("weight_durations", STAYS)),
+        "first_day_sofa": (scores.first_day_sofa, (STAYS, "bg", "ventilation", "first_day_vitalsign", "first_day_lab", "first_day_urine_output", "first_day_gcs", *scores.PRESSORS)),
+    },
+    "organfailure": {
+        "kdigo_creatinine": (stays.kdigo_creatinine, (LAB, STAYS)), "kdigo_uo": (bedside.kdigo_uo, ("urine_output", "weight_durations", STAYS)),
+        "kdigo_stages": (scores.kdigo_stages, (STAYS, "kdigo_creatinine", "kdigo_uo", "crrt")), "meld": (scores.meld, (STAYS, "first_day_lab", "first_day_rrt")),
+    },
+    "score": {
+        "sofa": (scores.sofa, (STAYS, "icustay_hourly", "bg", "ventilation", "vitalsign", "gcs", "enzyme", "chemistry", "complete_blood_count", "urine_output_rate", *scores.PRESSORS)),
+        "sirs": (scores.sirs, (STAYS, "first_day_bg_art", "first_day_vitalsign", "first_day_lab")),
+        "oasis": (scores.oasis, (STAYS, "admissions", "age", "services", "ventilation", "first_day_gcs", "first_day_vitalsign", "first_day_urine_output")),
+    },
+    "sepsis": {
+        "suspicion_of_infection": (infection.suspicion_of_infection, ("antibiotic", "microbiologyevents")), "sepsis3": (infection.sepsis3, ("sofa", "suspicion_of_infection")),
+    },
 }
+CONCEPTS = {name: entry for group in CATEGORIES.values() for name, entry in group.items()}
 
 
 def build(name: str, read: Callable[[str], DataFrame]) -> DataFrame:
@@ -39,3 +67,49 @@ def build(name: str, read: Callable[[str], DataFrame]) -> DataFrame:
         return read(name)
     function, inputs = CONCEPTS[name]
     return function(*[build(x, read) for x in inputs])
+
+
+def order(names: Iterable[str] = CONCEPTS) -> list[str]:
+    """The derived tables that the named ones need, those that are taken first."""
+    found: dict[str, None] = {}
+
+    def visit(name: str) -> None:
+        if name in CONCEPTS and name not in found:
+            for source in CONCEPTS[name][1]:
+                visit(source)
+            found[name] = None
+
+    for name in names:
+        visit(name)
+    return list(found)
+
+
+def materialize_all(read: Callable[[str], DataFrame], write: Callable[[str, DataFrame], DataFrame], names: Iterable[str] = CONCEPTS) -> dict[str, DataFrame]:
+    """Write each derived table once, in order; write stores a table under its name and returns it as stored. The first failure stops the run."""
+    tables: dict[str, DataFrame] = {}
+    for name in order(names):
+        function, inputs = CONCEPTS[name]
+        for source in inputs:
+            if source not in tables:
+                tables[source] = read(source)
+        tables[name] = write(name, function(*[tables[x] for x in inputs]))
+    return {name: table for name, table in tables.items() if name in CONCEPTS}
+
+
+def save_as_tables(database: str) -> Callable[[str, DataFrame], DataFrame]:
+    """A write for materialize_all: tables of a database, which replace those of the same name; the database is made when the first is written."""
+
+    def write(name: str, table: DataFrame) -> DataFrame:
+        spark = table.sparkSession
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        table.write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
+        return spark.table(f"`{database}`.`{name}`")
+
+    return write
+
+
+def derived_tables(spark, database: str) -> dict[str, list[str]]:
+    """The derived tables of a database by category, sorted; categories without one are left out, as is all of a database that isn't there."""
+    there = {t.name for t in spark.catalog.listTables(database)} if spark.catalog.databaseExists(database) else set()
+    listed = {category: sorted(there & set(group)) for category, group in CATEGORIES.items()}
+    return {category: names for category, names in listed.items() if names}

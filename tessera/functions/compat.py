@@ -13,8 +13,8 @@ def round_scaled(x: Column, digits: int) -> Column:
 
 
 def decimal_text(x: Column) -> Column:
-    """A bare DECIMAL of the source queries: three decimals."""
-    return x.cast("decimal(18,3)")
+    """A bare DECIMAL of the source queries: three decimals, rounded on the scaled double."""
+    return round_scaled(x, 3).cast("decimal(18,3)")
 
 
 def divide(a: Column, b: Column) -> Column:
