@@ -9,15 +9,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.guard import QueryError, check_sql
+
 NULL_TOKENS = ("", "NULL", "NA", "N/A", "___")
 ROW_LIMIT = 50
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?$")
 
 
-class QueryError(ValueError):
-    """A request that is refused before anything runs."""
-
-
 @dataclass(frozen=True)
 class Dataset:
     name: str
@@ -71,16 +69,6 @@ def check_name(name: str) -> str:
     return name
 
 
-def check_sql(spark: SparkSession, sql: str) -> None:
-    """Accept one parsed query; commands, writes and several statements are refused by their plan, not by their words."""
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except Exception as error:
-        raise QueryError(f"not a query: {str(error).splitlines()[0]}") from error
-    if re.search(r"Command|CreateTable|CreateView|InsertInto|Drop|Delete|Update|Merge|Alter|Truncate|SetCatalog|CacheTable|Refresh", plan.getClass().getSimpleName() + plan.nodeName()):
-        raise QueryError("only queries are allowed")
-
-
 def execute_query(spark: SparkSession, sql: str) -> DataFrame:
     check_sql(spark, sql)
     return spark.sql(sql)
