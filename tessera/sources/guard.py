@@ -58,7 +58,7 @@ def check_sql(spark: SparkSession, sql: str) -> None:
         raise QueryError(f"not a query: {str(error).splitlines()[0]}") from error
     for node in _walk(plan):
         kind, name = node.getClass().getSimpleName(), node.getClass().getName()
-        if "expressions" not in name and not re.search(r"analysis\.Unresolved(Attribute|Function|Star|Alias|ExtractValue|Ordinal|RegEx|NamedLambda|FunctionName|Identifier|Subquery|Star|LambdaVariable)$", name) and kind not in QUERY_NODES:
+        if "expressions" not in name and not re.search(r"analysis\.Unresolved(Attribute|Function|Star|Alias|ExtractValue|Ordinal|RegEx|NamedLambda|FunctionName|Identifier|Subquery|LambdaVariable|Generator)$", name) and kind not in QUERY_NODES:
             raise QueryError(f"only queries are allowed, not {kind}")
         parts: list[str] = []
         if kind == "UnresolvedRelation":
@@ -69,6 +69,10 @@ def check_sql(spark: SparkSession, sql: str) -> None:
             called = ".".join(_items(node.name().toSeq())).lower()
             if called not in TABLE_FUNCTIONS:
                 raise QueryError(f"table function {called} is not allowed")
+        elif kind == "UnresolvedGenerator":
+            called = node.name().funcName().lower()
+            if called not in TABLE_FUNCTIONS:
+                raise QueryError(f"table function {called} is not allowed")
         elif kind == "UnresolvedFunction":
             called = [x.lower() for x in _items(node.nameParts().toSeq())][-1]
             if called in HOST_FUNCTIONS:
