@@ -64,6 +64,31 @@ def exclusion_bias(df: DataFrame, kept: Column, variables: Sequence[str]) -> Dat
     return row.select(F.lit(1).alias("one"), *smd).unpivot(["one"], list(variables), "variable_name", "smd").drop("one")
 
 
-def calibration(df: DataFrame, score: str, outcome: str, width: int = 10) -> DataFrame:
-    """Observed and expected rates by score band; expected comes from a probability column."""
-    return df.groupBy((F.floor(F.col(score) / width) * width).cast("long").alias("band")).agg(F.count("*").alias("n"), F.sum(outcome).alias("observed"))
+def calibration(df: DataFrame, score: str, outcome: str, probability: str, width: int = 10) -> DataFrame:
+    """Observed and expected events and rates by score band; what is expected comes from a probability column."""
+    band = (F.floor(F.col(score) / width) * width).cast("long").alias("band")
+    return df.groupBy(band).agg(
+        F.count("*").alias("n"), F.sum(outcome).alias("observed"), F.sum(probability).alias("expected"), F.avg(outcome).alias("observed_rate"), F.avg(probability).alias("expected_rate")
+    )
+
+
+def exclusion_flow(df: DataFrame, steps: Sequence[tuple[str, Column]], variables: Sequence[str], flag: float = 0.2, high: float = 0.3) -> DataFrame:
+    """step, label, variable_name, n_before, n_kept, n_excluded, n_missing, smd, bias: each step keeps rows of those that the steps before kept, and one pass over the rows counts all of them."""
+    reached = F.lit(True)
+    aggregates = []
+    for i, (_, keep) in enumerate(steps):
+        kept, out = reached & F.coalesce(keep, F.lit(False)), reached & ~F.coalesce(keep, F.lit(False))
+        aggregates += [F.count_if(reached).alias(f"n_{i}"), F.count_if(kept).alias(f"k_{i}")]
+        for v in variables:
+            aggregates += [F.count_if(reached & F.col(v).isNull()).alias(f"miss_{i}_{v}")]
+            aggregates += [f(F.when(side, F.col(v))).alias(f"{n}_{s}_{i}_{v}") for s, side in (("k", kept), ("x", out)) for n, f in (("m", F.avg), ("v", F.var_samp))]
+        reached = kept
+    row = df.agg(*aggregates)
+    lines = [
+        F.struct(
+            F.lit(i + 1).alias("step"), F.lit(label).alias("label"), F.lit(v).alias("variable_name"), F.col(f"n_{i}").alias("n_before"), F.col(f"k_{i}").alias("n_kept"), F.col(f"miss_{i}_{v}").alias("n_missing"),
+            standardised_difference(F.col(f"m_k_{i}_{v}"), F.col(f"v_k_{i}_{v}"), F.col(f"m_x_{i}_{v}"), F.col(f"v_x_{i}_{v}")).alias("smd"),
+        ) for i, (label, _) in enumerate(steps) for v in variables
+    ]
+    found = row.select(F.explode(F.array(*lines)).alias("r")).select("r.*").withColumn("n_excluded", F.col("n_before") - F.col("n_kept"))
+    return found.withColumn("bias", F.when(F.abs("smd") > high, "High").when(F.abs("smd") > flag, "Flagged").when(F.col("smd").isNotNull(), "Low"))

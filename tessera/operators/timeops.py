@@ -107,7 +107,7 @@ def sessions(df: DataFrame, key: str, order: list[str], time: str, status: str,
     before = F.lag(status).over(line)
     new = before.isNull() | gap | (before != F.col(status))
     marked = df.withColumn("_new", F.when(new, 1).otherwise(0))
-    marked = marked.withColumn("session", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("session", F.sum("_new").over(line))
     runs = marked.groupBy(key, status, "session").agg(F.min(time).alias("starttime"), F.max(time).alias("endtime"), F.count("*").alias("rows"))
     return runs.where(F.col("rows") >= least_rows)
 

@@ -63,9 +63,10 @@ def cohort_segment(t: Tables) -> DataFrame:
     return _cohort(t).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query("cohort_without_events", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey)")
+@query("cohort_without_events", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')")
 def cohort_without_events(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    urgent = t.orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return t.customer.join(urgent, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query(
@@ -98,9 +99,13 @@ def note_list(t: Tables) -> DataFrame:
     return catalog.list_notes(t.documents, "source", "doc_id", "text", "src3")
 
 
-@query("note_get", "SELECT doc_id, left(text, 500) AS text, length(text) AS original_length, length(text) > 500 AS truncated FROM documents WHERE doc_id = 11")
+@query(
+    "note_get",
+    """SELECT doc_id, left(text, 500) AS text, length(text) AS original_length, length(text) > 500 AS truncated FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY source)""",
+)
 def note_get(t: Tables) -> DataFrame:
-    return catalog.get_note(t.documents, "doc_id", "text", 11, most=500)
+    wanted = t.documents.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return catalog.get_notes(t.documents, "doc_id", "text", wanted, most=500)
 
 
 @query(
@@ -209,7 +214,7 @@ def prev_row_carry_6h(t: Tables) -> DataFrame:
     "sessionize_gap_status",
     """WITH l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pt, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS ps FROM events),
 n AS (SELECT *, CASE WHEN pt IS NULL OR epoch_us(ts) - epoch_us(ps) >= 50400000000 OR pt <> event_type THEN 1 ELSE 0 END AS new FROM l),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sess FROM n)
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sess FROM n)
 SELECT user_id, event_type, CAST(sess AS BIGINT) AS session, min(ts) AS starttime, max(ts) AS endtime, count(*) AS rows FROM s GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
 )
 def sessionize_gap_status(t: Tables) -> DataFrame:
@@ -346,7 +351,9 @@ SELECT l_orderkey, CAST(sum(w) AS BIGINT) AS plain, CAST(sum(DISTINCT w) AS BIGI
 def prefix_lookup_score(t: Tables) -> DataFrame:
     lookup = t.spark.createDataFrame([("PRO", 1), ("PROMO", 4), ("STA", 2), ("ECONO", 4), ("SMA", 1)], "prefix string, w int")
     coded = t.lineitem.select("l_orderkey", "l_partkey").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
-    best = codes.longest_prefix(coded.select("l_orderkey", "p_type").distinct(), lookup, "p_type", "prefix", (3, 4, 5), ["w"], ["l_orderkey"])
+    types = t.part.select("p_type").distinct()
+    weights = codes.longest_prefix(types, lookup, "p_type", "prefix", (3, 4, 5), ["w"], [])
+    best = coded.select("l_orderkey", "p_type").distinct().join(weights, "p_type")
     return best.groupBy("l_orderkey").agg(F.sum("w").alias("plain"), F.sum_distinct("w").alias("by_weight"))
 
 
@@ -375,8 +382,7 @@ def logistic_prob(t: Tables) -> DataFrame:
 
 @query("drug_like_class", "SELECT p_partkey, lower(p_name) LIKE '%green%' OR lower(p_name) LIKE '%blue%' OR lower(p_name) LIKE '%part%' AS hit FROM part")
 def drug_like_class(t: Tables) -> DataFrame:
-    names = t.part.select("p_name").distinct().withColumn("hit", compat.matches_any(F.col("p_name"), ("green", "blue", "part")))
-    return t.part.select("p_partkey", "p_name").join(names, "p_name").select("p_partkey", "hit")
+    return t.part.select("p_partkey", compat.matches_any(F.col("p_name"), ("green", "blue", "part")).alias("hit"))
 
 
 @query("listagg_distinct", "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY 1")
@@ -392,10 +398,13 @@ def ordered_codes_agg(t: Tables) -> DataFrame:
 
 @query(
     "calibration_deciles",
-    """SELECT CAST(floor(l_quantity / 10) * 10 AS BIGINT) AS band, count(*) AS n, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS observed FROM lineitem GROUP BY 1""",
+    """SELECT CAST(floor(l_quantity / 10) * 10 AS BIGINT) AS band, count(*) AS n, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS observed, round(sum(l_discount * 5), 6) AS expected,
+  round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS observed_rate, round(avg(l_discount * 5), 6) AS expected_rate FROM lineitem GROUP BY 1""",
 )
 def calibration_deciles(t: Tables) -> DataFrame:
-    return cohort.calibration(t.lineitem.withColumn("dead", F.when(F.col("l_returnflag") == "R", 1).otherwise(0)), "l_quantity", "dead")
+    lines = t.lineitem.select("l_quantity", F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("dead"), (F.col("l_discount") * 5).alias("risk"))
+    rates = cohort.calibration(lines, "l_quantity", "dead", "risk")
+    return rates.select("band", "n", "observed", *[F.round(c, 6).alias(c) for c in ("expected", "observed_rate", "expected_rate")])
 
 
 @query("smr", "SELECT l_linestatus, round(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / sum(l_discount * 5), 6) AS smr FROM lineitem GROUP BY 1")

@@ -45,7 +45,8 @@ def completeness(t: Tables) -> DataFrame:
     "class_diversity",
     f"""WITH {LONG_SQL}, c AS (SELECT {KEY}, Value, count(*) AS n FROM l WHERE Is_categorical = '1' AND Value <> '' GROUP BY 1, 2, 3),
 s AS (SELECT {KEY}, count(*) AS classes, sum(n) AS t, sum(CAST(n AS DOUBLE) * n) AS q FROM c GROUP BY 1, 2)
-SELECT {KEY}, classes, CASE WHEN classes = t THEN 100.0 ELSE round((1 - q / (CAST(t AS DOUBLE) * t)) * 100, 2) END AS diversity FROM s""",
+SELECT {KEY}, classes, CAST(t AS BIGINT) AS n, (SELECT round(-sum(c.n / s.t * log2(c.n / s.t)), 6) FROM c WHERE c.Original_table_name = s.Original_table_name AND c.Variable_name = s.Variable_name) AS shannon,
+  CASE WHEN classes = t THEN 100.0 ELSE round((1 - q / (CAST(t AS DOUBLE) * t)) * 100, 2) END AS diversity FROM s""",
 )
 def class_diversity(t: Tables) -> DataFrame:
     return metrics.class_diversity(_long(t))
@@ -73,16 +74,20 @@ def instance_diversity(t: Tables) -> DataFrame:
 @query(
     "range_validity",
     f"""WITH {LONG_SQL}, x AS (SELECT {KEY}, TRY_CAST(Value AS DOUBLE) AS x FROM l WHERE TRY_CAST(Value AS DOUBLE) IS NOT NULL),
-q AS (SELECT {KEY}, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM x GROUP BY 1, 2 HAVING count(*) > 1000)
-SELECT {KEY}, count(*) AS n, round(count(*) FILTER (WHERE x BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) * 100.0 / count(*), 2) AS validity FROM x JOIN q USING ({KEY}) GROUP BY 1, 2""",
+q AS (SELECT Variable_name, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM x GROUP BY 1 HAVING count(*) > 1000), y AS (SELECT {KEY}, x < a - 1.5 * (b - a) AS u, x > b + 1.5 * (b - a) AS o FROM x JOIN q USING (Variable_name))
+SELECT {KEY}, count(*) AS n, count(*) FILTER (WHERE u) AS n_under, count(*) FILTER (WHERE o) AS n_over, round(count(*) FILTER (WHERE NOT u AND NOT o) * 100.0 / count(*), 2) AS validity FROM y GROUP BY 1, 2""",
 )
 def range_validity(t: Tables) -> DataFrame:
     return metrics.range_validity(_long(t))
 
 
-@query("date_validity", f"WITH {LONG_SQL} SELECT {KEY}, count(*) AS n, round(count(TRY_CAST(Event_date AS TIMESTAMP)) * 100.0 / count(*), 2) AS validity FROM l GROUP BY 1, 2")
+#: Every tenth date is spoilt, in its day, its hour or by a word after it.
+SPOILT = "CASE Primary_key % 30 WHEN 0 THEN replace(Event_date, '-', '-9') WHEN 10 THEN replace(Event_date, ':', ':7') WHEN 20 THEN Event_date || ' x' ELSE Event_date END"
+
+
+@query("date_validity", f"WITH {LONG_SQL} SELECT {KEY}, count(*) AS n, round(count(try_strptime({SPOILT}, '%Y-%m-%d %H:%M:%S')) * 100.0 / count(*), 2) AS validity FROM l GROUP BY 1, 2")
 def date_validity(t: Tables) -> DataFrame:
-    return metrics.date_validity(_long(t).withColumn("Event_date", F.substring("Event_date", 1, 10)))
+    return metrics.date_validity(_long(t).withColumn("Event_date", F.expr(SPOILT)))
 
 
 @query(
@@ -106,12 +111,14 @@ def sequence_validity(t: Tables) -> DataFrame:
 
 @query(
     "preciseness",
-    f"""WITH {LONG_SQL}, d AS (SELECT {KEY}, CAST(round(TRY_CAST(Value AS DOUBLE)) AS BIGINT) % 10 AS d FROM l WHERE TRY_CAST(Value AS DOUBLE) IS NOT NULL),
-c AS (SELECT {KEY}, CASE WHEN d < 0 THEN d + 10 ELSE d END AS d, count(*) AS n FROM d GROUP BY 1, 2, 3)
-SELECT {KEY}, CAST(sum(n) AS BIGINT) AS n, round(1 - sum(CAST(n AS DOUBLE) * n) / (CAST(sum(n) AS DOUBLE) * sum(n)), 6) AS gini FROM c GROUP BY 1, 2 HAVING sum(n) > 1000""",
+    f"""WITH {LONG_SQL}, x AS (SELECT {KEY}, TRY_CAST(Value AS DOUBLE) AS x FROM l WHERE TRY_CAST(Value AS DOUBLE) IS NOT NULL),
+d AS (SELECT {KEY}, i, f, CAST(abs(round(round(x * 1000) * (f / 1000))) AS BIGINT) % 10 AS d FROM x, (VALUES (0, 1000.0), (1, 100.0), (2, 10.0), (3, 1.0), (4, 0.1)) AS s(i, f)),
+c AS (SELECT {KEY}, i, f, d, count(*) AS n FROM d GROUP BY ALL), p AS (SELECT {KEY}, i, f, sum(n) AS n, sum(CASE WHEN d = 0 THEN n ELSE 0 END) AS z, sum(CAST(n AS DOUBLE) * n) AS q FROM c GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY i) AS k FROM p WHERE n > 1000 AND (z <= 0.99 * n OR i = 4))
+SELECT {KEY}, CAST(n AS BIGINT) AS n, CAST(f AS DOUBLE) AS scale, round(1 - q / (CAST(n AS DOUBLE) * n), 6) AS gini FROM r WHERE k = 1""",
 )
 def preciseness(t: Tables) -> DataFrame:
-    return metrics.preciseness(_long(t), digits=0)
+    return metrics.preciseness(_long(t))
 
 
 @query(
@@ -119,8 +126,8 @@ def preciseness(t: Tables) -> DataFrame:
     """WITH b AS (SELECT lang AS by_lang, quality AS t, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS g FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL),
 c AS (SELECT by_lang, unnest([0, 1]) AS label FROM (SELECT DISTINCT by_lang FROM b)),
 s AS (SELECT c.by_lang, label, count(*) FILTER (WHERE t = label) AS a, count(*) FILTER (WHERE g = label) AS p, count(*) FILTER (WHERE t = label AND g = label) AS h FROM c JOIN b USING (by_lang) GROUP BY 1, 2),
-m AS (SELECT *, coalesce(h / nullif(p, 0), 0) AS pr, coalesce(h / nullif(a, 0), 0) AS re FROM s WHERE a + p > 0)
-SELECT by_lang, CAST(sum(a) AS BIGINT) AS n, round(sum(h) / sum(a), 3) AS accuracy, round(avg(pr), 3) AS macro_precision, round(avg(re), 3) AS macro_recall, round(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)), 3) AS macro_f1 FROM m GROUP BY 1""",
+m AS (SELECT *, CASE WHEN a > 0 AND sum(a) OVER (PARTITION BY by_lang) > a THEN (h / a + 1 - (p - h) / (sum(a) OVER (PARTITION BY by_lang) - a)) / 2 END AS area, coalesce(h / nullif(p, 0), 0) AS pr, coalesce(h / nullif(a, 0), 0) AS re FROM s WHERE a + p > 0)
+SELECT by_lang, round(avg(area), 3) AS auc, CAST(sum(a) AS BIGINT) AS n, round(sum(h) / sum(a), 3) AS accuracy, round(avg(pr), 3) AS macro_precision, round(avg(re), 3) AS macro_recall, round(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)), 3) AS macro_f1 FROM m GROUP BY 1""",
 )
 def classification(t: Tables) -> DataFrame:
     judged = t.labels.join(t.documents.select("doc_id", F.col("lang").alias("by_lang"), F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("guess")), "doc_id")
@@ -157,3 +164,70 @@ SELECT round(sum(q / t) / sum(t), 6) AS consistency FROM s""",
 def synonym_consistency(t: Tables) -> DataFrame:
     counts = t.part.groupBy(F.lower("p_brand").alias("g"), "p_brand").agg(F.count("*").alias("n"))
     return metrics.synonym_consistency(counts, "g", "n")
+
+
+# ---- kinds of mapping, sentences, context, attributes, answers ----
+
+KINDS = """k AS (SELECT *, CASE Variable_name WHEN 'cents' THEN 'event' WHEN 'o_orderstatus' THEN 'diagnosis' WHEN 'o_orderpriority' THEN 'procedure' WHEN 'event_type' THEN 'prescription' END AS kind FROM l)"""
+
+
+def _with_kinds(t: Tables) -> DataFrame:
+    kinds = {"cents": "event", "o_orderstatus": "diagnosis", "o_orderpriority": "procedure", "event_type": "prescription"}
+    return _long(t).withColumn("Mapping_info_1", F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("Variable_name")))
+
+
+FIDELITY_SQL = f"""WITH {LONG_SQL}, {KINDS}, p AS (SELECT kind, {KEY}, CASE WHEN kind <> 'event' THEN Value END AS item, Patient_id, count(*) AS n FROM k WHERE kind IS NOT NULL AND Value <> '' AND Patient_id IS NOT NULL GROUP BY ALL),
+f AS (SELECT kind, {KEY}, item, count(*) AS patients, round(avg(n), 2) AS mean_n, round(stddev_samp(n), 2) AS std_n FROM p GROUP BY ALL)"""
+
+
+@query("fidelity_by_kind", FIDELITY_SQL + " SELECT * FROM f")
+def fidelity_by_kind(t: Tables) -> DataFrame:
+    return metrics.fidelity_by_kind(_with_kinds(t))
+
+
+@query("fidelity_total", FIDELITY_SQL + " SELECT kind, CAST(sum(patients) AS BIGINT) AS patients, round(sum(mean_n * patients) / sum(patients), 2) AS mean_n FROM f GROUP BY 1")
+def fidelity_total(t: Tables) -> DataFrame:
+    return metrics.fidelity_total(metrics.fidelity_by_kind(_with_kinds(t)))
+
+
+@query(
+    "sentence_diversity",
+    """WITH s AS (SELECT lang, unnest(list_filter(list_transform(regexp_split_to_array(text, '\\n[ \\t]*\\n|[.!?]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')) AS w FROM documents),
+c AS (SELECT lang, w, count(*) AS n FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r, count(*) OVER (PARTITION BY lang) AS t FROM c)
+SELECT lang, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS types, round(count(*) * 100.0 / sum(n), 2) AS diversity, round(sum(CASE WHEN r <= floor(t * 5 / 100) THEN n ELSE 0 END) * 100.0 / sum(n), 2) AS cover_5,
+  round(sum(CASE WHEN r <= floor(t * 10 / 100) THEN n ELSE 0 END) * 100.0 / sum(n), 2) AS cover_10, round(sum(CASE WHEN r <= floor(t * 20 / 100) THEN n ELSE 0 END) * 100.0 / sum(n), 2) AS cover_20 FROM r GROUP BY 1""",
+)
+def sentence_diversity(t: Tables) -> DataFrame:
+    return metrics.sentence_diversity(t.documents, "text", "lang")
+
+
+@query(
+    "context_values",
+    """WITH o AS (SELECT user_id, ts, event_type AS name, max(value) AS value FROM events GROUP BY 1, 2, 3)
+SELECT event_id, (SELECT max_by(value, o.ts) FROM o WHERE o.user_id = p.user_id AND name = 'view' AND o.ts BETWEEN p.ts - INTERVAL 7 DAY AND p.ts) AS view,
+  (SELECT max_by(value, o.ts) FROM o WHERE o.user_id = p.user_id AND name = 'click' AND o.ts BETWEEN p.ts - INTERVAL 7 DAY AND p.ts) AS click FROM events p WHERE event_type = 'purchase'""",
+)
+def context_values(t: Tables) -> DataFrame:
+    bought = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    others = t.events.where("value is not null").select("user_id", "ts", F.col("event_type").alias("name"), "value")
+    return metrics.context_values(bought, others, "user_id", "ts", ("view", "click")).select("event_id", "view", "click")
+
+
+@query(
+    "attribute_score",
+    """SELECT event_id, CAST((ts IS NOT NULL)::INT + (user_id IS NOT NULL)::INT + (value IS NOT NULL)::INT + (nullif(event_type, 'error') IS NOT NULL)::INT AS INTEGER) AS present,
+  CAST(floor(((ts IS NOT NULL)::INT + (user_id IS NOT NULL)::INT + (value IS NOT NULL)::INT + (nullif(event_type, 'error') IS NOT NULL)::INT) * 100 / 4) AS INTEGER) AS score FROM events""",
+)
+def attribute_score(t: Tables) -> DataFrame:
+    return metrics.attribute_score(t.events.withColumn("event_type", F.nullif(F.col("event_type"), F.lit("error"))), "event_id", ["ts", "user_id", "value", "event_type"])
+
+
+@query(
+    "mention_rate",
+    """WITH a AS (SELECT o_orderpriority, count(*) FILTER (WHERE l_returnflag = 'R') AS y, count(*) FILTER (WHERE l_returnflag <> 'R') AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, l_orderkey),
+r AS (SELECT o_orderpriority, y * 100.0 / (x + y) AS rate FROM a) SELECT o_orderpriority, count(*) AS n, round(avg(rate), 2) AS mean_rate, round(stddev_samp(rate), 2) AS std_rate FROM r GROUP BY 1""",
+)
+def mention_rate(t: Tables) -> DataFrame:
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("line "), F.col("l_linenumber"), F.when(F.col("l_returnflag") == "R", ": Yes").otherwise(": no")).alias("line"))
+    answers = lines.groupBy("o_orderkey").agg(F.array_join(F.collect_list("line"), "\n").alias("answer")).join(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    return metrics.mention_rate(answers, "o_orderpriority", "answer")

@@ -57,6 +57,81 @@ def ingest_csv(spark: SparkSession, source: str, target: str, schema: str | None
     return spark.read.parquet(target)
 
 
+def ingest_tree(spark: SparkSession, root: str, target: str, dataset: Dataset) -> dict[str, str]:
+    """All CSV files (plain or compressed) below a folder, each to Parquet in the same place below target; one failure stops the whole job.
+
+    Returns the name of each table with its path. A file in a mapped folder belongs to that folder's schema, one in an unmapped folder to the only schema where there is just
+    one, else it is left out; without any mapping names are folder and stem, joined by an underscore.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    files = base.getFileSystem(conf).listFiles(base, True)
+    found: dict[str, str] = {}
+    prefix = base.getFileSystem(conf).makeQualified(base).toString().rstrip("/") + "/"
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        inner = path[len(prefix) :]
+        stem = re.sub(r"\.csv(\.\w+)?$", "", inner, flags=re.I)
+        if stem == inner:
+            continue
+        folder, _, name = stem.lower().rpartition("/")
+        table = table_name(dataset, folder, name)
+        if table:
+            ingest_csv(spark, path, f"{target.rstrip('/')}/{stem}.parquet")
+            found[table] = f"{target.rstrip('/')}/{stem}.parquet"
+    return found
+
+
+def table_name(dataset: Dataset, folder: str, stem: str) -> str | None:
+    schemas = sorted(set(dataset.schemas.values()))
+    if folder in dataset.schemas:
+        return f"{dataset.schemas[folder]}.{stem}"
+    if len(schemas) == 1:
+        return f"{schemas[0]}.{stem}"
+    return None if schemas else re.sub(r"[-./]", "_", f"{folder}_{stem}" if folder else stem)
+
+
+def create_views(spark: SparkSession, tables: dict[str, str]) -> list[str]:
+    """A database for each schema, and a table over each Parquet folder; names that stand for others are replaced."""
+    for name, path in tables.items():
+        schema, _, table = name.rpartition(".")
+        if schema:
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS `{check_name(schema)}`")
+            spark.sql(f"DROP TABLE IF EXISTS `{schema}`.`{table}`")
+            spark.catalog.createTable(f"{schema}.{table}", path, "parquet")
+        else:
+            spark.read.parquet(path).createOrReplaceTempView(check_name(table))
+    return sorted(tables)
+
+
+def table_list(spark: SparkSession, databases: list[str]) -> list[str]:
+    """Qualified names of the tables of some databases, sorted; bare names of temporary views where there are none."""
+    named = sorted(f"{d}.{t.name}" for d in databases if spark.catalog.databaseExists(d) for t in spark.catalog.listTables(d) if not t.isTemporary)
+    return named or sorted(t.name for t in spark.catalog.listTables() if t.isTemporary)
+
+
+def read_text_table(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """A delimited file as strings, of which only the empty one is missing: "None" and "NA" are values."""
+    raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("nullValue", "").option("mode", "FAILFAST").csv(path)
+    return raw
+
+
+def write_golden(df: DataFrame, path: str, keys: list[str]) -> dict[str, object]:
+    """One gzipped CSV in the order of the keys, nulls last, and its manifest: rows, columns and a checksum that doesn't depend on the order."""
+    df.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).coalesce(1).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+    rows, total = df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns))).first()
+    return {"path": path, "rows": rows, "columns": df.columns, "checksum": total}
+
+
+def as_text(df: DataFrame, limit: int = ROW_LIMIT) -> str:
+    """The first rows as lines, and how many there are where that isn't all."""
+    rows = df.limit(limit + 1).collect()
+    if not rows:
+        return "No results found"
+    lines = [" | ".join(df.columns), *[" | ".join("" if x is None else str(x) for x in r) for r in rows[:limit]]]
+    return "\n".join(lines + ([f"... {df.count()} total rows"] if len(rows) > limit else []))
+
+
 def register(spark: SparkSession, path: str, name: str) -> DataFrame:
     df = spark.read.parquet(path)
     df.createOrReplaceTempView(check_name(name).replace(".", "_"))
@@ -109,10 +184,15 @@ def search_notes(notes: DataFrame, note_id: str, text: str, query: str, limit: i
     return found.select(note_id, F.substring(F.col(text), start, F.lit(snippet)).alias("snippet"), F.length(text).alias("note_length")).orderBy(note_id).limit(limit)
 
 
-def get_note(notes: DataFrame, note_id: str, text: str, wanted: int | str, most: int | None = None) -> DataFrame:
+def get_notes(notes: DataFrame, note_id: str, text: str, wanted: DataFrame, most: int | None = None) -> DataFrame:
+    """The notes whose ids stand in wanted (a column named note_id), each once, cut to `most` characters."""
     body = F.left(F.col(text), F.lit(_limit(most, 200_000))) if most else F.col(text)
     cut = F.length(text) > most if most else F.lit(False)
-    return notes.where(F.col(note_id) == wanted).select(note_id, body.alias("text"), F.length(text).alias("original_length"), cut.alias("truncated"))
+    return notes.join(wanted.select(note_id), note_id, "left_semi").select(note_id, body.alias("text"), F.length(text).alias("original_length"), cut.alias("truncated"))
+
+
+def get_note(notes: DataFrame, note_id: str, text: str, wanted: int | str, most: int | None = None) -> DataFrame:
+    return get_notes(notes, note_id, text, notes.where(F.col(note_id) == wanted).select(note_id).distinct(), most)
 
 
 def list_notes(notes: DataFrame, person: str, note_id: str, text: str, wanted: int | str, limit: int = 20) -> DataFrame:
