@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -81,7 +82,7 @@ def twelve_leads(df: DataFrame, first: str, second: str) -> DataFrame:
     return df.withColumns({name: F.zip_with(F.col(first).cast("array<double>"), F.col(second).cast("array<double>"), rule) for name, rule in rules.items()})
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def int16_samples(encoded: pd.Series) -> pd.Series:
     """Base64 text of little-endian 16-bit samples as numbers; null for null."""
     import base64

@@ -10,14 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import clinical_queries, concept_queries, quality_queries
+from tessera.plans import clinical_queries, concept_queries, quality_queries, relational_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return clinical_queries.QUERIES | quality_queries.QUERIES | concept_queries.QUERIES
+    return clinical_queries.QUERIES | quality_queries.QUERIES | relational_queries.QUERIES | concept_queries.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return clinical_queries.ORACLES | quality_queries.ORACLES | concept_queries.ORACLES
+    return clinical_queries.ORACLES | quality_queries.ORACLES | relational_queries.ORACLES | concept_queries.ORACLES

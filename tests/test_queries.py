@@ -9,7 +9,7 @@ import pytest
 from tessera.plans.registry import oracles, queries
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels conversations embeddings".split()
 
 
 @pytest.fixture(scope="module")
