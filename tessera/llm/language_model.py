@@ -1,8 +1,9 @@
 """Scoring texts by a subword lattice (operator 10).
 
 The model: a text is its words and an end mark. A word's probability is the sum over all ways to spell it with the pieces
-of an existing vocabulary, each spelling weighing the product of its pieces' probabilities. Piece probabilities are
-relative frequencies in the training texts. The sum is a forward recursion in log space.
+of an existing vocabulary, each spelling weighing the product of its pieces' probabilities. The sum is a forward recursion in log space.
+The vocabulary at hand is of the BPE kind, whose scores are ranks, so piece probabilities are learned from the training texts: they start as
+frequencies in the vocabulary's own spelling, and are then expected frequencies over all spellings (forward and backward, one pass of expectation maximisation).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from tessera.session import materialize
 HEAD = 1 << 17
 #: Longest words, in code points, that are spelled out many at a time.
 SHORT = 40
+_LOG2 = float(np.log10(2.0))
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MARK = "▁"
@@ -83,13 +85,15 @@ def piece_counts(counts: DataFrame, vocabulary: str) -> DataFrame:
 class Lattice:
     """Log10 probabilities of words under piece probabilities; unknown characters are spelled by their bytes."""
 
-    def __init__(self, pieces: list[str], log10p: np.ndarray, byte_log10p: np.ndarray):
+    def __init__(self, pieces: list[str], log10p: np.ndarray, byte_log10p: np.ndarray, ids: np.ndarray | None = None, byte_ids: np.ndarray | None = None):
+        self.ids, self.byte_ids = np.arange(len(pieces)) if ids is None else ids, np.arange(256) if byte_ids is None else byte_ids
+        self.index = {p: i for i, p in enumerate(pieces)}
         self.by_name = dict(zip(pieces, log10p.tolist(), strict=True))
         self.longest = max(map(len, pieces))
         self.bytes = byte_log10p
         hashed = np.array([self._hash(np.array(list(map(ord, p)), np.uint64)[None])[0] for p in pieces], np.uint64)
         order = np.argsort(hashed)
-        self.hashes, self.values = hashed[order], log10p[order]
+        self.hashes, self.values, self.order = hashed[order], log10p[order], order
 
     @staticmethod
     def _hash(points: np.ndarray) -> np.ndarray:
@@ -164,7 +168,93 @@ class Lattice:
         return top + np.log10((10.0 ** (stacked - top)).sum(axis=0))
 
 
-def learn_lattice(found: list[tuple[int, int]], ends: int, vocabulary: str, smoothing: float = 0.5) -> tuple[Lattice, float]:
+    def expected(self, words: list[str], uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected uses of each piece and each byte over all spellings of words that occur so often."""
+        pieces, by_byte = np.zeros(len(self.index)), np.zeros(256)
+        lengths = np.array([len(w) for w in words])
+        for length in np.unique(lengths):
+            at = np.flatnonzero(lengths == length)
+            if length > SHORT:
+                for i in at:
+                    self._expected_one(words[i], float(uses[i]), pieces, by_byte)
+                continue
+            for low in range(0, len(at), 4000):
+                some = at[low : low + 4000]
+                points = np.frombuffer("".join(MARK + words[i] for i in some).encode("utf-32-le"), np.uint32).reshape(len(some), length + 1).astype(np.uint64)
+                self._expected_many(points, uses[some].astype(np.float64), pieces, by_byte)
+        return pieces, by_byte
+
+    def _expected_one(self, word: str, uses: float, pieces: np.ndarray, by_byte: np.ndarray) -> None:
+        text = MARK + word
+        arcs: list[tuple[int, int, int, float]] = []
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - self.longest), end):
+                if text[start:end] in self.by_name:
+                    arcs.append((start, end, self.index[text[start:end]], self.by_name[text[start:end]]))
+            if text[end - 1] not in self.by_name:
+                arcs.append((end - 1, end, -1, self._by_bytes(text[end - 1])))
+        alpha, beta = np.full(len(text) + 1, -np.inf), np.full(len(text) + 1, -np.inf)
+        alpha[0] = beta[-1] = 0.0
+        for start, end, _, p in arcs:
+            alpha[end] = np.logaddexp2((alpha[start] + p) / _LOG2, alpha[end] / _LOG2) * _LOG2
+        for start, end, _, p in sorted(arcs, key=lambda a: -a[0]):
+            beta[start] = np.logaddexp2((beta[end] + p) / _LOG2, beta[start] / _LOG2) * _LOG2
+        for start, end, piece, p in arcs:
+            share = uses * 10.0 ** (alpha[start] + p + beta[end] - alpha[-1])
+            if piece >= 0:
+                pieces[piece] += share
+            else:
+                np.add.at(by_byte, list(text[start].encode()), share)
+
+    def _expected_many(self, points: np.ndarray, uses: np.ndarray, pieces: np.ndarray, by_byte: np.ndarray) -> None:
+        n, length = points.shape
+        mixed = mix(points + np.uint64(1))
+        arcs: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # start, end, place of the piece in hash order (-1: bytes), log10 probability
+        for start in range(length):
+            value = np.zeros(n, np.uint64)
+            for end in range(start + 1, min(length, start + self.longest) + 1):
+                value = value * np.uint64(_PRIME) + mixed[:, end - 1]
+                at = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
+                hit = self.hashes[at] == value
+                p, at = np.where(hit, self.values[at], -np.inf), np.where(hit, at, -1)
+                if end == start + 1:
+                    for row in np.flatnonzero(~hit):
+                        p[row] = self._by_bytes(chr(int(points[row, start])))
+                if np.isfinite(p).any():
+                    arcs.append((start, end, at, p))
+        alpha, beta = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
+        alpha[0] = beta[length] = 0.0
+        for start, end, _, p in arcs:  # by start, so what enters a place is complete before it is left
+            alpha[end] = np.logaddexp2((alpha[start] + p) / _LOG2, alpha[end] / _LOG2) * _LOG2
+        for start, end, _, p in reversed(arcs):
+            beta[start] = np.logaddexp2((beta[end] + p) / _LOG2, beta[start] / _LOG2) * _LOG2
+        for start, end, at, p in arcs:
+            share = uses * 10.0 ** (alpha[start] + p + beta[end] - alpha[length])
+            known = at >= 0
+            np.add.at(pieces, self.order[at[known]], share[known])
+            if end == start + 1:
+                for row in np.flatnonzero(~known):
+                    np.add.at(by_byte, list(chr(int(points[row, start])).encode()), share[row])
+
+
+def expected_counts(counts: DataFrame, lattice: Lattice) -> list[tuple[int, float]]:
+    """(piece, expected uses in the training words), at most a row for each piece of the vocabulary; counted in millionths, so that sums don't depend on their order."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, by_byte = np.zeros(len(lattice.index)), np.zeros(256)
+        for batch in batches:
+            more = lattice.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+            pieces += more[0]
+            by_byte += more[1]
+        ids, n = np.concatenate((lattice.ids, lattice.byte_ids)), np.round(np.concatenate((pieces, by_byte)) * 1e6).astype(np.int64)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(n[used])], names=["piece", "n"])
+
+    rows = counts.where("train > 0").select("word", "train").mapInArrow(count, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return [(r["piece"], r["n"] / 1e6) for r in rows.collect()]
+
+
+def learn_lattice(found: list[tuple[int, float]], ends: int, vocabulary: str, smoothing: float = 0.5) -> tuple[Lattice, float]:
     """(lattice, log10 probability of the end mark) from counts of pieces; every piece counts smoothing more."""
     processor = _vocabulary(vocabulary)
     size = processor.get_piece_size()
@@ -174,15 +264,17 @@ def learn_lattice(found: list[tuple[int, int]], ends: int, vocabulary: str, smoo
     special = [i for i in range(size) if processor.is_control(i) or processor.is_unknown(i)]
     weight[special] = 0
     total = weight.sum() + ends + smoothing
-    byte = np.zeros(256)
-    names, values = [], []
+    byte, byte_ids = np.zeros(256), np.zeros(256, np.int64)
+    names, values, ids = [], [], []
     for i in range(size):
         if processor.is_byte(i):
             byte[int(processor.id_to_piece(i)[1:-1], 16)] = np.log10(weight[i] / total)
+            byte_ids[int(processor.id_to_piece(i)[1:-1], 16)] = i
         elif i not in special:
             names.append(processor.id_to_piece(i))
             values.append(np.log10(weight[i] / total))
-    return Lattice(names, np.array(values), byte), float(np.log10((ends + smoothing) / total))
+            ids.append(i)
+    return Lattice(names, np.array(values), byte, np.array(ids), byte_ids), float(np.log10((ends + smoothing) / total))
 
 
 def score_documents(docs: DataFrame, vocabulary: str, head: int = HEAD) -> DataFrame:
@@ -199,7 +291,8 @@ def score_documents(docs: DataFrame, vocabulary: str, head: int = HEAD) -> DataF
     totals = counts.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.when(F.col("train") > 0, 1))).first()
     train_tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
     found = [(r["piece"], r["n"]) for r in piece_counts(counts, vocabulary).collect()]  # at most a row per piece of the vocabulary
-    lattice, end_score = learn_lattice(found, ends, vocabulary)
+    first, _ = learn_lattice(found, ends, vocabulary)
+    lattice, end_score = learn_lattice(expected_counts(counts, first), ends, vocabulary)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -420,3 +420,40 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
         columns, docs = docs.columns, stage(spark, docs, str(tmp_path))
         assert docs.columns == columns
     assert {"doc_id", "bin"} <= set(corpus_pipeline.run(spark, str(tmp_path)).columns)
+
+
+def test_expected_uses_of_pieces_are_those_over_all_spellings():
+    """Against a list of every spelling, for short words and for one beyond the length that is handled at once."""
+    names = [language_model.MARK, "a", "b", "ab", language_model.MARK + "a", "ba", "bab"]
+    lattice = language_model.Lattice(names, np.log10(np.array([0.2, 0.1, 0.15, 0.2, 0.1, 0.05, 0.1])), np.full(256, -3.0))
+
+    def spellings(text):
+        if not text:
+            yield [], 0.0
+        for name in names:
+            if text and text.startswith(name):
+                yield from (([name, *rest], lattice.by_name[name] + p) for rest, p in spellings(text[len(name) :]))
+        if text and text[0] not in names:
+            yield from (([text[0].encode(), *rest], lattice._by_bytes(text[0]) + p) for rest, p in spellings(text[1:]))
+
+    uses = {"ab": 3, "bab": 2, "a\u00e9b": 1}
+    pieces, by_byte = lattice.expected(list(uses), np.array(list(uses.values())))
+    want, want_bytes = Counter(), np.zeros(256)
+    for word, n in uses.items():
+        every = list(spellings(language_model.MARK + word))
+        total = sum(10**p for _, p in every)
+        assert np.isclose(lattice.one(word), np.log10(total)) and np.isclose(lattice.many([word])[0], np.log10(total))
+        for parts, p in every:
+            for part in parts:
+                if isinstance(part, bytes):
+                    for b in part:
+                        want_bytes[b] += n * 10**p / total
+                else:
+                    want[part] += n * 10**p / total
+    assert np.allclose(pieces, [want[x] for x in names]) and np.allclose(by_byte, want_bytes)
+    long = "ab" * 30
+    one, many = np.zeros(len(names)), np.zeros(len(names))
+    lattice._expected_one(long, 2.0, one, np.zeros(256))
+    points = np.frombuffer((language_model.MARK + long).encode("utf-32-le"), np.uint32)[None].astype(np.uint64)
+    lattice._expected_many(points, np.array([2.0]), many, np.zeros(256))
+    assert np.allclose(one, many)
