@@ -178,8 +178,8 @@ class Lattice:
                 for i in at:
                     self._expected_one(words[i], float(uses[i]), pieces, by_byte)
                 continue
-            for low in range(0, len(at), 4000):
-                some = at[low : low + 4000]
+            for low in range(0, len(at), 2000):
+                some = at[low : low + 2000]
                 points = np.frombuffer("".join(MARK + words[i] for i in some).encode("utf-32-le"), np.uint32).reshape(len(some), length + 1).astype(np.uint64)
                 self._expected_many(points, uses[some].astype(np.float64), pieces, by_byte)
         return pieces, by_byte

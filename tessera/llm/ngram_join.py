@@ -565,6 +565,10 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> D
     return found.unionByName(lost)
 
 
+#: Names of working columns that no table is expected to have.
+KEY, AGAIN, NTH = "_tessera_text_hash", "_tessera_again", "_tessera_nth"
+
+
 def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the least (doc_id, hash of its text) stays.
 
@@ -577,10 +581,10 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFram
     firsts = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     keys = nodes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.bool_and(F.col("node").isNull()).alias("wordless"))
     best = keys.where("not wordless").join(firsts.select("first.doc_id", "first.text_hash"), ["doc_id", "text_hash"], "left_semi")
-    best = materialize(best.unionByName(keys.where("wordless")).select("doc_id", F.col("text_hash").alias("_hash"), (F.col("n") > 1).alias("_again")), "best")
-    again = best.where("_again").select("doc_id", "_hash")
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    single = hashed.join(best.where("not _again"), ["doc_id", "_hash"], "left_semi").select(docs.columns)
-    order = Window.partitionBy("doc_id", "_hash").orderBy(F.xxhash64(*docs.columns))
-    several = hashed.join(again, ["doc_id", "_hash"], "left_semi").withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(docs.columns)
+    best = materialize(best.unionByName(keys.where("wordless")).select("doc_id", F.col("text_hash").alias(KEY), (F.col("n") > 1).alias(AGAIN)), "best")
+    again = best.where(AGAIN).select("doc_id", KEY)
+    hashed = docs.withColumn(KEY, F.xxhash64("text"))
+    single = hashed.join(best.where(~F.col(AGAIN)), ["doc_id", KEY], "left_semi").select(docs.columns)
+    order = Window.partitionBy("doc_id", KEY).orderBy(F.xxhash64(*docs.columns))
+    several = hashed.join(again, ["doc_id", KEY], "left_semi").withColumn(NTH, F.row_number().over(order)).where(F.col(NTH) == 1).select(docs.columns)
     return single.unionByName(several).unionByName(docs.where("doc_id is null"))

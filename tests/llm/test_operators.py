@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import batches, graph, language_model, licenses, mixing, ngram_join, packing, personal, quality, sharding, tokens, vectors, words
@@ -457,3 +458,60 @@ def test_expected_uses_of_pieces_are_those_over_all_spellings():
     points = np.frombuffer((language_model.MARK + long).encode("utf-32-le"), np.uint32)[None].astype(np.uint64)
     lattice._expected_many(points, np.array([2.0]), many, np.zeros(256))
     assert np.allclose(one, many)
+
+
+def awkward(spark):
+    """Null ids, ids and rows that repeat, null and blank texts, ties, columns with clashing names."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(3, 90))) for _ in range(12)] + [None, "", "  "]
+    rows = [(None if i % 5 == 0 else i % 7, t, None if i % 4 == 0 else "s", "x", i, "r") for i, t in enumerate(texts)] * 2
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, size string, _hash long, _rank string")
+
+
+def test_null_and_repeated_ids_lose_no_row(spark):
+    docs, public = awkward(spark), pytest.importorskip("public_tokenizers")
+    n = docs.count()
+    runs = {
+        "mixing": mixing.mix_counts(docs, block=16), "personal": personal.find_personal(docs), "masked": personal.mask_personal(docs), "sharding": sharding.shard_by_size(docs, 5),
+        "quality": quality.quality_verdicts(docs), "licenses": licenses.scan_licenses(docs), "join": ngram_join.ngram_jaccard_join(docs, 2, 0.5), "scores": language_model.score_documents(docs, str(public.path("piece_bpe_32k.model"))),
+    }
+    assert {name: df.count() for name, df in runs.items()} == dict.fromkeys(runs, n)
+    packed = packing.best_fit_pack(docs, capacity=1000)
+    assert packed.count() == n
+    kept = ngram_join.one_of_each(docs, 2, 0.5)
+    assert kept.columns == docs.columns and {(r["_hash"], r["_rank"]) for r in kept.collect()} <= {(i, "r") for i in range(15)}
+    mixed = mixing.mix_documents(docs, block=16)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+
+
+def test_shards_are_those_of_plain_prefix_sums(docs):
+    xxhash = pytest.importorskip("xxhash")
+    shards, rows = 7, []
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        value = xxhash.xxh64_intdigest(raw, seed=42)
+        rows.append((value - (1 << 64) if value >> 63 else value, zlib.crc32(raw), r["doc_id"], len(raw) + 16))
+    rows.sort()
+    target, largest, low, place = sum(r[3] for r in rows) / shards, max(r[3] for r in rows), 0, []
+    for r in rows:
+        place.append((low, low + r[3]))
+        low += r[3]
+    want = {}
+    for r, (low, high) in zip(rows, place, strict=True):
+        group = [p for q, p in zip(rows, place, strict=True) if q[:2] == r[:2]]
+        first, end = group[0][0], group[-1][1]
+        whole = len(group) > 1 and end - first <= max(sharding.SLACK * target, largest) and first // target < (end - 1) // target
+        want[r[2]] = min(int(((first + end) / 2 if whole else (low + high) / 2) // target), shards - 1)
+    found = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_by_size(docs, shards).collect()}
+    assert {i: s for i, (s, _) in found.items()} == want
+    slots = Counter()
+    for r in rows:
+        assert found[r[2]][1] == slots[want[r[2]]]
+        slots[want[r[2]]] += 1
+
+
+def test_the_pipeline_takes_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    awkward(spark).limit(0).withColumn("n_chars", F.lit(1).cast("long")).write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
