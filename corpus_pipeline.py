@@ -13,27 +13,29 @@ from tessera.session import materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and so do null, empty and blank texts, which have no words. Null and equal ids are rows like others; all columns stay; an
+    empty table gives an empty one (so in every stage)."""
     return quality_filter(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One row of each group of near duplicates stays: that of the least (id, hash of the text). Rows without an id stay; of rows that repeat id and text one stays."""
     return one_of_each(docs, k=5, threshold=0.8)
 
 
 def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to the names of its kinds."""
+    """Personal data gives way to the names of its kinds; every row stays."""
     return mask_personal(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source is thinned out or repeated to its target; a row is what the mix takes from a document in one place."""
+    """Each source is thinned out or repeated to its target; a row is what the mix takes from a document in one place. Documents
+    of which the mix takes nothing go, as its targets have it."""
     return mix_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of the mix are packed into bins; repeats of a text and texts of one source share none."""
+    """Rows of the mix are packed into bins; repeats of a text and texts of one source share none. All rows are returned."""
     return best_fit_pack(docs)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -37,6 +36,8 @@ def scratch_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -68,9 +69,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, rather than whenever the driver's memory runs short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
