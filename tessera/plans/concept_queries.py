@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import concepts
+from tessera.functions.compat import round_scaled
 from tessera.plans.clinical_base import SOURCES, TWIN_SLOTS, base_sql, base_table
 from tessera.plans.concept_twins import TWINS
 from tessera.session import materialize
@@ -36,7 +37,7 @@ def _plan(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _plain(table: DataFrame) -> DataFrame:
     """Fractions as doubles of DIGITS digits, so that sums in another order compare equal."""
     fraction = (T.DoubleType, T.DecimalType)
-    return table.select(*[F.round(F.col(f.name).cast("double"), DIGITS).alias(f.name) if isinstance(f.dataType, fraction) else F.col(f.name) for f in table.schema])
+    return table.select(*[round_scaled(F.col(f.name), DIGITS).alias(f.name) if isinstance(f.dataType, fraction) else F.col(f.name) for f in table.schema])
 
 
 def _query(name: str):
