@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from tessera.concepts import bedside, comorbidity, firstday, infection, infusions, measurements, prescriptions, scores, stays
+from tessera.concepts import bedside, comorbidity, elixhauser, firstday, infection, infusions, measurements, prescriptions, scores, severity, stays
 
 LAB, CHART, INPUT, STAYS = "labevents", "chartevents", "inputevents", "icustays"
 
@@ -52,12 +52,19 @@ CATEGORIES: dict[str, dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]
     "score": {
         "sofa": (scores.sofa, (STAYS, "icustay_hourly", "bg", "ventilation", "vitalsign", "gcs", "enzyme", "chemistry", "complete_blood_count", "urine_output_rate", *scores.PRESSORS)),
         "sirs": (scores.sirs, (STAYS, "first_day_bg_art", "first_day_vitalsign", "first_day_lab")),
+        "lods": (severity.lods, (STAYS, CHART, "bg", "ventilation", "first_day_gcs", "first_day_vitalsign", "first_day_lab", "first_day_urine_output")),
+        "sapsii": (severity.sapsii, (
+            STAYS, "admissions", "age", "services", "diagnoses_icd", CHART, "bg", "ventilation", "gcs", "vitalsign", "urine_output", "chemistry", "complete_blood_count", "enzyme",
+        )),
+        "apsiii": (severity.apsiii, (STAYS, "diagnoses_icd", "bg", "ventilation", "first_day_gcs", "first_day_vitalsign", "first_day_urine_output", "first_day_lab")),
         "oasis": (scores.oasis, (STAYS, "admissions", "age", "services", "ventilation", "first_day_gcs", "first_day_vitalsign", "first_day_urine_output")),
     },
     "sepsis": {
         "suspicion_of_infection": (infection.suspicion_of_infection, ("antibiotic", "microbiologyevents")), "sepsis3": (infection.sepsis3, ("sofa", "suspicion_of_infection")),
     },
 }
+#: Tables made like these on request, but not among those that are written together.
+EXTRA = {"elixhauser": (elixhauser.elixhauser, ("admissions", "diagnoses_icd"))}
 CONCEPTS = {name: entry for group in CATEGORIES.values() for name, entry in group.items()}
 
 

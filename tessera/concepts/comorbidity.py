@@ -51,7 +51,7 @@ GRADED = ("mild_liver_disease", "severe_liver_disease", "diabetes_with_cc", "dia
 KIDNEY_CODES = {9: "585", 10: "N18"}
 
 
-def _has(code: Column, version: Column, groups: tuple[tuple, tuple]) -> Column:
+def has_code(code: Column, version: Column, groups: tuple[tuple, tuple]) -> Column:
     out = F.lit(False)
     for number, prefixes in zip((9, 10), groups, strict=True):
         test = starts_with_any(code, [p for p in prefixes if isinstance(p, str)])
@@ -61,9 +61,14 @@ def _has(code: Column, version: Column, groups: tuple[tuple, tuple]) -> Column:
     return out
 
 
+def flags_of(diagnoses: DataFrame, groups: dict[str, tuple[tuple, tuple]]) -> DataFrame:
+    """hadm_id and a 0/1 column for each group, in one aggregation."""
+    return diagnoses.groupBy("hadm_id").agg(*[F.max(F.when(has_code(F.col("icd_code"), F.col("icd_version"), g), 1).otherwise(0)).alias(n) for n, g in groups.items()])
+
+
 def charlson(admissions: DataFrame, diagnoses: DataFrame, age: DataFrame) -> DataFrame:
     """Seventeen groups of diagnoses by admission and their weighted sum with the points of age; of a mild and a severe group the worse counts."""
-    flags = diagnoses.groupBy("hadm_id").agg(*[F.max(F.when(_has(F.col("icd_code"), F.col("icd_version"), g), 1).otherwise(0)).alias(n) for n, g in CHARLSON.items()])
+    flags = flags_of(diagnoses, CHARLSON)
     points = F.when(F.col("age") <= AGE_POINTS[0][0], AGE_POINTS[0][1])
     for limit, n in AGE_POINTS[1:]:
         points = points.when(F.col("age") <= limit, n)

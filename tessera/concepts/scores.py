@@ -92,6 +92,14 @@ def _invasive(ventilation: DataFrame) -> DataFrame:
     return ventilation.where("ventilation_status = 'InvasiveVent'").select(F.col("stay_id").alias("v_stay"), F.col("starttime").alias("v_start"), F.col("endtime").alias("v_end"))
 
 
+def ventilated_first_day(icustays: DataFrame, ventilation: DataFrame) -> DataFrame:
+    """stay_id, mechvent: 1 where invasive ventilation begins or ends on the first day, or covers it."""
+    day, low, high = F.expr("interval 1 day"), F.col("v_start"), F.col("v_end")
+    touches = (low.between(F.col("intime"), F.col("intime") + day)) | (high.between(F.col("intime"), F.col("intime") + day)) | ((low <= F.col("intime")) & (high >= F.col("intime") + day))
+    joined = icustays.select("stay_id", "intime").join(_invasive(ventilation), (F.col("stay_id") == F.col("v_stay")) & touches, "left")
+    return joined.groupBy("stay_id").agg(F.max(F.col("v_stay").isNotNull().cast("int")).alias("mechvent"))
+
+
 def _ratios(rows: DataFrame, ventilation: DataFrame, by: list[str]) -> DataFrame:
     """Least oxygenation ratio with and without invasive ventilation; rows: stay_id, charttime, pao2fio2ratio."""
     inside = (F.col("stay_id") == F.col("v_stay")) & (F.col("charttime") >= F.col("v_start")) & (F.col("charttime") <= F.col("v_end"))
@@ -213,9 +221,7 @@ def oasis(icustays, admissions, age, services, ventilation, scale, vitals, urine
     wards = services.select(F.col("hadm_id").alias("h"), "transfertime", "curr_service")
     surgical = F.lower("curr_service").contains("surg") | (F.col("curr_service") == "ORTHO")
     flags = stays.join(wards, (F.col("hadm_id") == F.col("h")) & (F.col("transfertime") < F.col("intime") + day), "left").groupBy("stay_id").agg(F.max(F.when(surgical, 1).otherwise(0)).alias("surgical"))
-    low, high = F.col("v_start"), F.col("v_end")
-    touches = (low.between(F.col("intime"), F.col("intime") + day)) | (high.between(F.col("intime"), F.col("intime") + day)) | ((low <= F.col("intime")) & (high >= F.col("intime") + day))
-    vent = stays.join(_invasive(ventilation), (F.col("stay_id") == F.col("v_stay")) & touches, "left").groupBy("stay_id").agg(F.max(F.col("v_stay").isNotNull().cast("int")).alias("mechvent"))
+    vent = ventilated_first_day(icustays, ventilation)
     entered = admissions.select("hadm_id", "admittime", "admission_type")
     rows = icustays.join(entered, "hadm_id").join(age.select("hadm_id", "age"), "hadm_id", "left")
     rows = _by_stay(rows, flags, vent, scale.select("stay_id", "gcs_min"), vitals, urine)

@@ -30,7 +30,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _plan(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name in SOURCES:
         return base_table(spark, name, [_table(spark, folder, x) for x in SOURCES[name]])
-    function, inputs = concepts.CONCEPTS[name]
+    function, inputs = (concepts.CONCEPTS | concepts.EXTRA)[name]
     return function(*[_table(spark, folder, x) for x in inputs])
 
 
@@ -44,7 +44,7 @@ def _query(name: str):
     return lambda spark, folder: _plain(_plan(spark, folder, name))
 
 
-QUERIES = {f"concept_{name}": _query(name) for name in concepts.CONCEPTS}
+QUERIES = {f"concept_{name}": _query(name) for name in concepts.CONCEPTS | concepts.EXTRA}
 
 
 def _twin_order(name: str, base: dict[str, str]) -> list[str]:
@@ -93,6 +93,8 @@ FRACTIONS = {name: tuple(columns.split()) for name, columns in {
     "kdigo_stages": "creat_low_past_7day creat_low_past_48hr creat uo_rt_6hr uo_rt_12hr uo_rt_24hr",
     "meld": "meld",
     "sofa": "pao2fio2ratio_novent pao2fio2ratio_vent meanbp_min uo_24hr",
+    "sapsii": "sapsii_prob",
+    "apsiii": "apsiii_prob",
     "oasis": "oasis_prob age heartrate resprate",
 }.items()}
 ORACLES = {f"concept_{name}": _oracle(name) for name in TWINS}

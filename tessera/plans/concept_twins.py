@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.concepts import bedside, comorbidity, firstday, infection, infusions, measurements, prescriptions, scores
+from tessera.concepts import bedside, comorbidity, elixhauser, firstday, infection, infusions, measurements, prescriptions, scores, severity
 
 TWINS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -354,3 +354,86 @@ twin(
   dense_rank() OVER i AS icustay_seq, dense_rank() OVER i = 1 AS first_icu_stay FROM icustays s JOIN admissions a ON a.hadm_id = s.hadm_id JOIN patients p ON p.subject_id = s.subject_id
 WINDOW h AS (PARTITION BY a.subject_id ORDER BY admittime), i AS (PARTITION BY s.hadm_id ORDER BY intime)""",
 )
+
+
+# ---- severity ----
+def _codes(groups: dict) -> str:
+    return ", ".join(f"CASE WHEN bool_or({_group(nine, 9)} OR {_group(ten, 10)}) THEN 1 ELSE 0 END AS {n}" for n, (nine, ten) in groups.items())
+
+
+_vent_at = "EXISTS (SELECT 1 FROM ventilation v WHERE v.stay_id = s.stay_id AND ventilation_status = 'InvasiveVent' AND b.charttime {op} v.starttime AND b.charttime <= v.endtime)"
+_mask_at = "EXISTS (SELECT 1 FROM m WHERE m.{key} = s.{key} AND b.charttime {op} m.low AND b.charttime <= m.high)"
+twin(
+    "lods", "icustays chartevents bg ventilation first_day_gcs first_day_vitalsign first_day_lab first_day_urine_output",
+    f"""WITH m AS (SELECT s.stay_id, min(charttime) - INTERVAL 1 HOUR AS low, max(charttime) + INTERVAL 4 HOUR AS high FROM icustays s JOIN chartevents c ON c.stay_id = s.stay_id AND charttime BETWEEN intime AND intime + INTERVAL 1 DAY
+  WHERE itemid = 226732 AND (value ILIKE '%cpap%' OR value ILIKE '%bipap mask%') GROUP BY 1),
+p AS (SELECT s.stay_id, min(pao2fio2ratio) AS pao2fio2_vent_min FROM icustays s JOIN bg b ON b.hadm_id = s.hadm_id AND charttime >= intime AND charttime < outtime
+  WHERE {_vent_at.format(op=">=")} OR {_mask_at.format(key="stay_id", op=">=")} GROUP BY 1),
+c AS (SELECT s.subject_id, s.hadm_id, s.stay_id, p.*, g.gcs_min, v.* EXCLUDE (subject_id, stay_id), l.* EXCLUDE (subject_id, stay_id, glucose_min, glucose_max), urineoutput FROM icustays s LEFT JOIN (SELECT stay_id AS ps, pao2fio2_vent_min FROM p) p ON ps = s.stay_id LEFT JOIN first_day_gcs g ON g.stay_id = s.stay_id
+  LEFT JOIN first_day_vitalsign v ON v.stay_id = s.stay_id LEFT JOIN first_day_lab l ON l.stay_id = s.stay_id LEFT JOIN first_day_urine_output u ON u.stay_id = s.stay_id),
+o AS (SELECT subject_id, hadm_id, stay_id, {_pieces(severity.LODS)} FROM c)
+SELECT subject_id, hadm_id, stay_id, {_sum(severity.LODS)} AS lods, {", ".join(severity.LODS)} FROM o""",
+)
+
+
+def _first_24(name: str, table: str, key: str, columns: str) -> str:
+    return f"{name} AS (SELECT s.stay_id AS {name}_stay, {columns} FROM icustays s LEFT JOIN {table} x ON x.{key} = s.{key} AND x.charttime > intime AND x.charttime <= intime + INTERVAL 1 DAY GROUP BY 1)"
+
+
+def _both(*names: str) -> str:
+    return ", ".join(f"min({n}) AS {n}_min, max({n}) AS {n}_max" for n in names)
+
+
+_joined = {
+    "n1": ("vitalsign", "subject_id", _both("heart_rate", "sbp", "temperature")), "n2": ("chemistry", "subject_id", _both("bun", "potassium", "sodium", "bicarbonate")),
+    "n3": ("complete_blood_count", "subject_id", _both("wbc")), "n4": ("enzyme", "subject_id", _both("bilirubin_total")), "n5": ("gcs", "stay_id", "min(gcs) AS gcs_min"),
+    "n6": ("urine_output", "stay_id", "sum(urineoutput) AS urineoutput"),
+}
+twin(
+    "sapsii", "icustays admissions age services diagnoses_icd chartevents bg ventilation gcs vitalsign urine_output chemistry complete_blood_count enzyme",
+    f"""WITH m AS (SELECT s.subject_id, s.stay_id, greatest(min(charttime) - INTERVAL 1 HOUR, min(intime)) AS low, least(max(charttime) + INTERVAL 4 HOUR, min(intime) + INTERVAL 1 DAY) AS high FROM icustays s
+  JOIN chartevents c ON c.stay_id = s.stay_id AND charttime > intime AND charttime <= intime + INTERVAL 1 DAY WHERE itemid = 226732 AND (value ILIKE '%cpap mask%' OR value ILIKE '%bipap%') GROUP BY 1, 2),
+p AS (SELECT s.stay_id AS ps, min(pao2fio2ratio) AS pao2fio2_vent_min FROM icustays s JOIN bg b ON b.subject_id = s.subject_id AND charttime > intime AND charttime <= intime + INTERVAL 1 DAY AND specimen = 'ART.'
+  WHERE {_vent_at.format(op=">")} OR {_mask_at.format(key="subject_id", op=">")} GROUP BY 1),
+d AS (SELECT hadm_id, {_codes(severity.SAPS_GROUPS)} FROM diagnoses_icd GROUP BY 1), w AS (SELECT hadm_id, CASE WHEN curr_service ILIKE '%surg%' THEN 1 ELSE 0 END AS surgical, row_number() OVER (PARTITION BY hadm_id ORDER BY transfertime NULLS FIRST, curr_service) AS n FROM services),
+{", ".join(_first_24(n, *x) for n, x in _joined.items())},
+c AS (SELECT s.subject_id, s.hadm_id, s.stay_id, intime, admission_type, surgical, age, aids, hem, mets, pao2fio2_vent_min, {", ".join(f"{n}.* EXCLUDE ({n}_stay)" for n in _joined)}
+  FROM icustays s JOIN admissions a ON a.hadm_id = s.hadm_id LEFT JOIN age ON age.hadm_id = s.hadm_id LEFT JOIN w ON w.hadm_id = s.hadm_id AND n = 1 LEFT JOIN d ON d.hadm_id = s.hadm_id LEFT JOIN p ON ps = s.stay_id
+  {" ".join(f"JOIN {n} ON {n}_stay = s.stay_id" for n in _joined)}),
+o AS (SELECT *, {_pieces(severity.SAPS)} FROM c), t AS (SELECT *, {_sum(severity.SAPS)} AS sapsii FROM o)
+SELECT subject_id, hadm_id, stay_id, intime AS starttime, intime + INTERVAL 1 DAY AS endtime, sapsii, 1 / (1 + exp(7.7631 - 0.0737 * sapsii - 0.9971 * ln(sapsii + 1))) AS sapsii_prob, {", ".join(severity.SAPS)} FROM t""",
+)
+
+
+def _far(score: str) -> str:
+    value, middle, _, _ = severity.APS[score]
+    low, high = severity.bands(score, f"{value}_min"), severity.bands(score, f"{value}_max")
+    if middle is None:
+        return f"{high} AS {score}"
+    arf = f"WHEN arf = 1 THEN {high} " if score == "creatinine_score" else ""
+    return f"CASE {arf}WHEN abs({value}_max - {middle}) > abs({value}_min - {middle}) THEN {high} WHEN abs({value}_max - {middle}) < abs({value}_min - {middle}) THEN {low} WHEN {value}_max IS NOT NULL THEN greatest({low}, {high}) END AS {score}"
+
+
+_gas = "SELECT s.stay_id AS {name}_stay, max({what}) AS {name} FROM icustays s JOIN bg b ON b.hadm_id = s.hadm_id AND charttime >= intime AND charttime < outtime AND specimen = 'ART.' WHERE {where} GROUP BY 1"
+_other = "stay_id, subject_id"
+twin(
+    "apsiii", "icustays diagnoses_icd bg ventilation first_day_gcs first_day_vitalsign first_day_urine_output first_day_lab",
+    f"""WITH pao AS ({_gas.format(name="pao2", what="po2", where=f"NOT {_vent_at.format(op='>=')} AND coalesce(fio2, fio2_chartevents, 21) < 50")}), aad AS ({_gas.format(name="aado2", what="b.aado2", where=f"{_vent_at.format(op='>=')} AND coalesce(fio2, fio2_chartevents) >= 50")}),
+acid AS ({_gas.format(name="acidbase_score", what=scores.case(severity.APS_ACID), where="ph IS NOT NULL AND pco2 IS NOT NULL")}),
+k AS (SELECT hadm_id, {_codes({"ckd": severity.KIDNEY_FAILURE})} FROM diagnoses_icd GROUP BY 1),
+c AS (SELECT s.subject_id, s.hadm_id, s.stay_id, pao2, aado2, acidbase_score, v.* EXCLUDE ({_other}, glucose_min, glucose_max), l.* EXCLUDE ({_other}, glucose_min, glucose_max), greatest(v.glucose_max, l.glucose_max) AS glucose_max, least(v.glucose_min, l.glucose_min) AS glucose_min,
+  urineoutput, gcs_motor, gcs_verbal, gcs_eyes, gcs_unable, CASE WHEN creatinine_max >= 1.5 AND urineoutput < 410 AND ckd = 0 THEN 1 ELSE 0 END AS arf,
+  CASE WHEN EXISTS (SELECT 1 FROM ventilation x WHERE x.stay_id = s.stay_id AND ventilation_status = 'InvasiveVent' AND (x.starttime BETWEEN intime AND intime + INTERVAL 1 DAY OR x.endtime BETWEEN intime AND intime + INTERVAL 1 DAY
+    OR (x.starttime <= intime AND x.endtime >= intime + INTERVAL 1 DAY))) THEN 1 ELSE 0 END AS vent
+  FROM icustays s LEFT JOIN pao ON pao2_stay = s.stay_id LEFT JOIN aad ON aado2_stay = s.stay_id LEFT JOIN acid ON acidbase_score_stay = s.stay_id LEFT JOIN k ON k.hadm_id = s.hadm_id LEFT JOIN first_day_gcs g ON g.stay_id = s.stay_id
+  LEFT JOIN first_day_vitalsign v ON v.stay_id = s.stay_id LEFT JOIN first_day_lab l ON l.stay_id = s.stay_id LEFT JOIN first_day_urine_output u ON u.stay_id = s.stay_id),
+o AS (SELECT subject_id, hadm_id, stay_id, acidbase_score, {", ".join(_far(n) for n in severity.APS)}, {scores.case(severity.APS_URINE)} AS uo_score, {scores.case(severity.APS_OXYGEN)} AS pao2_aado2_score, {scores.case(severity.APS_COMA)} AS gcs_score FROM c),
+t AS (SELECT *, {_sum(severity.APS_NAMES)} AS apsiii FROM o)
+SELECT subject_id, hadm_id, stay_id, apsiii, 1 / (1 + exp(4.4360 - 0.04726 * apsiii)) AS apsiii_prob, {", ".join(severity.APS_NAMES)} FROM t""",
+)
+_milder = ", ".join(f"CASE WHEN {grave} = 1 THEN 0 ELSE {mild} END AS {mild}" for mild, grave in elixhauser.GRAVER.items())
+twin(
+    "elixhauser", "admissions diagnoses_icd",
+    f"""WITH f AS (SELECT a.subject_id, a.hadm_id, {_codes(elixhauser.GROUPS)} FROM admissions a LEFT JOIN diagnoses_icd d ON d.hadm_id = a.hadm_id AND seq_num <> 1 GROUP BY 1, 2), g AS (SELECT * REPLACE ({_milder}) FROM f)
+SELECT *, {" + ".join(elixhauser.GROUPS)} AS elixhauser_count, {" + ".join(f"{w} * {n}" for n, w in elixhauser.WEIGHTS.items())} AS elixhauser_vanwalraven FROM g""",
+)
