@@ -100,15 +100,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: fl
     shards = max(1, -(-totals["slots"] // shard_blocks))
     near = F.broadcast(sources) if totals["n"] <= BROADCAST_SOURCES else sources
 
-    # Where each document begins in its source's stream: sums of runs of ids, then sums within each run.
+    # Where each document begins in its source's stream: Spark deals ranges of (source, id) to partitions; the totals of these, then sums within each.
+    # So neither the size of a source nor gaps between ids decide how many rows a task sorts.
     rows = sized.join(near.select(F.col("source").alias("_s"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("_run", F.floor(F.col("doc_id") / RUN))
-    before = Window.partitionBy("sid").orderBy(F.col("_run").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    runs = rows.groupBy("sid", "_run").agg(F.sum("size").alias("_words")).withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-    inside = Window.partitionBy("sid", "_run").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    runs = runs.select(F.col("sid").alias("_sid"), F.col("_run").alias("_of"), "_before")
-    rows = rows.join(runs, (F.col("sid") == F.col("_sid")) & F.col("_run").eqNullSafe(F.col("_of")))
+    line = [F.col("doc_id").asc_nulls_first(), F.col("size")]
+    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid", *line).withColumn("_part", F.spark_partition_id())
+    rows = materialize(rows, "mix-ranges")
+    before = Window.partitionBy("sid").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy("sid", "_part").agg(F.sum("size").alias("_words")).withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0))).drop("_words")
+    inside = Window.partitionBy("sid", "_part").orderBy(*line).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(spans, ["sid", "_part"])
     rows = rows.withColumn("start", F.col("_before") + F.col("_inside")).select("doc_id", "source", "size", "sid", "source_size", "target", "start")
     rows = materialize(rows, "mix-rows")
 

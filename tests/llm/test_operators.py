@@ -59,6 +59,15 @@ def test_mixing_meets_targets_and_limits(docs, empty):
     assert mixing.mix_counts(empty).count() == 0
 
 
+def test_streams_of_sources_follow_ids_however_far_apart(spark):
+    rows = [(None if i % 11 == 0 else (i * 7919 % 97 - 40) * 10**15, None if i % 5 == 0 else "s1" if i % 3 else "s2", "w " * (i % 7)) for i in range(300)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), block=4).sized.toPandas()
+    assert len(found) == len(rows)
+    for _, stream in found.groupby("sid"):
+        stream = stream.sort_values(["doc_id", "size", "start"], na_position="first")
+        assert stream["start"].tolist() == (stream["size"].cumsum() - stream["size"]).tolist()
+
+
 def test_mixed_documents_hold_the_words_taken(docs):
     counts = mixing.mix_counts(docs, block=16).toPandas().set_index("doc_id")["taken"]
     mixed = mixing.mix_documents(docs, block=16)
