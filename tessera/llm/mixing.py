@@ -20,6 +20,8 @@ ROUNDS = 8
 #: Up to so many sources their table is broadcast; beyond, Spark joins it by shuffle.
 BROADCAST_SOURCES = 10_000
 RUN = 1024
+#: Slots that a task makes and permutes, where shuffle partitions alone would give it more.
+SLOTS_PER_TASK = 2**20
 
 
 @dataclass(frozen=True)
@@ -104,7 +106,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: fl
     # So neither the size of a source nor gaps between ids decide how many rows a task sorts.
     rows = sized.join(near.select(F.col("source").alias("_s"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     line = [F.col("doc_id").asc_nulls_first(), F.col("size")]
-    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid", *line).withColumn("_part", F.spark_partition_id())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, "sid", *line).withColumn("_part", F.spark_partition_id())
     rows = materialize(rows, "mix-ranges")
     before = Window.partitionBy("sid").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = rows.groupBy("sid", "_part").agg(F.sum("size").alias("_words")).withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0))).drop("_words")
@@ -124,13 +127,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: fl
     )
 
     # Multinomial counts: each slot of a source falls on a shard, all shards alike; counts are summed before the shuffle.
-    spread = near.where("n_slots > 0").select("sid", "n_slots", F.explode(F.sequence(F.lit(0), F.expr(f"(n_slots - 1) div {RUN}"))).alias("_run"))
-    draws = spread.repartition("sid", "_run").select(
+    # Runs of slots and then shards are dealt to tasks by number, as a source, however large, starts from one row.
+    tasks = max(parts, -(-totals["slots"] // SLOTS_PER_TASK))
+    wide = near.where("n_slots > 0").select("sid", F.expr(f"(n_slots - 1) div {RUN}").alias("_last"), "n_slots")
+    wide = wide.select("sid", "n_slots", "_last", F.explode(F.sequence(F.lit(0), F.expr(f"_last div {RUN}"))).alias("_top"))
+    spread = wide.select("sid", "n_slots", F.explode(F.sequence(F.col("_top") * RUN, F.least(F.col("_last"), (F.col("_top") + 1) * RUN - 1))).alias("_run"))
+    draws = spread.repartition(tasks, "sid", "_run").select(
         "sid", F.explode(F.sequence(F.col("_run") * RUN, F.least(F.col("n_slots"), (F.col("_run") + 1) * RUN) - 1)).alias("_t")
     )
     counts = draws.groupBy("sid", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "sid", "_t"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_first", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    counts = counts.withColumn("_first", F.coalesce(F.sum("n").over(ahead), F.lit(0))).repartition(tasks, "sid", "shard")
     slots = counts.select("sid", "shard", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("n") - 1)).alias("slot"))
     plan = near.select(F.col("sid").alias("_sid"), "blocks", "last", "cycles", "rest", "_last_at")
     slots = slots.join(plan, F.col("sid") == F.col("_sid")).drop("_sid")
