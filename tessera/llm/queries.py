@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.conversations import damage, repair_conversations
 from tessera.llm.language_model import score_documents
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.mixing import mix_counts
+from tessera.llm.negatives import hard_negatives
 from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.packing import best_fit_pack
 from tessera.llm.personal import find_personal
 from tessera.llm.quality import MIN_WORDS, REPEAT_PERCENT, RULES, STOP_WORDS, quality_verdicts
 from tessera.llm.sharding import shard_by_size
+from tessera.llm.token_counts import token_counts
 from tessera.llm.tokens import read_documents, write_sequences
 from tessera.llm.vectors import near_vectors
 
@@ -69,8 +72,20 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(_table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_mixing, op2_token_files, op3_ngram_join, op4_best_fit, op5_personal_data, op6_vector_dedup, op7_sharding, op8_quality, op9_licenses, op10_lm_scores)
+    every = (op1_mixing, op2_token_files, op3_ngram_join, op4_best_fit, op5_personal_data, op6_vector_dedup, op7_sharding, op8_quality, op9_licenses, op10_lm_scores, op11_token_counts, op12_conversation_repair, op13_hard_negatives)
     return {f.__name__: f for f in every}
 
 
@@ -117,4 +132,20 @@ b AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND {_rules_sql()}) AS kept
 FROM b""",
+        "op13_hard_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.r AS o, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, o) AS k FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.vec_id, s.o) AS rank
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score WHERE p.k <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     }
