@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.compat import decimal_text, divide, ordered_choice, seconds_between, synonyms
 from tessera.operators.pivot import Item, guarded_pivot
-from tessera.operators.timeops import asof_latest, close_with_lead, interval_join, rolling
+from tessera.operators.timeops import DAY, asof_latest, binned_interval_join, close_with_lead, interval_join, rolling
 
 # Item codes, text values and bounds.
 ADMIT_WEIGHT, DAILY_WEIGHT, HEART_RATE = 226512, 224639, 220045
@@ -219,7 +219,7 @@ def rrt(chartevents: DataFrame, inputevents: DataFrame, procedureevents: DataFra
     done = procedureevents.where(code.isin(*DIALYSIS_PROCEDURES) & F.col("value").isNotNull()).select("stay_id", "starttime", "endtime", (~code.isin(*IDLE_PROCEDURES)).cast("int").alias("active"), named.alias("kind"))
     ranges = infused.union(done).distinct()
     points = charted.union(ranges.select("stay_id", "starttime", "active", "kind")).distinct()
-    joined = interval_join(points, ranges, "stay_id", "charttime", "starttime", "endtime", "both")
+    joined = binned_interval_join(points, ranges, "stay_id", "charttime", "starttime", "endtime", "both", width=DAY)
     return joined.select("stay_id", "charttime", F.lit(1).alias("dialysis_present"), F.coalesce("active", "dialysis_active").alias("dialysis_active"), F.coalesce("kind", "dialysis_type").alias("dialysis_type"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.compat import matches_any
-from tessera.operators.timeops import interval_join
+from tessera.operators.timeops import DAY, binned_interval_join
 
 # Parts of names in lower case, routes and forms that don't count, and the organism that stands for a cancelled culture.
 ANTIBIOTICS = (
@@ -27,11 +27,15 @@ CANCELLED = 90856
 
 
 def antibiotic(prescriptions: DataFrame, icustays: DataFrame) -> DataFrame:
-    """Antibiotics that act on the whole body, with the stay in which they began (start closed, end open). Without a route a prescription doesn't count."""
+    """Antibiotics that act on the whole body, with the stay in which they began (start closed, end open). Without a route a prescription doesn't count.
+
+    The tests make a list of (drug, route) pairs; every prescription of such a pair counts, one of a base solution too where the pair also occurs as a drug.
+    """
     drug, route = F.col("drug"), F.col("route")
     counts = (F.col("drug_type") != "BASE") & ~route.isin(*LOCAL_ROUTES) & ~matches_any(route, LOCAL_WAYS) & ~matches_any(drug, LOCAL_FORMS) & matches_any(drug, ANTIBIOTICS)
-    rows = prescriptions.where(counts).select("subject_id", "hadm_id", drug.alias("antibiotic"), "route", "starttime", "stoptime")
-    joined = interval_join(rows, icustays.select("hadm_id", "stay_id", "intime", "outtime"), "hadm_id", "starttime", "intime", "outtime", "left")
+    listed = prescriptions.where(counts).select("drug", "route").distinct()
+    rows = prescriptions.join(listed, ["drug", "route"], "left_semi").select("subject_id", "hadm_id", drug.alias("antibiotic"), "route", "starttime", "stoptime")
+    joined = binned_interval_join(rows, icustays.select("hadm_id", "stay_id", "intime", "outtime"), "hadm_id", "starttime", "intime", "outtime", "left", width=4 * DAY)
     return joined.select("subject_id", "hadm_id", "stay_id", "antibiotic", "route", "starttime", "stoptime")
 
 

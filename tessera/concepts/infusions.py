@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import product
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions.compat import decimal_text, divide
+from tessera.operators.timeops import micros
 
 # Item codes.
 AGENTS = {"dobutamine": 221653, "dopamine": 221662, "epinephrine": 221289, "norepinephrine": 221906, "phenylephrine": 221749, "vasopressin": 222315, "milrinone": 221986}
@@ -35,16 +39,46 @@ def neuroblock(inputevents: DataFrame) -> DataFrame:
 
 
 def vasoactive_agent(inputevents: DataFrame) -> DataFrame:
-    """Segments between one start or end and the next of a stay, with the rate of each agent whose infusion covers them; overlapping infusions of an agent give a row each."""
+    """Segments between one start or end and the next of a stay, with the rate of each agent whose infusion covers them; overlapping infusions of an agent give a row each.
+
+    A sweep along each stay's time line: starts and ends are one sorted stream, of which the infusions under way are held. A start or end that is null, or a start that is not before its end, covers nothing; times
+    that are known cut the line all the same.
+    """
+    names = list(AGENTS)
     given = inputevents.where(F.col("itemid").isin(*AGENTS.values()))
-    times = given.select("stay_id", F.explode(F.array("starttime", "endtime")).alias("starttime")).distinct()
-    following = F.lead("starttime").over(Window.partitionBy("stay_id").orderBy(F.col("starttime").asc_nulls_last()))
-    out = times.withColumn("endtime", following).where("endtime is not null")
-    for agent in AGENTS:
-        one = infusion(inputevents, agent).select(F.col("stay_id").alias("s"), F.col("starttime").alias("low"), F.col("endtime").alias("high"), F.col("vaso_rate").alias(agent))
-        covers = (F.col("stay_id") == F.col("s")) & (F.col("starttime") >= F.col("low")) & (F.col("endtime") <= F.col("high"))
-        out = out.join(one, covers, "left").drop("s", "low", "high")
-    return out
+    rate, agent = F.lit(None).cast("double"), F.lit(None).cast("int")
+    for i, name in enumerate(names):
+        mine = F.col("itemid") == AGENTS[name]
+        rate, agent = F.when(mine, _rate(name)).otherwise(rate), F.when(mine, i).otherwise(agent)
+    given = given.select("stay_id", micros(F.col("starttime")).alias("low"), micros(F.col("endtime")).alias("high"), agent.alias("agent"), rate.alias("rate"))
+    # each infusion is a mark at its start, with what it gives, and one at its end; a mark without an agent only cuts
+    start = F.struct(F.col("low").alias("at"), F.when(F.col("low") < F.col("high"), F.col("agent")).alias("agent"), "rate", "high")
+    end = F.struct(F.col("high").alias("at"), F.lit(None).cast("int").alias("agent"), F.lit(None).cast("double").alias("rate"), F.lit(None).cast("long").alias("high"))
+    marks = given.select("stay_id", F.explode(F.array(start, end)).alias("m")).select("stay_id", "m.*").where("at is not null and stay_id is not null")
+    line = marks.repartition("stay_id").sortWithinPartitions("stay_id", "at")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stay, last, under_way, out = None, None, [], []
+        for batch in batches:
+            for this, at, kind, rate, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if this != stay:
+                    stay, last, under_way = this, None, []
+                if last is not None and at > last:
+                    rates = [[r for k, r, _ in under_way if k == i] or [None] for i in range(len(names))]
+                    out += [(stay, last, at, *chosen) for chosen in product(*rates)]
+                    under_way = [x for x in under_way if x[2] > at]
+                last = at
+                if kind is not None:
+                    under_way.append((kind, rate, high))
+            if out:
+                columns = list(zip(*out, strict=True))
+                arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(c, pa.float64()) for c in columns[3:]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["stay_id", "low", "high", *names])
+                out = []
+
+    found = line.mapInArrow(sweep, "stay_id long, low long, high long, " + ", ".join(f"{n} double" for n in names))
+    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return found.select("stay_id", time("low").alias("starttime"), time("high").alias("endtime"), *names)
 
 
 def norepinephrine_equivalent_dose(agents: DataFrame) -> DataFrame:

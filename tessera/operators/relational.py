@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tessera.operators.timeops import window_join
+
 
 def surrogate_keys(df: DataFrame, order: Sequence[str], name: str = "row_key") -> DataFrame:
     """df with 1, 2, ... in the given total order: ranges of the order are numbered by themselves and shifted by the rows before them, so no task sorts all rows."""
@@ -70,10 +72,10 @@ def weighted_mean(df: DataFrame, value: str, weight: str) -> DataFrame:
 
 def qualifying_history(events: DataFrame, key: str, row: str, time: str, counts: Column, years: int = 2) -> DataFrame:
     """row, source: each row itself and the earlier rows of its key that count and are at most so many years older."""
-    now = events.select(F.col(key).alias("_k"), F.col(row).alias(row), F.col(time).alias("_t"))
-    past = events.where(counts).select(F.col(key).alias("_j"), F.col(row).alias("source"), F.col(time).alias("_s"))
-    near = (F.col("_k") == F.col("_j")) & (F.col("_s") < F.col("_t")) & (F.col("_s") >= F.col("_t") - F.expr(f"interval {years} year"))
-    return now.join(past, near).select(row, "source").unionByName(events.select(F.col(row), F.col(row).alias("source")))
+    now = events.select(F.col(key).alias("_k"), F.col(row).alias(row), F.col(time).alias("_t"), (F.col(time) - F.expr(f"interval {years} year")).alias("_low"))
+    past = events.where(counts).select(F.col(key).alias("_k"), F.col(row).alias("source"), F.col(time).alias("_s"))
+    near = window_join(now, past, "_k", "_s", "_low", "_t", "left", 366 * years * 86_400_000_000, how="inner")
+    return near.select(row, "source").unionByName(events.select(F.col(row), F.col(row).alias("source")))
 
 
 def twelve_leads(df: DataFrame, first: str, second: str) -> DataFrame:

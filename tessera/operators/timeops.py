@@ -1,14 +1,15 @@
 """Time-series operators: windows, interval and as-of joins, grids, sessions and segments.
 
 Columns are arguments, so they bind to any schema; times are TIMESTAMP_NTZ or numbers (minutes since admission).
-Every join keeps its equality key, so Spark shuffles by key and a time condition is a residual of the join.
+Every join keeps its equality key. Where a key may have very many rows, bins of time are part of it (binned_interval_join, window_join), so
+the rows of one key are spread over tasks and only rows of neighbouring times are compared; the time condition itself is a residual of the join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampType
+from pyspark.sql.types import NumericType, TimestampType
 from pyspark.sql.window import Window
 
 CLOSED = ("both", "left", "right")
@@ -38,16 +39,89 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str | list[str],
     return points.join(right, on, how).drop(*[f"_{k}" for k in keys])
 
 
+#: A day in microseconds, a width of bins for stays and infusions.
+DAY = 86_400_000_000
+#: Bins that one interval is laid into at most.
+MOST_BINS = 1 << 16
+
+
+def _ticks(df: DataFrame, name: str) -> Column:
+    """A time as a whole number that keeps the order: microseconds of a timestamp or date, the floor of a number."""
+    kind = df.schema[name].dataType
+    return F.floor(F.col(name)).cast("long") if isinstance(kind, NumericType) else micros(F.col(name))
+
+
+def _bin(ticks: Column, width: int) -> Column:
+    return ((ticks - F.pmod(ticks, F.lit(width))) / width).cast("long")  # a whole quotient, exact as a double below 2^53
+
+
+def bin_width(intervals: DataFrame, low: str, high: str) -> int:
+    """The mean length of the intervals, so that all of them together fill at most three bins each, or more if the longest would fill over MOST_BINS."""
+    length = _ticks(intervals, high) - _ticks(intervals, low)
+    mean, most = intervals.where(F.col(low) <= F.col(high)).agg(F.avg(length), F.max(length)).first()
+    return max(1, int(mean or 1), -(-int(most or 0) // MOST_BINS))
+
+
+def binned_interval_join(
+    points: DataFrame, intervals: DataFrame, key: str | list[str], time: str, low: str, high: str, closed: str, how: str = "left", width: int | None = None
+) -> DataFrame:
+    """interval_join with bins of time in its key, for keys of very many points or intervals; how is "left" or "inner".
+
+    A point lies in one bin, an interval is laid into every bin that it touches, so a pair meets once, and a key's rows are spread over its bins. width: of a bin, in microseconds or units of a number; by default
+    it is chosen from the lengths of the intervals, which takes a pass over them. Null times and null keys match nothing.
+    """
+    keys = [key] if isinstance(key, str) else key
+    width = width or bin_width(intervals, low, high)
+    right = intervals.where(F.col(low) <= F.col(high))
+    bins = F.sequence(_bin(_ticks(intervals, low), width), _bin(_ticks(intervals, high), width))
+    right = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in intervals.columns if c not in keys], F.explode(bins).alias("_bin_r"))
+    on = (F.col("_bin_l") == F.col("_bin_r")) & within(F.col(time), F.col(low), F.col(high), closed)
+    for k in keys:
+        on = (F.col(k) == F.col(f"_{k}")) & on
+    return points.withColumn("_bin_l", _bin(_ticks(points, time), width)).join(right, on, how).drop(*[f"_{k}" for k in keys], "_bin_l", "_bin_r")
+
+
 def overlaps(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
     return (low_a <= high_b) & (low_b <= high_a)
 
 
+def overlap_join(first: DataFrame, second: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], width: int | None = None) -> DataFrame:
+    """Pairs of intervals of one key that share an instant, ends included. Both sides are laid into bins, and a pair counts in the first bin that both touch. Columns must not clash."""
+    width = width or max(bin_width(first, *a), bin_width(second, *b))
+
+    def laid(df: DataFrame, ends: tuple[str, str], side: str, named: str) -> DataFrame:
+        low, high = (_bin(_ticks(df, x), width) for x in ends)
+        return df.where(F.col(ends[0]) <= F.col(ends[1])).withColumns({f"_low_{side}": low, f"_bin_{side}": F.explode(F.sequence(low, high))}).withColumnRenamed(key, named)
+
+    left, right = laid(first, a, "l", key), laid(second, b, "r", "_key")
+    on = (F.col(key) == F.col("_key")) & (F.col("_bin_l") == F.col("_bin_r")) & (F.col("_bin_l") == F.greatest("_low_l", "_low_r"))
+    return left.join(right, on & overlaps(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))).drop("_key", "_low_l", "_low_r", "_bin_l", "_bin_r")
+
+
+def _span(df: DataFrame, *parts: str) -> int:
+    """Microseconds that the intervals last together at most; months and years last up to a tenth longer than from the start of 2000 on."""
+    base = "TIMESTAMP_NTZ'2000-01-01'"
+    total = sum(df.sparkSession.sql(f"SELECT timestampdiff(MICROSECOND, {base}, {base} + INTERVAL {p}) AS n").first()["n"] for p in parts)
+    return max(1, int(total * 1.1))
+
+
+def window_join(left: DataFrame, points: DataFrame, key: str, time: str, low: str, high: str, closed: str, span: int, how: str = "left") -> DataFrame:
+    """Rows of left with the points of their key from low to high, windows of at most span microseconds.
+
+    A window lies in the bin where it begins, a point in its own bin and the one before, so a pair meets once and rows of left without a point keep one row (how = "left").
+    The columns of the two sides must not clash but for the key.
+    """
+    right = points.withColumn("_bin_r", F.explode(F.array(_bin(_ticks(points, time), span), _bin(_ticks(points, time), span) - 1))).withColumnRenamed(key, "_key")
+    on = (F.col(key) == F.col("_key")) & (F.col("_bin_l") == F.col("_bin_r")) & within(F.col(time), F.col(low), F.col(high), closed)
+    return left.withColumn("_bin_l", _bin(_ticks(left, low), span)).join(right, on, how).drop("_key", "_bin_l", "_bin_r")
+
+
 def anchored_window(events: DataFrame, anchors: DataFrame, key: str, time: str, anchor: str, before: str, after: str, aggregates: list[Column], closed: str = "both") -> DataFrame:
     """Aggregates of each anchor's events from anchor - before to anchor + after; anchors without events keep a row."""
     columns = anchors.columns
     low, high = F.col(anchor) - F.expr(f"INTERVAL {before}"), F.col(anchor) + F.expr(f"INTERVAL {after}")
-    joined = interval_join(anchors.withColumns({"_low": low, "_high": high}), events.withColumnRenamed(time, "_time").drop(anchor), key, "_time", "_low", "_high", closed)
-    return joined.groupBy(*columns).agg(*aggregates)
+    windows, near = anchors.withColumns({"_low": low, "_high": high}), events.withColumnRenamed(time, "_time").drop(anchor)
+    return window_join(windows, near, key, "_time", "_low", "_high", closed, _span(anchors, before, after)).groupBy(*columns).agg(*aggregates)
 
 
 def rolling(df: DataFrame, key: str | list[str], time: str, span_seconds: int, aggregates: dict[str, Column], include_current: bool = True) -> DataFrame:
@@ -124,6 +198,5 @@ def segments(intervals: list[DataFrame], key: str, start: str, end: str) -> Data
 
 def event_pairs(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, before: str, after: str) -> DataFrame:
     """Pairs of one key where the right event lies from `before` ahead of the left one to `after` behind it."""
-    joined = left.join(right.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "left")
-    ahead = (F.col(right_time) >= F.col(left_time) - F.expr(f"INTERVAL {before}")) & (F.col(right_time) <= F.col(left_time) + F.expr(f"INTERVAL {after}"))
-    return joined.where(ahead).drop("_k")
+    windows = left.withColumns({"_low": F.col(left_time) - F.expr(f"INTERVAL {before}"), "_high": F.col(left_time) + F.expr(f"INTERVAL {after}")})
+    return window_join(windows, right, key, right_time, "_low", "_high", "both", _span(left, before, after), how="inner").drop("_low", "_high")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,25 +15,37 @@ from tessera.plans.concept_twins import TWINS
 from tessera.session import materialize
 
 DIGITS = 6
-#: Tables that this application has written, by application, folder and name: what several derived tables take is built once.
-_written: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table as it is; a base or derived table as written."""
-    if name not in SOURCES and name not in concepts.CONCEPTS:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _written:
-        _written[key] = materialize(_plan(spark, folder, name), name)
-    return _written[key]
+def _needs(name: str) -> tuple[str, ...]:
+    """What a base or derived table is made of."""
+    return SOURCES[name] if name in SOURCES else (concepts.CONCEPTS | concepts.EXTRA)[name][1] if name in concepts.CONCEPTS | concepts.EXTRA else ()
 
 
 def _plan(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    if name in SOURCES:
-        return base_table(spark, name, [_table(spark, folder, x) for x in SOURCES[name]])
-    function, inputs = (concepts.CONCEPTS | concepts.EXTRA)[name]
-    return function(*[_table(spark, folder, x) for x in inputs])
+    """The table by its name. Each run builds all that it takes; what several of its tables take is written once in the run."""
+    takers, waiting = Counter(), [name]
+    seen = {name}
+    while waiting:
+        for x in dict.fromkeys(_needs(waiting.pop())):
+            takers[x] += 1
+            if x not in seen:
+                seen.add(x)
+                waiting.append(x)
+    built: dict[str, DataFrame] = {}
+
+    def table(x: str) -> DataFrame:
+        if x not in built:
+            made_of = concepts.CONCEPTS | concepts.EXTRA
+            if x not in SOURCES and x not in made_of:
+                built[x] = spark.read.parquet(f"{folder}/{x}.parquet")
+            else:
+                sources = [table(y) for y in _needs(x)]
+                made = base_table(spark, x, sources) if x in SOURCES else made_of[x][0](*sources)
+                built[x] = materialize(made, x) if takers[x] > 1 else made
+        return built[x]
+
+    return table(name)
 
 
 def _plain(table: DataFrame) -> DataFrame:

@@ -305,8 +305,9 @@ SELECT subject_id, hadm_id, stay_id, oasis, 1 / (1 + exp(6.1746 - 0.1275 * oasis
 _likes = " OR ".join(f"drug ILIKE '%{t}%'" for t in infection.ANTIBIOTICS)
 twin(
     "antibiotic", "prescriptions icustays",
-    f"""SELECT p.subject_id, p.hadm_id, stay_id, drug AS antibiotic, route, starttime, stoptime FROM prescriptions p LEFT JOIN icustays s ON s.hadm_id = p.hadm_id AND starttime >= intime AND starttime < outtime
-WHERE drug_type <> 'BASE' AND route NOT IN {_in(infection.LOCAL_ROUTES)} AND route NOT ILIKE '%ear%' AND route NOT ILIKE '%eye%' AND {" AND ".join(f"drug NOT ILIKE '%{x}%'" for x in infection.LOCAL_FORMS)} AND ({_likes})""",
+    f"""WITH listed AS (SELECT DISTINCT drug, route FROM prescriptions WHERE drug_type <> 'BASE' AND route NOT IN {_in(infection.LOCAL_ROUTES)} AND route NOT ILIKE '%ear%' AND route NOT ILIKE '%eye%' AND {" AND ".join(f"drug NOT ILIKE '%{x}%'" for x in infection.LOCAL_FORMS)} AND ({_likes}))
+SELECT p.subject_id, p.hadm_id, stay_id, p.drug AS antibiotic, p.route, starttime, stoptime FROM prescriptions p JOIN listed ON listed.drug = p.drug AND listed.route = p.route
+  LEFT JOIN icustays s ON s.hadm_id = p.hadm_id AND starttime >= intime AND starttime < outtime""",
 )
 _cultures = "SELECT ab_id, a.subject_id, row_number() OVER (PARTITION BY a.subject_id, ab_id ORDER BY chartdate NULLS FIRST, charttime NULLS LAST, micro_specimen_id) AS n, coalesce(charttime, CAST(chartdate AS TIMESTAMP)) AS at, spec, pos FROM a JOIN m ON m.patient = a.subject_id"
 twin(
