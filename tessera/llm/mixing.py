@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.words import GAP, n_words
+from tessera.llm.words import GAP, n_words, named
 from tessera.session import materialize
 
 ROUNDS = 8
@@ -175,7 +175,7 @@ def mix_documents(docs: DataFrame, block: int = 256, **options) -> DataFrame:
     """
     plan = mix(docs, block=block, **options)
     others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
-    counted = docs.select(F.struct(F.lit(0).alias("_none_"), *others).alias("_doc"), "doc_id", "source", "text", n_words(F.col("text")).alias("_size"))
+    counted = docs.select(F.struct(F.lit(0).alias("none"), *[named(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("_doc"), "doc_id", "source", "text", n_words(F.col("text")).alias("_size"))
     begin = plan.sized.where("size > 0").select("sid", F.col("start").alias("row_start"), "doc_id", "size", "source")
     runs = taken_pieces(plan).join(begin, ["sid", "row_start"])
     low = F.col("block") * block + F.col("low") - F.col("row_start")
@@ -204,7 +204,7 @@ def mix_documents(docs: DataFrame, block: int = 256, **options) -> DataFrame:
     part = F.regexp_replace(F.array_join(F.slice(spaced, (F.col("_low") + 1).cast("int"), (F.col("_high") - F.col("_low")).cast("int")), ""), "^" + GAP, "")
     whole = (F.col("_low") == 0) & (F.col("_high") == F.col("_size"))
     text = F.when(whole, F.col("text")).otherwise(part)
-    mixed = mixed.select(*[text.alias("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns])
+    mixed = mixed.select(*[text.alias("text") if c == "text" else F.col(f"_doc.c{others.index(c)}").alias(c) if c in others else F.col(c) for c in docs.columns])
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed

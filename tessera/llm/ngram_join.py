@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.batches import by_key, least_label
 from tessera.llm.graph import components
-from tessera.llm.words import as_fraction, mix, set_sums, shingle_sets, text_chunks
+from tessera.llm.words import as_fraction, columns_of, integer_ids, mix, set_sums, shingle_sets, text_chunks
 from tessera.session import materialize
 
 #: Nodes of one region within one task's buffer from which on they skip the global meeting of parts.
@@ -554,6 +554,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> D
     Null, empty and blank texts have no shingles and are their own component. Rows that repeat a doc_id are judged row by
     row. Rows without an id are returned with null in both other columns. An empty table gives an empty result.
     """
+    docs = integer_ids(docs)
     nodes = materialize(shingle_nodes(docs, k), "nodes")
     roots = node_components(docs, nodes, k, threshold)
     classes = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -575,6 +576,7 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFram
     Rows without an id stay; so do texts without words. Rows that share an id but not a component are documents of their own; of rows
     that share an id and a text one stays.
     """
+    docs = integer_ids(docs)
     nodes = materialize(shingle_nodes(docs, k, hashed=True), "nodes")
     roots = node_components(docs, nodes, k, threshold)
     firsts = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
@@ -584,7 +586,7 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFram
     best = materialize(best.unionByName(keys.where("wordless")).select("doc_id", F.col("text_hash").alias(KEY), (F.col("n") > 1).alias(AGAIN)), "best")
     again = best.where(AGAIN).select("doc_id", KEY)
     hashed = docs.withColumn(KEY, F.xxhash64("text"))
-    single = hashed.join(best.where(~F.col(AGAIN)), ["doc_id", KEY], "left_semi").select(docs.columns)
-    order = Window.partitionBy("doc_id", KEY).orderBy(F.xxhash64(*docs.columns))
-    several = hashed.join(again, ["doc_id", KEY], "left_semi").withColumn(NTH, F.row_number().over(order)).where(F.col(NTH) == 1).select(docs.columns)
+    single = hashed.join(best.where(~F.col(AGAIN)), ["doc_id", KEY], "left_semi").select(columns_of(docs))
+    order = Window.partitionBy("doc_id", KEY).orderBy(F.xxhash64(*columns_of(docs)))
+    several = hashed.join(again, ["doc_id", KEY], "left_semi").withColumn(NTH, F.row_number().over(order)).where(F.col(NTH) == 1).select(columns_of(docs))
     return single.unionByName(several).unionByName(docs.where("doc_id is null"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.words import n_words
+from tessera.llm.words import integer_ids, n_words
 from tessera.session import materialize
 
 CAPACITY = 2048
@@ -93,7 +93,7 @@ def best_fit_pack(
     Null sources are one source; null ids and repeated rows are packed like others; an empty table gives an empty result; reruns agree whatever
     the order of the rows.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, integer_ids(docs)
     size = n_words(F.col("text")) if size is None else size.cast("long")
     cluster = F.xxhash64("text") if cluster is None else F.xxhash64(cluster)
     rows = docs.select("doc_id", "source", size.alias("_size"), cluster.alias("cluster"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.words import integer_ids
+
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that hold a digit or an at sign, and that the field's weights are fitted on.
 SAMPLE = 1500
@@ -224,6 +226,7 @@ def find_personal(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
     covers becomes a span when the field, which ties it to repeated or similar words, is SURE of its kind; patterns stay. Equal and null
     ids are rows like others; extra columns are left out; an empty table gives an empty result.
     """
+    docs = integer_ids(docs)
     weights = weights or fit_weights(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +261,11 @@ def mask_personal(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = [clean(x) if x and _HINT.search(x) else x for x in batch.column(at).to_pylist()]
-            yield batch.set_column(at, "text", pa.array(texts, batch.schema.field("text").type))
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    cleaned = docs.mapInArrow(scan, docs.schema)
+    at, numbered = docs.columns.index("text"), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots are none for mapInArrow
+    cleaned = numbered.mapInArrow(scan, numbered.schema).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import words
+from tessera.llm.words import columns_of, words
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -132,6 +132,6 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     The partition id makes the verdict a column that no predicate is pushed through. Pushed down, the verdict would spell out
     all measures anew at each place where it names them.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    whole = docs.select(F.struct(*columns_of(docs)).alias("_row"), "text")
     verdicts = quality_verdicts(whole, rules, keep=("_row",))
     return verdicts.select("_row", (F.col("kept") & (F.spark_partition_id() >= 0)).alias("_keep")).where("_keep").select("_row.*")

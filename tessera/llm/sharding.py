@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.words import integer_ids
 from tessera.session import materialize
 
 OVERHEAD = 16
@@ -39,6 +40,7 @@ def shard_by_size(docs: DataFrame, shards: int = 40) -> DataFrame:
     counts a shard's rows from 0. Null texts are empty; equal and null ids are rows like others; an empty table gives an
     empty result; extra columns are left out.
     """
+    docs = integer_ids(docs)
     spark, text = docs.sparkSession, F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",

@@ -11,8 +11,9 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -140,3 +141,20 @@ def set_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def as_fraction(threshold: float) -> Fraction:
     return Fraction(str(threshold)).limit_denominator(10_000)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [named(c) for c in df.columns]
+
+
+def named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def integer_ids(docs: DataFrame) -> DataFrame:
+    """docs, if its doc_id is a whole number; refused at once otherwise, before any task runs."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be a whole number, not {kind.simpleString()}")
+    return docs
