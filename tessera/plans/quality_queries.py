@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.base import Tables, registrar
-from tessera.quality import metrics
+from tessera.quality import accuracy, consistency, metrics
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -231,3 +231,33 @@ def mention_rate(t: Tables) -> DataFrame:
     lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("line "), F.col("l_linenumber"), F.when(F.col("l_returnflag") == "R", ": Yes").otherwise(": no")).alias("line"))
     answers = lines.groupBy("o_orderkey").agg(F.array_join(F.collect_list("line"), "\n").alias("answer")).join(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey")
     return metrics.mention_rate(answers, "o_orderpriority", "answer")
+
+
+def _brands(t: Tables) -> DataFrame:
+    """The brands that a customer is prescribed on a date, as rows of the long format."""
+    given = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    one = {"Patient_id": F.col("o_custkey").cast("string"), "Event_date": F.date_format("o_orderdate", "yyyy-MM-dd"), "Variable_name": F.lit("brand"), "Value": F.col("p_brand"), "Mapping_info_1": F.lit("prescription"), "Mapping_info_2": F.lit("drug")}
+    return given.select(*[one.get(c, F.lit(None).cast("string")).alias(c) for c in metrics.LONG_COLUMNS])
+
+
+@query(
+    "year_pairs",
+    """WITH v AS (SELECT year(o_orderdate) AS y, count(DISTINCT (o_custkey, CAST(o_orderdate AS DATE))) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = o_orderkey AND p_brand IS NOT NULL) AND o_custkey IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1),
+s AS (SELECT CAST(unnest(range(min(y) + 1, max(y) - 1)) AS INTEGER) AS year FROM v)
+SELECT s.year, coalesce(b.n, 0) AS n_before, coalesce(w.n, 0) AS n_now, least(coalesce(b.n, 0), coalesce(w.n, 0)) >= 2 AND least(coalesce(b.n, 0), coalesce(w.n, 0)) >= 0.25 * (coalesce(b.n, 0) + coalesce(w.n, 0)) AS judged
+FROM s LEFT JOIN v b ON b.y = s.year - 1 LEFT JOIN v w ON w.y = s.year""",
+)
+def year_pairs(t: Tables) -> DataFrame:
+    return consistency.year_pairs(consistency.visits(_brands(t), "Value"))
+
+
+@query("time_series_consistency")  # boosted trees are beyond SQL
+def time_series_consistency(t: Tables) -> DataFrame:
+    return consistency.time_series_consistency(_brands(t), ["prescription"], trees=5)
+
+
+@query("logical_accuracy")  # fitted models are beyond SQL
+def logical_accuracy(t: Tables) -> DataFrame:
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n_lines"), F.avg("l_discount").alias("discount"))
+    judged = accuracy.numeric_accuracy(t.orders.join(lines, "o_orderkey").select("o_orderkey", "o_totalprice", "quantity", "n_lines", "discount"), "o_totalprice", ["quantity", "n_lines", "discount"])
+    return judged.select("o_orderkey", "o_totalprice", "low", "high", "rebuilt", "isolation", "direction")
