@@ -11,6 +11,7 @@ import json
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Steps of chunks and of pieces that a worker remembers; the rest are found anew each time.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Pairs of tokens that a worker remembers before it begins anew.
 PAIRS = 2_000_000
 #: Code points of a batch that a task gives back at once.
@@ -60,15 +61,18 @@ class Counter:
             raise ValueError(f"{path} has added tokens that take in what stands around them")
         self.cutter = Tokenizer.from_file(path).pre_tokenizer
         self.added = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
-        #: Every token, true, and every beginning of one that is none itself, false.
-        self.opens = {t[:i]: False for t in model["vocab"] for i in range(1, len(t))} | dict.fromkeys(model["vocab"], True)
+        self.names = list(model["vocab"])
+        self.step = len(self.names)
+        self.tokens = ahocorasick.Automaton()
+        for i, token in enumerate(self.names):
+            self.tokens.add_word(token, (len(token), i))
+        self.tokens.make_automaton()
         self.rank: dict[tuple[str, str], int] = {}
         for i, pair in enumerate(model["merges"]):
             self.rank[tuple(pair) if isinstance(pair, list) else tuple(pair.split(" "))] = i
         self.letters = dict(enumerate(_byte_letters()))
         self.spines: dict[str, tuple[list, list] | None] = {}
-        self.allowed: dict[str, dict[str, bool]] = {}
-        self.held = 0
+        self.allowed: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -101,35 +105,32 @@ class Counter:
         left = self._spine(first)
         return not any((r := self.rank.get((x, y), _NEVER)) < until_x and r <= until_y and r < _NEVER for x, until_x in left[1] for y, until_y in right[0])
 
+    def _judge(self, pair: int) -> bool:
+        """_may_follow for places in the list of tokens, -1 for no token before; remembered."""
+        if len(self.allowed) > PAIRS:
+            self.allowed.clear()
+        first, second = divmod(pair, self.step)
+        may = self.allowed[pair] = self._may_follow(self.names[first] if first >= 0 else "", self.names[second])
+        return may
+
     def piece(self, text: str) -> list[int]:
         """Tokens of each prefix of one piece, by code points.
 
-        Places are taken from left to right. The last token before a place is known when it is reached, and each token that may follow it
-        from there settles the place where it ends; no other token can.
+        An automaton finds every token that occurs, by the place where it ends. The last token before a place is settled by the first that may
+        follow what stands before it; no other can.
         """
         data = text.encode().decode("latin-1").translate(self.letters)
-        n, opens = len(data), self.opens
-        last: list = ["", *[None] * n]
-        count = [0] * (n + 1)
-        for start in range(n):
-            first, below = last[start], count[start] + 1
-            if self.held > PAIRS:
-                self.allowed, self.held = {}, 0
-            known = self.allowed.get(first)
-            if known is None:
-                known = self.allowed[first] = {}
-            for end in range(start + 1, n + 1):
-                token = data[start:end]
-                whole = opens.get(token)
-                if whole is None:
-                    break
-                if whole and last[end] is None:
-                    may = known.get(token)
-                    if may is None:
-                        may = known[token] = self._may_follow(first, token)
-                        self.held += 1
-                    if may:
-                        last[end], count[end] = token, below
+        n, get = len(data), self.allowed.get
+        last, count = [-1, *[None] * n], [0] * (n + 1)
+        for end, (size, token) in self.tokens.iter(data):
+            end += 1
+            if last[end] is None:
+                pair = last[end - size] * self.step + token
+                may = get(pair)
+                if may is None:
+                    may = self._judge(pair)
+                if may:
+                    last[end], count[end] = token, count[end - size] + 1
         if n == len(text):
             return count[1:]
         at, found = 0, []
