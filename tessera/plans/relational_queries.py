@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import compat
-from tessera.operators import codes, cohort, compare, relational, timeops
+from tessera.operators import codes, cohort, compare, relational, restructure, timeops
 from tessera.plans.base import Tables, registrar
+from tessera.plans.clinical_base import SOURCES, TWIN_SLOTS, base_sql, base_table
 from tessera.quality import notes
 
 QUERIES: dict = {}
@@ -230,6 +231,47 @@ def reward(t: Tables) -> DataFrame:
     return compare.reward(rates).select(F.round("reward", 9).alias("reward"))
 
 
+#: Golden texts over the bound base tables, in words that both engines read.
+GOLDEN = {
+    "charts_of_stays": """SELECT i.stay_id, CASE WHEN p.gender = 'F' THEN 1 ELSE 0 END AS female, count(*) AS n, max(c.valuenum) AS valuenum, min(c.charttime) AS charttime
+FROM icustays i JOIN admissions a ON a.hadm_id = i.hadm_id JOIN patients p ON p.subject_id = i.subject_id JOIN chartevents c ON c.stay_id = i.stay_id WHERE c.itemid = 220045 AND c.charttime >= i.intime GROUP BY i.stay_id, p.gender""",
+    "balance": """WITH given AS (SELECT stay_id, count(*) AS n FROM inputevents GROUP BY stay_id), lost AS (SELECT stay_id, sum(value) AS value FROM outputevents GROUP BY stay_id)
+SELECT i.stay_id, 0 AS female, coalesce(given.n, 0) AS n, lost.value AS valuenum, i.intime AS charttime FROM icustays i LEFT JOIN given ON given.stay_id = i.stay_id LEFT JOIN lost ON lost.stay_id = i.stay_id""",
+}
+_GOLDEN_TABLES = ("patients", "admissions", "icustays", "chartevents", "labevents", "inputevents", "outputevents")
+_OTHER_NAMES = {"subject_id": "k1", "hadm_id": "k2", "stay_id": "k3", "itemid": "k4", "gender": "c1", "valuenum": "c2", "value": "c3", "charttime": "t1", "intime": "t2"}
+
+
+def _three_times() -> str:
+    base = base_sql(TWIN_SLOTS)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({base[name]})" for name in ("admissions", "icustays", *[t for t in _GOLDEN_TABLES if t not in ("admissions", "icustays")]))
+    asked = " UNION ALL ".join(f"SELECT '{name}' AS question, g.* FROM ({text}) g" for name, text in GOLDEN.items())
+    return f"WITH {ctes}, asked AS ({asked}) SELECT s.schema_name, asked.* FROM asked, (VALUES ('given'), ('renamed'), ('merged')) AS s(schema_name)"
+
+
+@query("three_schemas", _three_times())
+def three_schemas(t: Tables) -> DataFrame:
+    """Golden texts asked of the base tables as they are, under other names, and through the views of merged tables."""
+    tables: dict[str, DataFrame] = {}
+    for name in ("admissions", "icustays", *_GOLDEN_TABLES):
+        if name not in tables:
+            tables[name] = base_table(t.spark, name, [tables[s] if s in tables else getattr(t, s) for s in SOURCES[name]])
+    other = compare.renamed(tables, {name: f"x{i}" for i, name in enumerate(tables)}, _OTHER_NAMES)
+    schemas = {"given": (tables, {}), "renamed": (dict(zip(tables, other.values(), strict=True)), _OTHER_NAMES), "merged": (restructure.restructured(tables)[1], {})}
+    out = None
+    for schema, (held, names) in schemas.items():
+        views = {name: f"_tessera_{schema}_{name}" for name in held}
+        for name, view in views.items():
+            held[name].createOrReplaceTempView(view)
+        for question, text in GOLDEN.items():
+            found = restructure.names_back(t.spark.sql(restructure.rewrite_sql(t.spark, text, views, names)), names)
+            found = found.select(F.lit(schema).alias("schema_name"), F.lit(question).alias("question"), *found.columns)
+            out = found if out is None else out.unionByName(found)
+        for view in views.values():
+            t.spark.catalog.dropTempView(view)
+    return out
+
+
 @query("equivalent_schemas", "SELECT true AS renamed_equal, true AS restructured_equal, false AS changed_equal")
 def equivalent_schemas(t: Tables) -> DataFrame:
     """One question asked of three schemas: the given one, one with other names, and one with customers and orders as one table; and a wrong answer."""

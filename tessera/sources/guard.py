@@ -24,25 +24,25 @@ class QueryError(ValueError):
     """A request that is refused before anything runs."""
 
 
-def _items(sequence) -> Iterator:
+def sequence_items(sequence) -> Iterator:
     for i in range(sequence.size()):
         yield sequence.apply(i)
 
 
-def _walk(node) -> Iterator:
+def plan_nodes(node) -> Iterator:
     """The node, its children, its common table expressions and the plans and parts of its expressions."""
     yield node
-    for child in _items(node.children().toSeq()):
-        yield from _walk(child)
+    for child in sequence_items(node.children().toSeq()):
+        yield from plan_nodes(child)
     kind = node.getClass().getSimpleName()
     if kind == "UnresolvedWith":
-        for relation in _items(node.cteRelations().toSeq()):
-            yield from _walk(relation.productElement(1))
+        for relation in sequence_items(node.cteRelations().toSeq()):
+            yield from plan_nodes(relation.productElement(1))
     if hasattr(node, "expressions") and "plans.logical" in node.getClass().getName() or kind.startswith("Unresolved") and _has(node, "expressions"):
-        for expression in _items(node.expressions().toSeq()):
-            yield from _walk(expression)
+        for expression in sequence_items(node.expressions().toSeq()):
+            yield from plan_nodes(expression)
     if _has(node, "plan") and "expressions" in node.getClass().getName():
-        yield from _walk(node.plan())
+        yield from plan_nodes(node.plan())
 
 
 def _has(node, method: str) -> bool:
@@ -56,17 +56,17 @@ def check_sql(spark: SparkSession, sql: str) -> None:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as error:
         raise QueryError(f"not a query: {str(error).splitlines()[0]}") from error
-    for node in _walk(plan):
+    for node in plan_nodes(plan):
         kind, name = node.getClass().getSimpleName(), node.getClass().getName()
         if "expressions" not in name and not re.search(r"analysis\.Unresolved(Attribute|Function|Star|Alias|ExtractValue|Ordinal|RegEx|NamedLambda|FunctionName|Identifier|Subquery|LambdaVariable|Generator)$", name) and kind not in QUERY_NODES:
             raise QueryError(f"only queries are allowed, not {kind}")
         parts: list[str] = []
         if kind == "UnresolvedRelation":
-            parts = [x.lower() for x in _items(node.multipartIdentifier().toSeq())]
+            parts = [x.lower() for x in sequence_items(node.multipartIdentifier().toSeq())]
             if len(parts) > 1 and parts[0] in PATH_FORMATS or any("/" in x or "\\" in x for x in parts):
                 raise QueryError("tables are named, not read from paths")
         elif kind == "UnresolvedTableValuedFunction":
-            called = ".".join(_items(node.name().toSeq())).lower()
+            called = ".".join(sequence_items(node.name().toSeq())).lower()
             if called not in TABLE_FUNCTIONS:
                 raise QueryError(f"table function {called} is not allowed")
         elif kind == "UnresolvedGenerator":
@@ -74,11 +74,11 @@ def check_sql(spark: SparkSession, sql: str) -> None:
             if called not in TABLE_FUNCTIONS:
                 raise QueryError(f"table function {called} is not allowed")
         elif kind == "UnresolvedFunction":
-            called = [x.lower() for x in _items(node.nameParts().toSeq())][-1]
+            called = [x.lower() for x in sequence_items(node.nameParts().toSeq())][-1]
             if called in HOST_FUNCTIONS:
                 raise QueryError(f"function {called} is not allowed")
         elif kind == "UnresolvedAttribute":
-            parts = [x.lower() for x in _items(node.nameParts().toSeq())]
+            parts = [x.lower() for x in sequence_items(node.nameParts().toSeq())]
         elif kind in ("EqualTo", "EqualNullSafe"):
             left, right = node.left(), node.right()
             if left.getClass().getSimpleName() == right.getClass().getSimpleName() == "Literal" and left.toString() == right.toString():
