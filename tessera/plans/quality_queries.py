@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.base import Tables, registrar
-from tessera.quality import accuracy, consistency, metrics
+from tessera.plans.clinical_base import SOURCES, TWIN_SLOTS, base_sql, base_table
+from tessera.quality import accuracy, consistency, longform, metrics
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -261,3 +262,41 @@ def logical_accuracy(t: Tables) -> DataFrame:
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n_lines"), F.avg("l_discount").alias("discount"))
     judged = accuracy.numeric_accuracy(t.orders.join(lines, "o_orderkey").select("o_orderkey", "o_totalprice", "quantity", "n_lines", "discount"), "o_totalprice", ["quantity", "n_lines", "discount"])
     return judged.select("o_orderkey", "o_totalprice", "low", "high", "rebuilt", "isolation", "direction")
+
+
+#: By hand, for the twin: table, column, value, classes, date, Mapping_info_1, Mapping_info_2.
+_LONG_RULES = [
+    ("patients", "'gender'", "gender", 1, "NULL", "NULL", "NULL"), ("patients", "'anchor_age'", "CAST(anchor_age AS VARCHAR)", 0, "NULL", "NULL", "NULL"), ("patients", "'anchor_year'", "CAST(anchor_year AS VARCHAR)", 0, "NULL", "NULL", "NULL"),
+    ("patients", "'dod'", "CAST(dod AS VARCHAR)", 0, "NULL", "'date'", "NULL"),
+    ("prescriptions", "'starttime'", "CAST(starttime AS VARCHAR)", 0, "NULL", "'date'", "NULL"), ("prescriptions", "'stoptime'", "CAST(stoptime AS VARCHAR)", 0, "NULL", "'date'", "NULL"), ("prescriptions", "'drug_type'", "drug_type", 1, "starttime", "NULL", "NULL"),
+    ("prescriptions", "'drug'", "drug", 0, "starttime", "'prescription'", "'drug'"), ("prescriptions", "'route'", "route", 1, "NULL", "'prescription'", "'prescription_info'"),
+    ("diagnoses_icd", "'seq_num'", "CAST(seq_num AS VARCHAR)", 0, "NULL", "NULL", "NULL"), ("diagnoses_icd", "'icd_code'", "icd_code", 1, "NULL", "'medical_code'", "NULL"), ("diagnoses_icd", "'icd_version'", "CAST(icd_version AS VARCHAR)", 1, "NULL", "NULL", "NULL"),
+    ("chartevents", "CAST(itemid AS VARCHAR)", "coalesce(CAST(valuenum AS VARCHAR), value)", "CASE WHEN valuenum IS NULL AND value IS NOT NULL THEN 1 ELSE 0 END", "charttime", "'event'", "'chart_event'"),
+    ("chartevents", "'storetime'", "CAST(storetime AS VARCHAR)", 0, "NULL", "'date'", "NULL"), ("chartevents", "'valuenum'", "CAST(valuenum AS VARCHAR)", 0, "charttime", "'event'", "'chart_event'"),
+]
+_LONG_TABLES = ("patients", "prescriptions", "diagnoses_icd", "chartevents")
+
+
+def _long_twin() -> str:
+    base = base_sql(TWIN_SLOTS)
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({base[n]})" for n in ("admissions", "icustays", *_LONG_TABLES))
+    rows = " UNION ALL ".join(
+        f"SELECT '{t.upper()}' AS t, {name} AS n, coalesce({value}, '') AS v, CAST({c} AS VARCHAR) AS c, {date} IS NOT NULL AS dated, CAST({one} AS VARCHAR) AS m1, CAST({two} AS VARCHAR) AS m2, subject_id AS p FROM {t}"
+        for t, name, value, c, date, one, two in _LONG_RULES
+    )
+    return f"""WITH {ctes}, r AS ({rows})
+SELECT t AS Original_table_name, n AS Variable_name, c AS Is_categorical, m1 AS Mapping_info_1, m2 AS Mapping_info_2, count(*) AS n_rows, count(*) FILTER (WHERE dated) AS n_dated, count(*) FILTER (WHERE v = '') AS n_blank,
+  count(*) FILTER (WHERE v <> '' AND TRY_CAST(v AS DOUBLE) IS NOT NULL) AS n_numeric, count(DISTINCT p) AS patients FROM r GROUP BY ALL"""
+
+
+@query("long_builder", _long_twin())
+def long_builder(t: Tables) -> DataFrame:
+    """What the long format holds of four base tables, by variable and kind."""
+    tables: dict[str, DataFrame] = {}
+    for name in ("admissions", "icustays", *_LONG_TABLES):
+        tables[name] = base_table(t.spark, name, [tables[s] if s in tables else getattr(t, s) for s in SOURCES[name]])
+    long = longform.build_long({n: tables[n] for n in _LONG_TABLES})
+    return long.groupBy("Original_table_name", "Variable_name", "Is_categorical", "Mapping_info_1", "Mapping_info_2").agg(
+        F.count("*").alias("n_rows"), F.count("Event_date").alias("n_dated"), F.count_if(F.col("Value") == "").alias("n_blank"), F.count_if(F.col("Variable_type") == "numeric").alias("n_numeric"),
+        F.count_distinct("Patient_id").alias("patients"),
+    )
