@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from tessera.concepts import bedside, comorbidity, elixhauser, firstday, infection, infusions, measurements, prescriptions, scores, severity, stays
+from tessera.concepts import bedside, comorbidity, elixhauser, firstday, infection, infusions, measurements, prescriptions, scores, severity, stays, windows
 
 LAB, CHART, INPUT, STAYS = "labevents", "chartevents", "inputevents", "icustays"
 
@@ -64,7 +64,11 @@ CATEGORIES: dict[str, dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]
     },
 }
 #: Tables made like these on request, but not among those that are written together.
-EXTRA = {"elixhauser": (elixhauser.elixhauser, ("admissions", "diagnoses_icd"))}
+EXTRA = {
+    "elixhauser": (elixhauser.elixhauser, ("admissions", "diagnoses_icd")),
+    "sofa_12h": (windows.sofa_12h, (STAYS, "bg", "ventilation", "vitalsign", "chemistry", "enzyme", "complete_blood_count", "gcs", *scores.PRESSORS)),
+    "sirs_12h": (windows.sirs_12h, (STAYS, "vitalsign", "bg", "complete_blood_count", "blood_differential")),
+}
 CONCEPTS = {name: entry for group in CATEGORIES.values() for name, entry in group.items()}
 
 

@@ -438,3 +438,29 @@ twin(
     f"""WITH f AS (SELECT a.subject_id, a.hadm_id, {_codes(elixhauser.GROUPS)} FROM admissions a LEFT JOIN diagnoses_icd d ON d.hadm_id = a.hadm_id AND seq_num <> 1 GROUP BY 1, 2), g AS (SELECT * REPLACE ({_milder}) FROM f)
 SELECT *, {" + ".join(elixhauser.GROUPS)} AS elixhauser_count, {" + ".join(f"{w} * {n}" for n, w in elixhauser.WEIGHTS.items())} AS elixhauser_vanwalraven FROM g""",
 )
+
+# ---- scores over twelve hours, with their thresholds written out ----
+_twelve = "charttime BETWEEN intime - INTERVAL 6 HOUR AND intime + INTERVAL 12 HOUR"
+_drip = lambda n: f"(SELECT max(vaso_rate) FROM {n} m WHERE m.stay_id = i.stay_id AND starttime BETWEEN intime - INTERVAL 6 HOUR AND intime + INTERVAL 12 HOUR) AS {n}_rate"
+twin(
+    "sofa_12h", "icustays bg ventilation vitalsign chemistry enzyme complete_blood_count gcs norepinephrine epinephrine dopamine dobutamine",
+    f"""WITH g AS (SELECT i.stay_id, min(CASE WHEN v.stay_id IS NULL THEN pao2fio2ratio END) AS novent, min(CASE WHEN v.stay_id IS NOT NULL THEN pao2fio2ratio END) AS vent FROM icustays i JOIN bg ON bg.subject_id = i.subject_id AND {_twelve}
+  LEFT JOIN ventilation v ON v.stay_id = i.stay_id AND bg.charttime >= v.starttime AND bg.charttime <= v.endtime AND v.ventilation_status = 'InvasiveVent' GROUP BY 1),
+p AS (SELECT i.subject_id, i.hadm_id, i.stay_id, novent, vent, (SELECT min(mbp) FROM vitalsign s WHERE s.stay_id = i.stay_id AND {_twelve}) AS mbp, (SELECT min(gcs) FROM gcs s WHERE s.stay_id = i.stay_id AND {_twelve}) AS coma,
+  (SELECT max(creatinine) FROM chemistry l WHERE l.hadm_id = i.hadm_id AND {_twelve}) AS creatinine, (SELECT max(bilirubin_total) FROM enzyme l WHERE l.hadm_id = i.hadm_id AND {_twelve}) AS bilirubin,
+  (SELECT min(platelet) FROM complete_blood_count l WHERE l.hadm_id = i.hadm_id AND {_twelve}) AS platelet, {_drip("norepinephrine")}, {_drip("epinephrine")}, {_drip("dopamine")}, {_drip("dobutamine")} FROM icustays i LEFT JOIN g ON g.stay_id = i.stay_id),
+s AS (SELECT subject_id, hadm_id, stay_id, CASE WHEN vent < 100 THEN 4 WHEN vent < 200 THEN 3 WHEN novent < 300 THEN 2 WHEN novent < 400 THEN 1 ELSE 0 END AS respiration,
+  CASE WHEN platelet < 20 THEN 4 WHEN platelet < 50 THEN 3 WHEN platelet < 100 THEN 2 WHEN platelet < 150 THEN 1 ELSE 0 END AS coagulation, CASE WHEN bilirubin >= 12 THEN 4 WHEN bilirubin >= 6 THEN 3 WHEN bilirubin >= 2 THEN 2 WHEN bilirubin >= 1.2 THEN 1 ELSE 0 END AS liver,
+  CASE WHEN dopamine_rate > 15 OR epinephrine_rate > 0.1 OR norepinephrine_rate > 0.1 THEN 4 WHEN dopamine_rate > 5 OR epinephrine_rate > 0 OR norepinephrine_rate > 0 THEN 3 WHEN dopamine_rate > 0 OR dobutamine_rate > 0 THEN 2 WHEN mbp < 70 THEN 1 ELSE 0 END AS cardiovascular,
+  CASE WHEN coma < 6 THEN 4 WHEN coma <= 9 THEN 3 WHEN coma <= 12 THEN 2 WHEN coma <= 14 THEN 1 ELSE 0 END AS cns, CASE WHEN creatinine >= 5 THEN 4 WHEN creatinine >= 3.5 THEN 3 WHEN creatinine >= 2 THEN 2 WHEN creatinine >= 1.2 THEN 1 ELSE 0 END AS renal FROM p)
+SELECT subject_id, hadm_id, stay_id, respiration + coagulation + liver + cardiovascular + cns + renal AS sofa, respiration, coagulation, liver, cardiovascular, cns, renal FROM s""",
+)
+twin(
+    "sirs_12h", "icustays vitalsign bg complete_blood_count blood_differential",
+    f"""WITH v AS (SELECT i.stay_id, min(temperature) AS cold, max(temperature) AS warm, max(heart_rate) AS beat, max(resp_rate) AS breath FROM icustays i JOIN vitalsign s ON s.stay_id = i.stay_id AND {_twelve} GROUP BY 1),
+p AS (SELECT i.subject_id, i.hadm_id, i.stay_id, cold, warm, beat, breath, (SELECT min(pco2) FROM bg WHERE bg.subject_id = i.subject_id AND specimen = 'ART.' AND {_twelve}) AS gas, (SELECT min(wbc) FROM complete_blood_count c WHERE c.subject_id = i.subject_id AND {_twelve}) AS few,
+  (SELECT max(wbc) FROM complete_blood_count c WHERE c.subject_id = i.subject_id AND {_twelve}) AS many, (SELECT max(bands) FROM blood_differential d WHERE d.subject_id = i.subject_id AND {_twelve}) AS bands FROM icustays i LEFT JOIN v ON v.stay_id = i.stay_id),
+s AS (SELECT subject_id, hadm_id, stay_id, CASE WHEN cold < 36 OR warm > 38 THEN 1 ELSE 0 END AS temp_score, CASE WHEN beat > 90 THEN 1 ELSE 0 END AS heart_rate_score, CASE WHEN breath > 20 OR gas < 32 THEN 1 ELSE 0 END AS resp_score,
+  CASE WHEN few < 4 OR many > 12 OR bands > 10 THEN 1 ELSE 0 END AS wbc_score FROM p)
+SELECT subject_id, hadm_id, stay_id, temp_score + heart_rate_score + resp_score + wbc_score AS sirs, temp_score, heart_rate_score, resp_score, wbc_score FROM s""",
+)
