@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,71 @@ def select_cohort(people: DataFrame, key: str, age: str, group: str, codes: Data
     return out
 
 
+_CODE = re.compile(r"^[A-Za-z0-9.]+$")
+
+
+@dataclass(frozen=True)
+class AdmissionCriteria:
+    """What admissions must be like; None asks for nothing. Codes are prefixes of letters, digits and dots; an admission must have any of them, or with match_all one of each."""
+
+    age_min: int | None = None
+    age_max: int | None = None
+    gender: str | None = None
+    codes: Sequence[str] = ()
+    match_all: bool = False
+    has_stay: bool | None = None
+    died: bool | None = None
+
+    def __post_init__(self) -> None:
+        for name in ("age_min", "age_max"):
+            age = getattr(self, name)
+            if age is not None and (isinstance(age, bool) or not isinstance(age, int) or not 0 <= age <= 130):
+                raise ValueError(f"{name} must be a whole number from 0 to 130")
+        if self.age_min is not None and self.age_max is not None and self.age_min > self.age_max:
+            raise ValueError("age_min exceeds age_max")
+        if self.gender not in (None, "F", "M"):
+            raise ValueError("gender must be F or M")
+        if bad := [c for c in self.codes if not isinstance(c, str) or not _CODE.match(c)]:
+            raise ValueError(f"codes hold letters, digits and dots only, not {bad}")
+        for name in ("match_all", "has_stay", "died"):
+            if not isinstance(getattr(self, name), (bool, type(None))):
+                raise ValueError(f"{name} must be true or false")
+
+
+def select_admissions(patients: DataFrame, admissions: DataFrame, diagnoses: DataFrame, icustays: DataFrame, criteria: AdmissionCriteria) -> DataFrame:
+    """subject_id, hadm_id, gender, anchor_age, hospital_expire_flag of the admissions that meet all criteria.
+
+    Codes are gathered once for each admission, whatever their number; stays and codes come in by semi and anti joins, so no admission is multiplied.
+    """
+    people = patients.select("subject_id", "gender", "anchor_age")
+    if criteria.age_min is not None:
+        people = people.where(F.col("anchor_age") >= criteria.age_min)
+    if criteria.age_max is not None:
+        people = people.where(F.col("anchor_age") <= criteria.age_max)
+    if criteria.gender is not None:
+        people = people.where(F.col("gender") == criteria.gender)
+    chosen = admissions.select("subject_id", "hadm_id", "hospital_expire_flag")
+    if criteria.died is not None:
+        chosen = chosen.where(F.col("hospital_expire_flag") == int(criteria.died))
+    chosen = chosen.join(people, "subject_id")
+    if criteria.codes:
+        held = [F.bool_or(F.col("icd_code").startswith(c)) for c in criteria.codes]
+        having = reduce(lambda a, b: a & b if criteria.match_all else a | b, held)
+        chosen = chosen.join(diagnoses.groupBy("hadm_id").agg(having.alias("_has")).where("_has").select("hadm_id"), "hadm_id", "left_semi")
+    if criteria.has_stay is not None:
+        chosen = chosen.join(icustays.select("hadm_id"), "hadm_id", "left_semi" if criteria.has_stay else "left_anti")
+    return chosen.select("subject_id", "hadm_id", "gender", "anchor_age", "hospital_expire_flag")
+
+
+def admission_counts(chosen: DataFrame, icustays: DataFrame | None = None) -> DataFrame:
+    """patient_count, admission_count, and icu_stay_count where the stays are given."""
+    counts = chosen.agg(F.count_distinct("subject_id").alias("patient_count"), F.count_distinct("hadm_id").alias("admission_count"))
+    if icustays is None:
+        return counts
+    stays = icustays.join(chosen.select("hadm_id").distinct(), "hadm_id", "left_semi").agg(F.count_distinct("stay_id").alias("icu_stay_count"))
+    return counts.crossJoin(stays)  # one row each
+
+
 def age_bands(cohort: DataFrame, key: str, age: str, first: int = 20, step: int = 10, last: int = 90) -> DataFrame:
     band = F.when(F.col(age) < first, f"0-{first - 1}").when(F.col(age) >= last, f"{last}+")
     low = (F.floor(F.col(age) / step) * step).cast("int")

@@ -231,6 +231,40 @@ def reward(t: Tables) -> DataFrame:
     return compare.reward(rates).select(F.round("reward", 9).alias("reward"))
 
 
+_COHORT_BASE = ("admissions", "icustays", "patients", "diagnoses_icd")
+#: Cohorts by name, and what an admission of each must meet, written out for the twin.
+COHORTS = {
+    "any_code": (cohort.AdmissionCriteria(age_min=30, age_max=80, codes=("E11", "428"), has_stay=False), "anchor_age BETWEEN 30 AND 80 AND NOT s AND EXISTS (SELECT 1 FROM diagnoses_icd d WHERE d.hadm_id = x.hadm_id AND (icd_code LIKE 'E11%' OR icd_code LIKE '428%'))"),
+    "every_code": (
+        cohort.AdmissionCriteria(gender="F", codes=("I", "E"), match_all=True, died=False),
+        "gender = 'F' AND hospital_expire_flag = 0 AND EXISTS (SELECT 1 FROM diagnoses_icd d WHERE d.hadm_id = x.hadm_id AND icd_code LIKE 'I%') AND EXISTS (SELECT 1 FROM diagnoses_icd d WHERE d.hadm_id = x.hadm_id AND icd_code LIKE 'E%')",
+    ),
+    "died_in_care": (cohort.AdmissionCriteria(has_stay=True, died=True), "s AND hospital_expire_flag = 1"),
+}
+
+
+def _cohorts_twin() -> str:
+    base = base_sql(TWIN_SLOTS)
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({base[n]})" for n in _COHORT_BASE)
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS cohort, subject_id, hadm_id FROM x WHERE {test}" for n, (_, test) in COHORTS.items())
+    return f"""WITH {ctes}, x AS (SELECT a.subject_id, a.hadm_id, a.hospital_expire_flag, gender, anchor_age, EXISTS (SELECT 1 FROM icustays i WHERE i.hadm_id = a.hadm_id) AS s FROM admissions a JOIN patients p ON p.subject_id = a.subject_id), c AS ({rows})
+SELECT n.cohort, count(DISTINCT c.subject_id) AS patient_count, count(DISTINCT c.hadm_id) AS admission_count, count(DISTINCT stay_id) AS icu_stay_count
+FROM (VALUES {", ".join(f"('{n}')" for n in COHORTS)}) AS n(cohort) LEFT JOIN c ON c.cohort = n.cohort LEFT JOIN icustays i ON i.hadm_id = c.hadm_id GROUP BY 1"""
+
+
+@query("admission_cohorts", _cohorts_twin())
+def admission_cohorts(t: Tables) -> DataFrame:
+    tables: dict[str, DataFrame] = {}
+    for name in _COHORT_BASE:
+        tables[name] = base_table(t.spark, name, [tables[s] if s in tables else getattr(t, s) for s in SOURCES[name]])
+    out = None
+    for name, (criteria, _) in COHORTS.items():
+        chosen = cohort.select_admissions(tables["patients"], tables["admissions"], tables["diagnoses_icd"], tables["icustays"], criteria)
+        found = cohort.admission_counts(chosen, tables["icustays"]).select(F.lit(name).alias("cohort"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 #: Golden texts over the bound base tables, in words that both engines read.
 GOLDEN = {
     "charts_of_stays": """SELECT i.stay_id, CASE WHEN p.gender = 'F' THEN 1 ELSE 0 END AS female, count(*) AS n, max(c.valuenum) AS valuenum, min(c.charttime) AS charttime

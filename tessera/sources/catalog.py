@@ -116,13 +116,6 @@ def read_text_table(spark: SparkSession, path: str, sep: str = ",", encoding: st
     return raw
 
 
-def write_golden(df: DataFrame, path: str, keys: list[str]) -> dict[str, object]:
-    """One gzipped CSV in the order of the keys, nulls last, and its manifest: rows, columns and a checksum that doesn't depend on the order."""
-    df.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).coalesce(1).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
-    rows, total = df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns))).first()
-    return {"path": path, "rows": rows, "columns": df.columns, "checksum": total}
-
-
 def as_text(df: DataFrame, limit: int = ROW_LIMIT) -> str:
     """The first rows as lines, and how many there are where that isn't all."""
     rows = df.limit(limit + 1).collect()
@@ -154,9 +147,10 @@ def is_truncated(df: DataFrame, limit: int = ROW_LIMIT) -> bool:
 
 
 def table_info(spark: SparkSession, name: str) -> DataFrame:
-    """cid, name, type, nullable of a table's columns."""
+    """cid, name, type, notnull, dflt_value, pk of a table's columns. notnull is true where a column can't be null (the surveyed tool shows the opposite); Parquet has neither defaults nor keys."""
     fields = spark.table(check_name(name)).schema
-    return spark.createDataFrame([(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(fields)], "cid int, name string, type string, nullable boolean")
+    rows = [(i, f.name, f.dataType.simpleString(), not f.nullable, None, False) for i, f in enumerate(fields)]
+    return spark.createDataFrame(rows, "cid int, name string, type string, notnull boolean, dflt_value string, pk boolean")
 
 
 def sample_rows(df: DataFrame, limit: int = 3) -> DataFrame:
