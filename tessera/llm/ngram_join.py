@@ -45,7 +45,7 @@ CELL_SETS, CELL_SHINGLES, BLOCK = 16_384, 8_000_000, 2048
 #: Sets of a Voronoi region that is split no further, pivots of a split, and what a split may grow by.
 LEAF, PIVOTS, GROWTH, DEPTH = 8, 6, 1.2, 12
 #: Shingles of one matrix product.
-COLUMNS = 2048
+COLUMNS = 512
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -295,9 +295,8 @@ def _distances(pairs: DataFrame, sets: DataFrame, kind: type = np.uint64) -> Dat
 
 
 def _intersections(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, as matrix products over a few thousand shingles at a time; shingles of one set count nowhere."""
-    every, uses = np.unique(np.concatenate([*rows, *columns]), return_counts=True)
-    every = every[uses > 1]
+    """Sizes of all intersections, as matrix products over some hundred shingles at a time; only those of the side with fewer can be shared."""
+    every = np.unique(np.concatenate(min(rows, columns, key=lambda side: sum(map(len, side)))))
     out = np.zeros((len(rows), len(columns)), np.float32)
     for low in range(0, len(every), COLUMNS):
         some = every[low : low + COLUMNS]
