@@ -300,3 +300,40 @@ def long_builder(t: Tables) -> DataFrame:
         F.count("*").alias("n_rows"), F.count("Event_date").alias("n_dated"), F.count_if(F.col("Value") == "").alias("n_blank"), F.count_if(F.col("Variable_type") == "numeric").alias("n_numeric"),
         F.count_distinct("Patient_id").alias("patients"),
     )
+
+
+def _base_long(t: Tables, wanted: tuple[str, ...]) -> DataFrame:
+    tables: dict[str, DataFrame] = {}
+    for name in ("admissions", "icustays", *wanted):
+        if name not in tables:
+            tables[name] = base_table(t.spark, name, [tables[s] if s in tables else getattr(t, s) for s in SOURCES[name]])
+    return longform.build_long({n: tables[n] for n in wanted})
+
+
+def _base_ctes(*names: str) -> str:
+    base = base_sql(TWIN_SLOTS)
+    return ", ".join(f"{n} AS MATERIALIZED ({base[n]})" for n in dict.fromkeys(("admissions", "icustays", *names)))
+
+
+_ENDS = (("admissions", "admittime", "dischtime"), ("admissions", "dischtime", "deathtime"), ("prescriptions", "starttime", "stoptime"), ("icustays", "outtime", "intime"))
+_ends_sql = " UNION ALL ".join(
+    f"SELECT '{t.upper()}' AS Original_table_name, '{a}' AS start_var, '{b}' AS end_var, count(*) AS n, count(*) FILTER (WHERE {a} > {b}) AS n_invalid, round(count(*) FILTER (WHERE {a} <= {b}) * 100.0 / count(*), 2) AS validity FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL AND subject_id IS NOT NULL HAVING count(*) > 0"
+    for t, a, b in _ENDS
+)
+
+
+@query("long_sequences", f"WITH {_base_ctes('prescriptions')} {_ends_sql}")
+def long_sequences(t: Tables) -> DataFrame:
+    """Pairs of dates of three base tables, met in the long format by patient, table and row key."""
+    return metrics.sequence_validity_long(_base_long(t, ("admissions", "prescriptions", "icustays")), [(x.upper(), a, b) for x, a, b in _ENDS])
+
+
+@query(
+    "long_codes",
+    f"""WITH {_base_ctes('diagnoses_icd')} SELECT 'DIAGNOSES_ICD' AS Original_table_name, 'icd_code' AS Variable_name, count(*) AS n, '^[A-Z]{{1}}[0-9]{{2}}(\\.[0-9]{{1,2}})?$' AS pattern,
+  count(*) FILTER (WHERE NOT regexp_matches(coalesce(icd_code, ''), '^[A-Z][0-9][0-9](\\.[0-9][0-9]?)?$')) AS n_invalid,
+  round(count(*) FILTER (WHERE regexp_matches(coalesce(icd_code, ''), '^[A-Z][0-9][0-9](\\.[0-9][0-9]?)?$')) * 100.0 / count(*), 2) AS validity FROM diagnoses_icd""",
+)
+def long_codes(t: Tables) -> DataFrame:
+    words = t.spark.range(1).select(F.lit("DIAGNOSES_ICD").alias("Original_table_name"), F.lit("icd_code").alias("Variable_name"), F.lit("ICD revision 10 code").alias("Description"))
+    return metrics.code_validity(_base_long(t, ("diagnoses_icd",)), words)

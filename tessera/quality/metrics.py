@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,6 +111,61 @@ def format_validity(long: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return rows.groupBy(*BY).agg(F.count("*").alias("n"), round_scaled(F.count_if("ok") * 100 / F.count("*"), 2).alias("validity"))
 
 
+# Kinds of codes, what names or describes them, and their form; the first that fits counts.
+CODE_KINDS = (
+    ("ICD-9", ("icd", "9"), r"^[0-9]{3}(\.[0-9]{1,2})?$"), ("ICD-10", ("icd", "10"), r"^[A-Z]{1}[0-9]{2}(\.[0-9]{1,2})?$"),
+    ("ICD-11", ("icd", "11"), r"^[A-Z0-9]{1}[A-Z]{1}[0-9]{1}[A-Z0-9]{1}(\.[A-Z0-9]{1,2})?$"), ("SNOMED-CT", ("snomed", "ct"), r"^[0-9]{6,18}$"), ("RxNorm", ("rxnorm",), r"^[0-9]{5,9}$"),
+    ("LOINC", ("loinc",), r"^[0-9]{1,6}\-[0-9]{1}$"), ("ATC", ("atc",), r"^[A-Z]{1}[0-9]{2}[A-Z]{2}[0-9]{2}$"),
+)
+
+
+def code_pattern(name: Column, description: Column) -> Column:
+    """The form of the codes of a variable, from words in its name or its description; null where none fits."""
+    out = F.lit(None).cast("string")
+    for _, words, pattern in reversed(CODE_KINDS):
+        fits = [reduce(lambda a, b: a & b, [F.lower(F.coalesce(text, F.lit(""))).contains(w) for w in words]) for text in (name, description)]
+        out = F.when(fits[0] | fits[1], pattern).otherwise(out)
+    return out
+
+
+def code_validity(long: DataFrame, dictionary: DataFrame, further: DataFrame | None = None) -> DataFrame:
+    """For each variable of codes: n, pattern, n_invalid and the share of values of the form of its kind. dictionary: Original_table_name, Variable_name, Description; further: Variable_name and pattern
+    for kinds that have no rule. Values of a variable that neither tells are invalid, and its pattern is empty."""
+    rows = long.where(F.lower("Mapping_info_1").contains("medical_code") & F.col("Value").isNotNull()).select(*BY, "Value")
+    known = dictionary.groupBy(*BY).agg(F.first(code_pattern(F.col("Variable_name"), F.col("Description")), ignorenulls=True).alias("pattern"))
+    if further is not None:
+        more = further.groupBy("Variable_name").agg(F.min("pattern").alias("other"))
+        known = known.join(more, "Variable_name", "left").withColumn("pattern", F.coalesce("pattern", "other")).drop("other")
+    joined = rows.groupBy(*BY, "Value").agg(F.count("*").alias("c")).join(known, BY, "left")  # equal values are judged once
+    good = F.coalesce(F.regexp_like("Value", F.col("pattern")), F.lit(False))
+    per = joined.groupBy(*BY).agg(F.sum("c").alias("n"), F.coalesce(F.first("pattern"), F.lit("")).alias("pattern"), F.sum(F.when(good, 0).otherwise(F.col("c"))).alias("n_invalid"))
+    return per.withColumn("validity", round_scaled((F.col("n") - F.col("n_invalid")) * 100 / F.col("n"), 2))
+
+
+def mapped_dates(long: DataFrame) -> DataFrame:
+    """The long format's dates as rows of date_validity: the dates of records, under the variable Event_date, and the values of variables that are mapped as dates."""
+    recorded = long.select("Original_table_name", F.lit("Event_date").alias("Variable_name"), "Event_date")
+    valued = long.where(F.lower("Mapping_info_1").contains("date")).select("Original_table_name", "Variable_name", F.col("Value").alias("Event_date"))
+    return recorded.unionByName(valued)
+
+
+def sequence_validity_long(long: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Original_table_name, start_var, end_var, n, n_invalid, validity for (table, start, end) pairs of variables mapped as dates: values of one patient, table and row key are held against each other; unreadable
+    dates and dates without a partner don't count. Ends are met by one grouping on the three keys; a start or end that a row has several times meets each of the other's."""
+    at = any_date(F.col("Value"))
+    ends = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(v).alias("v"), F.lit(i).alias("pair"), F.lit(side).alias("side")) for i, (t, *both) in enumerate(pairs) for side, v in enumerate(both)])
+    known = long.sparkSession.range(1).select(F.explode(ends).alias("e")).select("e.*")
+    dated = long.where(F.lower("Mapping_info_1").contains("date")).select("Patient_id", "Original_table_name", "Primary_key", "Variable_name", at.alias("at")).where("at is not null and Patient_id is not null and Primary_key is not null")
+    met = dated.join(F.broadcast(known), (F.col("Original_table_name") == F.col("t")) & (F.col("Variable_name") == F.col("v")))  # two rows for each pair asked for
+    sides = [F.collect_list(F.when(F.col("side") == i, F.col("at"))).alias(n) for i, n in enumerate(("starts", "ends"))]
+    rows = met.groupBy("Patient_id", "Original_table_name", "Primary_key", "pair").agg(*sides)
+    good = F.aggregate("starts", F.lit(0).cast("long"), lambda total, s: total + F.size(F.filter("ends", lambda e: s <= e)))
+    rows = rows.select("pair", (F.size("starts").cast("long") * F.size("ends")).alias("n"), good.alias("good")).where("n > 0")
+    names = [F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1).alias(n) for k, n in enumerate(("Original_table_name", "start_var", "end_var"))]
+    per = rows.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    return per.select(*names, "n", (F.col("n") - F.col("good")).alias("n_invalid"), round_scaled(F.col("good") * 100 / F.col("n"), 2).alias("validity"))
+
+
 def sequence_validity(df: DataFrame, table: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """For each (start, end) pair: rows where both are known, and the share in order."""
     both = [F.struct(F.lit(f"{a}<={b}").alias("pair"), F.col(a).isNotNull().__and__(F.col(b).isNotNull()).alias("known"), (F.col(a) <= F.col(b)).alias("ok")) for a, b in pairs]

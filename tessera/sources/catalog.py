@@ -169,12 +169,13 @@ def _limit(value: int, most: int) -> int:
 
 
 def search_notes(notes: DataFrame, note_id: str, text: str, query: str, limit: int = 5, snippet: int = 300) -> DataFrame:
-    """Notes that contain the query, whatever the case, with a snippet around its first place; the smallest ids first."""
+    """Notes that contain the query, whatever the case, % and _ in it standing for any characters and for any one; the smallest ids first. The snippet lies around the query's first place, or at the
+    note's beginning where the query holds such signs and doesn't stand there letter by letter."""
     limit, snippet = _limit(limit, 100), _limit(snippet, 10_000)
     needle = query.lower()
     at = F.instr(F.lower(F.col(text)), needle)
-    start = F.greatest(F.lit(1), at - F.lit(snippet // 2))
-    found = notes.where(F.lower(F.col(text)).contains(needle))
+    start = F.when(at > 0, F.greatest(F.lit(1), at - F.lit(snippet // 2))).otherwise(1)
+    found = notes.where(F.lower(F.col(text)).like("%" + needle.replace("\\", "\\\\") + "%"))
     return found.select(note_id, F.substring(F.col(text), start, F.lit(snippet)).alias("snippet"), F.length(text).alias("note_length")).orderBy(note_id).limit(limit)
 
 

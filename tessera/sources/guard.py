@@ -49,6 +49,17 @@ def _has(node, method: str) -> bool:
     return any(m.getName() == method and m.getParameterCount() == 0 for m in node.getClass().getMethods())
 
 
+_known: dict[str, frozenset[str]] = {}
+
+
+def known_functions(spark: SparkSession) -> frozenset[str]:
+    """Spark's own functions; what a session or a catalogue adds is none of them."""
+    version = spark.version
+    if version not in _known:
+        _known[version] = frozenset(r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect())
+    return _known[version]
+
+
 def check_sql(spark: SparkSession, sql: str) -> None:
     """Accept one query. Refused: other statements and several of them, commands wherever they stand, functions that reach the host, files named by
     path, names of credentials, and comparisons of a constant with itself."""
@@ -58,7 +69,7 @@ def check_sql(spark: SparkSession, sql: str) -> None:
         raise QueryError(f"not a query: {str(error).splitlines()[0]}") from error
     for node in plan_nodes(plan):
         kind, name = node.getClass().getSimpleName(), node.getClass().getName()
-        if "expressions" not in name and not re.search(r"analysis\.Unresolved(Attribute|Function|Star|Alias|ExtractValue|Ordinal|RegEx|NamedLambda|FunctionName|Identifier|Subquery|LambdaVariable|Generator)$", name) and kind not in QUERY_NODES:
+        if "expressions" not in name and not re.search(r"analysis\.Unresolved(Attribute|Function|Star|StarExceptOrReplace|Alias|ExtractValue|Ordinal|RegEx|NamedLambda|FunctionName|Identifier|Subquery|LambdaVariable|Generator)$", name) and kind not in QUERY_NODES:
             raise QueryError(f"only queries are allowed, not {kind}")
         parts: list[str] = []
         if kind == "UnresolvedRelation":
@@ -75,7 +86,7 @@ def check_sql(spark: SparkSession, sql: str) -> None:
                 raise QueryError(f"table function {called} is not allowed")
         elif kind == "UnresolvedFunction":
             called = [x.lower() for x in sequence_items(node.nameParts().toSeq())][-1]
-            if called in HOST_FUNCTIONS:
+            if called in HOST_FUNCTIONS or called not in known_functions(spark):
                 raise QueryError(f"function {called} is not allowed")
         elif kind == "UnresolvedAttribute":
             parts = [x.lower() for x in sequence_items(node.nameParts().toSeq())]
