@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -123,6 +124,18 @@ def standardised_difference(mean_a: Column, var_a: Column, mean_b: Column, var_b
     return F.try_divide(mean_a - mean_b, F.sqrt((var_a + var_b) / 2))
 
 
+def category_bias(df: DataFrame, kept: Column, variables: Sequence[str]) -> DataFrame:
+    """variable_name, category, n_kept, n_excluded, share_kept, share_excluded, smd (of the two shares) for each value of each variable; nulls are a category without a name. Rows are laid out once for all variables,
+    and counts leave each task before the shuffle."""
+    pairs = F.array(*[F.struct(F.lit(v).alias("variable_name"), F.col(v).cast("string").alias("category")) for v in variables])
+    rows = df.select(F.coalesce(kept, F.lit(False)).alias("_kept"), F.explode(pairs).alias("p")).select("_kept", "p.*")
+    per = rows.groupBy("variable_name", "category").agg(F.count_if("_kept").alias("n_kept"), F.count_if(~F.col("_kept")).alias("n_excluded"))
+    every = Window.partitionBy("variable_name")
+    shares = per.withColumns({f"share_{s}": F.try_divide(F.col(f"n_{s}"), F.sum(f"n_{s}").over(every)) for s in ("kept", "excluded")})
+    p, q = F.col("share_kept"), F.col("share_excluded")
+    return shares.withColumn("smd", standardised_difference(p, p * (1 - p), q, q * (1 - q)))
+
+
 def exclusion_bias(df: DataFrame, kept: Column, variables: Sequence[str]) -> DataFrame:
     """variable_name, smd between kept and excluded rows, from one aggregation."""
     aggs = [f(F.when(side, F.col(v))).alias(f"{n}_{s}_{v}") for v in variables for s, side in (("k", kept), ("x", ~kept)) for n, f in (("m", F.avg), ("v", F.var_samp))]

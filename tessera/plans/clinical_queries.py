@@ -464,3 +464,14 @@ def union_distinct(t: Tables) -> DataFrame:
 def decorrelated_minimum(t: Tables) -> DataFrame:
     least = t.lineitem.where("l_quantity > 30").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("first_ship"))
     return t.orders.select("o_orderkey").join(least, "o_orderkey", "left")
+
+
+@query(
+    "category_bias",
+    """WITH r AS (SELECT coalesce(c_acctbal > 0, false) AS k, v, CASE v WHEN 'c_mktsegment' THEN c_mktsegment ELSE CAST(c_nationkey AS VARCHAR) END AS c FROM customer, (VALUES ('c_mktsegment'), ('c_nationkey')) AS n(v)),
+p AS (SELECT v, c, count(*) FILTER (WHERE k) AS a, count(*) FILTER (WHERE NOT k) AS b FROM r GROUP BY 1, 2), s AS (SELECT *, a / sum(a) OVER (PARTITION BY v) AS x, b / sum(b) OVER (PARTITION BY v) AS y FROM p)
+SELECT v AS variable_name, c AS category, a AS n_kept, b AS n_excluded, round(x, 9) AS share_kept, round(y, 9) AS share_excluded, round((x - y) / sqrt((x * (1 - x) + y * (1 - y)) / 2), 9) AS smd FROM s""",
+)
+def category_bias(t: Tables) -> DataFrame:
+    found = cohort.category_bias(t.customer, F.col("c_acctbal") > 0, ["c_mktsegment", "c_nationkey"])
+    return found.select("variable_name", "category", "n_kept", "n_excluded", *[F.round(c, 9).alias(c) for c in ("share_kept", "share_excluded", "smd")])

@@ -337,3 +337,13 @@ def long_sequences(t: Tables) -> DataFrame:
 def long_codes(t: Tables) -> DataFrame:
     words = t.spark.range(1).select(F.lit("DIAGNOSES_ICD").alias("Original_table_name"), F.lit("icd_code").alias("Variable_name"), F.lit("ICD revision 10 code").alias("Description"))
     return metrics.code_validity(_base_long(t, ("diagnoses_icd",)), words)
+
+
+@query(
+    "described_variables",
+    f"""WITH {LONG_SQL}, v AS (SELECT DISTINCT Original_table_name, Variable_name FROM l) SELECT Original_table_name, Variable_name, CASE WHEN Variable_name = 'event_type' THEN 'kind of an event'
+  WHEN Original_table_name LIKE '%EVENTS' THEN 'Clinical measurement: ' || Variable_name ELSE 'Column ' || Variable_name || ' of the table ' || Original_table_name END AS Description FROM v""",
+)
+def described_variables(t: Tables) -> DataFrame:
+    words = t.spark.range(1).select(F.lit("Event_Type").alias("Variable_name"), F.lit("kind of an event").alias("Description"))
+    return metrics.describe_variables(_long(t), words)

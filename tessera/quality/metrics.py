@@ -279,3 +279,23 @@ def synonym_consistency(counts: DataFrame, group: str, n: str) -> DataFrame:
     """Sum of n^2 / N over groups of synonyms, in parts of all values."""
     per = counts.groupBy(group).agg(F.sum(n).alias("total"), F.sum(F.col(n).cast("double") * F.col(n)).alias("s"))
     return per.agg(round_scaled(F.sum(F.col("s") / F.col("total")) / F.sum("total"), 6).alias("consistency"))
+
+
+def describe_variables(long: DataFrame, documented: DataFrame | None = None) -> DataFrame:
+    """Original_table_name, Variable_name, Description for every variable of the long format.
+
+    documented: Variable_name, Description and perhaps Original_table_name (case folded), from a data dictionary or from a model's answers; a text for the table and variable comes before one for the variable alone, and
+    one that begins with NO_DESC is none. What nothing describes is a clinical measurement in tables of events, else a column of its table.
+    """
+    variables = long.select(*BY).where("Original_table_name is not null and Variable_name is not null").distinct()
+    plain = F.when(F.upper("Original_table_name").endswith("EVENTS"), F.concat(F.lit("Clinical measurement: "), "Variable_name")).otherwise(
+        F.concat(F.lit("Column "), F.col("Variable_name"), F.lit(" of the table "), F.col("Original_table_name"))
+    )
+    if documented is None:
+        return variables.select(*BY, plain.alias("Description"))
+    texts = documented.where(F.trim("Description") != "").where(~F.upper(F.trim("Description")).startswith("NO_DESC"))
+    table = F.upper("Original_table_name") if "Original_table_name" in documented.columns else F.lit(None).cast("string")
+    texts = texts.groupBy(table.alias("_table"), F.lower("Variable_name").alias("_variable")).agg(F.min("Description").alias("_text"))
+    own, general = texts.where("_table is not null"), texts.where("_table is null").select("_variable", F.col("_text").alias("_general"))
+    joined = variables.withColumns({"_table": F.upper("Original_table_name"), "_variable": F.lower("Variable_name")}).join(own, ["_table", "_variable"], "left").join(general, "_variable", "left")
+    return joined.select(*BY, F.coalesce("_text", "_general", plain).alias("Description"))

@@ -4,6 +4,7 @@ import random
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import cohort
 
@@ -38,3 +39,11 @@ def test_criteria_against_plain_tests(spark):
 def test_bad_criteria_are_refused(bad):
     with pytest.raises(ValueError):
         cohort.AdmissionCriteria(**bad)
+
+
+def test_shares_of_categories(spark):
+    rows = [("a", 1, True), ("a", 2, True), ("b", 1, True), ("a", 1, False), (None, 2, None), (None, 2, False)]
+    found = {(r["variable_name"], r["category"]): tuple(r)[2:] for r in cohort.category_bias(spark.createDataFrame(rows, "x string, y int, kept boolean"), F.col("kept"), ["x", "y"]).collect()}
+    assert found["x", "a"][:2] == (2, 1) and found["x", "a"][2:4] == (pytest.approx(2 / 3), pytest.approx(1 / 3))
+    assert found["x", None][:2] == (0, 2) and found["x", "b"][:4] == (1, 0, pytest.approx(1 / 3), 0.0)
+    assert found["x", "a"][4] == pytest.approx((2 / 3 - 1 / 3) / (2 / 9) ** 0.5) and found["y", "1"][:2] == (2, 1) and len(found) == 5

@@ -55,3 +55,12 @@ def test_the_guard_knows_functions_and_excepts(spark):
     for bad in ("select my_function(a) from t", "select other.upper(a) from t where evil(b)", "select reflect('a', 'b')"):
         with pytest.raises(catalog.QueryError):
             catalog.check_sql(spark, bad)
+
+
+def test_variables_are_described(spark):
+    long = long_of(spark, [(1, "LABEVENTS", "Glucose", "1", "p", None), (2, "A", "x", "1", "p", None), (3, "A", "y", "1", "p", None), (4, "B", "x", "1", "p", None), (5, "A", "z", "1", "p", None), (6, "A", "x", "2", "q", None)])
+    words = spark.createDataFrame([("a", "X", "x of a"), (None, "x", "any x"), (None, "y", "NO_DESC here"), ("A", "z", " "), ("A", "unused", "u")], "Original_table_name string, Variable_name string, Description string")
+    found = {(r[0], r[1]): r[2] for r in metrics.describe_variables(long, words).collect()}
+    assert found == {("LABEVENTS", "Glucose"): "Clinical measurement: Glucose", ("A", "x"): "x of a", ("B", "x"): "any x", ("A", "y"): "Column y of the table A", ("A", "z"): "Column z of the table A"}
+    assert {r[2] for r in metrics.describe_variables(long).where("Variable_name = 'x'").collect()} == {"Column x of the table A", "Column x of the table B"}
+    assert metrics.describe_variables(long, words.drop("Original_table_name")).count() == 5
