@@ -23,6 +23,8 @@ from tessera.session import materialize
 HEAD = 1 << 17
 #: Longest words, in code points, that are spelled out many at a time.
 SHORT = 40
+#: Passes that learn weights as expected uses over all spellings, at most, and the part of uses below which they have settled.
+ROUNDS, SETTLED = 3, 0.01
 _LOG2 = float(np.log10(2.0))
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -254,6 +256,12 @@ def expected_counts(counts: DataFrame, lattice: Lattice) -> list[tuple[int, floa
     return [(r["piece"], r["n"] / 1e6) for r in rows.collect()]
 
 
+def moved(before: list[tuple[int, float]], after: list[tuple[int, float]]) -> float:
+    """The part of all uses that have gone from one piece to another."""
+    old, new = ({piece: n / total for piece, n in uses} if (total := sum(n for _, n in uses)) else {} for uses in (before, after))
+    return sum(abs(new.get(p, 0) - old.get(p, 0)) for p in old.keys() | new.keys()) / 2
+
+
 def learn_lattice(found: list[tuple[int, float]], ends: int, vocabulary: str, smoothing: float = 0.5) -> tuple[Lattice, float]:
     """(lattice, log10 probability of the end mark) from counts of pieces; every piece counts smoothing more."""
     processor = _vocabulary(vocabulary)
@@ -291,8 +299,12 @@ def score_documents(docs: DataFrame, vocabulary: str, head: int = HEAD) -> DataF
     totals = counts.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.when(F.col("train") > 0, 1))).first()
     train_tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
     found = [(r["piece"], r["n"]) for r in piece_counts(counts, vocabulary).collect()]  # at most a row per piece of the vocabulary
-    first, _ = learn_lattice(found, ends, vocabulary)
-    lattice, end_score = learn_lattice(expected_counts(counts, first), ends, vocabulary)
+    lattice, end_score = learn_lattice(found, ends, vocabulary)
+    for _ in range(ROUNDS):
+        before, found = found, expected_counts(counts, lattice)
+        lattice, end_score = learn_lattice(found, ends, vocabulary)
+        if moved(before, found) < SETTLED:
+            break
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
