@@ -45,8 +45,15 @@ def plan_nodes(node) -> Iterator:
         yield from plan_nodes(node.plan())
 
 
+_methods: dict[tuple[str, str], bool] = {}
+
+
 def _has(node, method: str) -> bool:
-    return any(m.getName() == method and m.getParameterCount() == 0 for m in node.getClass().getMethods())
+    """Whether the node's class has the method; each class is asked once."""
+    key = (node.getClass().getName(), method)
+    if key not in _methods:
+        _methods[key] = any(m.getName() == method and m.getParameterCount() == 0 for m in node.getClass().getMethods())
+    return _methods[key]
 
 
 _known: dict[str, frozenset[str]] = {}
