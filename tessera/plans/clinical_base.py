@@ -7,7 +7,12 @@ and grow with the given tables. The texts below are valid for Spark and for the
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.session import materialize
 
 # (item, low, high, steps of a unit, text). Several rows of an item make it, or its texts, more frequent.
 CHART = [
@@ -62,10 +67,9 @@ def _values(rows: list, columns: str) -> str:
     return "(VALUES " + ", ".join(f"({i}, {', '.join(map(text, x))})" for i, x in enumerate(listed)) + f") AS v(i, {columns})"
 
 
-def base_sql(slots: str) -> dict[str, str]:
-    """The text of each base table. slots: a template with {n} that follows a table in FROM and gives a column k from 0 to n - 1."""
+def base_sql(slots: str, line: str = "lineitem JOIN icustays ON l_orderkey = hadm_id") -> dict[str, str]:
+    """The text of each base table. slots: a template with {n} that follows a table in FROM and gives a column k from 0 to n - 1. line: the lines of orders that are stays, with their stay."""
     hour, minute = "INTERVAL '1' HOUR", "INTERVAL '1' MINUTE"
-    line = "lineitem JOIN icustays ON l_orderkey = hadm_id"
     number = "CAST(floor((v.low + (v.high - v.low) * (CAST((l_partkey * 7919 + e.k * 541 + l_linenumber * 31) % 1001 AS DOUBLE) / 1000)) * v.steps) AS DOUBLE) / v.steps"
 
     def events(table: str, n: int, items: list, name: str) -> str:
@@ -107,18 +111,25 @@ def base_sql(slots: str) -> dict[str, str]:
     }
 
 
+#: Base tables whose rows are time slots of a line of a stay. In Spark they are views of staylines, the join that the twins write out in each of them: it shuffles lineitem once, and a slot costs less to count again than to store.
+EVENTS = ("chartevents", "labevents", "inputevents", "outputevents", "procedureevents", "prescriptions", "microbiologyevents")
 #: What a base table is made of.
 SOURCES = {
     "patients": ("customer",), "admissions": ("orders",), "icustays": ("admissions",), "d_items": (), "diagnoses_icd": ("lineitem", "orders"), "services": ("admissions",),
-    **{x: ("lineitem", "icustays") for x in ("chartevents", "labevents", "inputevents", "outputevents", "procedureevents", "prescriptions", "microbiologyevents")},
+    "staylines": ("lineitem", "icustays"), **{x: ("staylines",) for x in EVENTS},
 }
+#: The same for the twins, which know no staylines.
+TWIN_SOURCES = {name: ("lineitem", "icustays") if name in EVENTS else sources for name, sources in SOURCES.items() if name != "staylines"}
 SPARK_SLOTS = "LATERAL VIEW explode(sequence(0, {n} - 1)) slots AS k"
 TWIN_SLOTS = ", (SELECT unnest(range(0, {n})) AS k) slots"
 
 
 def base_table(spark: SparkSession, name: str, inputs: list[DataFrame]) -> DataFrame:
     """A base table over its SOURCES."""
-    text = base_sql(SPARK_SLOTS)[name]
+    if name == "staylines":
+        lines, stays = inputs
+        return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(stays.select("subject_id", "hadm_id", "stay_id", "intime"), F.col("l_orderkey") == F.col("hadm_id"))
+    text = base_sql(SPARK_SLOTS, "staylines")[name]
     views = [f"_tessera_{name}_{source}" for source in SOURCES[name]]
     for source, view, frame in zip(SOURCES[name], views, inputs, strict=True):
         frame.createOrReplaceTempView(view)
@@ -127,3 +138,20 @@ def base_table(spark: SparkSession, name: str, inputs: list[DataFrame]) -> DataF
     for view in views:
         spark.catalog.dropTempView(view)
     return table
+
+
+def base_tables(spark: SparkSession, names: Iterable[str], read: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    """The named base tables and those that they are made of; read gives the given tables. Lines of stays are written once where several tables are made of them."""
+    names = list(names)
+    several = sum(x in EVENTS for x in names) > 1
+    tables: dict[str, DataFrame] = {}
+
+    def visit(name: str) -> DataFrame:
+        if name not in tables:
+            made = base_table(spark, name, [visit(x) if x in SOURCES else read(x) for x in SOURCES[name]])
+            tables[name] = materialize(made, name) if name == "staylines" and several else made
+        return tables[name]
+
+    for name in names:
+        visit(name)
+    return tables

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tessera import concepts
 from tessera.functions.compat import round_scaled
-from tessera.plans.clinical_base import SOURCES, TWIN_SLOTS, base_sql, base_table
+from tessera.plans.clinical_base import EVENTS, SOURCES, TWIN_SLOTS, TWIN_SOURCES, base_sql, base_table
 from tessera.plans.concept_twins import TWINS
 from tessera.session import materialize
 
@@ -23,7 +23,7 @@ def _needs(name: str) -> tuple[str, ...]:
 
 
 def _plan(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table by its name. Each run builds all that it takes; what several of its tables take is written once in the run."""
+    """The table by its name. Each run builds all that it takes; what several of its tables take is written once in the run, but for events, which are slots of the lines that are written."""
     takers, waiting = Counter(), [name]
     seen = {name}
     while waiting:
@@ -42,7 +42,7 @@ def _plan(spark: SparkSession, folder: str, name: str) -> DataFrame:
             else:
                 sources = [table(y) for y in _needs(x)]
                 made = base_table(spark, x, sources) if x in SOURCES else made_of[x][0](*sources)
-                built[x] = materialize(made, x) if takers[x] > 1 else made
+                built[x] = materialize(made, x) if takers[x] > 1 and x not in EVENTS else made
         return built[x]
 
     return table(name)
@@ -66,7 +66,7 @@ def _twin_order(name: str, base: dict[str, str]) -> list[str]:
 
     def visit(x: str) -> None:
         if x not in found and (x in TWINS or x in base):
-            for source in TWINS[x][0] if x in TWINS else SOURCES[x]:
+            for source in TWINS[x][0] if x in TWINS else TWIN_SOURCES[x]:
                 visit(source)
             found[x] = None
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import compat
 from tessera.operators import codes, cohort, compare, relational, restructure, timeops
 from tessera.plans.base import Tables, registrar
-from tessera.plans.clinical_base import SOURCES, TWIN_SLOTS, base_sql, base_table
+from tessera.plans.clinical_base import TWIN_SLOTS, base_sql, base_tables
 from tessera.quality import notes
 
 QUERIES: dict = {}
@@ -254,9 +254,7 @@ FROM (VALUES {", ".join(f"('{n}')" for n in COHORTS)}) AS n(cohort) LEFT JOIN c
 
 @query("admission_cohorts", _cohorts_twin())
 def admission_cohorts(t: Tables) -> DataFrame:
-    tables: dict[str, DataFrame] = {}
-    for name in _COHORT_BASE:
-        tables[name] = base_table(t.spark, name, [tables[s] if s in tables else getattr(t, s) for s in SOURCES[name]])
+    tables = base_tables(t.spark, _COHORT_BASE, lambda x: getattr(t, x))
     out = None
     for name, (criteria, _) in COHORTS.items():
         chosen = cohort.select_admissions(tables["patients"], tables["admissions"], tables["diagnoses_icd"], tables["icustays"], criteria)
