@@ -37,18 +37,22 @@ def seconds_between(low: Column, high: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", low, high) / 1e6
 
 
-DATE_PATTERNS = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "d/M/yyyy", "yyyy-M-d H:m:s", "yyyy-M-d H:m")
+#: Patterns of dates, and what a text must look like to be read by one: a pattern that fails costs an exception.
+DATE_PATTERNS = {
+    "yyyy-M-d": "^[^:/.]*-[^:/.]*$", "yyyy/M/d": "^[^:.]*/[^:.]*$", "yyyy.M.d": "^[^:/]*[.][^:/]*$", "yyyyMMdd": "^[^:/.]+$", "d/M/yyyy": "^[^:.]*/[^:.]*$", "yyyy-M-d H:m:s": "^[^:]*:[^:]*:[^:]*$",
+    "yyyy-M-d H:m": "^[^:]*:[^:]*$",
+}
 
 
 def any_date(text: Column) -> Column:
     """The first of DATE_PATTERNS that reads the whole text, or null."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(p)) for p in DATE_PATTERNS])
+    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(F.trim(text), F.lit(p))) for p, shape in DATE_PATTERNS.items()])
 
 
 def value_kind(text: Column) -> Column:
     """'', timestamp, numeric or string, for values in text form."""
     blank = text.isNull() | (F.trim(text) == "")
-    return F.when(blank, "").when(F.try_to_timestamp(text).isNotNull() & text.rlike(r"^\d{4}-"), "timestamp").when(text.try_cast("double").isNotNull(), "numeric").otherwise("string")
+    return F.when(blank, "").when(text.rlike(r"^\d{4}-") & F.try_to_timestamp(text).isNotNull(), "timestamp").when(text.rlike("(?i)[0-9]|nan|inf") & text.try_cast("double").isNotNull(), "numeric").otherwise("string")
 
 
 def ordered_choice(rules: list[tuple[Column, object]], default: object = None) -> Column:

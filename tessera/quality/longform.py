@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -112,13 +112,13 @@ def _entry(name: Column, value: Column, kind: Column, classes: Column, date: Col
     )
 
 
-def _entries(df: DataFrame, source: Source, classes: tuple[str, ...] = CLASSES) -> list[Column]:
-    """An entry for each column that the table has; a null is a blank value."""
+def _entries(df: DataFrame, source: Source, classes: tuple[str, ...] = CLASSES, variables: Collection[str] | None = None) -> list[Column]:
+    """An entry for each column that the table has, or of those asked for; a null is a blank value."""
     kinds = {c: kind for kind, names in source.kinds.items() for c in names.split()}
     date = F.coalesce(_text(df, source.date), _text(df, "chartdate")) if source.date == "charttime" else _text(df, source.date)
     out = []
     for c in source.columns.split():
-        if c in df.columns:
+        if c in df.columns and (variables is None or c in variables):
             value = F.coalesce(_text(df, c), F.lit(""))
             first, _, second = kinds.get(c, "").partition("/")
             dated = source.dated == "*" or c in source.dated.split()
@@ -126,9 +126,9 @@ def _entries(df: DataFrame, source: Source, classes: tuple[str, ...] = CLASSES)
     return out
 
 
-def _laid_out(df: DataFrame, table: str, entries: list[Column], order: list[str]) -> DataFrame:
-    """Rows numbered from 0 in the order of patient and all other columns, and their entries as rows of the long format: one pass after the numbering."""
-    keyed = surrogate_keys(df, order, "Primary_key").withColumn("Primary_key", F.col("Primary_key") - 1)
+def _laid_out(df: DataFrame, table: str, entries: list[Column], order: list[str], keyed: bool = True) -> DataFrame:
+    """Rows numbered from 0 in the order of patient and all other columns, and their entries as rows of the long format: one pass after the numbering. Without keys no row is moved."""
+    keyed = surrogate_keys(df, order, "Primary_key").withColumn("Primary_key", F.col("Primary_key") - 1) if keyed else df.withColumn("Primary_key", F.lit(None).cast("long"))
     rows = keyed.select("Primary_key", _text(df, "subject_id").alias("Patient_id"), _text(df, "hadm_id").alias("Admission_id"), F.explode(F.array(*entries)).alias("e")).select("Primary_key", "Patient_id", "Admission_id", "e.*")
     rows = rows.withColumns({"Original_table_name": F.lit(table.upper()), **{c: F.lit("") for c in ("Recorder", "Recorder_position", "Recorder_affiliation", "Ground_truth")}})
     return rows.select(*LONG_COLUMNS)
@@ -139,11 +139,11 @@ def _ordered(df: DataFrame) -> list[str]:
     return [*first, *[c for c in df.columns if c not in first]]
 
 
-def wide_rows(df: DataFrame, table: str) -> DataFrame:
-    return _laid_out(df, table, _entries(df, WIDE[table]), _ordered(df))
+def wide_rows(df: DataFrame, table: str, keyed: bool = True, variables: Collection[str] | None = None) -> DataFrame:
+    return _laid_out(df, table, _entries(df, WIDE[table], CLASSES, variables), _ordered(df), keyed)
 
 
-def event_rows(df: DataFrame, table: str, labels: DataFrame | None = None) -> DataFrame:
+def event_rows(df: DataFrame, table: str, labels: DataFrame | None = None, keyed: bool = True) -> DataFrame:
     """The value of each event under its item's label (with the fluid, where there is one; the item's code without a label), then its further columns. labels: itemid, label, perhaps fluid; a
     dictionary, so Spark broadcasts it while it is small."""
     events, order = EVENTS[table], _ordered(df)
@@ -157,10 +157,10 @@ def event_rows(df: DataFrame, table: str, labels: DataFrame | None = None) -> Da
     classes = F.when(number.isNull() & _text(df, "value").isNotNull(), "1").otherwise("0") if events.classes else F.lit("0")
     item = F.col("itemid").cast("string")
     main = _entry(F.coalesce("_label", item), value, kind, classes, _text(df, events.others.date), _text(df, "valueuom"), "event", events.kind, item)
-    return _laid_out(df, table, [main, *_entries(df, events.others, EVENT_CLASSES)], order)
+    return _laid_out(df, table, [main, *_entries(df, events.others, EVENT_CLASSES)], order, keyed)
 
 
-def note_rows(df: DataFrame, table: str, subtype: Column | None = None) -> DataFrame:
+def note_rows(df: DataFrame, table: str, subtype: Column | None = None, keyed: bool = True) -> DataFrame:
     """Text, time of storage, type and number of each note; subtype: the class of a radiology report, by default none."""
     kinds, text, note = NOTE_KINDS[table], F.coalesce(_text(df, "text"), F.lit("")), F.col("note_type")
     choose = lambda mapping: F.element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), note)
@@ -169,19 +169,21 @@ def note_rows(df: DataFrame, table: str, subtype: Column | None = None) -> DataF
     main = _entry(F.lit("text"), text, F.lit("string"), F.lit("0"), _text(df, "charttime"), none, choose(kinds), second)
     number = _entry(F.lit("note_seq"), _text(df, "note_seq"), F.lit("numeric"), F.lit("0"), none, none, None, None)
     label = _entry(F.lit("note_type"), _text(df, "note_type"), F.lit("string"), F.lit("1"), none, none, None, None)
-    return _laid_out(df, table, [main, *_entries(df, Source(STORED, {"date": STORED})), label, number], _ordered(df))
+    return _laid_out(df, table, [main, *_entries(df, Source(STORED, {"date": STORED})), label, number], _ordered(df), keyed)
 
 
-def build_long(tables: Mapping[str, DataFrame], radiology: Column | None = None) -> DataFrame:
-    """The long format of all given tables that it has rules for; dictionaries (d_items, d_labitems) give names to items. Columns that a table lacks give no rows."""
+def build_long(tables: Mapping[str, DataFrame], radiology: Column | None = None, keyed: bool = True, variables: Collection[str] | None = None) -> DataFrame:
+    """The long format of all given tables that it has rules for; dictionaries (d_items, d_labitems) give names to items. Columns that a table lacks give no rows.
+
+    keyed: whether rows get their number, for which each table is sorted; it is null where nobody asks for it. variables: the columns of wide tables that are asked for, by default all."""
     out = None
     for name, df in tables.items():
         if name in WIDE:
-            rows = wide_rows(df, name)
+            rows = wide_rows(df, name, keyed, variables)
         elif name in EVENTS:
-            rows = event_rows(df, name, tables.get(EVENTS[name].labels))
+            rows = event_rows(df, name, tables.get(EVENTS[name].labels), keyed)
         elif name in NOTE_KINDS:
-            rows = note_rows(df, name, radiology)
+            rows = note_rows(df, name, radiology, keyed)
         else:
             continue
         out = rows if out is None else out.unionByName(rows)

@@ -155,8 +155,9 @@ def sequence_validity_long(long: DataFrame, pairs: Sequence[tuple[str, str, str]
     at = any_date(F.col("Value"))
     ends = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(v).alias("v"), F.lit(i).alias("pair"), F.lit(side).alias("side")) for i, (t, *both) in enumerate(pairs) for side, v in enumerate(both)])
     known = long.sparkSession.range(1).select(F.explode(ends).alias("e")).select("e.*")
-    dated = long.where(F.lower("Mapping_info_1").contains("date")).select("Patient_id", "Original_table_name", "Primary_key", "Variable_name", at.alias("at")).where("at is not null and Patient_id is not null and Primary_key is not null")
+    dated = long.where(F.lower("Mapping_info_1").contains("date") & F.col("Patient_id").isNotNull() & F.col("Primary_key").isNotNull())
     met = dated.join(F.broadcast(known), (F.col("Original_table_name") == F.col("t")) & (F.col("Variable_name") == F.col("v")))  # two rows for each pair asked for
+    met = met.select("Patient_id", "Original_table_name", "Primary_key", "pair", "side", at.alias("at"))  # a null makes no pair
     sides = [F.collect_list(F.when(F.col("side") == i, F.col("at"))).alias(n) for i, n in enumerate(("starts", "ends"))]
     rows = met.groupBy("Patient_id", "Original_table_name", "Primary_key", "pair").agg(*sides)
     good = F.aggregate("starts", F.lit(0).cast("long"), lambda total, s: total + F.size(F.filter("ends", lambda e: s <= e)))

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import compat
 from tessera.quality import longform, metrics
 
 T = datetime(2150, 1, 2, 3, 4, 5)
@@ -61,3 +62,20 @@ def test_tables_without_rows_and_without_rules(tables):
     assert longform.build_long({"patients": tables["patients"].limit(0)}).count() == 0
     with pytest.raises(ValueError, match="rules"):
         longform.build_long({"unknown": tables["unknown"]})
+
+
+def test_rows_are_numbered_and_laid_out_only_as_asked(spark):
+    stays = spark.createDataFrame([(1, 2, "2150-01-01", "2150-01-02")], "subject_id long, hadm_id long, intime string, outtime string")
+    plain = longform.build_long({"icustays": stays}, keyed=False)
+    assert "Window" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    keyed = longform.build_long({"icustays": stays})
+    assert plain.drop("Primary_key").exceptAll(keyed.drop("Primary_key")).isEmpty() and plain.count() == keyed.count() == 2
+    assert [r["Variable_name"] for r in longform.build_long({"icustays": stays}, variables={"intime"}).collect()] == ["intime"]
+
+
+def test_dates_try_only_patterns_that_fit(spark):
+    texts = ["2150-01-02", "2150-1-2 3:4:5", "2150-1-2 3:4", "2150/1/2", "2/1/2150", "2150.1.2", "21500102", " 2150-01-02 ", "2150-13-01", "x", "", None, "1:2", "12.5", "2150-01-02T03:04:05"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    plain = F.coalesce(*[F.try_to_timestamp(F.trim("x"), F.lit(p)) for p in compat.DATE_PATTERNS])
+    assert df.where(~compat.any_date(F.col("x")).eqNullSafe(plain)).isEmpty()
+    assert len(set(compat.DATE_PATTERNS.values())) > 1  # a text of one form is not tried by all patterns
