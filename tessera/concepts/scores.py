@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,49 +125,48 @@ def first_day_sofa(icustays, bg, ventilation, vitals, labs, urine, scale, *press
     return scored.select("subject_id", "hadm_id", "stay_id", _total(names).alias("sofa"), *names)
 
 
-def _hour(grid: DataFrame, rows: DataFrame, key: str, columns: list[Column]) -> DataFrame:
-    """Aggregates of the rows by the hour (start open, end closed) that they fall in: an equality join on the hour's number, not on a range.
-
-    grid: one row for each stay with its first full hour.
-    """
-    rows = rows.withColumnRenamed(key, "_key").drop("stay_id", "hadm_id", "subject_id")
-    joined = grid.select("stay_id", "first", F.col(key).alias("_k")).join(rows, F.col("_k") == F.col("_key"))
-    hour = F.ceil(seconds_between(F.col("first"), F.col("charttime")) / 3600).cast("long")
-    return joined.withColumn("hr", hour).groupBy("stay_id", "hr").agg(*columns)
+def _stacked(tables: list[DataFrame]) -> DataFrame:
+    """The rows of all tables, null in the columns that a table lacks."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def sofa(icustays, hourly, bg, ventilation, vitals, scales, enzyme, chemistry, blood_count, urine_rate, *pressors) -> DataFrame:
     """Hourly organ failure and the worst of each organ over 24 rows; hours from 0 on. pressors: norepinephrine, epinephrine, dopamine, dobutamine."""
     stays = icustays.select("subject_id", "hadm_id", "stay_id")
-    hours = hourly.join(stays.select("stay_id", "hadm_id"), "stay_id").withColumn("starttime", F.col("endtime") - F.expr("interval 1 hour"))
-    grid = hourly.where("hr = 0").join(stays, "stay_id").withColumn("first", F.col("endtime")).select("subject_id", "hadm_id", "stay_id", "first").withColumn("stay", F.col("stay_id"))
+    grid = hourly.where("hr = 0").join(stays, "stay_id").select("hadm_id", "stay_id", F.col("endtime").alias("first"))
     art = stays.join(bg.where("specimen = 'ART.'").select("subject_id", "charttime", "pao2fio2ratio"), "subject_id").select("stay_id", "charttime", "pao2fio2ratio")
-    split = _ratios(art, ventilation, ["stay_id", "charttime"])
     uo = F.when(F.col("uo_tm_24hr").between(22, 30), F.col("urineoutput_24hr") / F.col("uo_tm_24hr") * 24)
-    measured = [
-        _hour(grid, split.withColumn("stay", F.col("stay_id")), "stay", [F.min("novent").alias("novent"), F.min("vent").alias("vent")]),
-        _hour(grid, vitals.withColumn("stay", F.col("stay_id")), "stay", [F.min("mbp").alias("mbp_min")]), _hour(grid, scales.withColumn("stay", F.col("stay_id")), "stay", [F.min("gcs").alias("gcs_min")]),
-        _hour(grid, enzyme, "hadm_id", [F.max("bilirubin_total").alias("bilirubin_max")]), _hour(grid, chemistry, "hadm_id", [F.max("creatinine").alias("creatinine_max")]),
-        _hour(grid, blood_count, "hadm_id", [F.min("platelet").alias("platelet_min")]), _hour(grid, urine_rate.withColumn("stay", F.col("stay_id")), "stay", [F.max(uo).alias("urine")]),
-    ]
-    given = None
-    for name, table in zip(PRESSORS, pressors, strict=True):
-        rows = table.select("stay_id", F.col("starttime").alias("low"), F.col("endtime").alias("high"), F.col("vaso_rate").alias(f"rate_{name}"))
-        given = rows if given is None else given.unionByName(rows, allowMissingColumns=True)
+    # Points in time of one key are one table, so that each meets the grid once; an hour's number takes the place of a join on ranges.
+    by_stay = _stacked([
+        _ratios(art, ventilation, ["stay_id", "charttime"]), vitals.select("stay_id", "charttime", F.col("mbp").alias("mbp_min")), scales.select("stay_id", "charttime", F.col("gcs").alias("gcs_min")),
+        urine_rate.select("stay_id", "charttime", uo.alias("urine")),
+    ]).join(grid.drop("hadm_id"), "stay_id")
+    by_admission = _stacked([
+        enzyme.select("hadm_id", "charttime", F.col("bilirubin_total").alias("bilirubin_max")), chemistry.select("hadm_id", "charttime", F.col("creatinine").alias("creatinine_max")),
+        blood_count.select("hadm_id", "charttime", F.col("platelet").alias("platelet_min")),
+    ]).join(grid, "hadm_id").drop("hadm_id")
+    points = by_stay.unionByName(by_admission, allowMissingColumns=True).withColumn("hr", F.ceil(seconds_between(F.col("first"), F.col("charttime")) / 3600).cast("long")).drop("first", "charttime")
     # An infusion covers the hours whose end lies in (start, end]: they are listed, and met by their number.
-    spans = given.join(grid.select("stay_id", "first"), "stay_id")
+    given = _stacked([t.select("stay_id", F.col("starttime").alias("low"), F.col("endtime").alias("high"), F.col("vaso_rate").alias(f"rate_{n}")) for n, t in zip(PRESSORS, pressors, strict=True)])
     lowest, highest = (seconds_between(F.col("first"), F.col(c)) / 3600 for c in ("low", "high"))
-    spans = spans.withColumns({"from": (F.floor(lowest) + 1).cast("long"), "to": F.floor(highest).cast("long")}).where("`from` <= `to`")
-    rates = spans.withColumn("hr", F.explode(F.sequence("from", "to"))).groupBy("stay_id", "hr").agg(*[F.max(f"rate_{n}").alias(f"rate_{n}") for n in PRESSORS])
-    parts = hours
-    for table in [*measured, rates]:
-        parts = parts.join(table, ["stay_id", "hr"], "left")
+    spans = given.join(grid.drop("hadm_id"), "stay_id").withColumns({"from": (F.floor(lowest) + 1).cast("long"), "to": F.floor(highest).cast("long")}).where("`from` <= `to`")
+    rates = spans.withColumn("hr", F.explode(F.sequence("from", "to"))).select("stay_id", "hr", *[f"rate_{n}" for n in PRESSORS])
+    # The grid's hours and all that is measured go to the stay's partition once; hours, windows and scores follow there without another shuffle.
+    hours = hourly.join(stays.select("stay_id"), "stay_id", "left_semi").select("stay_id", F.col("hr").cast("long").alias("hr"), "endtime")
+    every = hours.unionByName(points, allowMissingColumns=True).unionByName(rates, allowMissingColumns=True).repartition("stay_id")
+    least, most = ("novent", "vent", "mbp_min", "gcs_min", "platelet_min"), ("urine", "bilirubin_max", "creatinine_max", *[f"rate_{n}" for n in PRESSORS])
+    extremes = [F.min(c).alias(c) for c in least] + [F.max(c).alias(c) for c in most]
+    parts = every.groupBy("stay_id", "hr").agg(F.max("endtime").alias("endtime"), *extremes).where("endtime is not null").withColumn("starttime", F.col("endtime") - F.expr("interval 1 hour"))
     names = ["respiration", *ORGANS]
     scored = parts.select("*", _points(BREATH_HOUR, "respiration"), *[_points(r, n) for n, r in ORGANS.items()])
+    # A frame counts its rows again for each row: one number with a bit for each organ and score (1 to 4) is counted in place of six; the highest bit of an organ is its worst score.
+    bits = sum((F.when(F.col(n) > 0, F.expr(f"shiftleft(1, {4 * i - 1} + {n})")).otherwise(0) for i, n in enumerate(names)), F.lit(0))
     frame = Window.partitionBy("stay_id").orderBy("hr").rowsBetween(-23, 0)
-    scored = scored.withColumns({f"{n}_24hours": F.coalesce(F.max(n).over(frame), F.lit(0)) for n in names}).withColumn("sofa_24hours", _total([f"{n}_24hours" for n in names])).where("hr >= 0")
+    scored = scored.withColumn("_bits", bits).withColumn("_seen", F.bit_or("_bits").over(frame))
+    worst = {f"{n}_24hours": F.element_at(F.array(*[F.lit(x.bit_length()) for x in range(16)]), F.shiftright("_seen", 4 * i).bitwiseAND(15) + 1) for i, n in enumerate(names)}
+    scored = scored.withColumns(worst).withColumn("sofa_24hours", _total([f"{n}_24hours" for n in names])).where("hr >= 0")
     return scored.select(
-        "stay_id", F.col("hr").cast("long").alias("hr"), "starttime", "endtime", F.col("novent").alias("pao2fio2ratio_novent"), F.col("vent").alias("pao2fio2ratio_vent"), "rate_epinephrine", "rate_norepinephrine", "rate_dopamine",
+        "stay_id", "hr", "starttime", "endtime", F.col("novent").alias("pao2fio2ratio_novent"), F.col("vent").alias("pao2fio2ratio_vent"), "rate_epinephrine", "rate_norepinephrine", "rate_dopamine",
         "rate_dobutamine", F.col("mbp_min").alias("meanbp_min"), "gcs_min", F.col("urine").alias("uo_24hr"), "bilirubin_max", "creatinine_max", "platelet_min", *names, *[f"{n}_24hours" for n in names], "sofa_24hours",
     )
 

@@ -21,3 +21,8 @@ def test_events_are_slots_of_lines(spark):
     tables = base_tables(spark, ["chartevents", "inputevents"], lambda x: spark.read.parquet(f"{FOLDER}/{x}.parquet"))
     lines = tables["staylines"].count()
     assert lines > 0 and (tables["chartevents"].count(), tables["inputevents"].count()) == (28 * lines, 3 * lines)
+
+
+def test_hours_of_sofa_meet_by_grouping(spark):
+    plan = concept_queries._plan(spark, FOLDER, "sofa")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join .*hr#", plan) and not re.search(r"Window .*max\(", plan)
