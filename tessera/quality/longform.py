@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tessera.functions.compat import value_kind
 from tessera.operators.relational import surrogate_keys
@@ -104,6 +105,16 @@ def _text(df: DataFrame, name: str | None) -> Column:
     return F.col(name).cast("string")
 
 
+def _kind(df: DataFrame, name: str, value: Column) -> Column:
+    """value_kind of a column's text, by its type where that decides."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, NumericType):
+        return F.when(F.col(name).isNull(), "").otherwise("numeric")
+    if kind.typeName().startswith("timestamp"):
+        return F.when(F.col(name).isNull(), "").when(value.rlike(r"^\d{4}-"), "timestamp").otherwise(value_kind(value))
+    return value_kind(value)
+
+
 def _entry(name: Column, value: Column, kind: Column, classes: Column, date: Column, unit: Column, first: str | Column | None, second: str | Column | None, item: Column | None = None) -> Column:
     text = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
     return F.struct(
@@ -122,7 +133,7 @@ def _entries(df: DataFrame, source: Source, classes: tuple[str, ...] = CLASSES,
             value = F.coalesce(_text(df, c), F.lit(""))
             first, _, second = kinds.get(c, "").partition("/")
             dated = source.dated == "*" or c in source.dated.split()
-            out.append(_entry(F.lit(c), value, value_kind(value), F.lit("1" if c in classes else "0"), date if dated else F.lit(None).cast("string"), _text(df, source.units.get(c)), first or None, second or None))
+            out.append(_entry(F.lit(c), value, _kind(df, c, value), F.lit("1" if c in classes else "0"), date if dated else F.lit(None).cast("string"), _text(df, source.units.get(c)), first or None, second or None))
     return out
 
 
