@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.compat import decimal_text, divide, ordered_choice, seconds_between, synonyms
 from tessera.operators.pivot import Item, guarded_pivot
+from tessera.operators.relational import spread
 from tessera.operators.timeops import DAY, asof_latest, binned_interval_join, close_with_lead, interval_join, rolling
 
 # Item codes, text values and bounds.
@@ -171,7 +172,7 @@ def urine_output_rate(urine_output: DataFrame, weights: DataFrame, chartevents:
     near = (F.col("stay_id") == F.col("s")) & (F.col("charttime") > F.col("intime") - F.expr("interval 1 month")) & (F.col("charttime") < F.col("outtime") + F.expr("interval 1 month"))
     first = icustays.join(beats, near).groupBy("stay_id").agg(F.min("charttime").alias("first_beat"))
     line = Window.partitionBy("stay_id").orderBy("charttime")
-    rows = urine_output.join(first, "stay_id").withColumn("minutes", seconds_between(F.coalesce(F.lag("charttime").over(line), "first_beat"), F.col("charttime")) / 60)
+    rows = spread(urine_output, "stay_id").join(first, "stay_id").withColumn("minutes", seconds_between(F.coalesce(F.lag("charttime").over(line), "first_beat"), F.col("charttime")) / 60)
     for name, hours in (("6hr", 5), ("12hr", 11), ("24hr", 23)):
         rows = rolling(rows, "stay_id", "charttime", hours * 3600, {f"urineoutput_{name}": F.sum("urineoutput"), f"tm_{name}": F.sum("minutes")}).withColumn(f"tm_{name}", F.col(f"tm_{name}") / 60)
     rows = interval_join(rows, weights.where("weight > 0").select("stay_id", "starttime", "endtime", "weight"), "stay_id", "charttime", "starttime", "endtime", "right")
@@ -185,7 +186,7 @@ def urine_output_rate(urine_output: DataFrame, weights: DataFrame, chartevents:
 def kdigo_uo(urine_output: DataFrame, weights: DataFrame, icustays: DataFrame) -> DataFrame:
     """Urine and hours of the last 6, 12 and 24 hours, counted in whole seconds since admission; the first row stands for one hour."""
     line = Window.partitionBy("stay_id").orderBy("charttime")
-    rows = icustays.select("stay_id", "intime").join(urine_output, "stay_id").withColumn("second", F.bround(seconds_between(F.col("intime"), F.col("charttime")), 0).cast("long"))
+    rows = icustays.select("stay_id", "intime").join(spread(urine_output, "stay_id"), "stay_id").withColumn("second", F.bround(seconds_between(F.col("intime"), F.col("charttime")), 0).cast("long"))
     rows = rows.withColumn("hours", F.coalesce(seconds_between(F.lag("charttime").over(line), F.col("charttime")) / 3600, F.lit(1.0)))
     for n in (6, 12, 24):
         frame = Window.partitionBy("stay_id").orderBy("second").rangeBetween(-n * 3600, 0)

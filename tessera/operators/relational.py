@@ -23,6 +23,11 @@ def surrogate_keys(df: DataFrame, order: Sequence[str], name: str = "row_key") -
     return ranged.withColumn("_place", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys to all shuffle partitions, which adaptive plans then don't merge to as few as there are cores: what a task sorts and holds at once follows their number."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def hash_sample(df: DataFrame, keys: Sequence[str], rows: int, seed: int = 0) -> DataFrame:
     """A sample of that many rows that depends on the keys and the seed only."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys).limit(rows)

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import spread
 from tessera.session import materialize
 
 # (item, low, high, steps of a unit, text). Several rows of an item make it, or its texts, more frequent.
@@ -129,6 +130,8 @@ def base_table(spark: SparkSession, name: str, inputs: list[DataFrame]) -> DataF
     if name == "staylines":
         lines, stays = inputs
         return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(stays.select("subject_id", "hadm_id", "stay_id", "intime"), F.col("l_orderkey") == F.col("hadm_id"))
+    if name == "diagnoses_icd":
+        inputs = [spread(inputs[0], "l_orderkey"), inputs[1]]  # flags of an admission are counted in the partition of this join
     text = base_sql(SPARK_SLOTS, "staylines")[name]
     views = [f"_tessera_{name}_{source}" for source in SOURCES[name]]
     for source, view, frame in zip(SOURCES[name], views, inputs, strict=True):

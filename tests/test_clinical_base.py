@@ -26,3 +26,10 @@ def test_events_are_slots_of_lines(spark):
 def test_hours_of_sofa_meet_by_grouping(spark):
     plan = concept_queries._plan(spark, FOLDER, "sofa")._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join .*hr#", plan) and not re.search(r"Window .*max\(", plan)
+
+
+def test_memory_of_a_task_follows_the_number_of_partitions(spark):
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, key in (("urine_output_rate", "stay_id"), ("kdigo_uo", "stay_id"), ("charlson", "l_orderkey"), ("elixhauser", "l_orderkey")):
+        plan = concept_queries._plan(spark, FOLDER, name)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"hashpartitioning\({key}#\d+L, {wanted}\), REPARTITION_BY_NUM", plan), name
