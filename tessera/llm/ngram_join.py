@@ -44,8 +44,8 @@ SMALL = 128
 CELL_SETS, CELL_SHINGLES, BLOCK = 16_384, 8_000_000, 2048
 #: Sets of a Voronoi region that is split no further, pivots of a split, and what a split may grow by.
 LEAF, PIVOTS, GROWTH, DEPTH = 8, 6, 1.2, 12
-#: Shingles of one matrix product.
-COLUMNS = 512
+#: Shingles of one matrix product, products whose shingles are laid out at once, and shingles that are sorted at once.
+COLUMNS, WIDE, SLICE = 512, 64, 1 << 20
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -294,31 +294,64 @@ def _distances(pairs: DataFrame, sets: DataFrame, kind: type = np.uint64) -> Dat
     return joined.mapInArrow(measure, "a long, b long, both long, either long")
 
 
+def _apart(values: list[np.ndarray], root: np.ndarray, t: Fraction) -> np.ndarray:
+    """Places of the sets that may link with one of another root: a part of t of their shingles lies in such sets too. Those of others go, until few do; the work is in proportion to the shingles."""
+    live = np.arange(len(values))
+    while len(live):
+        sizes = np.array([len(values[i]) for i in live], np.int64)
+        flat, owner = np.concatenate([values[i] for i in live]), np.repeat(np.arange(len(live), dtype=np.int32), sizes)
+        slices = -(-len(flat) // SLICE)
+        shared = np.zeros(len(live), np.int64)
+        for k in range(slices):
+            some = slice(None) if slices == 1 else np.flatnonzero(((flat >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32) == np.uint64(k))
+            names, mine = flat[some], owner[some]
+            if not len(names):
+                continue
+            order = np.argsort(names, kind="stable")
+            names, mine = names[order], mine[order]
+            starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+            roots = root[live[mine]]
+            several = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
+            shared += np.bincount(mine[np.repeat(several, np.diff(np.append(starts, len(names))))], minlength=len(live))
+        stay = shared * t.denominator >= sizes * t.numerator
+        before, live = len(live), live[stay]
+        if 10 * len(live) > 9 * before:
+            break
+    return live
+
+
 def _intersections(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, as matrix products over some hundred shingles at a time; only those of the side with fewer can be shared."""
     every = np.unique(np.concatenate(min(rows, columns, key=lambda side: sum(map(len, side)))))
     out = np.zeros((len(rows), len(columns)), np.float32)
-    for low in range(0, len(every), COLUMNS):
-        some = every[low : low + COLUMNS]
-        sides = []
+    for first in range(0, len(every), WIDE * COLUMNS):
+        block = every[first : first + WIDE * COLUMNS]
+        held = []
         for side in (rows, columns):
-            flags = np.zeros((len(side), len(some)), np.float32)
-            for i, values in enumerate(side):
-                part = values[np.searchsorted(values, some[0]) : np.searchsorted(values, some[-1], "right")]
-                at = np.searchsorted(some, part)
-                flags[i, at[some[at] == part]] = 1
-            sides.append(flags)
-        out += sides[0] @ sides[1].T
+            parts = [values[np.searchsorted(values, block[0]) : np.searchsorted(values, block[-1], "right")] for values in side]
+            flat, owner = np.concatenate(parts), np.repeat(np.arange(len(side), dtype=np.int32), [len(x) for x in parts])
+            at = np.searchsorted(block, flat).astype(np.int32)
+            hit = block[at] == flat
+            order = np.argsort(at[hit], kind="stable")
+            held.append((at[hit][order], owner[hit][order], len(side)))
+        for low in range(0, len(block), COLUMNS):
+            sides = []
+            for at, owner, n in held:
+                some = slice(*np.searchsorted(at, (low, low + COLUMNS)))
+                flags = np.zeros((n, min(COLUMNS, len(block) - low)), np.float32)
+                flags[owner[some], at[some] - low] = 1
+                sides.append(flags)
+            out += sides[0] @ sides[1].T
     return out
 
 
 def _ring_links(members: DataFrame, sets: DataFrame, t: Fraction, partitions: int) -> DataFrame:
-    """a, b: links that join the components within large regions; members: region, node, distance (to the pivot), n.
+    """a, b: links that join the components within large regions; members: region, node, root (so far), distance (to the pivot), n.
 
     Rings of width r around the pivot are the windows of the triangle inequality: linked sets lie in one ring or in
     neighbouring ones. A cell joins a ring (rows) with itself and the ring beyond (columns), so a set is replicated to its
     own ring's cell and, if that has sets of its own, to the one within. Cells of regions of more than BLOCK sets are cut to BLOCK by BLOCK; all pairs of
-    a cell are compared by matrix products, and only one link for each set, to the least of its component in the cell, leaves the task.
+    a cell that _apart leaves are compared by matrix products, links within a root are known, and only one link for each set, to the least of its component in the cell, leaves the task.
     """
     ring = F.floor(F.col("distance") / (float(1 - t) * (1 + 1e-9))).cast("int")  # a hair wider, for rounding
     base = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("ring", ring)
@@ -332,21 +365,23 @@ def _ring_links(members: DataFrame, sets: DataFrame, t: Fraction, partitions: in
         "struct(ring as low, own as i, i as j, 0 as side)), "
         "c -> c.side > 0 or (l = 0 and i != own))))))"
     )
-    cells = base.select("region", "node", F.explode(cells).alias("c")).select("region", "c.low", "c.i", "c.j", "c.side", "node")
-    filled = cells.join(sets, "node").select("region", "low", "i", "j", "side", "node", "shingles")
+    cells = base.select("region", "node", "root", F.explode(cells).alias("c")).select("region", "c.low", "c.i", "c.j", "c.side", "node", "root")
+    filled = cells.join(sets, "node").select("region", "low", "i", "j", "side", "node", "root", "shingles")
     dealt = filled.repartition(partitions, "region", "low", "i", "j").sortWithinPartitions("region", "low", "i", "j")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, 4):
-            side, node = group.column("side").to_numpy(), group.column("node").to_numpy()
+            side, node, root = (group.column(x).to_numpy() for x in ("side", "node", "root"))
             values = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+            some = _apart(values, root, t)
+            side, node, root, values = side[some], node[some], root[some], [values[i] for i in some]
             rows, columns = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: both
             if not len(rows) or not len(columns):
                 continue
             sizes = np.array([len(v) for v in values], np.int32)
             both = _intersections([values[i] for i in rows], [values[i] for i in columns]).astype(np.int32)
             either = sizes[rows][:, None] + sizes[columns][None] - both
-            near = (both * t.denominator >= either * t.numerator) & (node[rows][:, None] != node[columns][None])
+            near = (both * t.denominator >= either * t.numerator) & (root[rows][:, None] != root[columns][None])
             x, y = np.nonzero(near)
             names, at = np.unique(node, return_inverse=True)
             x, y = at[rows[x]], at[columns[y]]
@@ -423,9 +458,12 @@ class _Cell:
                 if self.near(np.int64(both), np.int64(len(merged) - both)):
                     self.unite(np.array([i, j]))
         for group in groups:
-            names, at, counts = np.unique(self.root[group], return_inverse=True, return_counts=True)
-            if len(names) == 1:
+            if (self.root[group] == self.root[group[0]]).all():
+                continue
+            group = group[_apart([self.values[i] for i in group], self.root[group], self.t)]
+            if not len(group):
                 continue
+            _, at, counts = np.unique(self.root[group], return_inverse=True, return_counts=True)
             fewer = group[at != counts.argmax()]  # every pair of different components has a set outside the largest one
             fewer = fewer[np.argsort(self.sizes[fewer], kind="stable")]
             for low in range(0, len(fewer), 256):
