@@ -19,6 +19,8 @@ from tessera.session import materialize
 
 #: The quantiles of the lines, and the part of rows that scores must exceed.
 QUANTILES, LIMIT = (0.01, 0.99), 0.98
+#: How far the scaled coefficients of a line may move before all rows are read again.
+NEAR = 0.1
 #: Trees, and rows that each is grown from.
 TREES, TREE_ROWS = 100, 256
 
@@ -44,6 +46,16 @@ def summed(df: DataFrame, names: Sequence[str], sums: Callable[[np.ndarray], np.
     return np.sum(parts, axis=0) if parts else np.zeros(0)
 
 
+def _kept(df: DataFrame, names: Sequence[str], keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows for which keep(matrix of the named columns) holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(_matrix(batch, names))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _scale(df: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """Means and deviations (1 for a constant) and the number of rows."""
     first = summed(df, names, lambda x: np.concatenate(([len(x)], x.sum(axis=0))))
@@ -59,6 +71,9 @@ def quantile_lines(df: DataFrame, features: Sequence[str], target: str, quantile
 
     Each round minimises a quadratic that lies above the loss and touches it at the last line (Hunter and Lange): weighted least squares with weights 1 / (e + |residual|) from
     sums over all rows, for all quantiles in one pass. e falls to a millionth of the target's deviation. Rows with nulls must be gone.
+
+    Once the lines move little, rows that no line within NEAR of them can meet are added up: their loss is linear there, so the optimum is the same, and later rounds read the other rows only.
+    Where a line moves further, all rows count again.
     """
     names = [*features, target]
     mean, spread, n = _scale(df, names)
@@ -72,14 +87,25 @@ def quantile_lines(df: DataFrame, features: Sequence[str], target: str, quantile
 
     def plain(x: np.ndarray) -> np.ndarray:
         z, y = design(x)
-        return np.concatenate(((z.T @ z).ravel(), z.T @ y, z.sum(axis=0)))
+        return np.concatenate(((z.T @ z).ravel(), z.T @ y))
 
     def solve(square: np.ndarray, right: np.ndarray) -> np.ndarray:
         return np.linalg.lstsq(square.reshape(d, d), right, rcond=1e-10)[0]
 
-    total = summed(df, names, plain)
-    tilt = total[-d:]
-    lines = np.tile(solve(total[: d * d], total[d * d : -d]), (len(quantiles), 1))
+    def far(x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which rows no line meets that lies within NEAR of its line in home, in every coefficient."""
+        z, y = design(x)
+        off = y[:, None] - z @ home.T
+        return (np.abs(off) > NEAR * np.abs(z).sum(axis=1, keepdims=True)).all(axis=1), z, off
+
+    def tilts(x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        away, z, off = far(x, home)
+        above = off[away] > 0
+        return 2 * (np.where(above, q, q - 1).T @ z[away])
+
+    total, q = summed(df, names, plain), np.array(quantiles)
+    lines = np.tile(solve(total[: d * d], total[d * d :]), (len(quantiles), 1))
+    rows, beyond, home = df, np.zeros((len(quantiles), d)), None
     for k in range(rounds):
         small = max(0.1 * 0.7**k, 1e-6)
 
@@ -88,14 +114,21 @@ def quantile_lines(df: DataFrame, features: Sequence[str], target: str, quantile
             out = []
             for line in lines:
                 w = 1 / (small + np.abs(y - z @ line))
-                out += [((z * w[:, None]).T @ z).ravel(), (z * w[:, None]).T @ y]
+                out += [((z * w[:, None]).T @ z).ravel(), (z * w[:, None]).T @ y, z.sum(axis=0)]
             return np.concatenate(out)
 
-        sums = summed(df, names, weighted).reshape(len(quantiles), d * d + d)
-        new = np.array([solve(s[: d * d], s[d * d :] + (2 * q - 1) * tilt) for q, s in zip(quantiles, sums, strict=True)])
+        sums = summed(rows, names, weighted)
+        sums = (sums if len(sums) else np.zeros(len(quantiles) * (d * d + 2 * d))).reshape(len(quantiles), -1)
+        new = np.array([solve(s[: d * d], s[d * d : -d] + (2 * level - 1) * s[-d:] + tilt) for level, s, tilt in zip(quantiles, sums, beyond, strict=True)])
         moved, lines = np.abs(new - lines).max(), new
-        if moved < exact and small <= 1e-5:
+        if home is not None and np.abs(lines - home).max() > NEAR:
+            rows, beyond, home = df, np.zeros((len(quantiles), d)), None  # far rows may now lie on the other side: all count again
+        elif moved < exact and small <= 1e-5:
             break
+        elif home is None and moved < NEAR / 4:
+            home = lines
+            beyond = summed(df, names, lambda x, home=home: tilts(x, home)).reshape(len(quantiles), d)
+            rows = materialize(_kept(df.select(*names), names, lambda x, home=home: ~far(x, home)[0]), "near-lines")
     slopes = lines[:, 1:] * spread[-1] / spread[:-1]
     return np.hstack([(mean[-1] + lines[:, :1] * spread[-1]) - slopes @ mean[:-1, None], slopes])
 
