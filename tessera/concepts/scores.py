@@ -201,11 +201,14 @@ def kdigo_stages(icustays: DataFrame, creatinine: DataFrame, urine: DataFrame, d
     urine = urine.join(icustays.select("stay_id", "intime"), "stay_id").withColumn("early", F.col("charttime") <= F.col("intime") + F.expr("interval 6 hour"))
     urine = urine.select("stay_id", "charttime", "uo_rt_6hr", "uo_rt_12hr", "uo_rt_24hr", _points(URINE_STAGE, "aki_stage_uo"))
     dialysis = dialysis.where("crrt_mode is not null").select("stay_id", "charttime", F.when(F.col("charttime").isNotNull(), 3).alias("aki_stage_crrt"))
-    tables = (creatinine, urine, dialysis)
-    times = tables[0].select("stay_id", "charttime").union(tables[1].select("stay_id", "charttime")).union(tables[2].select("stay_id", "charttime")).distinct()
-    rows = icustays.select("subject_id", "hadm_id", "stay_id", "intime").join(times, "stay_id", "left")
-    for table in tables:
-        rows = rows.join(table, ["stay_id", "charttime"], "left")
+    # Each table is met once, by full joins; its rows without a time say only that there are such, once for a stay.
+    timed = []
+    for table in (creatinine, urine, dialysis):
+        known = F.col("charttime").isNotNull()
+        at = F.coalesce("charttime", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at")
+        timed.append(table.select("stay_id", at, known.alias("known"), *[F.when(known, F.col(c)).alias(c) for c in table.columns[2:]]))
+    times = reduce(lambda x, y: x.join(y, ["stay_id", "at", "known"], "full"), timed)
+    rows = icustays.select("subject_id", "hadm_id", "stay_id", "intime").join(times, "stay_id", "left").withColumn("charttime", F.when(F.col("known"), F.col("at")))
     stages = ("aki_stage_creat", "aki_stage_uo", "aki_stage_crrt")
     rows = rows.withColumns({"aki_stage": F.greatest(*[F.coalesce(F.col(s), F.lit(0)) for s in stages]), "second": seconds_between(F.col("intime"), F.col("charttime"))})
     frame = Window.partitionBy("subject_id").orderBy("second").rangeBetween(-21600, 0)
