@@ -70,7 +70,22 @@ EXTRA = {
     "sirs_12h": (windows.sirs_12h, (STAYS, "vitalsign", "bg", "complete_blood_count", "blood_differential")),
 }
 CONCEPTS = {name: entry for group in CATEGORIES.values() for name, entry in group.items()}
-
+#: What is made otherwise where a table is built in one run with all that it takes: from events near the start of a stay (rows of these tables depend on events of their own time, those of the coma scale also on
+#: events less than six hours before), or from one scan in place of several.
+ONE_RUN = {
+    "chartevents_day": (partial(stays.near, key="stay_id", before=6, after=24), (CHART, STAYS)), "vitalsign_day": (measurements.vitalsign, ("chartevents_day",)),
+    "first_day_vitalsign": (stays.first_day_vitalsign, (STAYS, "vitalsign_day")),
+    "chartevents_scale_day": (partial(stays.near, key="stay_id", before=12, after=24), (CHART, STAYS)), "gcs_day": (bedside.gcs, ("chartevents_scale_day",)), "first_day_gcs": (firstday.first_day_gcs, ("gcs_day", STAYS)),
+    "outputevents_day": (partial(stays.near, key="stay_id", before=0, after=24), ("outputevents", STAYS)), "urine_output_day": (measurements.urine_output, ("outputevents_day",)),
+    "first_day_urine_output": (stays.first_day_urine_output, (STAYS, "urine_output_day")),
+    "laboratory": (partial(measurements.laboratory, key="subject_id"), (LAB,)), "first_day_lab": (firstday.first_day_lab_of, ("laboratory", STAYS)),
+    "first_device": (bedside.first_device, (CHART,)), "ventilation": (bedside.ventilation, ("ventilator_setting", "first_device")),
+}
+#: table -> events -> the key that it groups or joins them by first.
+DEALT = {
+    **{x: {CHART: "subject_id"} for x in ("bg", "ventilator_setting", "oxygen_delivery", "first_device")}, **{x: {CHART: "stay_id"} for x in ("lods", "sapsii", "chartevents_day", "chartevents_scale_day")},
+    "outputevents_day": {"outputevents": "stay_id"},
+}
 
 def build(name: str, read: Callable[[str], DataFrame]) -> DataFrame:
     """The plan of a derived table, its own inputs included; read gives the base tables."""

@@ -128,10 +128,9 @@ def oxygen_delivery(chartevents: DataFrame) -> DataFrame:
     """Oxygen flows, the latest stored of each time, with up to four devices in order of their names."""
     code = F.when(F.col("itemid") == OXYGEN_FLOW_OTHER, OXYGEN_FLOW).otherwise(F.col("itemid"))
     flows = chartevents.where(F.col("value").isNotNull() & F.col("itemid").isin(OXYGEN_FLOW, OXYGEN_FLOW_OTHER, OXYGEN_FLOW_MORE)).withColumn("itemid", code)
-    latest = Window.partitionBy("subject_id", "charttime", "itemid").orderBy(F.col("storetime").desc(), F.col("valuenum").desc())
-    flows = flows.withColumn("nth", F.row_number().over(latest)).where("nth = 1").groupBy("subject_id", "charttime").agg(
-        F.max("stay_id").alias("stay_id"), F.max(F.when(F.col("itemid") == OXYGEN_FLOW, F.col("valuenum"))).alias("o2_flow"),
-        F.max(F.when(F.col("itemid") == OXYGEN_FLOW_MORE, F.col("valuenum"))).alias("o2_flow_additional"),
+    flows = flows.groupBy("subject_id", "charttime", "itemid").agg(F.max(F.struct("storetime", "valuenum", "stay_id")).alias("r")).groupBy("subject_id", "charttime").agg(
+        F.max("r.stay_id").alias("stay_id"), F.max(F.when(F.col("itemid") == OXYGEN_FLOW, F.col("r.valuenum"))).alias("o2_flow"),
+        F.max(F.when(F.col("itemid") == OXYGEN_FLOW_MORE, F.col("r.valuenum"))).alias("o2_flow_additional"),
     )
     named = chartevents.where(F.col("itemid") == OXYGEN_DEVICE)
     named = named.withColumn("nth", F.row_number().over(Window.partitionBy("subject_id", "charttime").orderBy(F.col("value").asc_nulls_first()))).where("nth <= 4")
@@ -140,12 +139,27 @@ def oxygen_delivery(chartevents: DataFrame) -> DataFrame:
     return wide.select("subject_id", "stay_id", "charttime", "o2_flow", "o2_flow_additional", *[f"o2_delivery_device_{n}" for n in range(1, 5)])
 
 
+def first_device(chartevents: DataFrame) -> DataFrame:
+    """What ventilation takes of oxygen_delivery, by one aggregation of flows and devices: stay_id, charttime, o2_delivery_device_1."""
+    code = F.col("itemid")
+    flow = code.isin(OXYGEN_FLOW, OXYGEN_FLOW_OTHER, OXYGEN_FLOW_MORE) & F.col("value").isNotNull()
+    more, device, row = code == OXYGEN_FLOW_MORE, code == OXYGEN_DEVICE, F.struct("storetime", "valuenum", "stay_id")
+    wide = chartevents.where(code.isin(OXYGEN_FLOW, OXYGEN_FLOW_OTHER, OXYGEN_FLOW_MORE, OXYGEN_DEVICE)).groupBy("subject_id", "charttime").agg(
+        F.max(F.when(flow & ~more, row)).alias("flow"), F.max(F.when(flow & more, row)).alias("additional"),
+        F.min(F.when(device, F.col("value"))).alias("least"), F.count(F.when(device & F.col("value").isNull(), 1)).alias("unnamed"),
+    )
+    known = (F.col("unnamed") == 0) & F.col("subject_id").isNotNull() & F.col("charttime").isNotNull()  # devices meet flows of a known patient and time; a null name comes first
+    rows = wide.where("flow is not null or additional is not null")
+    return rows.select(F.greatest("flow.stay_id", "additional.stay_id").alias("stay_id"), "charttime", F.when(known, F.col("least")).alias("o2_delivery_device_1"))
+
+
 def ventilation(ventilator_setting: DataFrame, oxygen_delivery: DataFrame) -> DataFrame:
     """Episodes of one kind of breathing support: a change of kind or 14 hours without a row of it begin another; episodes of one time go."""
-    settings = ventilator_setting.select("stay_id", "charttime", "ventilator_mode", "ventilator_mode_hamilton")
-    devices = oxygen_delivery.select("stay_id", "charttime", F.col("o2_delivery_device_1").alias("device"))
-    rows = settings.join(devices, ["stay_id", "charttime"], "full")
     device, mode, hamilton = F.col("device"), F.col("ventilator_mode"), F.col("ventilator_mode_hamilton")
+    # Only modes and devices that make a kind of support meet: another one says as much as none.
+    settings = ventilator_setting.select("stay_id", "charttime", "ventilator_mode", "ventilator_mode_hamilton").where(mode.isin(*INVASIVE_MODES) | hamilton.isin(*INVASIVE_HAMILTON, *NONINVASIVE_HAMILTON))
+    devices = oxygen_delivery.select("stay_id", "charttime", F.col("o2_delivery_device_1").alias("device")).where(device.isin(*TRACHEOSTOMY, *TUBE, *MASKS, *HIGH_FLOW, *SUPPLEMENTAL, "None"))
+    rows = settings.join(devices, ["stay_id", "charttime"], "full")
     status = ordered_choice([
         (device.isin(*TRACHEOSTOMY), "Tracheostomy"), (device.isin(*TUBE) | mode.isin(*INVASIVE_MODES) | hamilton.isin(*INVASIVE_HAMILTON), "InvasiveVent"),
         (device.isin(*MASKS) | hamilton.isin(*NONINVASIVE_HAMILTON), "NonInvasiveVent"), (device.isin(*HIGH_FLOW), "HFNC"), (device.isin(*SUPPLEMENTAL), "SupplementalOxygen"), (device == "None", "None"),

@@ -29,7 +29,7 @@ def _near(icustays: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     stays = icustays.select("subject_id", "stay_id", "intime")
     rows = rows.withColumnRenamed(key, "_key").drop("subject_id", "stay_id", "hadm_id")
     window = (F.col("charttime") >= F.col("intime") - F.expr("interval 6 hour")) & (F.col("charttime") <= F.col("intime") + F.expr("interval 1 day"))
-    return stays.join(rows, (F.col(key) == F.col("_key")) & window, "left")
+    return stays.join(rows, (F.col(key) == F.col("_key")) & F.coalesce(window, F.lit(False)), "left")
 
 
 def _extremes(columns: dict[str, str]) -> list:
@@ -54,12 +54,20 @@ def first_day_gcs(scales: DataFrame, icustays: DataFrame) -> DataFrame:
 def first_day_lab(*tables: DataFrame) -> DataFrame:
     """Extremes of five laboratory tables, given in the order of LABS, then icustays: one aggregate over their union, not a join for each."""
     *labs, icustays = tables
-    columns = [c for names in LABS.values() for c in names.values()]
     rows = [t.select("subject_id", "charttime", *[F.col(c).cast("double").alias(n) for c, n in names.items()]) for t, names in zip(labs, LABS.values(), strict=True)]
     union = rows[0]
     for more in rows[1:]:
         union = union.unionByName(more, allowMissingColumns=True)
-    return _near(icustays, union, "subject_id").groupBy("subject_id", "stay_id").agg(*_extremes({x: x for x in columns}))
+    return _lab_extremes(union, icustays)
+
+
+def _lab_extremes(rows: DataFrame, icustays: DataFrame) -> DataFrame:
+    return _near(icustays, rows, "subject_id").groupBy("subject_id", "stay_id").agg(*_extremes({x: x for names in LABS.values() for x in names.values()}))
+
+
+def first_day_lab_of(rows: DataFrame, icustays: DataFrame) -> DataFrame:
+    """The same from rows that hold the columns of all five tables."""
+    return _lab_extremes(rows.select("subject_id", "charttime", *[F.col(c).cast("double").alias(n) for names in LABS.values() for c, n in names.items()]), icustays)
 
 
 def first_day_rrt(dialysis: DataFrame, icustays: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.compat import decimal_text
-from tessera.operators.pivot import Item, guarded_pivot
+from tessera.operators.pivot import AGGREGATES, Item, guarded, guarded_pivot
 
 # Item codes and upper bounds of the laboratory tables.
 CHEMISTRY = {
@@ -74,6 +74,44 @@ def inflammation(labevents: DataFrame) -> DataFrame:
     return _specimens(labevents.where("valuenum > 0"), _plain(INFLAMMATION))
 
 
+LAB_TABLES = ("complete_blood_count", "chemistry", "blood_differential", "coagulation", "enzyme")
+
+
+def laboratory(labevents: DataFrame, key: str, tables: tuple[str, ...] = LAB_TABLES) -> DataFrame:
+    """Rows of several laboratory tables in one, from one scan and one shuffle: key, charttime and the columns of the tables, null in those of other tables.
+
+    A specimen is one row where its rows in all of the tables have the same key and time, else one for each table. White cells are those of the blood count.
+    """
+    code, v = F.col("itemid"), F.col("valuenum")
+    known = {"chemistry": (v > 0) | (code == CHEMISTRY["aniongap"][0]), "complete_blood_count": v > 0, "coagulation": v.isNotNull(), "enzyme": v > 0, "blood_differential": v >= 0}
+    items = {
+        "chemistry": [Item(name, (x,), high=high) for name, (x, high) in CHEMISTRY.items()], "complete_blood_count": _plain(BLOOD_COUNT), "coagulation": _plain(COAGULATION), "enzyme": _plain(ENZYME),
+        "blood_differential": _cells(),
+    }
+    found, columns = labevents.where(v.isNotNull()).withColumn("valuenum", _thousands(code, v)), []
+    wanted = {t: known[t] & code.isin(*{x for i in items[t] for x in i.items}) for t in tables}
+    for t in tables:
+        columns += [F.max(F.when(wanted[t], F.col(c))).alias(f"{t}.{c}") for c in (key, "charttime")]
+        columns += [AGGREGATES[i.agg](F.when(wanted[t], guarded(i, code, v))).alias(f"{t}.{i.name}") for i in items[t]]
+    wide = found.where(code.isin(*{x for t in tables for i in items[t] for x in i.items})).groupBy("specimen_id").agg(*columns)
+    of = {c: [F.col(f"`{t}.{c}`") for t in tables] for c in (key, "charttime")}
+    one = F.lit(True)
+    for parts in of.values():
+        one = one & F.coalesce(F.least(*parts) == F.greatest(*parts), F.lit(True)) if len(parts) > 1 else one
+    each = F.array(*[F.lit(i) for i in range(len(tables))])
+    rows = wide.withColumn("_of", F.explode(F.when(one, F.array(F.lit(-1))).otherwise(each)))
+    place = {c: F.when(F.col("_of") < 0, F.coalesce(*parts)).otherwise(F.element_at(F.array(*parts), F.greatest(F.col("_of"), F.lit(0)) + 1)) for c, parts in of.items()}
+    rows = rows.select("*", *[x.alias(c) for c, x in place.items()])
+    out = []
+    for i, t in enumerate(tables):
+        # a row without a key or time in this table meets nothing, so its values count in no other table's row either
+        mine = F.col("_of").isin(-1, i) & F.col(f"`{t}.{key}`").isNotNull() & F.col(f"`{t}.charttime`").isNotNull()
+        names = [n.name for n in items[t]] if t != "blood_differential" else [*[f"{n}_abs" for n in ABSOLUTE], *PERCENT, *OTHER_CELLS]
+        made = {n: F.col(f"`{t}.{n}`") for n in names} | (_counts(f"{t}.") if t == "blood_differential" else {})
+        out += [F.when(mine, x).alias(n) for n, x in made.items()]
+    return rows.select(key, "charttime", *out).where(F.col(key).isNotNull() & F.col("charttime").isNotNull())
+
+
 def rhythm(chartevents: DataFrame) -> DataFrame:
     items = [Item(name, (code,), text=True) for name, code in RHYTHM.items()]
     return guarded_pivot(chartevents.where("stay_id is not null"), ["subject_id", "charttime"], "itemid", "valuenum", items, text="value")
@@ -136,10 +174,21 @@ GRANULOCYTES = 51218
 def blood_differential(labevents: DataFrame) -> DataFrame:
     """Shares and absolute counts of white cells; a missing count follows from its share where the specimen has white cells and shares above zero."""
     v = F.col("valuenum")
-    events = labevents.where(v >= 0).withColumn("valuenum", F.when(F.col("itemid").isin(*PER_MICROLITRE), v / 1000.0).otherwise(v))
+    wide = _specimens(labevents.where(v >= 0).withColumn("valuenum", _thousands(F.col("itemid"), v)), _cells())
+    return wide.select("subject_id", "hadm_id", "charttime", "specimen_id", "wbc", *[x.alias(n) for n, x in _counts("").items()], *PERCENT, *OTHER_CELLS)
+
+
+def _thousands(code: Column, value: Column) -> Column:
+    return F.when(code.isin(*PER_MICROLITRE), value / 1000.0).otherwise(value)
+
+
+def _cells() -> list[Item]:
     items = [Item("wbc", WHITE_CELLS)] + [Item(f"{n}_abs", c) for n, c in ABSOLUTE.items()] + [Item(n, c) for n, c in (PERCENT | OTHER_CELLS).items()]
-    items += [Item("granulocytes_abs", (GRANULOCYTES,)), Item("shares", tuple(x for c in PERCENT.values() for x in c), agg="sum")]
-    wide = _specimens(events, items)
-    imputable = (F.col("wbc") > 0) & (F.col("shares") > 0)
-    counts = [F.round(decimal_text(F.coalesce(F.col(f"{n}_abs"), F.when(imputable, F.col(n) * F.col("wbc") / 100))), 4).alias(f"{n}_abs") for n in ABSOLUTE]
-    return wide.select("subject_id", "hadm_id", "charttime", "specimen_id", "wbc", *counts, *PERCENT, *OTHER_CELLS)
+    return [*items, Item("granulocytes_abs", (GRANULOCYTES,)), Item("shares", tuple(x for c in PERCENT.values() for x in c), agg="sum")]
+
+
+def _counts(prefix: str) -> dict[str, Column]:
+    """Absolute counts, given or from shares; prefix: of the columns' names."""
+    given = lambda n: F.col(f"`{prefix}{n}`")
+    imputable = (given("wbc") > 0) & (given("shares") > 0)
+    return {f"{n}_abs": F.round(decimal_text(F.coalesce(given(f"{n}_abs"), F.when(imputable, given(n) * given("wbc") / 100))), 4) for n in ABSOLUTE}

@@ -48,8 +48,18 @@ def _first_day(icustays: DataFrame, rows: DataFrame, hours_before: int) -> DataF
     """Every stay with its rows from hours_before its start to one day after, both ends included."""
     stays = icustays.select("subject_id", "stay_id", "intime")
     rows = rows.drop("subject_id").withColumnRenamed("stay_id", "s")
-    near = (F.col("charttime") >= F.col("intime") - F.expr(f"interval {hours_before} hour")) & (F.col("charttime") <= F.col("intime") + F.expr("interval 1 day"))
-    return stays.join(rows, (F.col("stay_id") == F.col("s")) & near, "left")
+    inside = (F.col("charttime") >= F.col("intime") - F.expr(f"interval {hours_before} hour")) & (F.col("charttime") <= F.col("intime") + F.expr("interval 1 day"))
+    return stays.join(rows, (F.col("stay_id") == F.col("s")) & F.coalesce(inside, F.lit(False)), "left")
+
+
+def near(events: DataFrame, icustays: DataFrame, key: str, before: int, after: int) -> DataFrame:
+    """Events from `before` hours ahead of the start of a stay of their key to `after` hours behind it, ends included; each once, however many stays it is near to.
+
+    The stays of a partition are hashed, so events are neither sorted nor moved where they are dealt by the key already.
+    """
+    spans = icustays.select(F.col(key).alias("_key"), (F.col("intime") - F.expr(f"interval {before} hour")).alias("_low"), (F.col("intime") + F.expr(f"interval {after} hour")).alias("_high"))
+    inside = F.coalesce((F.col("charttime") >= F.col("_low")) & (F.col("charttime") <= F.col("_high")), F.lit(False))  # never null, so no test for null times goes ahead of the events' own filters
+    return events.join(spans.hint("shuffle_hash"), (F.col(key) == F.col("_key")) & inside, "left_semi")
 
 
 def first_day_vitalsign(icustays: DataFrame, vitals: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tessera import concepts
 from tessera.functions.compat import round_scaled
+from tessera.operators.relational import spread
 from tessera.plans.clinical_base import EVENTS, SOURCES, TWIN_SLOTS, TWIN_SOURCES, base_sql, base_table
 from tessera.plans.concept_twins import TWINS
 from tessera.session import materialize
@@ -17,13 +18,19 @@ from tessera.session import materialize
 DIGITS = 6
 
 
+MADE = concepts.CONCEPTS | concepts.EXTRA | concepts.ONE_RUN
+
+
 def _needs(name: str) -> tuple[str, ...]:
     """What a base or derived table is made of."""
-    return SOURCES[name] if name in SOURCES else (concepts.CONCEPTS | concepts.EXTRA)[name][1] if name in concepts.CONCEPTS | concepts.EXTRA else ()
+    return SOURCES[name] if name in SOURCES else MADE[name][1] if name in MADE else ()
 
 
 def _plan(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table by its name. Each run builds all that it takes; what several of its tables take is written once in the run, but for events, which are slots of the lines that are written."""
+    """The table by its name. Each run builds all that it takes; what several of its tables take is written once in the run, but for events, which are slots of the lines that are written.
+
+    A table's events are dealt by the key that it groups them by, which costs a shuffle of lines in place of one of their slots.
+    """
     takers, waiting = Counter(), [name]
     seen = {name}
     while waiting:
@@ -32,18 +39,18 @@ def _plan(spark: SparkSession, folder: str, name: str) -> DataFrame:
             if x not in seen:
                 seen.add(x)
                 waiting.append(x)
-    built: dict[str, DataFrame] = {}
-
-    def table(x: str) -> DataFrame:
-        if x not in built:
-            made_of = concepts.CONCEPTS | concepts.EXTRA
-            if x not in SOURCES and x not in made_of:
-                built[x] = spark.read.parquet(f"{folder}/{x}.parquet")
+    built: dict[tuple[str, str | None], DataFrame] = {}
+
+    def table(x: str, key: str | None = None) -> DataFrame:
+        if (x, key) not in built:
+            if x not in SOURCES and x not in MADE:
+                made = spark.read.parquet(f"{folder}/{x}.parquet")
+            elif x in SOURCES:
+                made = base_table(spark, x, [spread(table(y), key) if key else table(y) for y in SOURCES[x]])
             else:
-                sources = [table(y) for y in _needs(x)]
-                made = base_table(spark, x, sources) if x in SOURCES else made_of[x][0](*sources)
-                built[x] = materialize(made, x) if takers[x] > 1 and x not in EVENTS else made
-        return built[x]
+                made = MADE[x][0](*[table(y, concepts.DEALT.get(x, {}).get(y)) for y in _needs(x)])
+            built[x, key] = materialize(made, x) if takers[x] > 1 and x not in EVENTS and (x in SOURCES or x in MADE) else made
+        return built[x, key]
 
     return table(name)
 
