@@ -79,12 +79,18 @@ ONE_RUN = {
     "outputevents_day": (partial(stays.near, key="stay_id", before=0, after=24), ("outputevents", STAYS)), "urine_output_day": (measurements.urine_output, ("outputevents_day",)),
     "first_day_urine_output": (stays.first_day_urine_output, (STAYS, "urine_output_day")),
     "laboratory": (partial(measurements.laboratory, key="subject_id"), (LAB,)), "first_day_lab": (firstday.first_day_lab_of, ("laboratory", STAYS)),
+    **{f"chartevents_{x}": (partial(stays.near, key=key, before=before, after=after), (CHART, STAYS)) for x, key, before, after in (("patient_day", "subject_id", 0, 24), ("12h", "stay_id", 6, 12), ("scale_12h", "stay_id", 12, 12))},
+    "vitalsign_patient_day": (measurements.vitalsign, ("chartevents_patient_day",)), "vitalsign_12h": (measurements.vitalsign, ("chartevents_12h",)), "gcs_12h": (bedside.gcs, ("chartevents_scale_12h",)),
+    "laboratory_saps": (partial(measurements.laboratory, key="subject_id", tables=("chemistry", "complete_blood_count", "enzyme")), (LAB,)),
+    "sapsii": (severity.sapsii, (
+        STAYS, "admissions", "age", "services", "diagnoses_icd", CHART, "bg", "ventilation", "gcs_day", "vitalsign_patient_day", "urine_output_day", "laboratory_saps",
+    )),
     "first_device": (bedside.first_device, (CHART,)), "ventilation": (bedside.ventilation, ("ventilator_setting", "first_device")),
 }
 #: table -> events -> the key that it groups or joins them by first.
 DEALT = {
-    **{x: {CHART: "subject_id"} for x in ("bg", "ventilator_setting", "oxygen_delivery", "first_device")}, **{x: {CHART: "stay_id"} for x in ("lods", "sapsii", "chartevents_day", "chartevents_scale_day")},
-    "outputevents_day": {"outputevents": "stay_id"},
+    **{x: {CHART: "subject_id"} for x in ("bg", "ventilator_setting", "oxygen_delivery", "first_device")}, **{x: {CHART: "stay_id"} for x in ("lods", "sapsii", "chartevents_day", "chartevents_scale_day", "chartevents_12h", "chartevents_scale_12h")},
+    "chartevents_patient_day": {CHART: "subject_id"}, "outputevents_day": {"outputevents": "stay_id"},
 }
 
 def build(name: str, read: Callable[[str], DataFrame]) -> DataFrame:

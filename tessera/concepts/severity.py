@@ -106,7 +106,7 @@ def _masks(icustays: DataFrame, chart: DataFrame, pattern: str, opened: bool) ->
     """The time under a mask that helps breathing on the first day, an hour before its first record to four hours after its last; opened: a record at the very start of the stay doesn't count."""
     day, worn = F.col("intime") + F.expr("interval 1 day"), chart.where((F.col("itemid") == MASK_ITEM) & F.lower("value").rlike(pattern)).select(F.col("stay_id").alias("m_stay"), "charttime")
     begun = F.col("charttime") > F.col("intime") if opened else F.col("charttime") >= F.col("intime")
-    rows = icustays.select("subject_id", "stay_id", "intime").join(worn, (F.col("stay_id") == F.col("m_stay")) & begun & (F.col("charttime") <= day))
+    rows = icustays.select("subject_id", "stay_id", "intime").join(worn, (F.col("stay_id") == F.col("m_stay")) & F.coalesce(begun & (F.col("charttime") <= day), F.lit(False)))
     return rows.groupBy("subject_id", "stay_id", "intime").agg((F.min("charttime") - F.expr("interval 1 hour")).alias("v_start"), (F.max("charttime") + F.expr("interval 4 hour")).alias("v_end"))
 
 
@@ -138,21 +138,22 @@ def _day(icustays: DataFrame, tables: list[DataFrame], key: str, columns: list[C
     for more in tables[1:]:
         rows = rows.unionByName(more, allowMissingColumns=True)
     rows = rows.withColumnRenamed(key, "_key")
-    begun, ended = F.col("charttime") > F.col("intime"), F.col("charttime") <= F.col("intime") + F.expr("interval 1 day")
-    joined = icustays.select("stay_id", F.col(key).alias("_of"), "intime").join(rows, (F.col("_of") == F.col("_key")) & begun & ended)
+    inside = (F.col("charttime") > F.col("intime")) & (F.col("charttime") <= F.col("intime") + F.expr("interval 1 day"))
+    joined = icustays.select("stay_id", F.col(key).alias("_of"), "intime").join(rows, (F.col("_of") == F.col("_key")) & F.coalesce(inside, F.lit(False)))
     return joined.groupBy("stay_id").agg(*columns)
 
 
-def sapsii(icustays, admissions, age, services, diagnoses, chart, bg, ventilation, scales, vitals, urine, chemistry, blood_count, enzyme) -> DataFrame:
-    """Fifteen components of the first 24 hours and the probability that goes with their sum. A stay's masks help all stays of its patient at that time."""
+def sapsii(icustays, admissions, age, services, diagnoses, chart, bg, ventilation, scales, vitals, urine, *labs) -> DataFrame:
+    """Fifteen components of the first 24 hours and the probability that goes with their sum. A stay's masks help all stays of its patient at that time. labs: chemistry, blood count and enzymes, or one table of their columns."""
     day = F.expr("interval 1 day")
     masks = _masks(icustays, chart, "cpap mask|bipap", True).select(F.col("subject_id").alias("patient"), F.greatest("v_start", "intime").alias("v_start"), F.least("v_end", F.col("intime") + day).alias("v_end"))
     masks = masks.join(icustays.select(F.col("subject_id").alias("patient"), F.col("stay_id").alias("v_stay")), "patient").select("v_stay", "v_start", "v_end")
     art = bg.where("specimen = 'ART.'").select(F.col("subject_id").alias("patient"), "charttime", "pao2fio2ratio")
     near = (F.col("subject_id") == F.col("patient")) & (F.col("charttime") > F.col("intime")) & (F.col("charttime") <= F.col("intime") + day)
     ratio = _helped(icustays.join(art, near).select("stay_id", "charttime", "pao2fio2ratio"), _invasive(ventilation).unionByName(masks), F.col("charttime") > F.col("v_start"))
+    chemistry, blood_count, enzyme = labs if len(labs) == 3 else labs * 3
     ends = {"heart_rate": vitals, "sbp": vitals, "temperature": vitals, "bun": chemistry, "potassium": chemistry, "sodium": chemistry, "bicarbonate": chemistry, "wbc": blood_count, "bilirubin_total": enzyme}
-    tables = [t.select("subject_id", "charttime", *[F.col(n).cast("double").alias(n) for n, of in ends.items() if of is t]) for t in (vitals, chemistry, blood_count, enzyme)]
+    tables = [t.select("subject_id", "charttime", *[F.col(n).cast("double").alias(n) for n, of in ends.items() if of is t]) for t in (vitals, *labs)]
     of_patient = _day(icustays, tables, "subject_id", [f(n).alias(f"{n}_{end}") for n in ends for f, end in ((F.min, "min"), (F.max, "max"))])
     of_stay = _day(icustays, [scales.select("stay_id", "charttime", "gcs"), urine.select("stay_id", "charttime", "urineoutput")], "stay_id", [F.min("gcs").alias("gcs_min"), F.sum("urineoutput").alias("urineoutput")])
     first = services.groupBy("hadm_id").agg(F.min(F.struct("transfertime", "curr_service")).alias("s")).select("hadm_id", F.lower("s.curr_service").contains("surg").cast("int").alias("surgical"))
