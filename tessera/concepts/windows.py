@@ -38,16 +38,17 @@ def _scored(icustays: DataFrame, parts: DataFrame, rules: dict[str, Rules], tota
     return joined.select("subject_id", "hadm_id", "stay_id", _total(list(rules)).alias(total), *[F.coalesce(n, F.lit(0)).alias(n) for n in rules])
 
 
-def early_sofa(icustays, bg, ventilation, vitals, chemistry, enzyme, blood_count, scales, *pressors, hours: int = 12) -> DataFrame:
-    """Organ failure over the first hours; gases of every specimen count. pressors: norepinephrine, epinephrine, dopamine, dobutamine."""
+def early_sofa(icustays, bg, ventilation, vitals, chemistry, enzyme, blood_count, scales, *pressors, hours: int = 12, labs: DataFrame | None = None) -> DataFrame:
+    """Organ failure over the first hours; gases of every specimen count. pressors: norepinephrine, epinephrine, dopamine, dobutamine. labs: one table that stands for chemistry, enzymes and blood count."""
     given = None
     for name, table in zip(PRESSORS, pressors, strict=True):
         rows = table.select("stay_id", F.col("starttime").alias("charttime"), F.col("vaso_rate").alias(f"rate_{name}"))
         given = rows if given is None else given.unionByName(rows, allowMissingColumns=True)
-    labs = None
-    for table, column in ((chemistry, "creatinine"), (enzyme, "bilirubin_total"), (blood_count, "platelet")):
-        rows = table.select("hadm_id", "charttime", column)
-        labs = rows if labs is None else labs.unionByName(rows, allowMissingColumns=True)
+    if labs is None:
+        for table, column in ((chemistry, "creatinine"), (enzyme, "bilirubin_total"), (blood_count, "platelet")):
+            rows = table.select("hadm_id", "charttime", column)
+            labs = rows if labs is None else labs.unionByName(rows, allowMissingColumns=True)
+    labs = labs.select("hadm_id", "charttime", "creatinine", "bilirubin_total", "platelet")
     worst = F.max("creatinine").alias("creatinine_max"), F.max("bilirubin_total").alias("bilirubin_max"), F.min("platelet").alias("platelet_min")
     parts = _by_stay(
         icustays.select("stay_id"), _ratios(_within(icustays, bg.select("subject_id", "charttime", "pao2fio2ratio"), "subject_id", hours).select("stay_id", "charttime", "pao2fio2ratio"), ventilation, ["stay_id"]),
@@ -58,10 +59,12 @@ def early_sofa(icustays, bg, ventilation, vitals, chemistry, enzyme, blood_count
     return _scored(icustays, parts, ORGANS, "sofa")
 
 
-def early_sirs(icustays, vitals, bg, blood_count, differential, hours: int = 12) -> DataFrame:
-    """Signs of inflammation over the first hours; of gases the arterial ones count."""
+def early_sirs(icustays, vitals, bg, blood_count, differential=None, hours: int = 12) -> DataFrame:
+    """Signs of inflammation over the first hours; of gases the arterial ones count. Without a differential the blood count holds its columns."""
     arterial = bg.where("specimen = 'ART.'").select("subject_id", "charttime", "pco2")
-    cells = blood_count.select("subject_id", "charttime", "wbc").unionByName(differential.select("subject_id", "charttime", "bands"), allowMissingColumns=True)
+    cells = blood_count.select("subject_id", "charttime", "wbc", *(["bands"] if differential is None else []))
+    if differential is not None:
+        cells = cells.unionByName(differential.select("subject_id", "charttime", "bands"), allowMissingColumns=True)
     signs = [F.min("temperature").alias("temperature_min"), F.max("temperature").alias("temperature_max"), F.max("heart_rate").alias("heart_rate_max"), F.max("resp_rate").alias("resp_rate_max")]
     parts = _by_stay(
         icustays.select("stay_id"), _extremes(icustays, vitals.select("stay_id", "charttime", "temperature", "heart_rate", "resp_rate"), "stay_id", hours, *signs),
@@ -71,4 +74,9 @@ def early_sirs(icustays, vitals, bg, blood_count, differential, hours: int = 12)
     return _scored(icustays, parts, SIRS, "sirs")
 
 
+def sofa_12h_of(icustays, bg, ventilation, vitals, labs, scales, *pressors) -> DataFrame:
+    """sofa_12h from one table of laboratory values."""
+    return early_sofa(icustays, bg, ventilation, vitals, None, None, None, scales, *pressors, hours=12, labs=labs)
+
+
 sofa_12h, sirs_12h = partial(early_sofa, hours=12), partial(early_sirs, hours=12)
