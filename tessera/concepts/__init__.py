@@ -83,10 +83,12 @@ ONE_RUN = {
     "vitalsign_patient_day": (measurements.vitalsign, ("chartevents_patient_day",)), "vitalsign_12h": (measurements.vitalsign, ("chartevents_12h",)), "gcs_12h": (bedside.gcs, ("chartevents_scale_12h",)),
     "laboratory_saps": (partial(measurements.laboratory, key="subject_id", tables=("chemistry", "complete_blood_count", "enzyme")), (LAB,)),
     "laboratory_sofa": (partial(measurements.laboratory, key="hadm_id", tables=("chemistry", "complete_blood_count", "enzyme")), (LAB,)),
+    "laboratory_sirs": (partial(measurements.laboratory, key="subject_id", tables=("complete_blood_count", "blood_differential")), (LAB,)),
     "sapsii": (severity.sapsii, (
         STAYS, "admissions", "age", "services", "diagnoses_icd", CHART, "bg", "ventilation", "gcs_day", "vitalsign_patient_day", "urine_output_day", "laboratory_saps",
     )),
     "sofa_12h": (windows.sofa_12h_of, (STAYS, "bg", "ventilation", "vitalsign_12h", "laboratory_sofa", "gcs_12h", *scores.PRESSORS)),
+    "sirs_12h": (windows.sirs_12h, (STAYS, "vitalsign_12h", "bg", "laboratory_sirs")),
     "first_device": (bedside.first_device, (CHART,)), "ventilation": (bedside.ventilation, ("ventilator_setting", "first_device")),
 }
 #: table -> events -> the key that it groups or joins them by first.
