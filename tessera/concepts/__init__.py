@@ -90,10 +90,13 @@ ONE_RUN = {
     "sofa_12h": (windows.sofa_12h_of, (STAYS, "bg", "ventilation", "vitalsign_12h", "laboratory_sofa", "gcs_12h", *scores.PRESSORS)),
     "sirs_12h": (windows.sirs_12h, (STAYS, "vitalsign_12h", "bg", "laboratory_sirs")),
     "first_device": (bedside.first_device, (CHART,)), "ventilation": (bedside.ventilation, ("ventilator_setting", "first_device")),
+    "bg_art": (bedside.bg_art, (LAB, CHART)),
+    "chart_day_aps": (partial(firstday.first_day_chart, vitals=("heart_rate", "mbp", "resp_rate", "temperature", "glucose")), ("chartevents_scale_day", STAYS)),
+    "apsiii": (severity.apsiii_of, (STAYS, "diagnoses_icd", "bg_art", "ventilation", "first_day_lab", "chart_day_aps", "first_day_urine_output")),
 }
 #: table -> events -> the key that it groups or joins them by first.
 DEALT = {
-    **{x: {CHART: "subject_id"} for x in ("bg", "ventilator_setting", "oxygen_delivery", "first_device")}, **{x: {CHART: "stay_id"} for x in ("lods", "sapsii", "chartevents_day", "chartevents_scale_day", "chartevents_12h", "chartevents_scale_12h")},
+    **{x: {CHART: "subject_id"} for x in ("bg", "bg_art", "ventilator_setting", "oxygen_delivery", "first_device")}, **{x: {CHART: "stay_id"} for x in ("lods", "sapsii", "chartevents_day", "chartevents_scale_day", "chartevents_12h", "chartevents_scale_12h")},
     "chartevents_patient_day": {CHART: "subject_id"}, "outputevents_day": {"outputevents": "stay_id"},
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +21,9 @@ GAS = {
     "ph": (50820, None), "po2": (50821, None), "potassium": (50822, None), "sodium": (50824, None), "temperature": (50825, None),
 }
 SPECIMEN, GAS_FIO2, CHART_SPO2, CHART_FIO2 = 52033, 50816, 220277, 223835
+ARTERIAL = "ART."
 MOTOR, VERBAL, EYES, INTUBATED = 223901, 223900, 220739, "No Response-ETT"
+SCALE, BEST = (MOTOR, VERBAL, EYES), {"motor": 6, "verbal": 5, "eyes": 4}
 OXYGEN_FLOW, OXYGEN_FLOW_OTHER, OXYGEN_FLOW_MORE, OXYGEN_DEVICE = 223834, 227582, 227287, 226732
 TRACHEOSTOMY = ("Tracheostomy tube", "Trach mask ")
 TUBE = ("Endotracheal tube",)
@@ -89,12 +93,26 @@ def weight_durations(chartevents: DataFrame, icustays: DataFrame) -> DataFrame:
 
 def bg(labevents: DataFrame, chartevents: DataFrame) -> DataFrame:
     """Blood gases with an oxygen pressure, one for each patient and time (the least specimen), with the latest charted saturation and FiO2 before them."""
+    return _gases(labevents, chartevents, Item("specimen", (SPECIMEN,), text=True))
+
+
+def bg_art(labevents: DataFrame, chartevents: DataFrame) -> DataFrame:
+    """The arterial rows of bg. The largest name of a specimen is arterial where one is and none is beyond it: marks of that are aggregated in place of names, which Spark would sort all events for."""
+    place = F.when(F.col("value") > ARTERIAL, 2.0).when(F.col("value") == ARTERIAL, 1.0).when(F.col("value").isNotNull(), 0.0)
+    marked = labevents.withColumn("valuenum", F.when(F.col("itemid") == SPECIMEN, place).otherwise(F.col("valuenum")))
+    return _gases(marked, chartevents, Item("specimen", (SPECIMEN,)), F.col("specimen") == 1).withColumn("specimen", F.lit(ARTERIAL))
+
+
+def _gases(labevents: DataFrame, chartevents: DataFrame, specimen: Item, kept: Column | None = None) -> DataFrame:
+    """bg with the given item of the specimen; kept: a condition on rows that are the least of their patient and time."""
     v = F.col("valuenum")
     fraction = F.when((v > 20) & (v <= 100), v).when((v > 0.2) & (v <= 1.0), v * 100.0)
     numbers = labevents.withColumn("valuenum", F.when(F.col("itemid") == GAS_FIO2, fraction).otherwise(v))
-    items = [Item(name, (code,), high=high) for name, (code, high) in GAS.items()] + [Item("specimen", (SPECIMEN,), text=True), Item("fio2", (GAS_FIO2,))]
+    items = [Item(name, (code,), high=high) for name, (code, high) in GAS.items()] + [specimen, Item("fio2", (GAS_FIO2,))]
     gases = guarded_pivot(numbers, ["specimen_id"], "itemid", "valuenum", items, text="value", largest=("subject_id", "hadm_id", "charttime")).where("po2 is not null")
+    gases = spread(gases, "subject_id")  # rows of one time are in the patient's partition, in which charts are met
     gases = gases.withColumn("nth", F.row_number().over(Window.partitionBy("subject_id", "charttime").orderBy("specimen_id"))).where("nth = 1").drop("nth")
+    gases = gases.where(kept) if kept is not None else gases
     charted = F.when((v > 0.2) & (v <= 1), v * 100).when((v >= 20) & (v <= 100), v)
     oxygen = chartevents.where((F.col("itemid") == CHART_FIO2) & (v > 0) & (v <= 100)).groupBy("subject_id", F.col("charttime").alias("at")).agg(F.max(charted).alias("fio2_chartevents"))
     gases = asof_latest(gases, oxygen.where("fio2_chartevents > 0"), "subject_id", "charttime", "at", 4 * 3600, ["fio2_chartevents"], "at")
@@ -108,20 +126,31 @@ def bg(labevents: DataFrame, chartevents: DataFrame) -> DataFrame:
 
 def gcs(chartevents: DataFrame) -> DataFrame:
     """Coma scale by stay and time. A part that is missing is carried from a row less than six hours before; who is intubated counts as 15."""
+    wide = chartevents.where(F.col("itemid").isin(*SCALE)).groupBy("subject_id", "stay_id", "charttime").agg(*scale_parts())
+    line = Window.partitionBy("stay_id").orderBy(F.col("charttime").asc_nulls_first())
+    return wide.withColumns(carried_parts(lambda c: F.lag(c).over(line))).select("subject_id", "stay_id", "charttime", *scale_columns())
+
+
+def scale_parts() -> list[Column]:
+    """Aggregates of the parts of the coma scale."""
     code, v = F.col("itemid"), F.col("valuenum")
     tube = (code == VERBAL) & (F.col("value") == INTUBATED)
-    wide = chartevents.where(code.isin(MOTOR, VERBAL, EYES)).groupBy("subject_id", "stay_id", "charttime").agg(
-        F.max(F.when(code == MOTOR, v)).alias("motor"), F.max(F.when(tube, 0).when(code == VERBAL, v)).alias("verbal"), F.max(F.when(code == EYES, v)).alias("eyes"), F.max(F.when(tube, 1).otherwise(0)).alias("gcs_unable")
-    )
-    line = Window.partitionBy("stay_id").orderBy(F.col("charttime").asc_nulls_first())
-    recent = F.lag("charttime").over(line) > F.col("charttime") - _hours(6)
-    parts = {"motor": 6, "verbal": 5, "eyes": 4}
-    wide = wide.withColumns({f"{p}_before": F.when(recent, F.lag(p).over(line)) for p in parts})
-    plain = sum((F.coalesce(F.col(p), F.lit(best)) for p, best in parts.items()), F.lit(0))
-    carried = sum((F.coalesce(F.col(p), F.col(f"{p}_before"), F.lit(best)) for p, best in parts.items()), F.lit(0))
+    return [F.max(F.when(code == MOTOR, v)).alias("motor"), F.max(F.when(tube, 0).when(code == VERBAL, v)).alias("verbal"), F.max(F.when(code == EYES, v)).alias("eyes"), F.max(F.when(tube, 1).otherwise(0)).alias("gcs_unable")]
+
+
+def carried_parts(before: Callable[[str], Column]) -> dict[str, Column]:
+    """What the stay's row before says of each part, where it is less than six hours older; before: a column of that row."""
+    recent = before("charttime") > F.col("charttime") - _hours(6)
+    return {f"{p}_before": F.when(recent, before(p)) for p in BEST}
+
+
+def scale_columns() -> list[Column]:
+    """The scale and its parts from the parts of a row and what is carried to it."""
+    plain = sum((F.coalesce(F.col(p), F.lit(best)) for p, best in BEST.items()), F.lit(0))
+    carried = sum((F.coalesce(F.col(p), F.col(f"{p}_before"), F.lit(best)) for p, best in BEST.items()), F.lit(0))
     before = F.coalesce(F.col("verbal_before") == 0, F.lit(False))
     score = F.when((F.col("verbal") == 0) | (F.col("verbal").isNull() & before), 15).when(before, plain).otherwise(carried)
-    return wide.select("subject_id", "stay_id", "charttime", score.alias("gcs"), *[F.coalesce(p, f"{p}_before").alias(f"gcs_{p}") for p in parts], "gcs_unable")
+    return [score.alias("gcs"), *[F.coalesce(p, f"{p}_before").alias(f"gcs_{p}") for p in BEST], F.col("gcs_unable")]
 
 
 def oxygen_delivery(chartevents: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.concepts import bedside, measurements
+from tessera.functions.compat import decimal_text
+from tessera.operators.pivot import guarded
+
 # What each table is summarised by; abs_ columns have their names turned round.
 GASES = (
     "lactate", "ph", "so2", "po2", "pco2", "aado2", "aado2_calc", "pao2fio2ratio", "baseexcess", "bicarbonate", "totalco2", "hematocrit", "hemoglobin", "carboxyhemoglobin", "methemoglobin", "temperature",
@@ -26,10 +30,11 @@ LABS = {
 
 
 def _near(icustays: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    stays = icustays.select("subject_id", "stay_id", "intime")
+    # the ends of the window are counted once for each stay, not for each of its rows
+    stays = icustays.select("subject_id", "stay_id", "intime", (F.col("intime") - F.expr("interval 6 hour")).alias("_low"), (F.col("intime") + F.expr("interval 1 day")).alias("_high"))
     rows = rows.withColumnRenamed(key, "_key").drop("subject_id", "stay_id", "hadm_id")
-    window = (F.col("charttime") >= F.col("intime") - F.expr("interval 6 hour")) & (F.col("charttime") <= F.col("intime") + F.expr("interval 1 day"))
-    return stays.join(rows, (F.col(key) == F.col("_key")) & F.coalesce(window, F.lit(False)), "left")
+    window = (F.col("charttime") >= F.col("_low")) & (F.col("charttime") <= F.col("_high"))
+    return stays.join(rows, (F.col(key) == F.col("_key")) & F.coalesce(window, F.lit(False)), "left").drop("_low", "_high")
 
 
 def _extremes(columns: dict[str, str]) -> list:
@@ -51,6 +56,28 @@ def first_day_gcs(scales: DataFrame, icustays: DataFrame) -> DataFrame:
     return rows.select("subject_id", "stay_id", F.col("gcs").alias("gcs_min"), "gcs_motor", "gcs_verbal", "gcs_eyes", "gcs_unable")
 
 
+def first_day_chart(chartevents: DataFrame, icustays: DataFrame, vitals: tuple[str, ...]) -> DataFrame:
+    """What first_day_vitalsign (extremes of some vitals) and first_day_gcs take of charts, from one scan and one aggregation by stay and time; one row for each stay. Events from twelve hours ahead of the stay to one day after its start are needed."""
+    code = F.col("itemid")
+    items = [i for i in measurements.vital_items() if i.name in vitals]
+    wanted = {x for i in items for x in i.items} | set(bedside.SCALE)
+    events = chartevents.where(code.isin(*sorted(wanted)) & F.col("stay_id").isNotNull()).withColumn("valuenum", measurements.in_celsius())
+    means = [F.avg(guarded(i, code, F.col("valuenum"))).alias(i.name) for i in items]
+    wide = events.groupBy("subject_id", "stay_id", "charttime").agg(*means, *bedside.scale_parts(), F.max(F.when(code.isin(*bedside.SCALE), 1)).alias("scaled"))
+    if "temperature" in vitals:
+        wide = wide.withColumn("temperature", F.round(decimal_text(F.col("temperature")), 2))
+    # the row before is the last one that has a part of the scale
+    line = Window.partitionBy("stay_id").orderBy(F.col("charttime").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    scale = F.when(F.col("scaled") == 1, F.struct("charttime", *bedside.BEST))
+    wide = wide.withColumn("_last", F.last(scale, ignorenulls=True).over(line))
+    wide = wide.withColumns(bedside.carried_parts(lambda c: F.col(f"_last.{c}")))
+    rows = _near(icustays, wide.select("stay_id", "charttime", *vitals, *bedside.scale_columns(), "scaled"), "stay_id")
+    parts = [f"gcs_{p}" for p in bedside.BEST]
+    least = F.min(F.when(F.col("scaled") == 1, F.struct("gcs", "charttime", *parts, "gcs_unable"))).alias("least")
+    days = rows.groupBy("stay_id").agg(*_extremes({x: x for x in vitals}), least)
+    return days.select("stay_id", *[f"{x}_{end}" for x in vitals for end in ("min", "max")], F.col("least.gcs").alias("gcs_min"), *[f"least.{p}" for p in parts], "least.gcs_unable")
+
+
 def first_day_lab(*tables: DataFrame) -> DataFrame:
     """Extremes of five laboratory tables, given in the order of LABS, then icustays: one aggregate over their union, not a join for each."""
     *labs, icustays = tables

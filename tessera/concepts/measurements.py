@@ -130,16 +130,23 @@ def ventilator_setting(chartevents: DataFrame) -> DataFrame:
 
 def vitalsign(chartevents: DataFrame) -> DataFrame:
     """Means of plausible values; temperatures in degrees Celsius, to two digits."""
+    events = chartevents.where("stay_id is not null").withColumn("valuenum", in_celsius())
+    wide = guarded_pivot(events, ["subject_id", "stay_id", "charttime"], "itemid", "valuenum", vital_items(), text="value")
+    return wide.withColumn("temperature", F.round(decimal_text(F.col("temperature")), 2))
+
+
+def in_celsius() -> Column:
+    """Values of charted items, plausible temperatures in degrees Celsius."""
     code, v = F.col("itemid"), F.col("valuenum")
-    warm = F.when(code == FAHRENHEIT, F.when((v > 70) & (v < 120), (v - 32) / 1.8)).when(code == CELSIUS, F.when((v > 10) & (v < 50), v)).otherwise(v)
+    return F.when(code == FAHRENHEIT, F.when((v > 70) & (v < 120), (v - 32) / 1.8)).when(code == CELSIUS, F.when((v > 10) & (v < 50), v)).otherwise(v)
+
+
+def vital_items() -> list[Item]:
     items = [Item(n, c, low=0, high=high, high_in=False, agg="avg") for n, (c, high) in VITALS.items()]
-    items += [
+    return items + [
         Item("temperature", (FAHRENHEIT, CELSIUS), agg="avg"), Item("temperature_site", (TEMPERATURE_SITE,), text=True),
         Item("spo2", (220277,), low=0, high=100, agg="avg"), Item("glucose", (225664, 220621, 226537), low=0, agg="avg"),
     ]
-    events = chartevents.where("stay_id is not null").withColumn("valuenum", warm)
-    wide = guarded_pivot(events, ["subject_id", "stay_id", "charttime"], "itemid", "valuenum", items, text="value")
-    return wide.withColumn("temperature", F.round(decimal_text(F.col("temperature")), 2))
 
 
 def icp(chartevents: DataFrame) -> DataFrame:

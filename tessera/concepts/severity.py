@@ -177,7 +177,12 @@ def _worst(score: str) -> Column:
 
 
 def apsiii(icustays, diagnoses, bg, ventilation, scale, vitals, urine, labs) -> DataFrame:
-    """Sixteen components and the probability that goes with their sum; gases of the whole stay, the rest of the first day. Gases are read once: oxygen off and on invasive ventilation and the acid-base balance come from one aggregation."""
+    """Sixteen components and the probability that goes with their sum; gases of the whole stay, the rest of the first day."""
+    return apsiii_of(icustays, diagnoses, bg, ventilation, labs, scale, vitals, urine)
+
+
+def apsiii_of(icustays, diagnoses, bg, ventilation, labs, *days) -> DataFrame:
+    """apsiii from days: urine, coma scale and vitals of the first day, or one table of the latter two. Gases are read once: oxygen off and on invasive ventilation and the acid-base balance come from one aggregation."""
     art = _during(icustays, bg.where("specimen = 'ART.'")).select("stay_id", "charttime", "po2", "pco2", "ph", "aado2", F.coalesce("fio2", "fio2_chartevents").alias("share"))
     inside = (F.col("stay_id") == F.col("v_stay")) & (F.col("charttime") >= F.col("v_start")) & (F.col("charttime") <= F.col("v_end"))
     on = F.col("v_stay").isNotNull()
@@ -187,7 +192,7 @@ def apsiii(icustays, diagnoses, bg, ventilation, scale, vitals, urine, labs) ->
     )
     ill = diagnoses.groupBy("hadm_id").agg(F.max(F.when(has_code(F.col("icd_code"), F.col("icd_version"), KIDNEY_FAILURE), 1).otherwise(0)).alias("ckd"))
     labs = labs.withColumnsRenamed({"glucose_min": "l_glucose_min", "glucose_max": "l_glucose_max"})
-    rows = _by_stay(icustays.join(ill, "hadm_id", "left"), gases, ventilated_first_day(icustays, ventilation).withColumnRenamed("mechvent", "vent"), scale, vitals, urine, labs)
+    rows = _by_stay(icustays.join(ill, "hadm_id", "left"), gases, ventilated_first_day(icustays, ventilation).withColumnRenamed("mechvent", "vent"), *days, labs)
     rows = rows.withColumns({
         "glucose_max": F.greatest("glucose_max", "l_glucose_max"), "glucose_min": F.least("glucose_min", "l_glucose_min"),
         "arf": F.when((F.col("creatinine_max") >= 1.5) & (F.col("urineoutput") < 410) & (F.col("ckd") == 0), 1).otherwise(0),

@@ -46,10 +46,10 @@ def kdigo_creatinine(labevents: DataFrame, icustays: DataFrame) -> DataFrame:
 
 def _first_day(icustays: DataFrame, rows: DataFrame, hours_before: int) -> DataFrame:
     """Every stay with its rows from hours_before its start to one day after, both ends included."""
-    stays = icustays.select("subject_id", "stay_id", "intime")
+    ends = (F.col("intime") - F.expr(f"interval {hours_before} hour")).alias("_low"), (F.col("intime") + F.expr("interval 1 day")).alias("_high")  # once for each stay, not for each of its rows
     rows = rows.drop("subject_id").withColumnRenamed("stay_id", "s")
-    inside = (F.col("charttime") >= F.col("intime") - F.expr(f"interval {hours_before} hour")) & (F.col("charttime") <= F.col("intime") + F.expr("interval 1 day"))
-    return stays.join(rows, (F.col("stay_id") == F.col("s")) & F.coalesce(inside, F.lit(False)), "left")
+    inside = (F.col("charttime") >= F.col("_low")) & (F.col("charttime") <= F.col("_high"))
+    return icustays.select("subject_id", "stay_id", "intime", *ends).join(rows, (F.col("stay_id") == F.col("s")) & F.coalesce(inside, F.lit(False)), "left").drop("_low", "_high")
 
 
 def near(events: DataFrame, icustays: DataFrame, key: str, before: int, after: int) -> DataFrame:
