@@ -93,6 +93,8 @@ ONE_RUN = {
     "bg_art": (bedside.bg_art, (LAB, CHART)),
     "chart_day_aps": (partial(firstday.first_day_chart, vitals=("heart_rate", "mbp", "resp_rate", "temperature", "glucose")), ("chartevents_scale_day", STAYS)),
     "apsiii": (severity.apsiii_of, (STAYS, "diagnoses_icd", "bg_art", "ventilation", "first_day_lab", "chart_day_aps", "first_day_urine_output")),
+    "chart_day_lods": (partial(firstday.first_day_chart, vitals=("heart_rate", "sbp")), ("chartevents_scale_day", STAYS)),
+    "lods": (severity.lods_of, (STAYS, CHART, "bg", "ventilation", "first_day_lab", "first_day_urine_output", "chart_day_lods")),
 }
 #: table -> events -> the key that it groups or joins them by first.
 DEALT = {

@@ -124,10 +124,16 @@ def _during(icustays: DataFrame, bg: DataFrame) -> DataFrame:
 
 def lods(icustays, chart, bg, ventilation, scale, vitals, labs, urine) -> DataFrame:
     """Six organs; oxygenation counts only under invasive ventilation or a mask that helps breathing."""
+    return lods_of(icustays, chart, bg, ventilation, labs, urine, scale, vitals)
+
+
+def lods_of(icustays, chart, bg, ventilation, labs, urine, *days) -> DataFrame:
+    """lods from days: coma scale and vitals of the first day, or one table of both."""
     masks = _masks(icustays, chart, "cpap|bipap mask", False).select(F.col("stay_id").alias("v_stay"), "v_start", "v_end")
     ratio = _helped(_during(icustays, bg).select("stay_id", "charttime", "pao2fio2ratio"), _invasive(ventilation).unionByName(masks), F.col("charttime") >= F.col("v_start"))
     labs = labs.select("stay_id", "bun_max", "wbc_min", "wbc_max", "bilirubin_total_max", "creatinine_max", "pt_min", "pt_max", "platelets_min")
-    parts = _by_stay(icustays, ratio, scale.select("stay_id", "gcs_min"), vitals.select("stay_id", "heart_rate_min", "heart_rate_max", "sbp_min", "sbp_max"), urine.select("stay_id", "urineoutput"), labs)
+    taken = ("gcs_min", "heart_rate_min", "heart_rate_max", "sbp_min", "sbp_max")
+    parts = _by_stay(icustays, ratio, *[d.select("stay_id", *[c for c in taken if c in d.columns]) for d in days], urine.select("stay_id", "urineoutput"), labs)
     scored = parts.select("subject_id", "hadm_id", "stay_id", *[_points(r, n) for n, r in LODS.items()])
     return scored.select("subject_id", "hadm_id", "stay_id", _total(list(LODS)).alias("lods"), *LODS)
 
