@@ -284,10 +284,8 @@ def _three_times() -> str:
 @query("three_schemas", _three_times())
 def three_schemas(t: Tables) -> DataFrame:
     """Golden texts asked of the base tables as they are, under other names, and through the views of merged tables."""
-    tables: dict[str, DataFrame] = {}
-    for name in ("admissions", "icustays", *_GOLDEN_TABLES):
-        if name not in tables:
-            tables[name] = base_table(t.spark, name, [tables[s] if s in tables else getattr(t, s) for s in SOURCES[name]])
+    base = base_tables(t.spark, _GOLDEN_TABLES, lambda x: getattr(t, x))
+    tables = {name: base[name] for name in _GOLDEN_TABLES}
     other = compare.renamed(tables, {name: f"x{i}" for i, name in enumerate(tables)}, _OTHER_NAMES)
     schemas = {"given": (tables, {}), "renamed": (dict(zip(tables, other.values(), strict=True)), _OTHER_NAMES), "merged": (restructure.restructured(tables)[1], {})}
     out = None
