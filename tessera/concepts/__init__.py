@@ -95,11 +95,15 @@ ONE_RUN = {
     "apsiii": (severity.apsiii_of, (STAYS, "diagnoses_icd", "bg_art", "ventilation", "first_day_lab", "chart_day_aps", "first_day_urine_output")),
     "chart_day_lods": (partial(firstday.first_day_chart, vitals=("heart_rate", "sbp")), ("chartevents_scale_day", STAYS)),
     "lods": (severity.lods_of, (STAYS, CHART, "bg", "ventilation", "first_day_lab", "first_day_urine_output", "chart_day_lods")),
+    "first_hour": (stays.first_hour, ("icustay_times",)), "hours_by_stay": (stays.hours_by_stay, ("icustay_times",)), "mean_pressure": (measurements.mean_pressure, (CHART,)), "gcs_of_stay": (bedside.gcs, (CHART,)), "urine_day": (bedside.urine_day, ("outputevents", CHART, STAYS)),
+    "pressors": (partial(infusions.pressors, agents=scores.PRESSORS), (INPUT,)),
+    "sofa": (scores.sofa_of, (STAYS, "first_hour", "hours_by_stay", "bg_art", "ventilation", "mean_pressure", "gcs_of_stay", "laboratory_sofa", "urine_day", "pressors")),
 }
 #: table -> events -> the key that it groups or joins them by first.
 DEALT = {
     **{x: {CHART: "subject_id"} for x in ("bg", "bg_art", "ventilator_setting", "oxygen_delivery", "first_device")}, **{x: {CHART: "stay_id"} for x in ("lods", "sapsii", "chartevents_day", "chartevents_scale_day", "chartevents_12h", "chartevents_scale_12h")},
     "chartevents_patient_day": {CHART: "subject_id"}, "outputevents_day": {"outputevents": "stay_id"},
+    "mean_pressure": {CHART: "stay_id"}, "gcs_of_stay": {CHART: "stay_id"}, "urine_day": {"outputevents": "stay_id", CHART: "stay_id"}, "pressors": {INPUT: "stay_id"},
 }
 
 def build(name: str, read: Callable[[str], DataFrame]) -> DataFrame:

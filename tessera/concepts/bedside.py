@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.concepts import measurements
 from tessera.functions.compat import decimal_text, divide, ordered_choice, seconds_between, synonyms
 from tessera.operators.pivot import Item, guarded_pivot
 from tessera.operators.relational import spread
@@ -209,20 +210,36 @@ def _rate(amount: str, hours: str) -> Column:
     return F.round(decimal_text(divide(F.col(amount) / F.col("weight"), F.col(hours))), 4)
 
 
-def urine_output_rate(urine_output: DataFrame, weights: DataFrame, chartevents: DataFrame, icustays: DataFrame) -> DataFrame:
-    """Urine of the last 5, 11 and 23 hours and the row itself by range frames, over the hours that it took and the weight then (start open, end closed)."""
+def _urine_in_time(urine_output: DataFrame, chartevents: DataFrame, icustays: DataFrame, spans: tuple[tuple[str, int], ...]) -> DataFrame:
+    """Rows of urine with the sums of the last hours and the row itself, and the hours that they took; spans: name and hours before the row."""
     beats = chartevents.where(F.col("itemid") == HEART_RATE).select(F.col("stay_id").alias("s"), "charttime")
     near = (F.col("stay_id") == F.col("s")) & (F.col("charttime") > F.col("intime") - F.expr("interval 1 month")) & (F.col("charttime") < F.col("outtime") + F.expr("interval 1 month"))
     first = icustays.join(beats, near).groupBy("stay_id").agg(F.min("charttime").alias("first_beat"))
     line = Window.partitionBy("stay_id").orderBy("charttime")
-    rows = spread(urine_output, "stay_id").join(first, "stay_id").withColumn("minutes", seconds_between(F.coalesce(F.lag("charttime").over(line), "first_beat"), F.col("charttime")) / 60)
-    for name, hours in (("6hr", 5), ("12hr", 11), ("24hr", 23)):
+    rows = urine_output.join(first, "stay_id").withColumn("minutes", seconds_between(F.coalesce(F.lag("charttime").over(line), "first_beat"), F.col("charttime")) / 60)
+    for name, hours in spans:
         rows = rolling(rows, "stay_id", "charttime", hours * 3600, {f"urineoutput_{name}": F.sum("urineoutput"), f"tm_{name}": F.sum("minutes")}).withColumn(f"tm_{name}", F.col(f"tm_{name}") / 60)
+    return rows
+
+
+def _hours_taken(name: str) -> Column:
+    return F.round(decimal_text(F.col(f"tm_{name}")), 2).alias(f"uo_tm_{name}")
+
+
+def urine_day(outputevents: DataFrame, chartevents: DataFrame, icustays: DataFrame) -> DataFrame:
+    """What sofa takes of urine_output_rate, without weights, which add no row of another time and take none away."""
+    rows = _urine_in_time(measurements.urine_output(outputevents), chartevents, icustays.hint("shuffle_hash"), (("24hr", 23),))
+    return rows.select("stay_id", "charttime", "urineoutput_24hr", _hours_taken("24hr"))
+
+
+def urine_output_rate(urine_output: DataFrame, weights: DataFrame, chartevents: DataFrame, icustays: DataFrame) -> DataFrame:
+    """Urine of the last 5, 11 and 23 hours and the row itself by range frames, over the hours that it took and the weight then (start open, end closed)."""
+    rows = _urine_in_time(spread(urine_output, "stay_id"), chartevents, icustays, (("6hr", 5), ("12hr", 11), ("24hr", 23)))
     rows = interval_join(rows, weights.where("weight > 0").select("stay_id", "starttime", "endtime", "weight"), "stay_id", "charttime", "starttime", "endtime", "right")
     spans = ("6hr", "12hr", "24hr")
     return rows.select(
         "stay_id", "charttime", "weight", F.col("urineoutput").alias("uo"), *[f"urineoutput_{s}" for s in spans],
-        *[F.when(F.col(f"tm_{s}") >= int(s[:-2]), _rate(f"urineoutput_{s}", f"tm_{s}")).alias(f"uo_mlkghr_{s}") for s in spans], *[F.round(decimal_text(F.col(f"tm_{s}")), 2).alias(f"uo_tm_{s}") for s in spans],
+        *[F.when(F.col(f"tm_{s}") >= int(s[:-2]), _rate(f"urineoutput_{s}", f"tm_{s}")).alias(f"uo_mlkghr_{s}") for s in spans], *[_hours_taken(s) for s in spans],
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,20 +32,17 @@ def antibiotic(prescriptions: DataFrame, icustays: DataFrame) -> DataFrame:
     The tests make a list of (drug, route) pairs; every prescription of such a pair counts, one of a base solution too where the pair also occurs as a drug.
     """
     drug, route = F.col("drug"), F.col("route")
-    counts = (F.col("drug_type") != "BASE") & ~route.isin(*LOCAL_ROUTES) & ~matches_any(route, LOCAL_WAYS) & ~matches_any(drug, LOCAL_FORMS) & matches_any(drug, ANTIBIOTICS)
-    listed = prescriptions.where(counts).select("drug", "route").distinct()
-    rows = prescriptions.join(listed, ["drug", "route"], "left_semi").select("subject_id", "hadm_id", drug.alias("antibiotic"), "route", "starttime", "stoptime")
+    pair = ~route.isin(*LOCAL_ROUTES) & ~matches_any(route, LOCAL_WAYS) & ~matches_any(drug, LOCAL_FORMS) & matches_any(drug, ANTIBIOTICS)
+    own = F.coalesce(F.col("drug_type") != "BASE", F.lit(False))
+    some = prescriptions.where(pair)
+    # only rows that don't list their pair themselves are looked up, so the others are not moved to the few places of their pairs
+    listed = some.where(own).select("drug", "route").distinct()
+    rows = some.where(own).unionByName(some.where(~own).join(listed, ["drug", "route"], "left_semi").select(*some.columns))
+    rows = rows.select("subject_id", "hadm_id", drug.alias("antibiotic"), "route", "starttime", "stoptime")
     joined = binned_interval_join(rows, icustays.select("hadm_id", "stay_id", "intime", "outtime"), "hadm_id", "starttime", "intime", "outtime", "left", width=4 * DAY)
     return joined.select("subject_id", "hadm_id", "stay_id", "antibiotic", "route", "starttime", "stoptime")
 
 
-def _first_culture(given: DataFrame, cultures: DataFrame, timed: Column, dated: Column, name: str) -> DataFrame:
-    """The earliest culture of each antibiotic for which one of the tests holds: by time where the culture has one, else by date."""
-    near = (F.col("subject_id") == F.col("patient")) & F.when(F.col("charttime").isNotNull(), timed).otherwise(dated)
-    found = F.struct(F.col("chartdate"), F.coalesce("charttime", F.to_timestamp_ntz(F.lit("9999-01-01"))).alias("last"), "micro_specimen_id", F.coalesce("charttime", F.col("chartdate").cast("timestamp_ntz")).alias("time"), "spec", "positive")
-    return given.join(cultures, near).groupBy("subject_id", "ab_id").agg(F.min(found).alias(name))
-
-
 def suspicion_of_infection(antibiotics: DataFrame, microbiology: DataFrame) -> DataFrame:
     """Antibiotics with the first culture of the 72 hours (or three days) before them, else of the 24 hours (or the day) after."""
     order = [F.col(c).asc_nulls_first() for c in ("starttime", "stoptime", "antibiotic", "route", "hadm_id", "stay_id")]
@@ -55,9 +52,15 @@ def suspicion_of_infection(antibiotics: DataFrame, microbiology: DataFrame) -> D
         F.max("subject_id").alias("patient"), F.max("chartdate").alias("chartdate"), F.max("charttime").alias("charttime"), F.max("spec_type_desc").alias("spec"), F.max(F.when(grown, 1).otherwise(0)).alias("positive")
     )
     at, day, time, date = F.col("antibiotic_time"), F.to_date("antibiotic_time"), F.col("charttime"), F.col("chartdate")
-    before = _first_culture(given, cultures, (at > time) & (at <= time + F.expr("interval 72 hour")), (day >= date) & (day <= F.date_add(date, 3)), "before")
-    after = _first_culture(given, cultures, (at >= time - F.expr("interval 24 hour")) & (at < time), (day >= F.date_sub(date, 1)) & (day <= date), "after")
-    rows = given.join(before, ["subject_id", "ab_id"], "left").join(after, ["subject_id", "ab_id"], "left")
+    timed = time.isNotNull()
+    before = F.when(timed, (at > time) & (at <= time + F.expr("interval 72 hour"))).otherwise((day >= date) & (day <= F.date_add(date, 3)))
+    after = F.when(timed, (at >= time - F.expr("interval 24 hour")) & (at < time)).otherwise((day >= F.date_sub(date, 1)) & (day <= date))
+    # The earliest culture of each antibiotic on either side, by time where the culture has one, else by date: a patient's antibiotics and cultures meet once, and the rows stay in the patient's partition.
+    found = F.struct("chartdate", F.coalesce("charttime", F.to_timestamp_ntz(F.lit("9999-01-01"))).alias("last"), "micro_specimen_id", F.coalesce("charttime", F.col("chartdate").cast("timestamp_ntz")).alias("time"), "spec", "positive")
+    near = (F.col("subject_id") == F.col("patient")) & (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
+    rows = given.join(cultures, near, "left").groupBy("subject_id", "ab_id").agg(
+        *[F.first(c).alias(c) for c in given.columns if c not in ("subject_id", "ab_id")], F.min(F.when(before, found)).alias("before"), F.min(F.when(after, found)).alias("after")
+    )
     suspected = F.col("before.spec").isNotNull() | F.col("after.spec").isNotNull()
     return rows.select(
         "subject_id", "stay_id", "hadm_id", "ab_id", "antibiotic", "antibiotic_time", suspected.cast("int").alias("suspected_infection"), F.when(suspected, F.coalesce("before.time", "antibiotic_time")).alias("suspected_infection_time"),

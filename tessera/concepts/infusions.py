@@ -33,6 +33,13 @@ def infusion(inputevents: DataFrame, agent: str) -> DataFrame:
     return rows.select("stay_id", "linkorderid", _rate(agent).alias("vaso_rate"), F.col("amount").alias("vaso_amount"), "starttime", "endtime")
 
 
+def pressors(inputevents: DataFrame, agents: tuple[str, ...]) -> DataFrame:
+    """Infusions of several agents from one scan: stay_id, starttime, endtime and the rate of the row's agent, null for the others."""
+    code = F.col("itemid")
+    rows = inputevents.where(code.isin(*[AGENTS[a] for a in agents]))
+    return rows.select("stay_id", "starttime", "endtime", *[F.when(code == AGENTS[a], _rate(a)).alias(f"rate_{a}") for a in agents])
+
+
 def neuroblock(inputevents: DataFrame) -> DataFrame:
     rows = inputevents.where(F.col("itemid").isin(*BLOCKERS) & F.col("rate").isNotNull())
     return rows.select("stay_id", "orderid", F.col("rate").alias("drug_rate"), F.col("amount").alias("drug_amount"), "starttime", "endtime")

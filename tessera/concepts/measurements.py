@@ -135,6 +135,11 @@ def vitalsign(chartevents: DataFrame) -> DataFrame:
     return wide.withColumn("temperature", F.round(decimal_text(F.col("temperature")), 2))
 
 
+def mean_pressure(chartevents: DataFrame) -> DataFrame:
+    """vitalsign where a mean pressure was charted: mbp by stay and time."""
+    return vitalsign(chartevents.where(F.col("itemid").isin(*VITALS["mbp"][0]))).select("subject_id", "stay_id", "charttime", "mbp")
+
+
 def in_celsius() -> Column:
     """Values of charted items, plausible temperatures in degrees Celsius."""
     code, v = F.col("itemid"), F.col("valuenum")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.concepts.firstday import _near
 from tessera.functions.compat import decimal_text, seconds_between
+from tessera.operators.relational import spread
 from tessera.operators.score import logistic
 from tessera.operators.timeops import interval_join
 
@@ -125,6 +126,11 @@ def first_day_sofa(icustays, bg, ventilation, vitals, labs, urine, scale, *press
     return scored.select("subject_id", "hadm_id", "stay_id", _total(names).alias("sofa"), *names)
 
 
+def urine_of_day() -> Column:
+    """Urine of 24 hours from that of the 22 to 30 hours that it took."""
+    return F.when(F.col("uo_tm_24hr").between(22, 30), F.col("urineoutput_24hr") / F.col("uo_tm_24hr") * 24).alias("urine")
+
+
 def _stacked(tables: list[DataFrame]) -> DataFrame:
     """The rows of all tables, null in the columns that a table lacks."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
@@ -135,25 +141,57 @@ def sofa(icustays, hourly, bg, ventilation, vitals, scales, enzyme, chemistry, b
     stays = icustays.select("subject_id", "hadm_id", "stay_id")
     grid = hourly.where("hr = 0").join(stays, "stay_id").select("hadm_id", "stay_id", F.col("endtime").alias("first"))
     art = stays.join(bg.where("specimen = 'ART.'").select("subject_id", "charttime", "pao2fio2ratio"), "subject_id").select("stay_id", "charttime", "pao2fio2ratio")
-    uo = F.when(F.col("uo_tm_24hr").between(22, 30), F.col("urineoutput_24hr") / F.col("uo_tm_24hr") * 24)
     # Points in time of one key are one table, so that each meets the grid once; an hour's number takes the place of a join on ranges.
     by_stay = _stacked([
         _ratios(art, ventilation, ["stay_id", "charttime"]), vitals.select("stay_id", "charttime", F.col("mbp").alias("mbp_min")), scales.select("stay_id", "charttime", F.col("gcs").alias("gcs_min")),
-        urine_rate.select("stay_id", "charttime", uo.alias("urine")),
+        urine_rate.select("stay_id", "charttime", urine_of_day()),
     ]).join(grid.drop("hadm_id"), "stay_id")
     by_admission = _stacked([
         enzyme.select("hadm_id", "charttime", F.col("bilirubin_total").alias("bilirubin_max")), chemistry.select("hadm_id", "charttime", F.col("creatinine").alias("creatinine_max")),
         blood_count.select("hadm_id", "charttime", F.col("platelet").alias("platelet_min")),
     ]).join(grid, "hadm_id").drop("hadm_id")
-    points = by_stay.unionByName(by_admission, allowMissingColumns=True).withColumn("hr", F.ceil(seconds_between(F.col("first"), F.col("charttime")) / 3600).cast("long")).drop("first", "charttime")
+    points = by_stay.unionByName(by_admission, allowMissingColumns=True).withColumn("hr", _hour("charttime")).drop("first", "charttime")
     # An infusion covers the hours whose end lies in (start, end]: they are listed, and met by their number.
     given = _stacked([t.select("stay_id", F.col("starttime").alias("low"), F.col("endtime").alias("high"), F.col("vaso_rate").alias(f"rate_{n}")) for n, t in zip(PRESSORS, pressors, strict=True)])
-    lowest, highest = (seconds_between(F.col("first"), F.col(c)) / 3600 for c in ("low", "high"))
-    spans = given.join(grid.drop("hadm_id"), "stay_id").withColumns({"from": (F.floor(lowest) + 1).cast("long"), "to": F.floor(highest).cast("long")}).where("`from` <= `to`")
+    spans = given.join(grid.drop("hadm_id"), "stay_id").withColumns({"from": (F.floor(_hours_from("low")) + 1).cast("long"), "to": F.floor(_hours_from("high")).cast("long")}).where("`from` <= `to`")
     rates = spans.withColumn("hr", F.explode(F.sequence("from", "to"))).select("stay_id", "hr", *[f"rate_{n}" for n in PRESSORS])
     # The grid's hours and all that is measured go to the stay's partition once; hours, windows and scores follow there without another shuffle.
     hours = hourly.join(stays.select("stay_id"), "stay_id", "left_semi").select("stay_id", F.col("hr").cast("long").alias("hr"), "endtime")
-    every = hours.unionByName(points, allowMissingColumns=True).unionByName(rates, allowMissingColumns=True).repartition("stay_id")
+    return _scored_hours(hours.unionByName(points, allowMissingColumns=True).unionByName(rates, allowMissingColumns=True).repartition("stay_id"))
+
+
+def sofa_of(icustays, first_hour, hourly, gases, ventilation, pressure, scales, labs, urine, given) -> DataFrame:
+    """sofa from arterial gases, one table of laboratory values, urine of 24 hours and one table of infusions. Tables of a stay's rows are dealt by the stay already: they meet its hours there, so that only
+    gases and laboratory values are moved, and neither hours nor points are."""
+    stays = icustays.select("subject_id", "hadm_id", "stay_id")
+    grid = first_hour.join(stays, "stay_id")
+    first = first_hour.hint("shuffle_hash")  # one row for each stay, so rows that meet it are not sorted
+
+    def in_hours(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("hr", _hour("charttime")).where(F.col("hr").between(-24, F.col("last"))).drop("first", "last")
+
+    art = spread(in_hours(grid.drop("hadm_id").join(gases.select("subject_id", "charttime", "pao2fio2ratio"), "subject_id")).drop("subject_id"), "stay_id")
+    tested = labs.select("hadm_id", "charttime", F.col("bilirubin_total").alias("bilirubin_max"), F.col("creatinine").alias("creatinine_max"), F.col("platelet").alias("platelet_min"))
+    tested = spread(in_hours(tested.join(grid.drop("subject_id"), "hadm_id")).drop("hadm_id", "charttime"), "stay_id")
+    charted = [pressure.select("stay_id", "charttime", F.col("mbp").alias("mbp_min")), scales.select("stay_id", "charttime", F.col("gcs").alias("gcs_min")), urine.select("stay_id", "charttime", urine_of_day())]
+    points = [_ratios(art, ventilation, ["stay_id", "hr"]), tested, *[in_hours(x.join(first, "stay_id")).drop("charttime") for x in charted]]
+    spans = given.join(first, "stay_id").withColumns({"from": (F.floor(_hours_from("starttime")) + 1).cast("long"), "to": F.floor(_hours_from("endtime")).cast("long")}).where("`from` <= `to`")
+    rates = spans.withColumn("hr", F.explode(F.sequence("from", "to"))).select("stay_id", "hr", *[f"rate_{n}" for n in PRESSORS])
+    hours = hourly.join(stays.select("stay_id").hint("shuffle_hash"), "stay_id", "left_semi").select("stay_id", F.col("hr").cast("long").alias("hr"), "endtime")
+    return _scored_hours(_stacked([hours, *points, rates]))
+
+
+def _hours_from(time: str) -> Column:
+    """Hours from the end of a stay's hour 0 to a time."""
+    return seconds_between(F.col("first"), F.col(time)) / 3600
+
+
+def _hour(time: str) -> Column:
+    return F.ceil(_hours_from(time)).cast("long")
+
+
+def _scored_hours(every: DataFrame) -> DataFrame:
+    """sofa from the hours of the stays, which have an end, and what is measured in them."""
     least, most = ("novent", "vent", "mbp_min", "gcs_min", "platelet_min"), ("urine", "bilirubin_max", "creatinine_max", *[f"rate_{n}" for n in PRESSORS])
     extremes = [F.min(c).alias(c) for c in least] + [F.max(c).alias(c) for c in most]
     parts = every.groupBy("stay_id", "hr").agg(F.max("endtime").alias("endtime"), *extremes).where("endtime is not null").withColumn("starttime", F.col("endtime") - F.expr("interval 1 hour"))

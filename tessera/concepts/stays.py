@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.compat import decimal_text, integer_sequence, seconds_between
+from tessera.operators.relational import spread
 
 # The heart-rate and creatinine items, seconds of a year, summarised vital signs.
 HEART_RATE, CREATININE, YEAR_SECONDS = 220045, 50912, 31556908.8
@@ -20,13 +21,29 @@ def icustay_times(chartevents: DataFrame, icustays: DataFrame) -> DataFrame:
 
 def icustay_hourly(times: DataFrame) -> DataFrame:
     """A row for each hour from 24 before the first full hour to the last; stays without times have none."""
-    start = F.date_trunc("hour", F.col("intime_hr")).cast("timestamp_ntz")
-    first = F.when(start == F.col("intime_hr"), start).otherwise(start + F.expr("interval 1 hour"))
-    last = F.ceil(seconds_between(F.col("intime_hr"), F.col("outtime_hr")) / 3600).cast("long")
+    first, last = _hour_ends()
     hours = times.select("stay_id", first.alias("first"), F.explode(integer_sequence(F.lit(-24).cast("long"), last)).alias("hr"))
     return hours.select("stay_id", "hr", F.timestamp_add("HOUR", F.col("hr").cast("int"), F.col("first")).alias("endtime"))
 
 
+def hours_by_stay(times: DataFrame) -> DataFrame:
+    """icustay_hourly, dealt by the stay before its hours are laid out."""
+    return icustay_hourly(spread(times, "stay_id"))
+
+
+def first_hour(times: DataFrame) -> DataFrame:
+    """The end of hour 0 of icustay_hourly, and its last hour."""
+    first, last = _hour_ends()
+    return times.where(last >= 0).select("stay_id", first.alias("first"), last.alias("last"))
+
+
+def _hour_ends() -> tuple[Column, Column]:
+    """The end of hour 0, and the last hour."""
+    start = F.date_trunc("hour", F.col("intime_hr")).cast("timestamp_ntz")
+    first = F.when(start == F.col("intime_hr"), start).otherwise(start + F.expr("interval 1 hour"))
+    return first, F.ceil(seconds_between(F.col("intime_hr"), F.col("outtime_hr")) / 3600).cast("long")
+
+
 def age(admissions: DataFrame, patients: DataFrame) -> DataFrame:
     """Age in years at admission, counted from the first of January of the anchor year."""
     joined = admissions.select("subject_id", "hadm_id", "admittime").join(patients.select("subject_id", "anchor_age", "anchor_year"), "subject_id")

@@ -142,13 +142,14 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, left_time: str, rig
     Both sides are laid along one time line and the last right row is carried forward, so a key's rows are sorted once and
     no pairs are made. Among right rows of one instant the one with the largest tie counts.
     """
-    carried = F.struct(F.col(right_time).alias("at"), *values)
-    marks = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).cast("string").alias("_tie"), F.col(tie).alias("_tie_order"), carried.alias("_r"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_l"))
-    rows = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_tie"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie_order"), F.lit(None).cast(right.select(carried).schema[0].dataType).alias("_r"), F.struct(*left.columns).alias("_l"))
+    carried, held = F.struct(F.col(right_time).alias("at"), *values), F.struct(*[c for c in left.columns if c != key])  # the key once, so sides that are dealt by it stay where they are
+    marks = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).cast("string").alias("_tie"), F.col(tie).alias("_tie_order"), carried.alias("_r"), F.lit(None).cast(left.select(held).schema[0].dataType).alias("_l"))
+    rows = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_tie"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie_order"), F.lit(None).cast(right.select(carried).schema[0].dataType).alias("_r"), held.alias("_l"))
     line = Window.partitionBy("_k").orderBy("_t", "_side", F.col("_tie_order").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     joined = marks.unionByName(rows).withColumn("_last", F.last("_r", ignorenulls=True).over(line)).where("_side = 1")
     fresh = F.col("_last.at") >= F.col("_t") - F.make_dt_interval(secs=F.lit(within_seconds))
-    return joined.select("_l.*", *[F.when(fresh, F.col(f"_last.{v}")).alias(v) for v in values], F.when(fresh, F.col("_last.at")).alias(f"{right_time}_matched"))
+    kept = [F.col("_k").alias(c) if c == key else F.col(f"_l.`{c}`") for c in left.columns]
+    return joined.select(*kept, *[F.when(fresh, F.col(f"_last.{v}")).alias(v) for v in values], F.when(fresh, F.col("_last.at")).alias(f"{right_time}_matched"))
 
 
 def previous_within(df: DataFrame, key: str, order: list[str], time: str, value: str, limit_seconds: int, out: str) -> DataFrame:
