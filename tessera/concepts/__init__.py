@@ -70,6 +70,13 @@ EXTRA = {
     "sirs_12h": (windows.sirs_12h, (STAYS, "vitalsign", "bg", "complete_blood_count", "blood_differential")),
 }
 CONCEPTS = {name: entry for group in CATEGORIES.values() for name, entry in group.items()}
+
+
+def _up_to(function: Callable[..., DataFrame], time: str = "charttime") -> Callable[..., DataFrame]:
+    """The function over events, then their ends, of which only events up to the end of their stay count."""
+    return lambda events, ends, *rest: function(stays.up_to(events, ends, time), *rest)
+
+
 #: What is made otherwise where a table is built in one run with all that it takes: from events near the start of a stay (rows of these tables depend on events of their own time, those of the coma scale also on
 #: events less than six hours before), or from one scan in place of several.
 ONE_RUN = {
@@ -98,12 +105,22 @@ ONE_RUN = {
     "first_hour": (stays.first_hour, ("icustay_times",)), "hours_by_stay": (stays.hours_by_stay, ("icustay_times",)), "mean_pressure": (measurements.mean_pressure, (CHART,)), "gcs_of_stay": (bedside.gcs, (CHART,)), "urine_day": (bedside.urine_day, ("outputevents", CHART, STAYS)),
     "pressors": (partial(infusions.pressors, agents=scores.PRESSORS), (INPUT,)),
     "sofa": (scores.sofa_of, (STAYS, "first_hour", "hours_by_stay", "bg_art", "ventilation", "mean_pressure", "gcs_of_stay", "laboratory_sofa", "urine_day", "pressors")),
+    # Sepsis takes no hour of a stay without a suspected infection or later than a day after the last one, and all that is scored looks back.
+    "infection_ends": (infection.last_times, ("suspicion_of_infection",)), "times_suspected": (stays.times_up_to, ("icustay_times", "infection_ends")),
+    "first_hour_suspected": (stays.first_hour, ("times_suspected",)), "hours_suspected": (stays.hours_by_stay, ("times_suspected",)),
+    "mean_pressure_suspected": (_up_to(measurements.mean_pressure), (CHART, "infection_ends")), "gcs_suspected": (_up_to(bedside.gcs), (CHART, "infection_ends")),
+    "urine_suspected": (_up_to(bedside.urine_day), ("outputevents", "infection_ends", CHART, STAYS)), "pressors_suspected": (_up_to(partial(infusions.pressors, agents=scores.PRESSORS), "starttime"), (INPUT, "infection_ends")),
+    "sofa_suspected": (scores.sofa_of, (
+        STAYS, "first_hour_suspected", "hours_suspected", "bg_art", "ventilation", "mean_pressure_suspected", "gcs_suspected", "laboratory_sofa", "urine_suspected", "pressors_suspected",
+    )),
+    "sepsis3": (infection.sepsis3, ("sofa_suspected", "suspicion_of_infection")),
 }
 #: table -> events -> the key that it groups or joins them by first.
 DEALT = {
     **{x: {CHART: "subject_id"} for x in ("bg", "bg_art", "ventilator_setting", "oxygen_delivery", "first_device")}, **{x: {CHART: "stay_id"} for x in ("lods", "sapsii", "chartevents_day", "chartevents_scale_day", "chartevents_12h", "chartevents_scale_12h")},
     "chartevents_patient_day": {CHART: "subject_id"}, "outputevents_day": {"outputevents": "stay_id"},
     "mean_pressure": {CHART: "stay_id"}, "gcs_of_stay": {CHART: "stay_id"}, "urine_day": {"outputevents": "stay_id", CHART: "stay_id"}, "pressors": {INPUT: "stay_id"},
+    "mean_pressure_suspected": {CHART: "stay_id"}, "gcs_suspected": {CHART: "stay_id"}, "urine_suspected": {"outputevents": "stay_id", CHART: "stay_id"}, "pressors_suspected": {INPUT: "stay_id"},
 }
 
 def build(name: str, read: Callable[[str], DataFrame]) -> DataFrame:

@@ -68,6 +68,11 @@ def suspicion_of_infection(antibiotics: DataFrame, microbiology: DataFrame) -> D
     )
 
 
+def last_times(infections: DataFrame) -> DataFrame:
+    """stay_id, until: the last time of organ failure that sepsis3 takes of each stay with a suspected infection; no other stay has a row there."""
+    return infections.where("stay_id is not null").groupBy("stay_id").agg((F.max("suspected_infection_time") + F.expr("interval 24 hour")).alias("until")).where("until is not null")
+
+
 def sepsis3(sofa: DataFrame, infections: DataFrame) -> DataFrame:
     """The first suspected infection of a stay with two points of organ failure or more from 48 hours before it to 24 hours after."""
     organs = ("respiration", "coagulation", "liver", "cardiovascular", "cns", "renal")

@@ -31,6 +31,18 @@ def hours_by_stay(times: DataFrame) -> DataFrame:
     return icustay_hourly(spread(times, "stay_id"))
 
 
+def times_up_to(times: DataFrame, ends: DataFrame) -> DataFrame:
+    """Times of the stays of ends (stay_id, until), the last one cut there, so that all hours that end by then are left."""
+    return times.join(ends, "stay_id").withColumn("outtime_hr", F.least("outtime_hr", "until")).drop("until")
+
+
+def up_to(events: DataFrame, ends: DataFrame, time: str = "charttime") -> DataFrame:
+    """Events of the stays of ends (stay_id, until) that are no later. Like near, it neither sorts nor moves events that are dealt by the stay."""
+    ends = ends.select(F.col("stay_id").alias("_key"), F.col("until").alias("_until"))
+    inside = F.coalesce(F.col(time) <= F.col("_until"), F.lit(False))
+    return events.join(ends.hint("shuffle_hash"), (F.col("stay_id") == F.col("_key")) & inside, "left_semi")
+
+
 def first_hour(times: DataFrame) -> DataFrame:
     """The end of hour 0 of icustay_hourly, and its last hour."""
     first, last = _hour_ends()
